@@ -6,8 +6,8 @@ the block chosen so that the first has at most 64 characters and, if the text al
 in published fuzzy hashes, what follows the 63rd (31st) boundary is one last piece.
 
 Two fingerprints are compared at a block size that both have: one less the insertions and deletions that turn one
-signature into the other, over their joint length; 0 if no run of 7 characters is common (or of the shorter
-signature's length, where that is less) or no block size is; 1 if the fingerprints are equal.
+signature into the other, over their joint length; 0 if no run of 7 characters is common (or of half the
+shorter signature, where that is less) or no block size is; 1 if the fingerprints are equal.
 
 Defined results: null is the empty text, whose fingerprint is "4::"; repeated rows and equal ids are neighbours of each
 other in the order of their texts; null ids come after all others; a lone document is its own next one; an empty table
@@ -142,7 +142,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _shared_run(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    need = np.minimum(RUN, np.minimum(na, nb))
+    need = np.minimum(RUN, np.maximum(np.minimum(na, nb) // 2, np.minimum(np.minimum(na, nb), 1)))
     out = np.zeros(len(a), bool)
 
     def runs(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +162,8 @@ def _shared_run(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) ->
             hit |= ((gb == ga[:, j : j + 1]).any(1)) & oka[:, j]
         out[full] = hit
     for i in np.flatnonzero((need > 0) & (need < RUN)):
-        x, y = a[i, : na[i]].tobytes(), b[i, : nb[i]].tobytes()
-        out[i] = (x in y) if len(x) <= len(y) else (y in x)
+        x, y, m = a[i, : na[i]].tobytes(), b[i, : nb[i]].tobytes(), need[i]
+        out[i] = any(x[j : j + m] in y for j in range(len(x) - m + 1))
     return out
 
 
