@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctph, linestore, quality, substrings
+from . import ctph, katz, linestore, quality, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_corpus(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linestore.line_digest(_table(spark, sf_dir, "documents"))
 
@@ -29,7 +33,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare_edits(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op5_line_dedup, op6_quality_rules, op7_substring_dedup, op10_fingerprints]
+QUERIES = [op1_lm_scoring, op5_line_dedup, op6_quality_rules, op7_substring_dedup, op10_fingerprints]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
