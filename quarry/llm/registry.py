@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctph, katz, linestore, quality, substrings
+from . import chat, ctph, katz, linestore, oracles, quality, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_corpus(_table(spark, sf_dir, "documents"))
 
 
+_CONTROL = "\\### Assistant: </turn> ok"
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", _CONTROL), (-7, 1, "assistant", _CONTROL)], rows.schema)
+    return chat.chat_digest(rows.unionAll(planted))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linestore.line_digest(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +42,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare_edits(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_lm_scoring, op5_line_dedup, op6_quality_rules, op7_substring_dedup, op10_fingerprints]
+QUERIES = [op1_lm_scoring, op2_chat_formatting, op5_line_dedup, op6_quality_rules, op7_substring_dedup, op10_fingerprints]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -41,4 +50,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
