@@ -107,8 +107,15 @@ def _slices(h: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
             yield b, slice(ends[b], ends[b + 1])
 
 
-def _arrays(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
-    return [np.frombuffer(b.as_buffer(), dtype) for b in column]
+def _two(a: bytes, b: bytes) -> bytes:
+    return len(a).to_bytes(8, "little") + a + b
+
+
+def _sums(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(seen, low) of a unit's histories from the replies of all buckets in order."""
+    cut = [int.from_bytes(b[:8], "little") + 8 for b in blobs]
+    seen = [un.expand(b[8:c], np.int64).reshape(GT_MAX + 1, -1) for b, c in zip(blobs, cut)]
+    return np.concatenate(seen, 1), np.concatenate([un.expand(b[c:], np.float64) for b, c in zip(blobs, cut)])
 
 
 class _Katz:
@@ -120,27 +127,29 @@ class _Katz:
 
     # counts ------------------------------------------------------------------------------------------
     def ask_counts(self, t: pa.Table) -> pa.Table:
+        unit, rows = t["unit"][0].as_py(), []
+        t = un.unpacked(t)
         k = _Tokens(tk.strings(t["text"]), self.order)
         train = self._training(t)[k.doc]
-        unit, rows = t["unit"][0].as_py(), []
         for m in range(1, self.order + 1):
             g, inv = np.unique(k.gram[m - 1], return_inverse=True)
-            c = np.bincount(inv[train], minlength=len(g)).astype(np.uint32)
-            rows += [((m - 1) * self.buckets + b, unit, g[at].tobytes(), c[at].tobytes()) for b, at in _slices(g, self.buckets)]
+            c = np.bincount(inv[train], minlength=len(g)).astype(np.int64)
+            rows += [((m - 1) * self.buckets + b, unit, un.squeeze_sorted(g[at]), un.squeeze(c[at])) for b, at in _slices(g, self.buckets)]
         return un.blobs(rows, ["place", "unit", "keys", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     @staticmethod
     def _sums(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], np.ndarray]:
         """(keys in order, count of each distinct one, its first unit, lengths of the asked lists, group of each asked key)."""
-        keys = _arrays(t["keys"], np.uint64)
+        keys = [un.expand_sorted(b) for b in t["keys"].to_pylist()]
         size = [len(x) for x in keys]
-        h, c = np.concatenate(keys), np.concatenate(_arrays(t["counts"], np.uint32)).astype(np.int64)
+        h, c = np.concatenate(keys), np.concatenate([un.expand(b, np.int64) for b in t["counts"].to_pylist()])
         unit = np.repeat(t["unit"].to_numpy(), size)
         order = np.lexsort((unit, h))
         first = np.r_[True, h[order][1:] != h[order][:-1]]
         group = np.empty(len(h), np.int64)
         group[order] = np.cumsum(first) - 1
-        total = np.bincount(group, weights=c).astype(np.int64)
+        total = np.zeros(int(first.sum()), np.int64)
+        np.add.at(total, group, c)
         return h[order][first], total, unit[order][first], size, group
 
     def tell_counts(self, t: pa.Table) -> pa.Table:
@@ -150,14 +159,15 @@ class _Katz:
         for u, n in zip(t["unit"].to_pylist(), size):
             g = group[at : at + n]
             at += n
-            mine = np.packbits(owner[g] == u)
-            rows.append((u, m, b, total[g].astype(np.uint32).tobytes() + mine.tobytes(), None))
+            # the count, and in the lowest bit whether this unit is the n-gram's first
+            rows.append((u, m, b, un.squeeze(2 * total[g] + (owner[g] == u)), None))
         cc = np.bincount(np.minimum(total, GT_MAX + 2), minlength=GT_MAX + 3)
         rows.append((-1, m, b, None, [m, *cc[1 : GT_MAX + 2].tolist(), int(total.sum()), int((total > 0).sum())]))
         return un.blobs(rows, ["unit", "kind", "bucket", "reply", "stats"], [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())])
 
     # what a unit was told ------------------------------------------------------------------------------
     def _told(self, t: pa.Table, r: pa.Table) -> tuple:
+        t = un.unpacked(t)
         k = _Tokens(tk.strings(t["text"]), self.order)
         kinds, buckets, replies = r["kind"].to_pylist(), r["bucket"].to_pylist(), r["reply"]
         stats = {}
@@ -169,7 +179,7 @@ class _Katz:
             rows = sorted((b, i) for i, (q, b) in enumerate(zip(kinds, buckets)) if q == kind and replies[i].is_valid)
             return [replies[i].as_py() for _, i in rows]
 
-        return k, stats, of
+        return t, k, stats, of
 
     def _levels(self, k: _Tokens, stats: dict, of, upto: int) -> Iterator[tuple]:
         """For m = 1..upto: (probability of each token, and what the next step needs of the level)."""
@@ -177,13 +187,8 @@ class _Katz:
         p = None
         for m in range(1, upto + 1):
             g, first, inv = np.unique(k.gram[m - 1], return_index=True, return_inverse=True)
-            cs, own = [], []
-            for (_, at), blob in zip(_slices(g, self.buckets), of(m)):
-                size = at.stop - at.start
-                cs.append(np.frombuffer(blob, np.uint32, size))
-                own.append(np.unpackbits(np.frombuffer(blob, np.uint8, offset=4 * size), count=size))
-            c = np.concatenate(cs).astype(np.int64) if cs else np.zeros(0, np.int64)
-            mine = np.concatenate(own).astype(bool) if own else np.zeros(0, bool)
+            told = np.concatenate([un.expand(blob, np.int64) for blob in of(m)])
+            c, mine = told >> 1, (told & 1).astype(bool)
             below = p
             if m == 1:
                 p = ((c + 0.5) / (n + 0.5 * (v + 1)))[inv]
@@ -191,8 +196,7 @@ class _Katz:
                 d, _ = discounts(np.r_[0, stats[m][: GT_MAX + 1]])
                 h, hinv = np.unique(k.history[m - 1], return_inverse=True)
                 if m < upto or of(100 + m):
-                    table = [np.frombuffer(b, np.float64).reshape(2, -1) for b in of(100 + m)]
-                    den, alpha = np.concatenate(table, 1) if table else np.zeros((2, 0))
+                    den, alpha = self.weigh(*_sums(of(100 + m)), d)
                     seen = c[inv] > 0
                     p = np.where(seen, _kept(c, d)[inv] / np.where(seen, den[hinv], 1.0), alpha[hinv] * below)
                 yield m, p, c, inv, (g, first, mine, d, h, hinv, below)
@@ -201,48 +205,56 @@ class _Katz:
 
     # histories -----------------------------------------------------------------------------------------
     def ask_histories(self, t: pa.Table, r: pa.Table, m: int) -> pa.Table:
-        names, types = ["place", "unit", "keys", "sums"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        # of each history: how many of its n-grams were seen 1..GT_MAX times, the count of the others, and the lower mass of all of them
+        names, types = ["place", "unit", "keys", "seen", "low"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         if not t.num_rows:
             return un.blobs([], names, types)
-        k, stats, of = self._told(t, r)
+        unit = t["unit"][0].as_py()
+        _, k, stats, of = self._told(t, r)
         *_, (_, _, c, inv, (g, first, mine, d, h, hinv, below)) = self._levels(k, stats, of, m)
         use = np.flatnonzero(mine & (c > 0))
         to = hinv[first[use]]
-        sums = np.stack([np.bincount(to, weights=w, minlength=len(h)) for w in (_kept(c[use], d), c[use].astype(float), below[first[use]])])
-        unit = t["unit"][0].as_py()
-        return un.blobs([(b, unit, h[at].tobytes(), sums[:, at].tobytes()) for b, at in _slices(h, self.buckets)], names, types)
+        seen = np.zeros((GT_MAX + 1, len(h)), np.int64)
+        np.add.at(seen, (np.minimum(c[use], GT_MAX + 1) - 1, to), np.where(c[use] > GT_MAX, c[use], 1))
+        low = np.bincount(to, weights=below[first[use]], minlength=len(h))
+        rows = [(b, unit, un.squeeze_sorted(h[at]), un.squeeze(seen[:, at].ravel()), un.squeeze(low[at])) for b, at in _slices(h, self.buckets)]
+        return un.blobs(rows, names, types)
 
     @staticmethod
-    def weigh(sums: np.ndarray) -> np.ndarray:
-        """(denominator, alpha) of histories from (kept mass, count, lower mass of the seen)."""
-        keep, count, low = sums
-        den = np.where(keep >= count, count + 1.0, count)
-        den = np.where(count > 0, den, 0.0)
+    def weigh(seen: np.ndarray, low: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(denominator, alpha) of histories."""
+        times = np.arange(1, GT_MAX + 1)
+        count = (times[:, None] * seen[:GT_MAX]).sum(0) + seen[GT_MAX]
+        keep = ((times * d[1:])[:, None] * seen[:GT_MAX]).sum(0) + seen[GT_MAX]
+        den = np.where(seen[:GT_MAX].any(0), count, count + 1)
         with np.errstate(all="ignore"):
             alpha = (1 - keep / den) / (1 - low)
-        return np.stack([den, np.where(count > 0, alpha, 1.0)])
+        return np.where(count > 0, den, 0).astype(float), np.where(count > 0, alpha, 1.0)
 
     def tell_histories(self, t: pa.Table, m: int) -> pa.Table:
-        keys = _arrays(t["keys"], np.uint64)
+        keys = [un.expand_sorted(b) for b in t["keys"].to_pylist()]
         size = [len(x) for x in keys]
         h = np.concatenate(keys)
-        sums = np.concatenate([s.reshape(3, -1) for s in _arrays(t["sums"], np.float64)], 1)
+        seen = np.concatenate([un.expand(b, np.int64).reshape(GT_MAX + 1, -1) for b in t["seen"].to_pylist()], 1)
+        low = np.concatenate([un.expand(b, np.float64) for b in t["low"].to_pylist()])
         unit = np.repeat(t["unit"].to_numpy(), size)
         order = np.lexsort((unit, h))  # one order of adding up, whatever order the units arrive in
         first = np.r_[True, h[order][1:] != h[order][:-1]]
-        got = self.weigh(np.add.reduceat(sums[:, order], np.flatnonzero(first), axis=1))
+        at = np.flatnonzero(first)
+        seen, low = np.add.reduceat(seen[:, order], at, axis=1), np.add.reduceat(low[order], at)
         group = np.empty(len(h), np.int64)
         group[order] = np.cumsum(first) - 1
-        out, rows, at = got[:, group], [], 0
+        rows, at = [], 0
         b = t["place"][0].as_py()
         for u, n in zip(t["unit"].to_pylist(), size):
-            rows.append((u, 100 + m, b, np.ascontiguousarray(out[:, at : at + n]).tobytes(), None))
+            g = group[at : at + n]
             at += n
+            rows.append((u, 100 + m, b, _two(un.squeeze(seen[:, g].ravel()), un.squeeze(low[g])), None))
         return un.blobs(rows, ["unit", "kind", "bucket", "reply", "stats"], [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())])
 
     # scores --------------------------------------------------------------------------------------------
     def scores(self, t: pa.Table, r: pa.Table) -> pa.Table:
-        k, stats, of = self._told(t, r)
+        t, k, stats, of = self._told(t, r)
         for m, p, c, inv, _ in self._levels(k, stats, of, self.order):
             if m == 1:
                 base, known = p, c[inv] > 0
@@ -271,7 +283,7 @@ def _replies(own: DataFrame, k: _Katz) -> DataFrame:
 
 
 def _histories(own: DataFrame, replies: DataFrame, k: _Katz, m: int) -> DataFrame:
-    asked = own.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(lambda t, r: k.ask_histories(t, r, m), "place int, unit int, keys binary, sums binary")
+    asked = own.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(lambda t, r: k.ask_histories(t, r, m), "place int, unit int, keys binary, seen binary, low binary")
     return asked.groupBy("place").applyInArrow(lambda t: k.tell_histories(t, m), _REPLY)
 
 
@@ -279,20 +291,15 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Learns from the training documents and scores all of them."""
     units = un.make(docs, id_col, text_col, unit_bytes)
     k = _Katz(units.n, order)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), units.of(id_col).alias("unit"))
+    own = un.packed(docs, units, id_col, text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
     out = own.groupBy("unit").cogroup(_replies(own, k).groupBy("unit")).applyInArrow(
-        lambda t, r: k.scores(t, r) if t.num_rows else _nothing(t["id"].type),
+        lambda t, r: k.scores(t, r),
         f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
     return out.withColumnRenamed("id", id_col)
 
 
-def _nothing(id_type: pa.DataType) -> pa.Table:
-    kinds = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    return pa.table([pa.array([], x) for x in kinds], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-
 # --- the model as tables ------------------------------------------------------------------------------
 
 
@@ -300,9 +307,10 @@ def ngram_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(level, bucket, gram, count, history) of all n-grams of training documents, and (level, bucket, history, denominator, alpha)."""
     units = un.make(docs, id_col, text_col, unit_bytes)
     k = _Katz(units.n, order)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), units.of(id_col).alias("unit"))
+    own = un.packed(docs, units, id_col, text_col)
 
     def grams(t: pa.Table) -> pa.Table:
+        t = un.unpacked(t)
         x = _Tokens(tk.strings(t["text"]), order)
         train = k._training(t)[x.doc]
         parts = []
@@ -313,16 +321,15 @@ def ngram_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.concat_tables(parts)
 
     counted = own.groupBy("unit").applyInArrow(grams, "level int, bucket int, gram long, count long, history long").groupBy("level", "bucket", "gram").agg(F.sum("count").alias("count"), F.first("history").alias("history"))
-    asked = _replies(own, k).where("kind > 100")
+    asked = _replies(own, k)
 
     def weights(t: pa.Table, r: pa.Table) -> pa.Table:
         parts = []
         if t.num_rows:
-            x, _, of = k._told(t, r)
+            _, x, stats, of = k._told(t, r)
             for m in range(2, order + 1):
                 h = np.unique(x.history[m - 1])
-                table = [np.frombuffer(b, np.float64).reshape(2, -1) for b in of(100 + m)]
-                den, alpha = np.concatenate(table, 1)
+                den, alpha = k.weigh(*_sums(of(100 + m)), discounts(np.r_[0, stats[m][: GT_MAX + 1]])[0])
                 ok = den > 0
                 parts.append(pa.table([pa.array(np.full(ok.sum(), m, np.int32)), pa.array(_bucket(h[ok], k.buckets).astype(np.int32)), pa.array(h[ok].view(np.int64)), pa.array(den[ok]), pa.array(alpha[ok])], names=["level", "bucket", "history", "denominator", "alpha"]))
         kinds = [("level", pa.int32()), ("bucket", pa.int32()), ("history", pa.int64()), ("denominator", pa.float64()), ("alpha", pa.float64())]

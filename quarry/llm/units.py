@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +69,60 @@ def split_by(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 Rows = Callable[[pa.Table], pa.Table]
+
+
+# --- compact columns --------------------------------------------------------------------------------
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Values as byte planes, compressed: small numbers and equal high bytes cost next to nothing."""
+    n, size = len(values), values.dtype.itemsize
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(n, size).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def expand(blob: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def squeeze_sorted(values: np.ndarray) -> bytes:
+    """Ascending 64-bit values by their differences, in as many bytes as the largest of them needs."""
+    d = np.diff(values, prepend=np.uint64(0))
+    width = max(1, -(-int(d.max()).bit_length() // 8)) if len(d) else 1
+    planes = np.ascontiguousarray(d).view(np.uint8).reshape(len(d), 8)[:, :width].T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def expand_sorted(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(width, -1)
+    full = np.zeros((planes.shape[1], 8), np.uint8)
+    full[:, :width] = planes.T
+    return np.cumsum(full.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def packed(docs: DataFrame, units: Units, id_col: str, text_col: str) -> DataFrame:
+    """(unit, rows): per batch of the scan and unit one compressed Arrow stream of (id, text), so that texts take less room between tasks."""
+    bounds = units.bounds
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = pc.fill_null(b.column(0).cast(pa.int64()), LEAST).to_numpy(zero_copy_only=False)
+            of, blobs_ = [], []
+            for u, at in split_by(np.searchsorted(bounds, ids, "left"), len(bounds) + 1):
+                part = b.take(pa.array(at))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(part)
+                of.append(u)
+                blobs_.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(blobs_, pa.binary())], ["unit", "rows"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "unit int, rows binary")
+
+
+def unpacked(t: pa.Table) -> pa.Table:
+    """The (id, text) rows of a unit."""
+    return pa.concat_tables([pa.ipc.open_stream(pa.BufferReader(b.as_buffer())).read_all() for b in t["rows"]])
