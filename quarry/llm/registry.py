@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ctph, htmltext, katz, linestore, neardup, oracles, quality, substrings
+from . import chat, ctph, htmltext, katz, linestore, neardup, oracles, packing, quality, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(_table(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare_edits(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_lm_scoring, op2_chat_formatting, op3_minhash_near_dedup, op5_line_dedup, op6_quality_rules, op7_substring_dedup, op9_html_extraction, op10_fingerprints]
+QUERIES = [op1_lm_scoring, op2_chat_formatting, op3_minhash_near_dedup, op5_line_dedup, op6_quality_rules, op7_substring_dedup, op8_packing, op9_html_extraction, op10_fingerprints]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
