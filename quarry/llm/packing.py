@@ -14,6 +14,7 @@ fills several; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from . import textkernel as tk
 WINDOW, CLOSING = 1024, 0
 UNIT_BYTES = 16 << 20
 MINHASHES, NEIGHBOURS, ALIKE = 16, 4, 2
-CACHE = 400_000
+CACHE = 1_000_000  # pieces remembered, about 40 bytes each
 
 _FACTORS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, MINHASHES, dtype=np.uint64) | np.uint64(1)
 _UNSURE = np.zeros(256, bool)  # first bytes of blanks beyond ASCII and of special tokens, before which texts end
@@ -39,30 +40,93 @@ _UNSURE[[0xC2, 0xE1, 0xE2, 0xE3, 0x3C]] = True
 # --- token ids ------------------------------------------------------------------------------------------
 
 
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _bytes_of_characters() -> dict[str, int]:
+    """Byte-level vocabularies write each byte as a printable character."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class PieceTokenizer:
-    """Ids of whole texts, each distinct piece encoded once while it is remembered."""
+    """Ids of whole texts, each distinct piece encoded once while it is remembered.
+
+    If the file is a byte-level BPE whose merges are in the order of their ids, new pieces are merged together by a faster
+    implementation with the file's own ranks; all else, and pieces with special tokens, is left to the tokenizers library.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special, self.merger = [], None
+        with open(path, encoding="utf-8") as f:
+            self._load(json.load(f))
         self._forget()
 
+    def _load(self, spec: dict) -> None:
+        self.special = [t["content"].encode() for t in spec.get("added_tokens") or []]
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model["type"] != "BPE":
+            return
+        added = {t["content"] for t in spec.get("added_tokens") or []}
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if any(x >= y for x, y in zip(merged, merged[1:])):
+            return
+        import tiktoken
+
+        back = _bytes_of_characters()
+        ranks = {bytes(back[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
+        self.merger = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.length = np.zeros(max(ranks.values()) + 1, np.int64)
+        for t, i in ranks.items():
+            self.length[i] = len(t)
+
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.start, self.size, self.flat, self.used = [], [], np.zeros(1 << 20, np.uint32), 0
-
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch(pieces, add_special_tokens=False)):
-            ids = e.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.place[h] = len(self.start)
-            self.start.append(self.used)
-            self.size.append(len(ids))
-            self.used += len(ids)
+        self.known, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each piece begin, how many it has)."""
+        n = len(pieces)
+        start, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        joined, single, parts, used = [], [], [], 0
+        for i, p in enumerate(pieces):
+            # pieces that begin with one blank don't change each other's ids
+            plain = self.merger is not None and len(p) > 1 and tk.SPACE[p[0]] and not tk.SPACE[p[1]] and not _UNSURE[p[1]]
+            (joined if plain else single).append(i)
+        if joined and any(s in p for s in self.special for p in [b"".join([pieces[i] for i in joined])]):
+            single += [i for i in joined if any(s in pieces[i] for s in self.special)]
+            joined = [i for i in joined if not any(s in pieces[i] for s in self.special)]
+        if joined:
+            ids = np.array(self.merger.encode_ordinary(b"".join([pieces[i] for i in joined]).decode()), np.uint32)
+            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(pieces[i]) for i in joined])) + 1
+            size[joined] = np.diff(ends, prepend=0)
+            start[joined] = ends - size[joined]
+            parts, used = [ids], len(ids)
+        for i in single:
+            p = pieces[i]
+            if self.merger is None or any(s in p for s in self.special):
+                ids = self.tokenizer.encode(p.decode(), add_special_tokens=False).ids
+            else:
+                ids = self.merger.encode_ordinary(p.decode())
+            start[i], size[i] = used, len(ids)
+            used += len(ids)
+            parts.append(np.array(ids, np.uint32))
+        return np.concatenate(parts), start, size
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        ids, start, size = self._encode(pieces)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        start += self.used
+        self.used += len(ids)
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.start, self.size = np.insert(self.known, at, hashes), np.insert(self.start, at, start), np.insert(self.size, at, size)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by CLOSING; how many each has)."""
@@ -87,15 +151,15 @@ class PieceTokenizer:
         s = np.flatnonzero(cut)
         e = np.append(s[1:], len(b))
         h, at, inv = np.unique(tk.span_hash(c.prefix(), s, e), return_index=True, return_inverse=True)
-        keys = h.tolist()
-        if len(self.place) + len(keys) > CACHE:
+        if len(self.known) + len(h) > CACHE:
             self._forget()
-        new = [i for i, k in enumerate(keys) if k not in self.place]
-        if new:
+        place = np.searchsorted(self.known, h)
+        new = np.flatnonzero(place == len(self.known)) if not len(self.known) else np.flatnonzero(self.known[np.minimum(place, len(self.known) - 1)] != h)
+        if len(new):
             data = b.tobytes()
-            self._learn([keys[i] for i in new], [data[s[at[i]] : e[at[i]]].decode() for i in new])
-        place = np.array([self.place[k] for k in keys], np.int64)
-        start, size = np.array(self.start, np.int64)[place][inv], np.array(self.size, np.int64)[place][inv]
+            self._learn(h[new], [data[i:j] for i, j in zip(s[at[new]].tolist(), e[at[new]].tolist())])
+            place = np.searchsorted(self.known, h)
+        start, size = self.start[place][inv], self.size[place][inv]
         doc = c.doc_of(s)
         count = np.bincount(doc, weights=size, minlength=n).astype(np.int64) + 1
         end = np.cumsum(count)
