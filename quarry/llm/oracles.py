@@ -58,4 +58,42 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS
 FROM split LEFT JOIN digests USING (doc_id)
 """
 
-SQL = {"op2_chat_formatting": OP2, "op5_line_dedup": OP5, "op7_substring_dedup": OP7}
+_FILL = """
+  SELECT *, CASE WHEN room <= weight * level THEN CAST(room AS DOUBLE) ELSE weight * first_value(CASE WHEN NOT room <= weight * level THEN level END IGNORE NULLS)
+    OVER (PARTITION BY {by} ORDER BY room / weight, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS take
+  FROM (SELECT *, (budget - coalesce(sum(room) OVER (PARTITION BY {by} ORDER BY room / weight, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (PARTITION BY {by} ORDER BY room / weight, {child} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {table})
+"""
+
+OP4 = f"""
+WITH rows_ AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'other'
+      ELSE 'd' || CAST(CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT) % 4 AS VARCHAR) END AS domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+  FROM documents
+), leaves AS (
+  SELECT domain, lang, source, CAST(sum(n_tokens) AS DOUBLE) AS tokens, 2.0::DOUBLE * sum(n_tokens) AS room FROM rows_ GROUP BY ALL HAVING sum(n_tokens) > 0
+), d0 AS (
+  SELECT domain, sum(room) AS room, (SELECT sum(tokens) * 0.8::DOUBLE FROM leaves) AS budget,
+    CASE domain WHEN 'd0' THEN 0.3::DOUBLE WHEN 'd1' THEN 0.3 WHEN 'd2' THEN 0.2 WHEN 'd3' THEN 0.2 ELSE 0.1 END AS weight FROM leaves GROUP BY domain
+), d1 AS ({_FILL.format(by="1::INT", child="domain", table="d0")}
+), l0 AS (
+  SELECT x.domain, x.lang, x.room, d1.take AS budget, CASE x.lang WHEN 'en' THEN 0.5::DOUBLE WHEN 'de' THEN 0.2 WHEN 'fr' THEN 0.2 WHEN 'es' THEN 0.1 ELSE 0.1 END AS weight
+  FROM (SELECT domain, lang, sum(room) AS room FROM leaves GROUP BY ALL) x JOIN d1 USING (domain)
+), l1 AS ({_FILL.format(by="domain", child="lang", table="l0")}
+), s0 AS (
+  SELECT x.*, l1.take AS budget, 1.0::DOUBLE AS weight FROM leaves x JOIN l1 ON x.domain = l1.domain AND x.lang = l1.lang
+), s1 AS ({_FILL.format(by="domain, lang", child="source", table="s0")}
+), plan AS (
+  SELECT domain, lang, source, CAST(tokens AS BIGINT) AS tokens, CAST(floor(take + 0.001) AS BIGINT) AS take FROM s1
+), epochs AS (
+  SELECT r.*, e.epoch, p.take - e.epoch * p.tokens AS rest, p.tokens
+  FROM rows_ r JOIN plan p USING (domain, lang, source), LATERAL (SELECT unnest(range(0, p.take // p.tokens + 1)) AS epoch) e
+), ordered AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5('17:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM epochs
+)
+SELECT doc_id, domain, lang, source, epoch, n_tokens FROM ordered WHERE rest >= tokens OR coalesce(earlier, 0) < rest
+"""
+
+SQL = {"op4_source_mixing": OP4, "op2_chat_formatting": OP2, "op5_line_dedup": OP5, "op7_substring_dedup": OP7}

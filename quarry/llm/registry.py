@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ctph, htmltext, katz, linestore, neardup, oracles, packing, quality, substrings
+from . import chat, ctph, htmltext, katz, linestore, mixing, neardup, oracles, packing, quality, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linestore.line_digest(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare_edits(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_lm_scoring, op2_chat_formatting, op3_minhash_near_dedup, op5_line_dedup, op6_quality_rules, op7_substring_dedup, op8_packing, op9_html_extraction, op10_fingerprints]
+QUERIES = [op1_lm_scoring, op2_chat_formatting, op3_minhash_near_dedup, op4_source_mixing, op5_line_dedup, op6_quality_rules, op7_substring_dedup, op8_packing, op9_html_extraction, op10_fingerprints]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
