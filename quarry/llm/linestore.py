@@ -232,15 +232,14 @@ def _losses(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Data
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents, all columns, each text without the lines that a document of a smaller id holds."""
-    at = docs.columns.index(text_col)
-    size = len(docs.columns)
+    at, size, names = docs.columns.index(text_col), len(docs.columns), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             was, keys = b.column(at), b.column(size).to_pylist()
             new = [None if t is None else _lose(t.encode(), k, min_chars)[0].decode() if k else t for t, k in zip(was.to_pylist(), keys)]
             cols = [b.column(i) if i != at else pa.array(new, was.type) for i in range(size)]
-            yield pa.RecordBatch.from_arrays(cols, [str(f) for f in docs.columns])
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return _apply(docs, _losses(docs, id_col, text_col, min_chars), id_col, run, docs.schema)
 
@@ -315,11 +314,11 @@ class LineStore:
 
     def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Held documents without the lines that a smaller held id has."""
-        at, size, min_chars = docs.columns.index(text_col), len(docs.columns), self.min_chars
+        at, size, names, min_chars = docs.columns.index(text_col), len(docs.columns), docs.columns, self.min_chars
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 new = [None if t is None else _lose(t.encode(), k, min_chars)[0].decode() for t, k in zip(b.column(at).to_pylist(), b.column(size).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(i) if i != at else pa.array(new, b.column(at).type) for i in range(size)], docs.columns)
+                yield pa.RecordBatch.from_arrays([b.column(i) if i != at else pa.array(new, b.column(at).type) for i in range(size)], names)
 
         return _apply(docs, drops(self.postings(), self.counts().drop("shard"), self.shards), id_col, run, docs.schema)
