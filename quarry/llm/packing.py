@@ -36,6 +36,9 @@ _FACTORS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, MINHASHES,
 _UNSURE = np.zeros(256, bool)  # first bytes of blanks beyond ASCII and of special tokens, before which texts end
 _UNSURE[[0xC2, 0xE1, 0xE2, 0xE3, 0x3C]] = True
 
+_BLANKS = frozenset(bytes([b]) for b in range(256) if tk.SPACE[b])
+_NO_START = frozenset([b"", *(bytes([b]) for b in range(256) if tk.SPACE[b] or _UNSURE[b])])
+
 
 # --- token ids ------------------------------------------------------------------------------------------
 
@@ -94,15 +97,17 @@ class PieceTokenizer:
         n = len(pieces)
         start, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
         joined, single, parts, used = [], [], [], 0
+        # pieces that begin with one blank don't change each other's ids
+        plain = self.merger is not None
         for i, p in enumerate(pieces):
-            # pieces that begin with one blank don't change each other's ids
-            plain = self.merger is not None and len(p) > 1 and tk.SPACE[p[0]] and not tk.SPACE[p[1]] and not _UNSURE[p[1]]
-            (joined if plain else single).append(i)
-        if joined and any(s in p for s in self.special for p in [b"".join([pieces[i] for i in joined])]):
+            (joined if plain and p[:1] in _BLANKS and p[1:2] not in _NO_START else single).append(i)
+        text = b"".join([pieces[i] for i in joined])
+        if any(s in text for s in self.special):
             single += [i for i in joined if any(s in pieces[i] for s in self.special)]
             joined = [i for i in joined if not any(s in pieces[i] for s in self.special)]
+            text = b"".join([pieces[i] for i in joined])
         if joined:
-            ids = np.array(self.merger.encode_ordinary(b"".join([pieces[i] for i in joined]).decode()), np.uint32)
+            ids = np.array(self.merger.encode_ordinary(text.decode()), np.uint32)
             ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(pieces[i]) for i in joined])) + 1
             size[joined] = np.diff(ends, prepend=0)
             start[joined] = ends - size[joined]
@@ -174,9 +179,8 @@ class PieceTokenizer:
 # --- signatures and neighbours --------------------------------------------------------------------------
 
 
-def _sketch(c: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(signature of three values, minwise values) of each document of a chunk."""
-    n = len(c)
+def _vocabulary(c: tk.Chunk) -> tuple[np.ndarray, ...]:
+    """(document, word hash, bytes of the word, how often) of each document's distinct words, and where each document with words begins."""
     s, e, doc = c.words()
     h = tk.span_hash(c.prefix(tk.LOWER), s, e)
     order = np.lexsort((h, doc))
@@ -185,20 +189,32 @@ def _sketch(c: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
     first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(first)
     many = np.diff(np.append(at, len(h)))
-    h, doc, size = h[at], doc[at], size[at]
-    sig = np.zeros((n, 3), np.uint64)
-    low = np.full((n, MINHASHES), np.uint64(2**64 - 1), np.uint64)
+    doc = doc[at]
+    full = np.flatnonzero(np.bincount(doc, minlength=len(c)))
+    return doc, h[at], size[at], many, full, np.searchsorted(doc, full)
+
+
+def signatures(c: tk.Chunk) -> np.ndarray:
+    """Three values per document that related documents tend to share: the most frequent word, and the least hashes of long words."""
+    doc, h, size, many, full, edge = _vocabulary(c)
+    sig = np.zeros((len(c), 3), np.uint64)
     if len(h):
-        full = np.unique(doc)
-        edge = np.searchsorted(doc, full)
         top = np.lexsort((h, -many, doc))
         sig[full, 0] = h[top[edge]]
         weigh = np.where(size >= 8, h >> np.uint64(1), h | np.uint64(1 << 63))  # long words say more than short ones
         for j in range(2):
             sig[full, 1 + j] = np.minimum.reduceat(tk.mix(weigh + np.uint64(j)) >> np.uint64(1) | (weigh & np.uint64(1 << 63)), edge)
+    return sig
+
+
+def minwise(c: tk.Chunk) -> np.ndarray:
+    """Minwise values of each document's words."""
+    _, h, _, _, full, edge = _vocabulary(c)
+    low = np.full((len(c), MINHASHES), np.uint32(2**32 - 1), np.uint32)
+    if len(h):
         for j in range(MINHASHES):
-            low[full, j] = np.minimum.reduceat(tk.mix(h * _FACTORS[j]), edge)
-    return sig, low
+            low[full, j] = np.minimum.reduceat((h * _FACTORS[j] >> np.uint64(32)).astype(np.uint32), edge)
+    return low
 
 
 def neighbours(low: np.ndarray) -> list[list[int]]:
@@ -282,7 +298,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [_sketch(c)[0] for c in tk.chunks(tk.strings(b.column(1)))]
+            parts = [signatures(c) for c in tk.chunks(tk.strings(b.column(1)))]
             sig = (np.concatenate(parts) if parts else np.zeros((0, 3), np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(sig[:, j].copy()) for j in range(3))], ["id", "text", "s0", "s1", "s2"])
 
@@ -292,7 +308,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             return
         t = pa.Table.from_batches(rows).sort_by([("s0", "ascending"), ("s1", "ascending"), ("s2", "ascending"), ("id", "ascending"), ("text", "ascending")])
         texts = tk.strings(t["text"])
-        low = np.concatenate([_sketch(c)[1] for c in tk.chunks(texts)])
+        low = np.concatenate([minwise(c) for c in tk.chunks(texts)])
         order = np.array(walk(neighbours(low)), np.int64)
         ids, size = PieceTokenizer(path).encode(texts.take(pa.array(order)))
         doc, start, length, seq, offset = pieces(size, window)
