@@ -1,15 +1,270 @@
-"""The registered queries of the extraction operators and their DuckDB SQL."""
+"""The registered queries of the extraction operators and their DuckDB SQL, each over its whole table.
+
+Queries whose input isn't pages run an operator's expression on stand-in data: they check the expression, not extraction quality.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import exprs as X
+from .operators import clients, udfs
+from .plans import Pipeline
+
+SCHEMA_REQUEST = '{"title": "string", "heading": "string"}'
+_QUESTION = "What is the heading of this page?"
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    """Every page: even ids ask with a schema, odd ones with a question."""
+    even = F.col("page_id") % 2 == 0
+    return _t(spark, d, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("content"), F.when(~even, F.lit(_QUESTION)).alias("query"), F.when(even, F.lit(SCHEMA_REQUEST)).alias("schema_model"))
+
+
+def scan_pages_url_flag(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", X.is_url(F.col("url")).alias("url_is_url"), X.is_url(F.col("html")).alias("html_is_url"))
+
+
+def broadcast_request(spark: SparkSession, d: str) -> DataFrame:
+    query = F.when(F.col("page_id") % 2 == 1, F.lit(_QUESTION)).otherwise(F.lit(""))
+    return _t(spark, d, "pages").select("page_id", X.effective_request(query, F.lit(SCHEMA_REQUEST)).alias("request"))
+
+
+def normalize_for_match(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", X.match_text(F.col("text")).alias("norm"))
+
+
+def normalize_display(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", X.display_text(F.col("text")).alias("shown"))
+
+
+def schema_classifier(spark: SparkSession, d: str) -> DataFrame:
+    said = _t(spark, d, "conversations").select(F.lit("conversation").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("request"))
+    docs = _t(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("request"))
+    props = _t(spark, d, "events").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("props").alias("request"))
+    return said.unionAll(docs).unionAll(props).select("kind", "id", X.is_schema(F.col("request")).alias("is_schema"))
+
+
+def route_adapter(spark: SparkSession, d: str) -> DataFrame:
+    response = F.when(F.col("turn") % 5 == 4, F.lit(None).cast("string")).otherwise(F.col("text"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", X.adapter(F.col("text")).alias("adapter"), X.answer_status(response).alias("status"))
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    path = F.regexp_extract("url", "^https?://[^/]*(/[^?#]*)", 1)
+    return _t(spark, d, "pages").select("page_id", path.alias("path"), F.regexp_extract("url", "^https?://[^/]*/([^/?#]*)", 1).alias("section"))
+
+
+def xpath_common_prefix(spark: SparkSession, d: str) -> DataFrame:
+    # each page's own path with the section's is a bounded array; the fold over a section is an aggregation of steps
+    p = _paths(spark, d)
+    other = F.concat(F.lit("/"), F.col("section"), F.lit("/other"))
+    return p.select("page_id", X.common_prefix(F.array(F.col("path"), other)).alias("prefix"))
+
+
+def xpath_relative(spark: SparkSession, d: str) -> DataFrame:
+    return _paths(spark, d).select("page_id", X.relative_path(F.col("path"), F.concat(F.lit("/"), F.col("section"))).alias("relative"))
+
+
+def escape_and_prompt(spark: SparkSession, d: str) -> DataFrame:
+    p = _paths(spark, d)
+    node = F.struct(F.col("path").alias("xpath"), F.concat(F.lit("it's "), F.col("section")).alias("content"))
+    prompt = X.fill_prompt("Q {query}\n{content}", F.lit("which {content}?"), X.node_listing(F.array(node)))
+    return p.select("page_id", X.chat_suffix(prompt).alias("prompt"))
+
+
+def _responses(spark: SparkSession, d: str) -> DataFrame:
+    k, w = F.col("doc_id"), F.col("n_chars") % 7
+    listed = F.concat(F.lit("Keep: ["), w.cast("string"), F.lit(", "), (k % 5).cast("string"), F.lit(", -1, 99] as asked"))
+    said = F.when(k % 6 == 0, F.lit(None).cast("string")).when(k % 6 == 1, F.lit("none of them")).when(k % 6 == 2, F.lit("[one, 2]")).when(k % 6 == 3, F.lit("[]")).otherwise(listed)
+    return _t(spark, d, "documents").select("doc_id", F.split(F.col("lang"), "").alias("letters"), said.alias("response"))
+
+
+def parse_indices(spark: SparkSession, d: str) -> DataFrame:
+    got = X.chosen_indices(F.col("response"))
+    return _responses(spark, d).select("doc_id", got.isNull().alias("keep_all"), F.array_join(F.transform(got, lambda i: i.cast("string")), ",").alias("indices"))
+
+
+def select_nodes(spark: SparkSession, d: str) -> DataFrame:
+    nodes = F.array(*[F.lit(x) for x in "abcd"])
+    return _responses(spark, d).select("doc_id", F.array_join(X.select_nodes(nodes, X.chosen_indices(F.col("response"))), "").alias("kept"))
+
+
+def regroup(spark: SparkSession, d: str) -> DataFrame:
+    part = F.struct("l_linenumber", F.col("l_partkey"))
+    return _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
+
+
+def micro_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", X.micro_batch(F.col("doc_id"), 4).alias("batch"))
+
+
+def length_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of prompts within fixed slices of 256 ids: by length, at most 8, none much longer than the batch's longest."""
+    import pandas as pd
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n_chars", "doc_id"]).reset_index(drop=True)
+        out = []
+        for b, group in enumerate(clients.length_buckets(pdf["n_chars"].tolist())):
+            out += [(int(pdf["slice"].iloc[i]), int(pdf["doc_id"].iloc[i]), b) for i in group]
+        return pd.DataFrame(out, columns=["slice", "doc_id", "bucket"])
+
+    rows = _t(spark, d, "documents").select(F.floor(F.col("doc_id") / 256).cast("long").alias("slice"), "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+    return rows.groupBy("slice").applyInPandas(cut, "slice long, doc_id long, bucket long")
+
+
+def json_spread(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit('Here: ```json\n{"b": "'), F.col("event_type"), F.lit('", "n": 1, "a": "'), F.col("user_id").cast("string"), F.lit('"}\n``` done'))
+    return _t(spark, d, "events").select("event_id", udfs.spread_json(text).alias("spread"))
+
+
+def json_repair(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("{kind: '"), F.col("event_type"), F.lit("', id: "), F.col("event_id").cast("string"))
+    return _t(spark, d, "events").select("event_id", udfs.repair_json(text).alias("repaired"))
+
+
+def ground_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document whether a benchmark-like value is a candidate match: contained, or a shared word."""
+    norm = X.match_text(F.col("text"))
+    value = X.match_text(F.concat(F.coalesce("lang", F.lit("")), F.lit(" "), F.coalesce("source", F.lit(""))))
+    shared = F.size(F.array_intersect(F.split(value, " "), F.split(norm, " ")))
+    return _t(spark, d, "documents").select("doc_id", F.coalesce((shared > 0) | F.contains(norm, value), F.lit(False)).alias("candidate"))
+
+
+def ordered_fold(spark: SparkSession, d: str) -> DataFrame:
+    """The order-dependent best of each order's lines: discount as score, tax as overlap."""
+    entry = F.struct(F.col("l_linenumber").cast("long").alias("ord"), F.col("l_discount").alias("score"), F.floor(F.col("l_tax") * 100 + 0.5).cast("long").alias("overlap"))
+    best = X.ordered_fold(F.array_sort(F.collect_list(entry)))
+    return _t(spark, d, "lineitem").groupBy("l_orderkey").agg(best.alias("b")).select("l_orderkey", F.col("b.score").alias("score"), F.col("b.overlap").alias("overlap"), F.col("b.ord").alias("ord"))
+
+
+def result_envelope(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
+    status = F.when(F.col("quality").isNull(), "pending").when(F.col("quality") == 1, "success").otherwise("failed")
+    pred = F.when(F.col("toxic") == 1, F.lit(None).cast("string")).when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('{"lang":"'), F.col("lang"), F.lit('"}')))
+    return docs.select("doc_id", "lang").join(labels, "doc_id", "left").select("doc_id", X.result_prediction(pred).alias("prediction"), status.alias("status"), X.result_error(status).alias("error"))
+
+
+def clean_html(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", udfs.clean_html("html").alias("clean"))
+
+
+def dom_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", F.explode(udfs.dom_nodes("html")).alias("n")).select("page_id", "n.*")
+
+
+def visible_leaves(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", F.posexplode(udfs.visible_leaves("html"))).select("page_id", "pos", "col.xpath", "col.text")
+
+
+def chunk_html(spark: SparkSession, d: str) -> DataFrame:
+    got = _t(spark, d, "pages").select("page_id", udfs.chunks(F.col("html"), 1000).alias("c"))
+    return got.select("page_id", "c.error", F.explode_outer("c.chunks").alias("k")).select("page_id", "k.chunk_ord", "k.content", "error")
+
+
+def search_index(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", F.explode(udfs.search_index("html")).alias("e")).select("page_id", "e.*")
+
+
+def match_value(spark: SparkSession, d: str) -> DataFrame:
+    title = F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)
+    return _t(spark, d, "pages").select("page_id", udfs.match_value("html", title).alias("m")).select("page_id", "m.*")
+
+
+def prune_pages(spark: SparkSession, d: str) -> DataFrame:
+    p = Pipeline()
+    return p.prune(p.preprocess(_samples(spark, d))).select("id", F.size("chunks").alias("n_chunks"), "current_html", "stage_error")
+
+
+def answer_pages(spark: SparkSession, d: str) -> DataFrame:
+    p = Pipeline()
+    return p.extract(p.prune(p.preprocess(_samples(spark, d)))).select("id", "adapter", "response", "status")
+
+
+def skeleton_pages(spark: SparkSession, d: str) -> DataFrame:
+    nodes = F.filter(udfs.dom_nodes(udfs.structural_clean("html")), lambda n: n["xpath"].endswith("/h1"))
+    return _t(spark, d, "pages").select("page_id", udfs.rebuild_skeleton("html", nodes).alias("skeleton"))
+
+
+def extract_pages(spark: SparkSession, d: str) -> DataFrame:
+    """All four stages over every page."""
+    return Pipeline().run(_samples(spark, d))
+
+
+QUERIES = [
+    extract_pages, scan_pages_url_flag, broadcast_request, normalize_for_match, normalize_display, schema_classifier, route_adapter, xpath_common_prefix, xpath_relative,
+    escape_and_prompt, parse_indices, select_nodes, regroup, micro_batch, length_buckets, json_spread, json_repair, ground_candidates, ordered_fold, result_envelope,
+    clean_html, dom_nodes, visible_leaves, chunk_html, search_index, match_value, prune_pages, answer_pages, skeleton_pages,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in QUERIES}
+
+
+# --- DuckDB ---------------------------------------------------------------------------------------------
+
+_SP = "[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
+def _collapse(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_SP}+', ' ', 'g'))"
+
+
+def _match(x: str) -> str:
+    return _collapse(f"lower(regexp_replace(coalesce({x}, ''), '[^\\p{{L}}\\p{{N}}_\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g'))")
+
+
+def _schema(x: str) -> str:
+    t = f"regexp_replace(coalesce({x}, ''), '^{_SP}+|{_SP}+$', '', 'g')"
+    return f"(starts_with({t}, 'dict_keys(') OR regexp_full_match({t}, '(?s)\\{{.*\\}}') OR regexp_full_match({t}, '(?s)\\[.*\\]') OR length({t}) - length(replace({t}, ':', '')) >= 2)"
+
+
+_PATHS = "paths AS (SELECT page_id, regexp_extract(url, '^https?://[^/]*(/[^?#]*)', 1) AS path, regexp_extract(url, '^https?://[^/]*/([^/?#]*)', 1) AS section FROM pages)"
+_SAID = """said AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 6 = 1 THEN 'none' WHEN doc_id % 6 = 2 THEN 'none' WHEN doc_id % 6 = 3 THEN 'none' ELSE 'list' END AS kind, n_chars % 7 AS a, doc_id % 5 AS b FROM documents)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    q = lambda s: s.replace("'", "''")
+    return {
+        "scan_pages_url_flag": f"SELECT page_id, coalesce(regexp_matches(url, '^{_SP}*https?://'), false) AS url_is_url, coalesce(regexp_matches(html, '^{_SP}*https?://'), false) AS html_is_url FROM pages",
+        "broadcast_request": f"SELECT page_id, CASE WHEN page_id % 2 = 1 THEN '{q(_QUESTION)}' ELSE '{q(SCHEMA_REQUEST)}' END AS request FROM pages",
+        "normalize_for_match": f"SELECT doc_id, {_match('text')} AS norm FROM documents",
+        "normalize_display": f"SELECT doc_id, {_collapse('coalesce(text, chr(32))')} AS shown FROM documents",
+        "schema_classifier": f"SELECT kind, id, {_schema('request')} AS is_schema FROM (SELECT 'conversation' AS kind, conv_id * 1000 + turn AS id, text AS request FROM conversations UNION ALL SELECT 'document', doc_id, text FROM documents UNION ALL SELECT 'event', event_id, props FROM events)",
+        "route_adapter": f"SELECT conv_id, turn, CASE WHEN {_schema('text')} THEN 'schema' ELSE 'qa' END AS adapter, CASE WHEN turn % 5 = 4 OR text IS NULL THEN 'failed' ELSE 'success' END AS status FROM conversations",
+        "xpath_common_prefix": f"WITH {_PATHS} SELECT page_id, CASE WHEN path = '/' || section || '/other' THEN path WHEN starts_with(path, '/' || section || '/') OR path = '/' || section THEN '/' || section ELSE '/' END AS prefix FROM paths",
+        "xpath_relative": f"WITH {_PATHS} SELECT page_id, CASE WHEN coalesce(path, '') = '' THEN '/' WHEN section = '' THEN path WHEN path = '/' || section THEN '/' WHEN starts_with(path, '/' || section) THEN CASE WHEN substr(path, length(section) + 2, 1) = '/' THEN '' ELSE '/' END || substr(path, length(section) + 2) ELSE path END AS relative FROM paths",
+        "escape_and_prompt": f"WITH {_PATHS} SELECT page_id, 'Q which {{content}}?' || chr(10) || 'The entire chunk is under: ''' || replace(path, '''', '\\''') || '''' || chr(10) || '0 (''/'', ''it\\''s ' || replace(section, '''', '\\''') || ''')' || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) AS prompt FROM paths",
+        "parse_indices": f"WITH {_SAID} SELECT doc_id, kind IS NULL AS keep_all, CASE kind WHEN 'list' THEN a || ',' || b || ',-1,99' WHEN 'none' THEN '' END AS indices FROM said",
+        "select_nodes": f"WITH {_SAID} SELECT doc_id, CASE kind WHEN 'list' THEN CASE WHEN a < 4 THEN substr('abcd', a + 1, 1) ELSE '' END || CASE WHEN b < 4 THEN substr('abcd', b + 1, 1) ELSE '' END WHEN 'none' THEN '' ELSE 'abcd' END AS kept FROM said",
+        "regroup": "SELECT l_orderkey, string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY l_orderkey",
+        "micro_batch": "SELECT doc_id, doc_id // 4 AS batch FROM documents",
+        "json_spread": "SELECT event_id, event_type || user_id AS spread FROM events",
+        "json_repair": "SELECT event_id, '{\"kind\": \"' || event_type || '\", \"id\": ' || event_id || '}' AS repaired FROM events",
+        "ground_candidates": f"WITH n AS (SELECT doc_id, {_match('text')} AS norm, {_match(chr(40) + 'coalesce(lang, chr(32)) || chr(32) || coalesce(source, chr(32)))')} AS value FROM documents) SELECT doc_id, list_has_any(string_split(value, ' '), string_split(norm, ' ')) OR contains(norm, value) AS candidate FROM n",
+        "ordered_fold": """
+WITH RECURSIVE e AS (SELECT l_orderkey, l_linenumber::BIGINT AS ord, l_discount AS score, CAST(floor(l_tax * 100 + 0.5) AS BIGINT) AS overlap,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_discount, l_tax) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem
+), f AS (
+  SELECT l_orderkey, 0::BIGINT AS i, 0.0::DOUBLE AS score, 0::BIGINT AS overlap, -1::BIGINT AS ord FROM (SELECT DISTINCT l_orderkey FROM e)
+  UNION ALL
+  SELECT f.l_orderkey, e.i, CASE WHEN e.score >= f.score AND e.overlap >= f.overlap THEN e.score ELSE f.score END, CASE WHEN e.score >= f.score AND e.overlap >= f.overlap THEN e.overlap ELSE f.overlap END,
+    CASE WHEN e.score >= f.score AND e.overlap >= f.overlap THEN e.ord ELSE f.ord END
+  FROM f JOIN e ON e.l_orderkey = f.l_orderkey AND e.i = f.i + 1
+)
+SELECT l_orderkey, score, overlap, ord FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY i DESC) AS r FROM f) WHERE r = 1""",
+        "result_envelope": """
+SELECT d.doc_id, CASE WHEN toxic = 1 OR d.doc_id % 3 = 0 OR lang IS NULL THEN '{}' ELSE '{"lang":"' || lang || '"}' END AS prediction,
+  CASE WHEN quality IS NULL THEN 'pending' WHEN quality = 1 THEN 'success' ELSE 'failed' END AS status,
+  CASE WHEN quality IS NULL THEN 'Encountered error/pending status: Status.PENDING' WHEN quality = 1 THEN NULL ELSE 'Encountered error/pending status: Status.FAILED' END AS error
+FROM documents d LEFT JOIN labels USING (doc_id)""",
+    }
