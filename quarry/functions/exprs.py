@@ -105,7 +105,7 @@ def chosen_indices(response: Column) -> Column:
     inner = F.regexp_extract(response, "(?s)\\[(.*?)\\]", 1)
     has = response.rlike("(?s)\\[.*?\\]")
     items = F.transform(F.split(F.regexp_replace(inner, ",\\s*$", ""), ","), lambda t: F.trim(F.regexp_replace(t, "(?U)\\s+", " ")))
-    number = lambda t: F.when(t == "True", 1).when(t == "False", 0).otherwise(t.rlike("^[+-]?[0-9]+$").cast("int") * F.expr("1") * t.try_cast("int"))
+    number = lambda t: F.when(t == "True", 1).when(t == "False", 0).when(t.rlike("^[+-]?[0-9]+$"), t.try_cast("int"))
     numbers = F.transform(items, number)
     none = F.array().cast("array<int>")
     good = ~F.exists(numbers, lambda n: n.isNull())

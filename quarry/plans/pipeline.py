@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as X
-from ..operators import clients, udfs
+from ..operators import clients, html_ops, udfs
 from . import prompts
 
 
@@ -83,7 +83,7 @@ class Pipeline:
         prompts_ = F.transform("nodes", lambda n: X.fill_prompt(s.pruner_prompt, F.col("request"), X.node_listing(n)))
         told = called(with_nodes, prompts_, F.lit("pruner"), "responses", self.factory, s.workers)
         kept = F.zip_with("nodes", "responses", lambda n, r: X.select_nodes(n, X.chosen_indices(r)))
-        return told.withColumn("kept", kept).withColumn("current_html", udfs.merge_nodes(F.flatten("kept"), "content")).drop("responses")
+        return _merged(told.withColumn("kept", F.flatten(kept)).drop("responses"))
 
     def extract(self, df: DataFrame) -> DataFrame:
         s = self.settings
@@ -109,5 +109,17 @@ class Pipeline:
         return df.transform(self.preprocess).transform(self.prune).transform(self.extract).transform(self.postprocess).transform(self.results)
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """df with current_html. A map over Arrow batches: a UDF over the selection's lambda functions isn't always pulled out of a projection."""
+    names, kept, page = df.columns, df.columns.index("kept"), df.columns.index("content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs = [html_ops.merge(None if k is None else [k], c) for k, c in zip(b.column(kept).to_pylist(), b.column(page).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(docs, pa.string())], [*names, "current_html"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("current_html", T.StringType())]))
+
+
 def _chunk_nodes(chunks: Column) -> Column:
     return F.transform(udfs.chunk_nodes(F.transform(chunks, lambda c: c["content"])), lambda c: c["nodes"])

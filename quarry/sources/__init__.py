@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import exprs as X
 from ..plans.schemas import REQUEST, schema_text
@@ -41,7 +42,7 @@ def html_files(spark: SparkSession, path: str, query: str | None = None, schema=
         raise ValueError(f"not an HTML file: {path}")
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[hH][tT][mM]*").format("binaryFile").load(path)
     return files.where(F.lower("path").rlike("\\.html?$")).select(
-        F.col("path").alias("id"), F.decode("content", F.lit("UTF-8")).alias("content"), F.lit(False).alias("is_content_url"), F.lit(query).alias("query"), F.lit(schema_text(schema)).alias("schema_model"), F.lit("pending").alias("status")
+        F.col("path").alias("id"), F.decode("content", "UTF-8").alias("content"), F.lit(False).alias("is_content_url"), F.lit(query).alias("query"), F.lit(schema_text(schema)).alias("schema_model"), F.lit("pending").alias("status")
     )
 
 
@@ -60,7 +61,7 @@ def fetch_one(url: str, timeout: float = 15) -> tuple[str | None, str | None]:
 def fetch(df: DataFrame, partitions: int | None = None, workers: int = 8, timeout: float = 15, inline_errors: bool = False) -> DataFrame:
     """Replaces addresses by their pages, a pool of threads per partition; failures go to fetch_error (inline_errors: also into content, as older callers expect)."""
     names = df.columns
-    schema = df.schema.add("fetch_error", "string")
+    schema = T.StructType([*df.schema.fields, T.StructField("fetch_error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(workers) as pool:
