@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from . import units as un
 
+UNIT_BYTES = 8 << 20
 WINDOW, LEAST_K, LONG, SHORT, RUN = 7, 2, 64, 32, 7
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _LEVELS = 48
@@ -202,7 +203,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, fingerprint string")
 
 
-def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = un.UNIT_BYTES) -> DataFrame:
+def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how like they are.
 
     The edited text has the last third replaced by as much of the beginning of the next document in descending order of id.
