@@ -30,6 +30,7 @@ from . import textkernel as tk
 from . import units as un
 
 ORDER = 2
+UNIT_BYTES = 12 << 20
 FOLDS, HELD_OUT = 5, 1
 GT_MAX = 5
 _END, _BEGIN = np.uint64(0x51A7C0DE00000001), np.uint64(0x51A7C0DE00000002)
@@ -62,38 +63,45 @@ def _kept(c: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 class _Tokens:
-    """Tokens of a unit: of each its document, and at each level the hashes of its n-gram and history."""
+    """Tokens of a unit and of each its document; n-grams and histories of a level are hashed when they are asked for."""
 
     def __init__(self, texts: pa.Array, order: int):
-        toks, docs = [], []
+        toks, counts = [], []
         for c in tk.chunks(texts):
             s, e, doc = c.words()
             nd = len(c)
             t = np.full(len(s) + nd, _END, np.uint64)
             t[np.arange(len(s)) + doc] = tk.span_hash(c.prefix(tk.LOWER), s, e)
-            n = np.bincount(doc, minlength=nd) + 1
             toks.append(t)
-            docs.append(np.repeat(np.arange(c.lo, c.hi), n))
+            counts.append(np.bincount(doc, minlength=nd) + 1)
         self.tok = np.concatenate(toks) if toks else np.zeros(0, np.uint64)
-        self.doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         self.n_docs = len(texts)
-        n = len(self.tok)
-        count = np.bincount(self.doc, minlength=self.n_docs)
-        since = np.arange(n) - np.repeat(np.cumsum(count) - count, count)
-        self.gram, self.history = [self.tok], [None]
-        h = np.zeros(n, np.uint64)
-        past = []
-        for j in range(1, order):
+        self.doc = np.repeat(np.arange(self.n_docs, dtype=np.int32), count)
+        self.since = (np.arange(len(self.tok)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+
+    def _past(self, m: int) -> np.ndarray:
+        n, h = len(self.tok), np.zeros(len(self.tok), np.uint64)
+        for j in range(m - 1, 0, -1):
             x = np.full(n, _BEGIN, np.uint64)
-            x[j:] = self.tok[: n - j] if n > j else x[j:]
-            x[since < j] = _BEGIN
-            past.append(x)
-        for m in range(2, order + 1):
-            h = np.zeros(n, np.uint64)
-            for x in reversed(past[: m - 1]):
-                h = (h + x) * _K
-            self.history.append(tk.mix(h))
-            self.gram.append(tk.mix((h + self.tok) * _K + np.uint64(m)))
+            if n > j:
+                x[j:] = self.tok[: n - j]
+            x[self.since < j] = _BEGIN
+            h += x
+            h *= _K
+        return h
+
+    def gram(self, m: int) -> np.ndarray:
+        if m == 1:
+            return self.tok
+        h = self._past(m)
+        h += self.tok
+        h *= _K
+        h += np.uint64(m)
+        return tk.mix(h)
+
+    def history(self, m: int) -> np.ndarray:
+        return tk.mix(self._past(m))
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
@@ -132,7 +140,7 @@ class _Katz:
         k = _Tokens(tk.strings(t["text"]), self.order)
         train = self._training(t)[k.doc]
         for m in range(1, self.order + 1):
-            g, inv = np.unique(k.gram[m - 1], return_inverse=True)
+            g, inv = np.unique(k.gram(m), return_inverse=True)
             c = np.bincount(inv[train], minlength=len(g)).astype(np.int64)
             rows += [((m - 1) * self.buckets + b, unit, un.squeeze_sorted(g[at]), un.squeeze(c[at])) for b, at in _slices(g, self.buckets)]
         return un.blobs(rows, ["place", "unit", "keys", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
@@ -186,7 +194,8 @@ class _Katz:
         n, v = stats[1][-2], stats[1][-1]
         p = None
         for m in range(1, upto + 1):
-            g, first, inv = np.unique(k.gram[m - 1], return_index=True, return_inverse=True)
+            g, first, inv = np.unique(k.gram(m), return_index=True, return_inverse=True)
+            first, inv = first.astype(np.int32), inv.astype(np.int32)
             told = np.concatenate([un.expand(blob, np.int64) for blob in of(m)])
             c, mine = told >> 1, (told & 1).astype(bool)
             below = p
@@ -194,7 +203,8 @@ class _Katz:
                 p = ((c + 0.5) / (n + 0.5 * (v + 1)))[inv]
             else:
                 d, _ = discounts(np.r_[0, stats[m][: GT_MAX + 1]])
-                h, hinv = np.unique(k.history[m - 1], return_inverse=True)
+                h, hinv = np.unique(k.history(m), return_inverse=True)
+                hinv = hinv.astype(np.int32)
                 if m < upto or of(100 + m):
                     den, alpha = self.weigh(*_sums(of(100 + m)), d)
                     seen = c[inv] > 0
@@ -287,7 +297,7 @@ def _histories(own: DataFrame, replies: DataFrame, k: _Katz, m: int) -> DataFram
     return asked.groupBy("place").applyInArrow(lambda t: k.tell_histories(t, m), _REPLY)
 
 
-def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, unit_bytes: int = un.UNIT_BYTES) -> DataFrame:
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """Learns from the training documents and scores all of them."""
     units = un.make(docs, id_col, text_col, unit_bytes)
     k = _Katz(units.n, order)
@@ -303,7 +313,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- the model as tables ------------------------------------------------------------------------------
 
 
-def ngram_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, unit_bytes: int = un.UNIT_BYTES) -> tuple[DataFrame, DataFrame]:
+def ngram_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, unit_bytes: int = UNIT_BYTES) -> tuple[DataFrame, DataFrame]:
     """(level, bucket, gram, count, history) of all n-grams of training documents, and (level, bucket, history, denominator, alpha)."""
     units = un.make(docs, id_col, text_col, unit_bytes)
     k = _Katz(units.n, order)
@@ -315,8 +325,8 @@ def ngram_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         train = k._training(t)[x.doc]
         parts = []
         for m in range(1, order + 1):
-            g, first, n = np.unique(x.gram[m - 1][train], return_index=True, return_counts=True)
-            h = x.history[m - 1][train][first] if m > 1 else np.zeros(len(g), np.uint64)
+            g, first, n = np.unique(x.gram(m)[train], return_index=True, return_counts=True)
+            h = x.history(m)[train][first] if m > 1 else np.zeros(len(g), np.uint64)
             parts.append(pa.table([pa.array(np.full(len(g), m, np.int32)), pa.array(_bucket(g, k.buckets).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(n), pa.array(h.view(np.int64))], names=["level", "bucket", "gram", "count", "history"]))
         return pa.concat_tables(parts)
 
@@ -328,7 +338,7 @@ def ngram_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if t.num_rows:
             _, x, stats, of = k._told(t, r)
             for m in range(2, order + 1):
-                h = np.unique(x.history[m - 1])
+                h = np.unique(x.history(m))
                 den, alpha = k.weigh(*_sums(of(100 + m)), discounts(np.r_[0, stats[m][: GT_MAX + 1]])[0])
                 ok = den > 0
                 parts.append(pa.table([pa.array(np.full(ok.sum(), m, np.int32)), pa.array(_bucket(h[ok], k.buckets).astype(np.int32)), pa.array(h[ok].view(np.int64)), pa.array(den[ok]), pa.array(alpha[ok])], names=["level", "bucket", "history", "denominator", "alpha"]))
@@ -360,7 +370,7 @@ def score_saved(spark: SparkSession, path: str, docs: DataFrame, id_col: str = "
     def explode(batches):
         for b in batches:
             x = _Tokens(tk.strings(b.column(1)), order)
-            cols = [b.column(0).take(pa.array(x.doc)), *(pa.array(g.view(np.int64)) for g in x.gram), *(pa.array(h.view(np.int64)) for h in x.history[1:])]
+            cols = [b.column(0).take(pa.array(x.doc)), *(pa.array(g.view(np.int64)) for g in [x.gram(m) for m in range(1, order + 1)]), *(pa.array(h.view(np.int64)) for h in [x.history(m) for m in range(2, order + 1)])]
             yield pa.RecordBatch.from_arrays(cols, ["id", *[f"g{m}" for m in range(1, order + 1)], *[f"h{m}" for m in range(2, order + 1)]])
 
     fields = ", ".join(f"g{m} long" for m in range(1, order + 1)) + "".join(f", h{m} long" for m in range(2, order + 1))
