@@ -7,16 +7,17 @@ import re
 from ..functions import dom
 from ..functions.dom import Comment, Element
 
-REMOVED = ("script", "style", "noscript", "iframe", "object", "embed", "canvas", "svg")
-_EVENTS = (
-    "onclick ondblclick onmousedown onmouseup onmouseover onmousemove onmouseout onmouseenter onmouseleave onkeydown onkeypress onkeyup onload onunload onabort onerror "
-    "onresize onscroll onselect onchange onsubmit onreset onfocus onblur oncopy oncut onpaste"
-).split()
+REMOVED = frozenset("canvas embed iframe noscript object script style svg".split())
+_EVENTS = tuple(
+    "on" + e
+    for e in "abort blur change click copy cut dblclick error focus keydown keypress keyup load mousedown "
+    "mouseenter mouseleave mousemove mouseout mouseover mouseup paste reset resize scroll select submit unload".split()
+)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0", re.I)
 
-ATOMIC = frozenset("table ul ol dl pre code figure".split())
-BLOCK = frozenset("article aside div blockquote fieldset figure footer form h1 h2 h3 h4 h5 h6 header main nav noscript p section li".split())
-INLINE = frozenset("span a b strong i em u sub sup br img q small big cite label".split())
+ATOMIC = frozenset("code dl figure ol pre table ul".split())
+BLOCK = frozenset("article aside blockquote div fieldset figure footer form h1 h2 h3 h4 h5 h6 header li main nav noscript p section".split())
+INLINE = frozenset("a b big br cite em i img label q small span strong sub sup u".split())
 _STRIPPED = ("script", "style", "meta", "noscript", "link", "svg", "iframe")
 _KEPT_ATTRS = frozenset("href src alt colspan rowspan title target".split())
 _UNSEEN = frozenset("script style noscript template head meta link".split())
