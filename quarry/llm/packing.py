@@ -1,6 +1,6 @@
 """Packing: related documents behind one another in windows of tokens.
 
-Documents are range-partitioned by a signature (the most frequent word, then the least hashes of long words), so that related ones meet in one unit and a
+Documents are partitioned by ranges of a signature (the most frequent word, then the least hashes of long words), so that related ones meet in one unit and a
 hot signature is split by id. In a unit a nearest-neighbour graph is built: minwise orderings of the documents' words name each document's
 neighbours, and the most alike stay. Paths start at the document of lowest degree and go on to the most alike unvisited neighbour.
 The token stream along the paths is cut into windows of ``window`` tokens; the rest of a unit's stream is cut into powers of two, so nothing is padded.
@@ -14,6 +14,7 @@ fills several; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import json
 import os
 import zlib
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ from . import textkernel as tk
 WINDOW, CLOSING = 1024, 0
 UNIT_BYTES = 16 << 20
 MINHASHES, NEIGHBOURS, ALIKE = 16, 4, 2
+SAMPLE_PER_UNIT, SAMPLE = 200, 500_000  # documents that the units' bounds are taken from, at most
 CACHE = 1_000_000  # pieces remembered, about 40 bytes each
 
 _FACTORS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, MINHASHES, dtype=np.uint64) | np.uint64(1)
@@ -183,8 +186,9 @@ def _vocabulary(c: tk.Chunk) -> tuple[np.ndarray, ...]:
     """(document, word hash, bytes of the word, how often) of each document's distinct words, and where each document with words begins."""
     s, e, doc = c.words()
     h = tk.span_hash(c.prefix(tk.LOWER), s, e)
-    order = np.lexsort((h, doc))
-    h, doc, size = h[order], doc[order], (e - s)[order]
+    h >>= np.uint64(24)  # 40 bits tell the words of a document apart well enough, and let one key sort by document and word
+    order = np.argsort(h | doc.astype(np.uint64) << np.uint64(40))
+    h, doc, size = tk.mix(h[order]), doc[order], (e - s)[order]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(first)
@@ -199,8 +203,9 @@ def signatures(c: tk.Chunk) -> np.ndarray:
     doc, h, size, many, full, edge = _vocabulary(c)
     sig = np.zeros((len(c), 3), np.uint64)
     if len(h):
-        top = np.lexsort((h, -many, doc))
-        sig[full, 0] = h[top[edge]]
+        most = np.maximum.reduceat(many, edge)
+        often = np.where(many == np.repeat(most, np.diff(np.append(edge, len(h)))), h, np.uint64(2**64 - 1))
+        sig[full, 0] = np.minimum.reduceat(often, edge)
         weigh = np.where(size >= 8, h >> np.uint64(1), h | np.uint64(1 << 63))  # long words say more than short ones
         for j in range(2):
             sig[full, 1 + j] = np.minimum.reduceat(tk.mix(weigh + np.uint64(j)) >> np.uint64(1) | (weigh & np.uint64(1 << 63)), edge)
@@ -280,6 +285,24 @@ def pieces(size: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     return doc, cut - docs[doc], length, seq, cut - begins[seq]
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = tk.strings(b.column(1))
+        parts = [signatures(c) for c in tk.chunks(texts)]
+        sig = (np.concatenate(parts) if parts else np.zeros((0, 3), np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*(pa.array(sig[:, j].copy()) for j in range(3)), pc.fill_null(b.column(0), -(1 << 63)), pc.binary_length(texts).cast(pa.int64())], ["s0", "s1", "s2", "id", "size"])
+
+
+def _bounds(sample: list, n_units: int) -> list[tuple]:
+    """Where each unit but the first begins, so that the sample's bytes are spread evenly."""
+    keys = sorted(((r["s0"], r["s1"], r["s2"], r["id"]), r["size"]) for r in sample)
+    if not keys:
+        return []
+    upto = np.cumsum([n + 64 for _, n in keys])
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, n_units) / n_units)
+    return sorted({keys[i][0] for i in at.tolist()})
+
+
 # --- over tables ----------------------------------------------------------------------------------------
 
 
@@ -293,14 +316,20 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds the token ids."""
     path = tokenizer or tokenizer_path()
     id_type = docs.schema[id_col].dataType.simpleString()
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
-    n_units = max(1, -(-total // unit_bytes))
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, total = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()
+    n_units = max(1, -(-(total or 0) // unit_bytes))
+    # where units begin, by signature: from a bounded sample, as it only decides how even they are; every document goes to one of them
+    share = min(1.0, min(SAMPLE_PER_UNIT * n_units, SAMPLE) / max(1, rows))
+    sampled = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).sample(share, seed=11).mapInArrow(_sampled, "s0 long, s1 long, s2 long, id long, size long")
+    bounds = _bounds(sampled.collect(), n_units) if n_units > 1 else []
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            ids = pc.fill_null(b.column(2), -(1 << 63)).to_pylist()
             parts = [signatures(c) for c in tk.chunks(tk.strings(b.column(1)))]
             sig = (np.concatenate(parts) if parts else np.zeros((0, 3), np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(sig[:, j].copy()) for j in range(3))], ["id", "text", "s0", "s1", "s2"])
+            units = [bisect.bisect_right(bounds, (*x, i)) for x, i in zip(sig.tolist(), ids)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(sig[:, j].copy()) for j in range(3)), pa.array(units, pa.int32())], ["id", "text", "s0", "s1", "s2", "unit"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows = TaskContext.get().partitionId(), list(batches)
@@ -322,6 +351,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             names.append("ids")
         yield from pa.table(cols, names=names).to_batches(max_chunksize=20_000)
 
-    signed = docs.select(id_col, text_col).mapInArrow(sign, f"id {id_type}, text string, s0 long, s1 long, s2 long")
+    placed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("key")).mapInArrow(place, f"id {id_type}, text string, s0 long, s1 long, s2 long, unit int")
     schema = f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
-    return signed.repartitionByRange(n_units, "s0", "s1", "s2", "id").mapInArrow(fill, schema)
+    return placed.repartitionById(n_units, "unit").mapInArrow(fill, schema)
