@@ -50,7 +50,7 @@ def shingles(chunk: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
         nxt = h[np.minimum(first + 1, len(h) - 1)]
         g = np.concatenate([g, tk.mix(h[first] + np.where(two, nxt * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2), np.uint64(1)))])
         d = np.concatenate([d, short])
-    order = np.lexsort((g, d))
+    order = tk.by_doc(d, g)
     g, d = g[order], d[order]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
