@@ -82,6 +82,16 @@ def _pack_paths(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return out
 
 
+def _by_path(p: np.ndarray) -> np.ndarray:
+    """A stable order by path. The first 64 bits decide, unless two paths that differ share them."""
+    one, two = np.ascontiguousarray(p["one"]), np.ascontiguousarray(p["two"])
+    order = np.argsort(one, kind="stable")
+    a, b = one[order], two[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((two, one))
+    return order
+
+
 class _Finder:
     def __init__(self, units: int, buckets: int, window: int, prefix: int):
         self.units, self.buckets, self.window, self.prefix = units, buckets, window, prefix
@@ -102,12 +112,11 @@ class _Finder:
                 docs.append(key[w.chunk.lo + w.doc[w.at][new]])
         h = np.concatenate(seen) if seen else np.zeros(0, np.uint64)
         d = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        order = np.lexsort((d, h))
+        order = np.argsort(h)
         h, d = h[order], d[order]
         first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
         at = np.flatnonzero(first)
-        last = np.append(at[1:], len(h)) - 1
-        shared = d[at] != d[last] if len(h) else np.zeros(0, bool)
+        shared = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at) if len(h) else np.zeros(0, bool)
         h = h[at]
         b = _bucket(h, self.buckets)
         ends = np.searchsorted(b, np.arange(self.buckets + 1))
@@ -133,7 +142,8 @@ class _Finder:
     # round 2: windows ------------------------------------------------------------------------------
     def _replies(self, r: pa.Table, which: int, dtype) -> np.ndarray:
         rows = [b for b, k in zip(r["reply"], r["round"].to_pylist()) if k == which]
-        return np.sort(np.concatenate([np.frombuffer(b.as_buffer(), dtype) for b in rows])) if rows else np.zeros(0, dtype)
+        got = np.concatenate([np.frombuffer(b.as_buffer(), dtype) for b in rows]) if rows else np.zeros(0, dtype)
+        return np.sort(got) if dtype is np.uint64 else got[_by_path(got)]
 
     def _below(self, w: _Words, shared: np.ndarray) -> np.ndarray:
         """The windows below a shared prefix."""
@@ -150,7 +160,9 @@ class _Finder:
         parts = []
         for w in self.words(_texts(t)):
             parts.append(_pack_paths(*w.paths(self._below(w, shared))))
-        p = np.unique(np.concatenate(parts)) if parts else np.zeros(0, _PATH)
+        p = np.concatenate(parts) if parts else np.zeros(0, _PATH)
+        p = p[_by_path(p)]
+        p = p[np.r_[True, p[1:] != p[:-1]]] if len(p) else p
         b = _bucket(p["one"], self.buckets)
         ends = np.searchsorted(b, np.arange(self.buckets + 1))
         unit = t["unit"][0].as_py()
@@ -158,10 +170,11 @@ class _Finder:
 
     def tell_windows(self, t: pa.Table) -> pa.Table:
         """Of a group of paths, to each unit those that a smaller unit has."""
+        t = t.sort_by("unit")
         ps = _unpack(t["paths"], _PATH)
         unit = np.repeat(t["unit"].to_numpy(), [len(p) for p in ps])
         p = np.concatenate(ps)
-        order = np.lexsort((unit, p["two"], p["one"]))
+        order = _by_path(p)
         p, unit = p[order], unit[order]
         later = np.zeros(len(p), bool)
         later[1:] = p[1:] == p[:-1]
@@ -185,15 +198,14 @@ class _Finder:
         if not chunks:
             return
         p, at, keys, where = map(np.concatenate, (paths, at, keys, where))
-        order = np.lexsort((keys, p["two"], p["one"]))
+        order = _by_path(p)
         q, k = p[order], keys[order]
         first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
         head = np.flatnonzero(first)
-        least = np.repeat(k[head], np.diff(np.append(head, len(q))))
+        least = np.repeat(np.minimum.reduceat(k, head), np.diff(np.append(head, len(q)))) if len(q) else k
         gone = k > least
         if len(later) and len(q):
-            i = np.minimum(np.searchsorted(later, q), len(later) - 1)
-            gone |= later[i] == q
+            gone |= _held(later, q)
         hit = np.zeros(len(p), bool)
         hit[order] = gone
         for i, c in enumerate(chunks):
@@ -202,6 +214,22 @@ class _Finder:
             yield c, w, tk.cover(mine, self.window, len(w[0]))
 
 
+def _held(table: np.ndarray, paths: np.ndarray) -> np.ndarray:
+    """Which paths a table sorted by path has."""
+    one, want = np.ascontiguousarray(table["one"]), np.ascontiguousarray(paths["one"])
+    i = np.searchsorted(one, want)
+    out = np.zeros(len(paths), bool)
+    live = i < len(table)
+    while live.any():  # once, but for paths that differ and share their first 64 bits
+        at = np.flatnonzero(live)
+        out[at] |= table[i[at]] == paths[at]
+        i[at] += 1
+        live[at] = (i[at] < len(table)) & ~out[at]
+        more = np.flatnonzero(live)
+        live[more] = one[i[more]] == want[more]
+    return out
+
+
 def kept_texts(chunk: tk.Chunk, s: np.ndarray, e: np.ndarray, doc: np.ndarray, keep: np.ndarray) -> list[bytes]:
     """Of each document the kept words, joined by one space."""
     s, n, doc = s[keep], (e - s)[keep], doc[keep]
