@@ -148,11 +148,11 @@ class _Katz:
     @staticmethod
     def _sums(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], np.ndarray]:
         """(keys in order, count of each distinct one, its first unit, lengths of the asked lists, group of each asked key)."""
-        keys = [un.expand_sorted(b) for b in t["keys"].to_pylist()]
+        keys = [un.expand_sorted(b) for b in t["keys"].to_pylist()]  # t is in order of units
         size = [len(x) for x in keys]
         h, c = np.concatenate(keys), np.concatenate([un.expand(b, np.int64) for b in t["counts"].to_pylist()])
         unit = np.repeat(t["unit"].to_numpy(), size)
-        order = np.lexsort((unit, h))
+        order = np.argsort(h, kind="stable")
         first = np.r_[True, h[order][1:] != h[order][:-1]]
         group = np.empty(len(h), np.int64)
         group[order] = np.cumsum(first) - 1
@@ -161,6 +161,7 @@ class _Katz:
         return h[order][first], total, unit[order][first], size, group
 
     def tell_counts(self, t: pa.Table) -> pa.Table:
+        t = t.sort_by("unit")
         _, total, owner, size, group = self._sums(t)
         place, rows, at = t["place"][0].as_py(), [], 0
         m, b = place // self.buckets + 1, place % self.buckets
@@ -242,13 +243,14 @@ class _Katz:
         return np.where(count > 0, den, 0).astype(float), np.where(count > 0, alpha, 1.0)
 
     def tell_histories(self, t: pa.Table, m: int) -> pa.Table:
+        t = t.sort_by("unit")
         keys = [un.expand_sorted(b) for b in t["keys"].to_pylist()]
         size = [len(x) for x in keys]
         h = np.concatenate(keys)
         seen = np.concatenate([un.expand(b, np.int64).reshape(GT_MAX + 1, -1) for b in t["seen"].to_pylist()], 1)
         low = np.concatenate([un.expand(b, np.float64) for b in t["low"].to_pylist()])
         unit = np.repeat(t["unit"].to_numpy(), size)
-        order = np.lexsort((unit, h))  # one order of adding up, whatever order the units arrive in
+        order = np.argsort(h, kind="stable")  # one order of adding up: that of units
         first = np.r_[True, h[order][1:] != h[order][:-1]]
         at = np.flatnonzero(first)
         seen, low = np.add.reduceat(seen[:, order], at, axis=1), np.add.reduceat(low[order], at)
