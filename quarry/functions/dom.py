@@ -258,3 +258,21 @@ def path(node: Element) -> str:
         steps.append(node.tag if len(same) == 1 else f"{node.tag}[{next(i for i, c in enumerate(same) if c is node) + 1}]")
         node = node.parent
     return "/" + "/".join(reversed(steps))
+
+
+def paths(top: Element) -> dict[int, str]:
+    """path() of an element and all below it, by id(), in one walk."""
+    out = {id(top): path(top)} if top.parent is not None else {id(top): ""}
+    stack = [top]
+    while stack:
+        e = stack.pop()
+        inner = e.elements()
+        many: dict[str, int] = {}
+        for c in inner:
+            many[c.tag] = many.get(c.tag, 0) + 1
+        seen: dict[str, int] = {}
+        for c in inner:
+            seen[c.tag] = seen.get(c.tag, 0) + 1
+            out[id(c)] = f"{out[id(e)]}/{c.tag}" + (f"[{seen[c.tag]}]" if many[c.tag] > 1 else "")
+        stack.extend(inner)
+    return out

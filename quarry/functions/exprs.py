@@ -12,6 +12,11 @@ def _blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once: inside higher-order functions nothing else is shared."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def collapse_space(c: Column) -> Column:
     """Runs of white space to one space, none at the ends."""
     return F.trim(F.regexp_replace(c, "(?U)[\\s\\x1c-\\x1f]+", " "))
@@ -35,11 +40,13 @@ def is_url(c: Column) -> Column:
 def common_prefix(paths: Column) -> Column:
     """Longest common prefix, by steps, of an array of slash paths; empty and null ones don't count, none gives '/'."""
     used = F.filter(paths, lambda p: p.isNotNull() & (p != ""))
+
+    def shared(steps: Column) -> Column:
+        first = F.try_element_at(steps, F.lit(1))
+        return F.concat(F.lit("/"), F.array_join(F.aggregate(steps, first, lambda a, s: F.slice(a, 1, _agreeing(a, s))), "/"))
+
     steps = F.transform(used, lambda p: F.split(F.when(p.startswith("/"), F.substring(p, 2, 1_000_000)).otherwise(p), "/", -1))
-    first = F.try_element_at(steps, F.lit(1))
-    shared = F.aggregate(steps, first, lambda a, s: F.slice(a, 1, _agreeing(a, s)))
-    joined = F.concat(F.lit("/"), F.array_join(shared, "/"))
-    return F.when(F.size(used) == 0, F.lit("/")).otherwise(joined)
+    return _let(steps, lambda x: F.when(F.size(x) == 0, F.lit("/")).otherwise(shared(x)))
 
 
 def _agreeing(a: Column, b: Column) -> Column:
@@ -67,15 +74,17 @@ def escape_quotes(c: Column) -> Column:
 
 def node_listing(nodes: Column) -> Column:
     """The numbered list of (path, text) pairs that a filter prompt shows; nodes is an array of structs with xpath and content."""
-    prefix = common_prefix(F.transform(nodes, lambda n: n["xpath"]))
 
-    def line(n: Column, i: Column) -> Column:
-        rel = escape_quotes(relative_path(n["xpath"], prefix))
-        rel = F.when(rel.startswith("/"), rel).otherwise(F.concat(F.lit("/"), rel))
-        return F.concat(i.cast("string"), F.lit(" ('"), rel, F.lit("', '"), escape_quotes(n["content"]), F.lit("')"))
+    def listing(prefix: Column) -> Column:
+        def line(n: Column, i: Column) -> Column:
+            rel = escape_quotes(relative_path(n["xpath"], prefix))
+            rel = F.when(rel.startswith("/"), rel).otherwise(F.concat(F.lit("/"), rel))
+            return F.concat(i.cast("string"), F.lit(" ('"), rel, F.lit("', '"), escape_quotes(n["content"]), F.lit("')"))
 
-    head = F.concat(F.lit("The entire chunk is under: '"), escape_quotes(prefix), F.lit("'"))
-    return F.array_join(F.concat(F.array(head), F.transform(nodes, line)), "\n")
+        head = F.concat(F.lit("The entire chunk is under: '"), escape_quotes(prefix), F.lit("'"))
+        return F.array_join(F.concat(F.array(head), F.transform(nodes, line)), "\n")
+
+    return _let(common_prefix(F.transform(nodes, lambda n: n["xpath"])), listing)
 
 
 def fill_prompt(template: str, query: Column, content: Column) -> Column:
@@ -106,16 +115,19 @@ def chosen_indices(response: Column) -> Column:
     has = response.rlike("(?s)\\[.*?\\]")
     items = F.transform(F.split(F.regexp_replace(inner, ",\\s*$", ""), ","), lambda t: F.trim(F.regexp_replace(t, "(?U)\\s+", " ")))
     number = lambda t: F.when(t == "True", 1).when(t == "False", 0).when(t.rlike("^[+-]?[0-9]+$"), t.try_cast("int"))
-    numbers = F.transform(items, number)
     none = F.array().cast("array<int>")
-    good = ~F.exists(numbers, lambda n: n.isNull())
-    return F.when(response.isNull() | (response == ""), F.lit(None).cast("array<int>")).when(has & good, numbers).otherwise(none)
+    listed = _let(F.transform(items, number), lambda x: F.when(has & ~F.exists(x, lambda n: n.isNull()), x).otherwise(none))
+    return F.when(response.isNull() | (response == ""), F.lit(None).cast("array<int>")).otherwise(listed)
 
 
 def select_nodes(nodes: Column, indices: Column) -> Column:
     """nodes[i] for each index in range, in the order asked, repeats kept; null indices keep all nodes."""
-    inside = F.filter(indices, lambda i: (i >= 0) & (i < F.size(nodes)))
-    return F.when(indices.isNull(), nodes).otherwise(F.transform(inside, lambda i: F.try_element_at(nodes, i + 1)))
+
+    def pick(chosen: Column) -> Column:
+        inside = F.filter(chosen, lambda i: (i >= 0) & (i < F.size(nodes)))
+        return F.when(chosen.isNull(), nodes).otherwise(F.transform(inside, lambda i: F.try_element_at(nodes, i + 1)))
+
+    return _let(indices, pick)
 
 
 def effective_request(query: Column, schema: Column) -> Column:

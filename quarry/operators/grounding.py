@@ -17,25 +17,45 @@ def similarity(chunk: str, search: str) -> float:
     return difflib.SequenceMatcher(None, chunk, search.strip()).ratio()
 
 
+def _most(chunk: str, search: str) -> float:
+    """What the similarity can't exceed."""
+    a, b = len(chunk), len(search.strip())
+    return 2 * min(a, b) / (a + b) if a + b else 1.0
+
+
 def match(search: str, index: list[dict]) -> dict:
-    """The entry that an ordered fold over all candidates keeps: later ones replace it if they are no worse in score and in shared words."""
+    """The entry that an ordered fold over all candidates keeps: later ones replace it if they are no worse in score and in shared words.
+
+    A similarity is worked out only where its bound from the lengths doesn't decide, which spares the long texts of a page's outer elements.
+    """
     norm = html_ops.match_text(search)
     if not norm:
         return dict(NOT_FOUND)
     words = set(norm.split())
-    best, score, overlap = None, 0.0, 0
+    known: dict[str, float] = {}
+
+    def score(e: dict) -> float:
+        c = e["chunk"]
+        if c not in known:
+            known[c] = similarity(c, search)
+        return known[c]
+
+    def no_worse(e: dict, best: dict) -> bool:
+        c, b = e["chunk"], best["chunk"]
+        if c == b:
+            return True
+        if b in known or len(c) > len(b):
+            return _most(c, search) >= score(best) and score(e) >= score(best)
+        return score(e) >= _most(b, search) or score(e) >= score(best)
+
+    best, overlap = None, 0
     for e in index:
         shared = len(words.intersection(e["norm_tokens"]))
-        if not shared and norm not in e["norm_chunk"]:
-            continue
-        if shared < overlap:
-            continue
-        s = similarity(e["chunk"], search)
-        if s >= score:
-            best, score, overlap = e, s, shared
+        if (shared or norm in e["norm_chunk"]) and shared >= overlap and (best is None or no_worse(e, best)):
+            best, overlap = e, shared
     if best is None:
         return dict(NOT_FOUND)
-    return {"text": best["chunk"], "xpath": best["xpath"], "sub_index": best["sub_index"], "score": score, "found": True}
+    return {"text": best["chunk"], "xpath": best["xpath"], "sub_index": best["sub_index"], "score": score(best), "found": True}
 
 
 def closest(html: str, search: str) -> dict:

@@ -120,6 +120,7 @@ def nodes(html: str | None) -> list[dict]:
         return []
     out: list[dict] = []
     buffer: list[str] = []
+    where = dom.paths(root)
 
     def emit(xpath: str, content: str, kind: str) -> None:
         out.append({"id": len(out), "xpath": xpath, "content": content, "type": kind})
@@ -129,7 +130,7 @@ def nodes(html: str | None) -> list[dict]:
         buffer.clear()
         text = collapse(raw)
         if text and (len(text) > 1 or "<img" in raw):
-            emit(dom.path(e), text, "text")
+            emit(where[id(e)], text, "text")
 
     stack: list[tuple[Element, int]] = [(root, 0)]
     while stack:
@@ -152,7 +153,7 @@ def nodes(html: str | None) -> list[dict]:
         elif atomic:
             flush(e)
             text = dom.to_string(sanitise(c))
-            emit(dom.path(c), text.strip() if tag == "pre" else collapse(text), "atomic")
+            emit(where[id(c)], text.strip() if tag == "pre" else collapse(text), "atomic")
         elif block:
             flush(e)
             if any((x.tag in BLOCK or x.tag in ATOMIC) and not layout_table(x) for x in c.elements()):
@@ -160,7 +161,7 @@ def nodes(html: str | None) -> list[dict]:
             else:
                 s = sanitise(c)
                 if s.text_content().strip() or any(x.tag == "img" for x in s.iter()):
-                    emit(dom.path(c), collapse(dom.to_string(s)), "text")
+                    emit(where[id(c)], collapse(dom.to_string(s)), "text")
         elif tag == "br":
             buffer.append(" ")
         else:
@@ -173,7 +174,7 @@ def visible_leaves(html: str | None, min_length: int = 1, dedupe: bool = True) -
     if not html or not html.strip():
         return []
     root = dom.from_string(html)
-    out, seen = [], set()
+    out, seen, where = [], set(), dom.paths(root)
     stack: list[tuple[Element, int]] = [(root, 0)]
     while stack:
         e, at = stack.pop()
@@ -188,7 +189,7 @@ def visible_leaves(html: str | None, min_length: int = 1, dedupe: bool = True) -
             text = collapse(c)
             if len(text) >= min_length and text and not (dedupe and text in seen):
                 seen.add(text)
-                out.append({"xpath": dom.path(e), "text": text})
+                out.append({"xpath": where[id(e)], "text": text})
     return out
 
 
@@ -223,15 +224,19 @@ def search_index(html: str | None) -> list[dict]:
     """Every element's pieces in document order, with their text for matching."""
     if not html or not html.strip():
         return []
-    out = []
-    for e in dom.parse(html, nested=True).iter():
-        if e.tag == "[document]":
+    out: list[dict] = []
+    root = dom.parse(html, nested=True)
+    where = dom.paths(root)
+    known: dict[str, tuple[str, list[str]]] = {}  # a text comes again in its ancestors' pieces
+    for e in root.iter():
+        if e is root:
             continue
-        xpath = None
         for i, p in enumerate(pieces(e)):
-            xpath = xpath or dom.path(e)
-            norm = match_text(p)
-            out.append({"ord": len(out), "xpath": xpath, "chunk": p, "norm_chunk": norm, "norm_tokens": sorted(set(norm.split())), "sub_index": i})
+            if p not in known:
+                norm = match_text(p)
+                known[p] = (norm, sorted(set(norm.split())))
+            norm, tokens = known[p]
+            out.append({"ord": len(out), "xpath": where[id(e)], "chunk": p, "norm_chunk": norm, "norm_tokens": tokens, "sub_index": i})
     return out
 
 
@@ -364,8 +369,9 @@ def skeleton(html: str, chosen: list[dict]) -> str:
     wanted = {n["xpath"] for n in chosen}
     keep: set[int] = set()
     full: set[int] = set()
+    where = dom.paths(root)
     for e in root.iter():
-        if dom.path(e) in wanted:
+        if where[id(e)] in wanted:
             full.update(id(x) for x in e.iter())
             x = e
             while x is not None:
