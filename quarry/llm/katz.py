@@ -109,10 +109,10 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _slices(h: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
-    ends = np.searchsorted(_bucket(h, n), np.arange(n + 1))
-    for b in range(n):
-        if ends[b] < ends[b + 1]:
-            yield b, slice(ends[b], ends[b + 1])
+    b = _bucket(h, n)
+    at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+    for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(b)]):
+        yield int(b[lo]), slice(lo, hi)
 
 
 def _two(a: bytes, b: bytes) -> bytes:

@@ -118,9 +118,7 @@ class _Finder:
         at = np.flatnonzero(first)
         shared = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at) if len(h) else np.zeros(0, bool)
         h = h[at]
-        b = _bucket(h, self.buckets)
-        ends = np.searchsorted(b, np.arange(self.buckets + 1))
-        rows = [(i, unit, h[ends[i] : ends[i + 1]].tobytes(), np.packbits(shared[ends[i] : ends[i + 1]]).tobytes()) for i in range(self.buckets) if ends[i] < ends[i + 1]]
+        rows = [(i, unit, h[at].tobytes(), np.packbits(shared[at]).tobytes()) for i, at in un.split_by(_bucket(h, self.buckets))]
         return un.blobs(rows, ["bucket", "unit", "hashes", "shared"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     def tell_prefixes(self, t: pa.Table) -> pa.Table:
@@ -136,7 +134,7 @@ class _Finder:
         many = np.bincount(group) > 1
         many |= np.bincount(group, weights=flag) > 0
         use = many[group]
-        rows = [(u, 1, h[use][at].tobytes()) for u, at in un.split_by(unit[use], self.units)]
+        rows = [(u, 1, h[use][at].tobytes()) for u, at in un.split_by(unit[use])]
         return un.blobs(rows, ["unit", "round", "reply"], [pa.int32(), pa.int32(), pa.binary()])
 
     # round 2: windows ------------------------------------------------------------------------------
@@ -163,10 +161,8 @@ class _Finder:
         p = np.concatenate(parts) if parts else np.zeros(0, _PATH)
         p = p[_by_path(p)]
         p = p[np.r_[True, p[1:] != p[:-1]]] if len(p) else p
-        b = _bucket(p["one"], self.buckets)
-        ends = np.searchsorted(b, np.arange(self.buckets + 1))
         unit = t["unit"][0].as_py()
-        return un.blobs([(i, unit, p[ends[i] : ends[i + 1]].tobytes()) for i in range(self.buckets) if ends[i] < ends[i + 1]], names, types)
+        return un.blobs([(i, unit, p[at].tobytes()) for i, at in un.split_by(_bucket(p["one"], self.buckets))], names, types)
 
     def tell_windows(self, t: pa.Table) -> pa.Table:
         """Of a group of paths, to each unit those that a smaller unit has."""
@@ -178,7 +174,7 @@ class _Finder:
         p, unit = p[order], unit[order]
         later = np.zeros(len(p), bool)
         later[1:] = p[1:] == p[:-1]
-        rows = [(u, 2, p[later][at].tobytes()) for u, at in un.split_by(unit[later], self.units)]
+        rows = [(u, 2, p[later][at].tobytes()) for u, at in un.split_by(unit[later])]
         return un.blobs(rows, ["unit", "round", "reply"], [pa.int32(), pa.int32(), pa.binary()])
 
     # round 3: removal ------------------------------------------------------------------------------

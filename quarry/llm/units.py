@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNIT_BYTES = 16 << 20
+QUANTILES = 2000
 LEAST = -(1 << 63)
 
 
@@ -50,22 +51,26 @@ def make(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int = UNIT_BYT
     n = max(1, -(-(size or 0) // unit_bytes))
     if n == 1 or not rows:
         return Units(np.zeros(0, np.int64))
-    at = [i / n for i in range(1, n)]
-    found = docs.agg(F.percentile_approx(key_of(id_col), at, 100 * n)).first()[0] or []
-    return Units(np.unique(np.array(found, np.int64)))
+    # at most QUANTILES quantiles are asked for; more units than that divide the ids between two of them evenly
+    q = min(n, QUANTILES)
+    found = docs.agg(F.percentile_approx(key_of(id_col), [i / q for i in range(q + 1)], 100 * q)).first()[0] or []
+    edges = [int(x) for x in found]
+    parts = -(-n // q)
+    inner = {a + (b - a) * j // parts for a, b in zip(edges, edges[1:]) for j in range(parts)} - {edges[0]}
+    return Units(np.array(sorted(inner), np.int64))
 
 
 def blobs(parts: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
     return pa.table({n: pa.array([p[i] for p in parts], t) for i, (n, t) in enumerate(zip(names, types))})
 
 
-def split_by(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def split_by(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places) of each bucket that occurs; places keep their order."""
     order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in range(n):
-        if ends[b] < ends[b + 1]:
-            yield b, order[ends[b] : ends[b + 1]]
+    b = bucket[order]
+    at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+    for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(b)]):
+        yield int(b[lo]), order[lo:hi]
 
 
 Rows = Callable[[pa.Table], pa.Table]
@@ -111,7 +116,7 @@ def packed(docs: DataFrame, units: Units, id_col: str, text_col: str) -> DataFra
         for b in batches:
             ids = pc.fill_null(b.column(0).cast(pa.int64()), LEAST).to_numpy(zero_copy_only=False)
             of, blobs_ = [], []
-            for u, at in split_by(np.searchsorted(bounds, ids, "left"), len(bounds) + 1):
+            for u, at in split_by(np.searchsorted(bounds, ids, "left")):
                 part = b.take(pa.array(at))
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:

@@ -310,3 +310,17 @@ def test_fingerprint_edges(spark):
     assert ctph.fingerprint(frame(spark, [(1, None)])).first()["fingerprint"] == "4::"
     a, b = ctph.Prints.parse(["4:abcdefgh:abcd", "8:abcd:ab"]), ctph.Prints.parse(["4:abcdefgh:abcd", "4:zzzz:abcd"])
     assert ctph.compare(a, b).tolist() == [1.0, 1.0]
+
+
+def test_units(spark, monkeypatch):
+    rng = random.Random(1)
+    ids = rng.sample(range(10**9), 400) + [None]
+    df = frame(spark, [(i, "x" * 100) for i in ids])
+    for most in (2000, 3):
+        monkeypatch.setattr(un, "QUANTILES", most)
+        units = un.make(df, "doc_id", "text", 4000)
+        got = {r["doc_id"]: r["u"] for r in df.select("doc_id", units.of("doc_id").alias("u")).collect()}
+        order = sorted(ids, key=lambda i: -(1 << 63) if i is None else i)
+        assert [got[i] for i in order] == sorted(got.values()) and 8 <= units.n <= 12 and len(set(got.values())) >= 8
+    assert un.make(df.limit(0), "doc_id", "text").n == 1
+    assert [(b, p.tolist()) for b, p in un.split_by(np.array([2, 0, 2]))] == [(0, [1]), (2, [0, 2])]
