@@ -287,7 +287,7 @@ def _with_stats(told: DataFrame, units: int) -> DataFrame:
 
 
 def _replies(own: DataFrame, k: _Katz) -> DataFrame:
-    asked = own.groupBy("unit").applyInArrow(lambda t: k.ask_counts(t), "place int, unit int, keys binary, counts binary")
+    asked = own.groupBy("unit").applyInArrow(lambda t: k.ask_counts(t), "place int, unit int, keys binary, counts binary").repartitionById(k.buckets * k.order, "place")
     replies = _with_stats(asked.groupBy("place").applyInArrow(lambda t: k.tell_counts(t), _REPLY), k.units)
     for m in range(2, k.order + 1):
         replies = replies.unionAll(_histories(own, replies, k, m))
@@ -295,7 +295,8 @@ def _replies(own: DataFrame, k: _Katz) -> DataFrame:
 
 
 def _histories(own: DataFrame, replies: DataFrame, k: _Katz, m: int) -> DataFrame:
-    asked = own.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(lambda t, r: k.ask_histories(t, r, m), "place int, unit int, keys binary, seen binary, low binary")
+    asked = own.groupBy("unit").cogroup(replies.repartitionById(k.units, "unit").groupBy("unit")).applyInArrow(lambda t, r: k.ask_histories(t, r, m), "place int, unit int, keys binary, seen binary, low binary")
+    asked = asked.repartitionById(k.buckets, "place")
     return asked.groupBy("place").applyInArrow(lambda t: k.tell_histories(t, m), _REPLY)
 
 
@@ -303,9 +304,9 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Learns from the training documents and scores all of them."""
     units = un.make(docs, id_col, text_col, unit_bytes)
     k = _Katz(units.n, order)
-    own = un.packed(docs, units, id_col, text_col)
+    own = un.packed(docs, units, id_col, text_col).repartitionById(units.n, "unit")  # a unit is a task; read by every step
     id_type = docs.schema[id_col].dataType.simpleString()
-    out = own.groupBy("unit").cogroup(_replies(own, k).groupBy("unit")).applyInArrow(
+    out = own.groupBy("unit").cogroup(_replies(own, k).repartitionById(k.units, "unit").groupBy("unit")).applyInArrow(
         lambda t, r: k.scores(t, r),
         f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
@@ -319,7 +320,7 @@ def ngram_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(level, bucket, gram, count, history) of all n-grams of training documents, and (level, bucket, history, denominator, alpha)."""
     units = un.make(docs, id_col, text_col, unit_bytes)
     k = _Katz(units.n, order)
-    own = un.packed(docs, units, id_col, text_col)
+    own = un.packed(docs, units, id_col, text_col).repartitionById(units.n, "unit")  # a unit is a task; read by every step
 
     def grams(t: pa.Table) -> pa.Table:
         t = un.unpacked(t)
@@ -347,7 +348,7 @@ def ngram_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kinds = [("level", pa.int32()), ("bucket", pa.int32()), ("history", pa.int64()), ("denominator", pa.float64()), ("alpha", pa.float64())]
         return pa.concat_tables(parts) if parts else pa.schema(kinds).empty_table()
 
-    histories = own.groupBy("unit").cogroup(asked.groupBy("unit")).applyInArrow(weights, "level int, bucket int, history long, denominator double, alpha double")
+    histories = own.groupBy("unit").cogroup(asked.repartitionById(k.units, "unit").groupBy("unit")).applyInArrow(weights, "level int, bucket int, history long, denominator double, alpha double")
     return counted, histories.groupBy("level", "bucket", "history").agg(F.first("denominator").alias("denominator"), F.first("alpha").alias("alpha"))
 
 
