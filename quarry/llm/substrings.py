@@ -245,12 +245,12 @@ def _found(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int
     units = un.make(docs, id_col, text_col, unit_bytes)
     f = _Finder(units.n, units.n, window, prefix)
     # one shuffle of the texts, which all three rounds read
-    own = docs.select(un.key_of(id_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), units.of(id_col).alias("unit"))
+    own = docs.select(un.key_of(id_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), units.of(id_col).alias("unit")).repartitionById(units.n, "unit")
     reply = "unit int, round int, reply binary"
-    one = own.groupBy("unit").applyInArrow(lambda t: f.ask_prefixes(t), "bucket int, unit int, hashes binary, shared binary").groupBy("bucket").applyInArrow(lambda t: f.tell_prefixes(t), reply)
+    one = own.groupBy("unit").applyInArrow(lambda t: f.ask_prefixes(t), "bucket int, unit int, hashes binary, shared binary").repartitionById(f.buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: f.tell_prefixes(t), reply)
     two = (
-        own.groupBy("unit").cogroup(one.groupBy("unit")).applyInArrow(lambda t, r: f.ask_windows(t, r), "bucket int, unit int, paths binary")
-        .groupBy("bucket").applyInArrow(lambda t: f.tell_windows(t), reply)
+        own.groupBy("unit").cogroup(one.repartitionById(f.units, "unit").groupBy("unit")).applyInArrow(lambda t, r: f.ask_windows(t, r), "bucket int, unit int, paths binary")
+        .repartitionById(f.buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: f.tell_windows(t), reply)
     )
     return own, one.unionAll(two), f
 
@@ -278,4 +278,4 @@ def _removal(docs, id_col, text_col, window, prefix, unit_bytes, last: str, make
             out += kept_texts(c, s, e, doc, ~hit)
         return pa.table([t["id"], pa.array(np.concatenate(n)), pa.array(np.concatenate(gone)), *make(out)], names=names)
 
-    return own.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(run, f"`{id_col}` {id_type}, n_words long, n_removed long, {last}")
+    return own.groupBy("unit").cogroup(replies.repartitionById(f.units, "unit").groupBy("unit")).applyInArrow(run, f"`{id_col}` {id_type}, n_words long, n_removed long, {last}")
