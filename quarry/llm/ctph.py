@@ -249,4 +249,4 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
-    return sent.groupBy("unit").applyInArrow(run, schema)
+    return sent.repartitionById(units.n, "unit").groupBy("unit").applyInArrow(run, schema)
