@@ -23,7 +23,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -332,11 +331,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(sig[:, j].copy()) for j in range(3)), pa.array(units, pa.int32())], ["id", "text", "s0", "s1", "s2", "unit"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows = TaskContext.get().partitionId(), list(batches)
+        rows = list(batches)
         if not sum(b.num_rows for b in rows):
             return
         t = pa.Table.from_batches(rows).sort_by([("s0", "ascending"), ("s1", "ascending"), ("s2", "ascending"), ("id", "ascending"), ("text", "ascending")])
-        texts = tk.strings(t["text"])
+        unit, texts = t["unit"][0].as_py(), tk.strings(t["text"])
         low = np.concatenate([minwise(c) for c in tk.chunks(texts)])
         order = np.array(walk(neighbours(low)), np.int64)
         ids, size = PieceTokenizer(path).encode(texts.take(pa.array(order)))
