@@ -140,7 +140,7 @@ class _Katz:
         k = _Tokens(tk.strings(t["text"]), self.order)
         train = self._training(t)[k.doc]
         for m in range(1, self.order + 1):
-            g, inv = np.unique(k.gram(m), return_inverse=True)
+            g, _, inv = un.distinct(k.gram(m))
             c = np.bincount(inv[train], minlength=len(g)).astype(np.int64)
             rows += [((m - 1) * self.buckets + b, unit, un.squeeze_sorted(g[at]), un.squeeze(c[at])) for b, at in _slices(g, self.buckets)]
         return un.blobs(rows, ["place", "unit", "keys", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
@@ -151,14 +151,14 @@ class _Katz:
         keys = [un.expand_sorted(b) for b in t["keys"].to_pylist()]  # t is in order of units
         size = [len(x) for x in keys]
         h, c = np.concatenate(keys), np.concatenate([un.expand(b, np.int64) for b in t["counts"].to_pylist()])
-        unit = np.repeat(t["unit"].to_numpy(), size)
-        order = np.argsort(h, kind="stable")
-        first = np.r_[True, h[order][1:] != h[order][:-1]]
-        group = np.empty(len(h), np.int64)
-        group[order] = np.cumsum(first) - 1
-        total = np.zeros(int(first.sum()), np.int64)
-        np.add.at(total, group, c)
-        return h[order][first], total, unit[order][first], size, group
+        keys, _, group = un.distinct(h)
+        owner = np.full(len(keys), -1, np.int32)
+        at = len(h)
+        for u, n in zip(reversed(t["unit"].to_pylist()), reversed(size)):  # the smallest unit is written last
+            at -= n
+            owner[group[at : at + n]] = u
+        total = np.bincount(group, weights=c).astype(np.int64)  # exact below 2**53
+        return keys, total, owner, size, group
 
     def tell_counts(self, t: pa.Table) -> pa.Table:
         t = t.sort_by("unit")
@@ -195,8 +195,7 @@ class _Katz:
         n, v = stats[1][-2], stats[1][-1]
         p = None
         for m in range(1, upto + 1):
-            g, first, inv = np.unique(k.gram(m), return_index=True, return_inverse=True)
-            first, inv = first.astype(np.int32), inv.astype(np.int32)
+            g, first, inv = un.distinct(k.gram(m))
             told = np.concatenate([un.expand(blob, np.int64) for blob in of(m)])
             c, mine = told >> 1, (told & 1).astype(bool)
             below = p
@@ -204,8 +203,7 @@ class _Katz:
                 p = ((c + 0.5) / (n + 0.5 * (v + 1)))[inv]
             else:
                 d, _ = discounts(np.r_[0, stats[m][: GT_MAX + 1]])
-                h, hinv = np.unique(k.history(m), return_inverse=True)
-                hinv = hinv.astype(np.int32)
+                h, _, hinv = un.distinct(k.history(m))
                 if m < upto or of(100 + m):
                     den, alpha = self.weigh(*_sums(of(100 + m)), d)
                     seen = c[inv] > 0
@@ -225,8 +223,9 @@ class _Katz:
         *_, (_, _, c, inv, (g, first, mine, d, h, hinv, below)) = self._levels(k, stats, of, m)
         use = np.flatnonzero(mine & (c > 0))
         to = hinv[first[use]]
-        seen = np.zeros((GT_MAX + 1, len(h)), np.int64)
-        np.add.at(seen, (np.minimum(c[use], GT_MAX + 1) - 1, to), np.where(c[use] > GT_MAX, c[use], 1))
+        n, many = len(h), c[use] > GT_MAX
+        few = np.bincount((c[use][~many] - 1) * n + to[~many], minlength=GT_MAX * n)
+        seen = np.concatenate([few, np.bincount(to[many], weights=c[use][many], minlength=n)]).astype(np.int64).reshape(GT_MAX + 1, n)
         low = np.bincount(to, weights=below[first[use]], minlength=len(h))
         rows = [(b, unit, un.squeeze_sorted(h[at]), un.squeeze(seen[:, at].ravel()), un.squeeze(low[at])) for b, at in _slices(h, self.buckets)]
         return un.blobs(rows, names, types)
@@ -249,13 +248,9 @@ class _Katz:
         h = np.concatenate(keys)
         seen = np.concatenate([un.expand(b, np.int64).reshape(GT_MAX + 1, -1) for b in t["seen"].to_pylist()], 1)
         low = np.concatenate([un.expand(b, np.float64) for b in t["low"].to_pylist()])
-        unit = np.repeat(t["unit"].to_numpy(), size)
-        order = np.argsort(h, kind="stable")  # one order of adding up: that of units
-        first = np.r_[True, h[order][1:] != h[order][:-1]]
-        at = np.flatnonzero(first)
-        seen, low = np.add.reduceat(seen[:, order], at, axis=1), np.add.reduceat(low[order], at)
-        group = np.empty(len(h), np.int64)
-        group[order] = np.cumsum(first) - 1
+        _, _, group = un.distinct(h)
+        # t is in order of units, so that there is one order of adding up
+        seen, low = np.stack([np.bincount(group, weights=s) for s in seen]).astype(np.int64), np.bincount(group, weights=low)
         rows, at = [], 0
         b = t["place"][0].as_py()
         for u, n in zip(t["unit"].to_pylist(), size):
