@@ -1,8 +1,8 @@
 """Packing: related documents behind one another in windows of tokens.
 
 Documents are partitioned by ranges of a signature (the most frequent word, then the least hashes of long words), so that related ones meet in one unit and a
-hot signature is split by id. In a unit a nearest-neighbour graph is built: minwise orderings of the documents' words name each document's
-neighbours, and the most alike stay. Paths start at the document of lowest degree and go on to the most alike unvisited neighbour.
+hot signature is split by id. In a unit a nearest-neighbour graph is built: documents that share a minwise value of their words are
+compared, exhaustively where few share it and after branching by further values where many do, and the most alike stay. Paths start at the document of lowest degree and go on to the most alike unvisited neighbour.
 The token stream along the paths is cut into windows of ``window`` tokens; the rest of a unit's stream is cut into powers of two, so nothing is padded.
 
 Token ids are those of the tokenizer file over the whole text. They are worked out per distinct piece of text: the tokenizer's pattern never joins
@@ -31,6 +31,7 @@ from . import textkernel as tk
 WINDOW, CLOSING = 1024, 0
 UNIT_BYTES = 16 << 20
 MINHASHES, NEIGHBOURS, ALIKE = 16, 4, 2
+RUN, HELD = 64, 4_000_000  # documents of one minwise value that are compared exhaustively; pairs held before the nearest are picked
 SAMPLE_PER_UNIT, SAMPLE = 200, 500_000  # documents that the units' bounds are taken from, at most
 CACHE = 1_000_000  # pieces remembered, about 40 bytes each
 
@@ -221,30 +222,76 @@ def minwise(c: tk.Chunk) -> np.ndarray:
     return low
 
 
+def _narrow(key: np.ndarray, low: np.ndarray, stride: int = 1) -> np.ndarray:
+    """Keys under which every run of over RUN alike keys is branched again, by one further minwise value after another, until it is small or its values are all equal."""
+    key, wide = key.copy(), low.shape[1]
+    start = (tk.mix(key + np.uint64(stride)) % np.uint64(wide)).astype(np.int64)
+    at = np.arange(len(key))
+    for level in range(wide):
+        _, inv, many = np.unique(key[at], return_inverse=True, return_counts=True)
+        at = at[many[inv] > RUN]
+        if not len(at):
+            break
+        c = (start[at] + stride * level) % wide
+        key[at] = tk.mix(key[at] * np.uint64(0xD6E8FEB86659FD93) + low[at, c].astype(np.uint64) + np.uint64(level + 1))
+    return key
+
+
+def _run_pairs(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within runs of a key. Runs of over RUN have equal values throughout, so that any RUN of one's fellows are as near as can be."""
+    order = np.argsort(key, kind="stable")
+    v = key[order]
+    end = np.searchsorted(v, v, "right")
+    at = np.arange(len(v))
+    for step in range(1, RUN):
+        at = at[at + step < end[at]]
+        if not len(at):
+            return
+        yield order[at], order[at + step]
+
+
+def _best(a: np.ndarray, b: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each a the NEIGHBOURS most alike b, each once; among equally alike ones chance decides, so that none is everybody's neighbour."""
+    chance = tk.mix(a.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ tk.mix(b.astype(np.uint64)))
+    order = np.lexsort((b, chance, -like.astype(np.int8), a))
+    a, b, like = a[order], b[order], like[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b, like = a[new], b[new], like[new]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < NEIGHBOURS
+    return a[keep], b[keep], like[keep]
+
+
+def nearest(key: np.ndarray, who: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, alike values) of the nearest pairs, both ways, among those that share a key. key: of each entry; who: its row in low."""
+    found, held = [], 0
+    values = low[who]
+    for stride in (1, 5):  # a large run is branched along two ways
+        if stride > 1:
+            _, inv, many = np.unique(key, return_inverse=True, return_counts=True)
+            use = many[inv] > RUN
+            key, who, values = key[use], who[use], values[use]
+        for i, j in _run_pairs(_narrow(key, values, stride)):
+            like = (values[i] == values[j]).sum(1, dtype=np.uint8)
+            use = like >= ALIKE
+            i, j, like = who[i[use]], who[j[use]], like[use]
+            found.append((np.r_[i, j], np.r_[j, i], np.r_[like, like]))
+            held += 2 * len(i)
+            if held > HELD:
+                found = [_best(*map(np.concatenate, zip(*found)))]
+                held = len(found[0][0])
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    return _best(*map(np.concatenate, zip(*found)))
+
+
 def neighbours(low: np.ndarray) -> list[list[int]]:
-    """Of each document the most alike others, both ways, among those next to it in the minwise orderings."""
-    n = len(low)
-    a, b = [], []
-    for j in range(low.shape[1]):
-        order = np.argsort(low[:, j], kind="stable")
-        v = low[order, j]
-        for step in (1, 2):
-            if n > step:
-                same = v[step:] == v[:-step]
-                a.append(order[:-step][same])
-                b.append(order[step:][same])
-    if not a:
-        return [[] for _ in range(n)]
-    a, b = np.concatenate(a), np.concatenate(b)
-    pair = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
-    a, b = pair // n, pair % n
-    like = (low[a] == low[b]).sum(1)
-    use = like >= ALIKE
-    a, b, like = np.r_[a[use], b[use]], np.r_[b[use], a[use]], np.r_[like[use], like[use]]
-    order = np.lexsort((b, -like, a))
-    a, b = a[order], b[order]
+    """Of each document the most alike others, both ways, among those that share a minwise value; large runs of one value are branched, small ones compared exhaustively."""
+    n, wide = low.shape
+    key = tk.mix(low.T.astype(np.uint64).ravel() + (np.repeat(np.arange(wide, dtype=np.uint64), n) << np.uint64(56)))
+    a, b, _ = nearest(key, np.tile(np.arange(n), wide), low)
     edge = np.searchsorted(a, np.arange(n + 1))
-    return [b[edge[i] : min(edge[i] + NEIGHBOURS, edge[i + 1])].tolist() for i in range(n)]
+    return [b[edge[i] : edge[i + 1]].tolist() for i in range(n)]
 
 
 def walk(near: list[list[int]]) -> list[int]:

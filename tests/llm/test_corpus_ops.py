@@ -236,6 +236,30 @@ def test_paths_join_related_documents():
     assert (of[order][1:] == of[order][:-1]).mean() > 0.6
 
 
+def neighbour_recall(low, near):
+    """The share of each document's four nearest, by brute force, that are found or replaced by equally near ones."""
+    hit = total = 0
+    for i, found in enumerate(near):
+        like = (low == low[i]).sum(1)
+        like[i] = 0
+        top = np.sort(like)[::-1][: packing.NEIGHBOURS]
+        top = top[top >= packing.ALIKE]
+        hit += sum(like[j] >= top[-1] for j in found) if len(top) else 0
+        total += len(top)
+    return hit / total
+
+
+def test_neighbours_within_a_hot_minwise_value():
+    """600 documents of one template, five to a topic: the four nearest lie anywhere in the runs of the template's words."""
+    rng = np.random.default_rng(2)
+    template, topics = rng.integers(0, 2**63, 40, dtype=np.uint64), rng.integers(0, 2**63, (120, 25), dtype=np.uint64)
+    low = np.stack([(np.r_[template, rng.choice(topics[i % 120], 20, replace=False)][:, None] * packing._FACTORS[None, :] >> np.uint64(32)).min(0) for i in range(600)]).astype(np.uint32)
+    near = packing.neighbours(low)
+    assert neighbour_recall(low, near) > 0.9
+    same = packing.neighbours(np.repeat(low[:1], 500, 0))  # equal ones are each other's nearest, however many
+    assert all(len(x) == packing.NEIGHBOURS and i not in x for i, x in enumerate(same))
+
+
 # --- op10 -----------------------------------------------------------------------------------------------
 
 
