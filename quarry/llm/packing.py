@@ -1,20 +1,20 @@
 """Packing: related documents behind one another in windows of tokens.
 
-Documents are partitioned by ranges of a signature (the most frequent word, then the least hashes of long words), so that related ones meet in one unit and a
-hot signature is split by id. In a unit a nearest-neighbour graph is built: documents that share a minwise value of their words are
-compared, exhaustively where few share it and after branching by further values where many do, and the most alike stay. Paths start at the document of lowest degree and go on to the most alike unvisited neighbour.
+A nearest-neighbour graph is built over the whole table: documents that share any of 16 minwise values of their words are compared,
+exhaustively where few share it and after branching by further values where many do, and the most alike stay. Documents with equal values are
+one node. The graph is cut into clusters of at most half a unit by joining over the most alike links first, and clusters fill units. In a unit
+paths start at the document of lowest degree and go on to the most alike unvisited neighbour; only links between two units are not followed.
 The token stream along the paths is cut into windows of ``window`` tokens; the rest of a unit's stream is cut into powers of two, so nothing is padded.
 
 Token ids are those of the tokenizer file over the whole text. They are worked out per distinct piece of text: the tokenizer's pattern never joins
 what precedes a single blank to what follows, so a text may be cut before it.
 
-Defined results: null or empty text is the closing id alone; repeated rows are documents of their own; null ids sort first; a document longer than a window
+Defined results: null or empty text is the closing id alone; repeated rows are documents of their own; a document longer than a window
 fills several; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import bisect
 import json
 import os
 import zlib
@@ -23,16 +23,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import storage
 from . import textkernel as tk
 
 WINDOW, CLOSING = 1024, 0
 UNIT_BYTES = 16 << 20
 MINHASHES, NEIGHBOURS, ALIKE = 16, 4, 2
 RUN, HELD = 64, 4_000_000  # documents of one minwise value that are compared exhaustively; pairs held before the nearest are picked
-SAMPLE_PER_UNIT, SAMPLE = 200, 500_000  # documents that the units' bounds are taken from, at most
+BAND = 50_000  # documents of one minwise value that a task compares; beyond, the value is branched before the shuffle
+LOCAL_EDGES = 2_000_000  # links that the driver merges clusters by; more are first contracted by rounds over the table
+BROADCAST_ROWS = 1_000_000  # about 80 bytes each; beyond that the places are joined by a shuffle
 CACHE = 1_000_000  # pieces remembered, about 40 bytes each
 
 _FACTORS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, MINHASHES, dtype=np.uint64) | np.uint64(1)
@@ -198,20 +201,6 @@ def _vocabulary(c: tk.Chunk) -> tuple[np.ndarray, ...]:
     return doc, h[at], size[at], many, full, np.searchsorted(doc, full)
 
 
-def signatures(c: tk.Chunk) -> np.ndarray:
-    """Three values per document that related documents tend to share: the most frequent word, and the least hashes of long words."""
-    doc, h, size, many, full, edge = _vocabulary(c)
-    sig = np.zeros((len(c), 3), np.uint64)
-    if len(h):
-        most = np.maximum.reduceat(many, edge)
-        often = np.where(many == np.repeat(most, np.diff(np.append(edge, len(h)))), h, np.uint64(2**64 - 1))
-        sig[full, 0] = np.minimum.reduceat(often, edge)
-        weigh = np.where(size >= 8, h >> np.uint64(1), h | np.uint64(1 << 63))  # long words say more than short ones
-        for j in range(2):
-            sig[full, 1 + j] = np.minimum.reduceat(tk.mix(weigh + np.uint64(j)) >> np.uint64(1) | (weigh & np.uint64(1 << 63)), edge)
-    return sig
-
-
 def minwise(c: tk.Chunk) -> np.ndarray:
     """Minwise values of each document's words."""
     _, h, _, _, full, edge = _vocabulary(c)
@@ -331,22 +320,181 @@ def pieces(size: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     return doc, cut - docs[doc], length, seq, cut - begins[seq]
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# --- the graph over the whole table ---------------------------------------------------------------------
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return tk.buffers(column)[0].view(np.uint32).reshape(-1, MINHASHES)
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = tk.strings(b.column(1))
-        parts = [signatures(c) for c in tk.chunks(texts)]
-        sig = (np.concatenate(parts) if parts else np.zeros((0, 3), np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*(pa.array(sig[:, j].copy()) for j in range(3)), pc.fill_null(b.column(0), -(1 << 63)), pc.binary_length(texts).cast(pa.int64())], ["s0", "s1", "s2", "id", "size"])
+        parts = [minwise(c) for c in tk.chunks(texts)]
+        low = np.concatenate(parts) if parts else np.zeros((0, MINHASHES), np.uint32)
+        node = np.zeros(len(low), np.uint64)
+        for j in range(MINHASHES):
+            node = tk.mix(node * np.uint64(0xD6E8FEB86659FD93) + low[:, j] + np.uint64(j + 1))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node.view(np.int64)), pc.add(pc.binary_length(texts).cast(pa.int64()), 64), pa.array([x.tobytes() for x in low], pa.binary())], ["row", "node", "size", "low"])
 
 
-def _bounds(sample: list, n_units: int) -> list[tuple]:
-    """Where each unit but the first begins, so that the sample's bytes are spread evenly."""
-    keys = sorted(((r["s0"], r["s1"], r["s2"], r["id"]), r["size"]) for r in sample)
-    if not keys:
-        return []
-    upto = np.cumsum([n + 64 for _, n in keys])
-    at = np.searchsorted(upto, upto[-1] * np.arange(1, n_units) / n_units)
-    return sorted({keys[i][0] for i in at.tolist()})
+def _bands(nodes: DataFrame, hot: list[frozenset], payload: bool) -> DataFrame:
+    """(key, node, low): a row per node and minwise value; hot values are branched by two others each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low = _matrix(b.column(1))
+            row = np.tile(np.arange(len(low)), MINHASHES)
+            key = tk.mix(low.T.astype(np.uint64).ravel() + (np.repeat(np.arange(MINHASHES, dtype=np.uint64), len(low)) << np.uint64(56)))
+            done = []
+            for level, keys in enumerate(hot):
+                again = np.isin(key, np.array(sorted(keys), np.uint64))
+                done.append((row[~again], key[~again]))
+                row, key = row[again], key[again]
+                parts = []
+                for way in (1, 2):
+                    c = ((tk.mix(key) + np.uint64(level * (2 * way - 1) + way)) % np.uint64(MINHASHES)).astype(np.int64)
+                    parts.append(tk.mix(key + (np.uint64(way) << np.uint64(40)) + low[row, c].astype(np.uint64)))
+                row, key = np.tile(row, 2), np.concatenate(parts)
+            row, key = (np.concatenate(x) for x in zip(*done, (row, key)))
+            cols = [pa.array(key.view(np.int64))] + ([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))] if payload else [])
+            yield pa.RecordBatch.from_arrays(cols, ["key", "node", "low"][: len(cols)])
+
+    return nodes.select("node", "low").mapInArrow(run, "key long, node long, low binary" if payload else "key long")
+
+
+def neighbour_graph(nodes: DataFrame, band: int = BAND) -> DataFrame:
+    """(node, near, likes): the nearest nodes of each, most alike first, as 8-byte values, and how many minwise values are alike, as bytes."""
+    hot: list[frozenset] = []
+    for _ in range(24):
+        found = [r[0] for r in _bands(nodes, hot, False).groupBy("key").count().where(F.col("count") > band).select("key").collect()]
+        if not found:
+            break
+        hot.append(frozenset(np.array(found, np.int64).view(np.uint64).tolist()))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2))) for b in batches if b.num_rows]
+        if not parts:
+            return
+        key, node, low = (np.concatenate(x) for x in zip(*parts))
+        ids, first, who = np.unique(node, return_index=True, return_inverse=True)
+        a, b, like = nearest(key.view(np.uint64), who, low[first])
+        yield from pa.table([pa.array(ids[a]), pa.array(ids[b]), pa.array(like.astype(np.int8))], names=["a", "b", "like"]).to_batches(max_chunksize=100_000)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches if b.num_rows]
+        if not parts:
+            return
+        a, b, like = _best(*(np.concatenate(x) for x in zip(*parts)))
+        at = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        cut = lambda x: pa.array([y.tobytes() for y in np.split(x, at[1:])], pa.binary())
+        yield from pa.table([pa.array(a[at]), cut(b), cut(like)], names=["node", "near", "likes"]).to_batches(max_chunksize=100_000)
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = _bands(nodes, hot, True).repartition(parts, "key").mapInArrow(search, "a long, b long, like byte")
+    return storage.written(pairs.repartition(parts, "a").mapInArrow(merge, "node long, near binary, likes binary"), "neighbours")
+
+
+def _edges(graph: DataFrame) -> DataFrame:
+    """(a, b, like) with a < b, each link once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            near, off = tk.buffers(t.column(1))
+            a, b, like = np.repeat(t.column(0).to_numpy(), np.diff(off) // 8), near.view(np.int64), tk.buffers(t.column(2))[0].view(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(like)], ["a", "b", "like"])
+
+    return graph.mapInArrow(run, "a long, b long, like byte").groupBy("a", "b").agg(F.max("like").alias("like"))
+
+
+def merged(a: np.ndarray, b: np.ndarray, like: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, its cluster's node): clusters joined over the most alike links first, while both together have at most cap bytes."""
+    ids, place = np.unique(np.r_[a, b], return_inverse=True)
+    size = np.zeros(len(ids), np.int64)
+    size[place] = np.r_[size_a, size_b]
+    chance = tk.mix(a.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ tk.mix(b.view(np.uint64)))
+    order = np.lexsort((chance, -like.astype(np.int8)))
+    root, size = list(range(len(ids))), size.tolist()
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, j in zip(place[: len(a)][order].tolist(), place[len(a) :][order].tolist()):
+        i, j = top(i), top(j)
+        if i != j and size[i] + size[j] <= cap:
+            root[j] = i
+            size[i] += size[j]
+    return ids, ids[[top(i) for i in range(len(ids))]]
+
+
+def _clusters(nodes: DataFrame, edges: DataFrame, cap: int, local_edges: int | None = None) -> DataFrame:
+    """(node, label): clusters of at most cap bytes of nodes that are alike; a larger node is a cluster of its own."""
+    local_edges = LOCAL_EDGES if local_edges is None else local_edges
+    size = nodes.select("node", "size")
+    edges = edges.join(size.toDF("a", "sa"), "a").join(size.toDF("b", "sb"), "b").where(f"sa + sb <= {cap}").select("a", "b", "like", "sa", "sb")
+    edges, labels = storage.written(edges, "links"), nodes.select("node", F.col("node").alias("label"))
+
+    def renamed(new: DataFrame) -> DataFrame:
+        return labels.join(new.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+    while edges.count() > local_edges:
+        # pairs that are each other's most alike are joined; the first link of all always is one
+        chance = F.xxhash64("a", "b").alias("chance")
+        both = edges.select("a", "b", "like", chance, "sa", "sb").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "like", chance, F.col("sb").alias("sa"), F.col("sa").alias("sb")))
+        best = both.groupBy("a").agg(F.max(F.struct("like", "chance", "b", "sa", "sb")).alias("m")).select("a", "m.b", "m.sa", "m.sb")
+        pairs = storage.written(best.groupBy(F.least("a", "b").alias("to"), F.greatest("a", "b").alias("was")).agg(F.count("*").alias("n"), F.max(F.col("sa") + F.col("sb")).alias("size")).where("n = 2").select("was", "to", "size"), "merges")
+        to = pairs.select("was", "to", "size").unionAll(pairs.select(F.col("to").alias("was"), "to", "size"))
+        x, y = to.toDF("a", "ta", "na"), to.toDF("b", "tb", "nb")
+        e = edges.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), "like", F.coalesce("na", "sa").alias("sa"), F.coalesce("nb", "sb").alias("sb")).where(f"a <> b and sa + sb <= {cap}")
+        low = F.col("a") < F.col("b")
+        side = lambda p, q: F.when(low, F.col(p)).otherwise(F.col(q))
+        e = e.select(side("a", "b").alias("a"), side("b", "a").alias("b"), "like", side("sa", "sb").alias("sa"), side("sb", "sa").alias("sb"))
+        edges = storage.written(e.groupBy("a", "b").agg(F.max("like").alias("like"), F.first("sa").alias("sa"), F.first("sb").alias("sb")), "links")
+        labels = storage.written(renamed(pairs.select("was", "to")), "labels")
+    t = edges.toArrow()
+    ids, to = merged(*(t[c].to_numpy() for c in ("a", "b", "like", "sa", "sb")), cap)
+    if not len(ids):
+        return labels
+    new = nodes.sparkSession.createDataFrame(pa.table({"was": pa.array(ids), "to": pa.array(to)}))
+    return renamed(new)
+
+
+def _places(keyed: DataFrame, unit_bytes: int) -> tuple[DataFrame, int]:
+    """(row, node, unit, near) of all documents, and how many units there are.
+
+    Clusters have up to half a unit and go one behind the other; a unit holds those that begin in its range of bytes. Byte sums
+    per bucket of clusters, four to a unit, tell where they begin. What is larger than a unit is spread by row over the units it covers.
+    """
+    spark = keyed.sparkSession
+    sketches = storage.written(keyed.select("row", "text").mapInArrow(_sketched, "row long, node long, size long, low binary"), "sketches")
+    nodes = storage.written(sketches.groupBy("node").agg(F.min("low").alias("low"), F.sum("size").alias("size")), "nodes")
+    graph = neighbour_graph(nodes)
+    total = nodes.agg(F.sum("size")).first()[0] or 0
+    n_units = total // unit_bytes + 1
+    labels = storage.written(_clusters(nodes, _edges(graph), unit_bytes // 2), "clusters") if n_units > 1 else nodes.select("node", F.col("node").alias("label"))
+    bucket = F.pmod(F.xxhash64("label"), F.lit(4 * n_units))
+    sized = storage.written(labels.join(nodes.select("node", "size"), "node").groupBy("label").agg(F.sum("size").alias("bytes")).withColumn("bucket", bucket), "cluster_sizes")
+    begins, at = [], 0
+    for r in sized.groupBy("bucket").agg(F.sum("bytes").alias("bytes")).orderBy("bucket").collect():
+        begins.append((r["bucket"], at))
+        at += r["bytes"]
+    begin = F.broadcast(spark.createDataFrame(begins, "bucket long, begin long"))
+    before = F.sum("bytes").over(Window.partitionBy("bucket").orderBy("label").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
+    at = sized.withColumn("before", before).join(begin, "bucket").select("label", "bytes", (F.col("begin") + F.col("before")).alias("at"))
+    spread = F.when(F.col("bytes") > unit_bytes, (F.pmod(F.xxhash64("row"), F.lit(1 << 20)) / (1 << 20) * F.col("bytes")).cast("long")).otherwise(0)
+    rows = sketches.groupBy("row").agg(F.min("node").alias("node")).join(labels, "node").join(at, "label").join(graph.select("node", "near"), "node", "left")
+    return storage.written(rows.select("row", "node", F.floor((F.col("at") + spread) / unit_bytes).cast("int").alias("unit"), "near"), "places"), n_units
+
+
+def _within(node: np.ndarray, near: list[bytes | None]) -> list[list[int]]:
+    """Places in node, which is in order, of each one's nearest; those in other units are left out."""
+    size = np.array([len(x) // 8 if x else 0 for x in near], np.int64)
+    to = np.frombuffer(b"".join([x for x in near if x]), np.int64)
+    at = np.minimum(np.searchsorted(node, to), len(node) - 1)
+    here = node[at] == to
+    return [x[ok].tolist() for x, ok in zip(np.split(at, np.cumsum(size)[:-1]), np.split(here, np.cumsum(size)[:-1]))]
 
 
 # --- over tables ----------------------------------------------------------------------------------------
@@ -362,29 +510,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds the token ids."""
     path = tokenizer or tokenizer_path()
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows, total = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()
-    n_units = max(1, -(-(total or 0) // unit_bytes))
-    # where units begin, by signature: from a bounded sample, as it only decides how even they are; every document goes to one of them
-    share = min(1.0, min(SAMPLE_PER_UNIT * n_units, SAMPLE) / max(1, rows))
-    sampled = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).sample(share, seed=11).mapInArrow(_sampled, "s0 long, s1 long, s2 long, id long, size long")
-    bounds = _bounds(sampled.collect(), n_units) if n_units > 1 else []
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = pc.fill_null(b.column(2), -(1 << 63)).to_pylist()
-            parts = [signatures(c) for c in tk.chunks(tk.strings(b.column(1)))]
-            sig = (np.concatenate(parts) if parts else np.zeros((0, 3), np.uint64)).view(np.int64)
-            units = [bisect.bisect_right(bounds, (*x, i)) for x, i in zip(sig.tolist(), ids)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(sig[:, j].copy()) for j in range(3)), pa.array(units, pa.int32())], ["id", "text", "s0", "s1", "s2", "unit"])
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("id", "text"))
+    places, n_units = _places(keyed, unit_bytes)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(batches)
         if not sum(b.num_rows for b in rows):
             return
-        t = pa.Table.from_batches(rows).sort_by([("s0", "ascending"), ("s1", "ascending"), ("s2", "ascending"), ("id", "ascending"), ("text", "ascending")])
+        t = pa.Table.from_batches(rows).sort_by([("node", "ascending"), ("id", "ascending"), ("text", "ascending")], null_placement="at_start")
         unit, texts = t["unit"][0].as_py(), tk.strings(t["text"])
-        low = np.concatenate([minwise(c) for c in tk.chunks(texts)])
-        order = np.array(walk(neighbours(low)), np.int64)
+        node, first, many = np.unique(t["node"].to_numpy(), return_index=True, return_counts=True)
+        path_ = np.array(walk(_within(node, t["near"].take(pa.array(first)).to_pylist())), np.int64)
+        size = many[path_]
+        order = np.repeat(first[path_] - (np.cumsum(size) - size), size) + np.arange(len(t))  # documents of equal values follow one another
         ids, size = PieceTokenizer(path).encode(texts.take(pa.array(order)))
         doc, start, length, seq, offset = pieces(size, window)
         at = (np.cumsum(size) - size)[doc] + start
@@ -397,6 +535,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             names.append("ids")
         yield from pa.table(cols, names=names).to_batches(max_chunksize=20_000)
 
-    placed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("key")).mapInArrow(place, f"id {id_type}, text string, s0 long, s1 long, s2 long, unit int")
+    placed = keyed.join(F.broadcast(places) if places.count() <= BROADCAST_ROWS else places, "row").select("id", "text", "unit", "node", "near")
     schema = f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
     return placed.repartitionById(n_units, "unit").mapInArrow(fill, schema)

@@ -260,6 +260,27 @@ def test_neighbours_within_a_hot_minwise_value():
     assert all(len(x) == packing.NEIGHBOURS and i not in x for i, x in enumerate(same))
 
 
+def test_related_documents_meet_over_several_units(spark):
+    """60 topics of 5 documents that share 40 % of their words, in about 12 units: most of a topic lands in one unit, and the graph is that of brute force."""
+    rng = random.Random(6)
+    topics = [[f"t{t}w{i}" for i in range(40)] for t in range(60)]
+    rows = [(i, " ".join(rng.sample(topics[i % 60], 30) + [f"d{i}n{k}" for k in range(12)])) for i in range(300)]
+    df = frame(spark, rows)
+    units = {r["doc_id"]: r["sequence_id"] >> 40 for r in packing.pack(df, unit_bytes=10_000).collect()}
+    assert len(set(units.values())) > 5
+    assert np.mean([units[i] == units[j] for i in units for j in units if i < j and i % 60 == j % 60]) > 0.8
+    low = np.concatenate([packing.minwise(c) for c in tk.chunks(tk.strings(pa.array([t for _, t in rows])))])
+    nodes = spark.createDataFrame([(i, 100, x.tobytes()) for i, x in enumerate(low)], "node long, size long, low binary")
+    for band in (packing.BAND, 3):
+        near = {r["node"]: np.frombuffer(r["near"], np.int64).tolist() for r in packing.neighbour_graph(nodes, band).collect()}
+        assert neighbour_recall(low, [near.get(i, []) for i in range(300)]) > (0.95 if band > 3 else 0.5)
+    edges = packing._edges(packing.neighbour_graph(nodes))
+    for local in (0, 1000_000):  # by rounds over the table, and by the driver
+        of = dict(packing._clusters(nodes, edges, 500, local).collect())
+        assert len(of) == 300 and max(collections.Counter(of.values()).values()) <= 5
+        assert np.mean([of[i] == of[j] for i in of for j in of if i < j and i % 60 == j % 60]) > 0.8
+
+
 # --- op10 -----------------------------------------------------------------------------------------------
 
 
