@@ -3,7 +3,8 @@
 Every suffix of at least ``min_words`` words goes to a group by its prefix. Prefixes have variable length: a prefix that more than ``group`` suffixes share is
 replaced by longer ones (1, 2, 4, ... up to ``min_words`` words), so that a group fits a task; counting prefixes combines before it shuffles. In a group the suffixes are
 sorted by their words; neighbours' common prefixes form intervals, which are the internal nodes of the group's subtree. Nodes of at least
-``min_words`` words with leaves whose preceding words differ are maximal repeats. Suffixes are read ``depth`` words deep; a repeat that long is cut there.
+``min_words`` words with leaves whose preceding words differ are maximal repeats. Suffixes are read DEPTH words deep; those that still share all of them, and not the
+word before, are read twice as deep, and so on until every common prefix ends. With ``depth`` given, a repeat that long is cut there.
 
 Prefixes of ``min_words`` words that still more than ``group`` suffixes share aren't gathered: the nodes below those are found by counting, for every length,
 the suffixes that share that many words and whether the words on either side differ, which combines before it shuffles.
@@ -81,9 +82,10 @@ def _suffixes(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFr
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, pos long, " + ", ".join(f"h{i} long" for i in range(len(sizes))))
 
 
-def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, depth: int = DEPTH, group: int = GROUP) -> DataFrame:
+def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, depth: int | None = None, group: int = GROUP) -> DataFrame:
     """One row per maximal repeat: its words, occurrences, documents, first place and text. Ids must be integers and not repeat."""
-    depth = max(depth, min_words + 1)
+    bounded = depth is not None
+    deep = max(depth or DEPTH, min_words + 1)
     sizes = _lengths(min_words)
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = storage.written(_suffixes(keyed, "doc_id", "text", min_words), "suffixes")
@@ -100,6 +102,28 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for p in parts[1:]:
         grouped = grouped.unionAll(p)
 
+    differ = lambda c: (F.count(c) < F.count("*")) | (F.min(c) != F.max(c))
+    blank = F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("prefix")).alias("node")
+    hot, out, least = open_.select("id", "pos", blank), None, min_words
+    while True:
+        met, heads, longer = _read(keyed, grouped, hot, least, deep, bounded, differ)
+        out = met.unionAll(heads) if out is None else out.unionAll(met).unionAll(heads)
+        if bounded:
+            return out
+        # suffixes that share all the words read, after differing ones: the passages that begin here may go on
+        longer = storage.written(longer, "longer")
+        if longer.isEmpty():
+            return out
+        many = longer.groupBy("prefix").agg(F.count("*").alias("n"))
+        longer = longer.join(many, "prefix")
+        grouped = longer.where(f"n <= {group}").select("id", "pos", F.struct(F.lit(0).alias("level"), "prefix").alias("node"))
+        hot = longer.where(f"n > {group}").select("id", "pos", blank)
+        least, deep = deep, 2 * deep
+
+
+def _read(keyed: DataFrame, grouped: DataFrame, hot: DataFrame, least: int, depth: int, bounded: bool, differ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Repeats of least words and more among groups, and among hot suffixes, read depth words deep; (id, pos, prefix) of the suffixes to read on."""
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words of each suffix and the one before it."""
         for b in batches:
@@ -123,34 +147,43 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ids, pos, seqs, before = (t[c].to_pylist() for c in ("id", "pos", "words", "before"))
         order = sorted(range(len(ids)), key=lambda i: (seqs[i], ids[i], pos[i]))
         sorted_ = [tuple(seqs[i]) for i in order]
-        out = []
-        for a, b, k in subtree(sorted_, [before[i] for i in order], min_words):
+        out, longer = [], []
+        for a, b, k in subtree(sorted_, [before[i] for i in order], least):
+            if not bounded and k == depth:
+                prefix = xxhash.xxh3_64_intdigest(" ".join(sorted_[a]).encode()) - (1 << 63)
+                longer += [(ids[order[i]], pos[order[i]], prefix) for i in range(a, b)]
+                continue
             here = [(ids[order[i]], pos[order[i]]) for i in range(a, b)]
             out.append((k, b - a, len({i for i, _ in here}), *min(here), " ".join(sorted_[a][:k])))
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        return pa.table([pa.array([o[j] for o in out], k) for j, k in enumerate(kinds)], names=["n_words", "occurrences", "documents", "first_id", "first_word", "text"])
+        out = [(*o, None, None, None) for o in out] + [(*[None] * 6, *x) for x in longer]
+        kinds = [pa.int32(), *[pa.int64()] * 4, pa.string(), *[pa.int64()] * 3]
+        return pa.table([pa.array([o[j] for o in out], k) for j, k in enumerate(kinds)], names=["n_words", "occurrences", "documents", "first_id", "first_word", "text", "id", "pos", "prefix"])
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each suffix its prefixes of min_words words and more, with the words before and behind."""
+        """Of each suffix its prefixes of ``least`` words and more, with the words before and behind."""
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
             for i, p, w, prev in zip(*(b.column(c).to_pylist() for c in (0, 1, 3, 4))):
-                for k in range(min_words, len(w) + 1):
+                for k in range(least, len(w) + 1):
                     for column, x in zip(out, (k, xxhash.xxh3_128_digest(" ".join(w[:k]).encode()), i, p, prev, w[k] if k < len(w) else None)):
                         column.append(x)
             kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["n_words", "h", "id", "pos", "prev", "next"])
 
-    differ = lambda c: (F.count(c) < F.count("*")) | (F.min(c) != F.max(c))
-    hot = content(open_.select("id", "pos", F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("prefix")).alias("node")))
+    both = content(grouped).groupBy("node").applyInArrow(nodes, SCHEMA + ", id long, pos long, prefix long")
+    both = both if bounded else storage.written(both, "repeats")
+    spread = content(hot).mapInArrow(lengths, "n_words int, h binary, id long, pos long, prev string, next string")
     counted = (
-        hot.mapInArrow(lengths, "n_words int, h binary, id long, pos long, prev string, next string").groupBy("n_words", "h")
+        spread.groupBy("n_words", "h")
         .agg(F.count("*").alias("occurrences"), F.count_distinct("id").alias("documents"), F.min(F.struct("id", "pos")).alias("f"), differ("prev").alias("left"), differ("next").alias("right"))
         .where("occurrences > 1 and left and right")
     )
+    counted = counted if bounded else storage.written(counted, "counted")
     part = F.slice(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), (F.col("f.pos") + 1).cast("int"), F.col("n_words"))
-    heads = counted.join(keyed, F.col("f.id") == keyed["doc_id"]).select("n_words", "occurrences", "documents", F.col("f.id").alias("first_id"), F.col("f.pos").alias("first_word"), F.array_join(part, " ").alias("text"))
-    return content(grouped).groupBy("node").applyInArrow(nodes, SCHEMA).unionAll(heads)
+    ended = counted if bounded else counted.where(F.col("n_words") < depth)
+    heads = ended.join(keyed, F.col("f.id") == keyed["doc_id"]).select("n_words", "occurrences", "documents", F.col("f.id").alias("first_id"), F.col("f.pos").alias("first_word"), F.array_join(part, " ").alias("text"))
+    on = spread.where(F.col("n_words") == depth).join(counted.where(F.col("n_words") == depth).select("h"), "h", "left_semi").select("id", "pos", F.xxhash64("h").alias("prefix"))
+    return both.where("n_words is not null").select(*heads.columns), heads, both.where("n_words is null").select("id", "pos", "prefix").unionAll(on)
 
 
 _BLANK = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))

@@ -49,3 +49,13 @@ def test_hot_passage_is_one_node(spark):
     got = suffixtree.maximal_repeats(frame(spark, rows), min_words=4, depth=8, group=10).collect()
     assert ("p q r s t u v w", 50) in {(r["text"], r["occurrences"]) for r in got}
     assert suffixtree.maximal_repeats(frame(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("group", [100_000, 3])
+def test_long_passages_are_whole(spark, group):
+    """Passages beyond the depth that suffixes are first read to, against brute force without a bound."""
+    long, other = " ".join(f"w{i}" for i in range(200)), " ".join(f"v{i}" for i in range(70))
+    rows = [(1, f"a {long} b {other}"), (2, f"c {long} d"), (3, f"e {other} f"), (4, f"g {long}"), (5, f"h {long.rsplit(' ', 60)[0]} i")]
+    got = suffixtree.maximal_repeats(frame(spark, rows), group=group).collect()
+    assert {tuple(r) for r in got} == repeats(rows, 13, 10_000) and len(got) == len(set(got))
+    assert {r["n_words"] for r in got} == {200, 140, 70}
