@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from . import units as un
 
-ORDER = 2
+ORDER = 3
 UNIT_BYTES = 12 << 20
 FOLDS, HELD_OUT = 5, 1
 GT_MAX = 5

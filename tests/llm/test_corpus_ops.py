@@ -44,6 +44,14 @@ def test_compact_columns():
 # --- op1 ------------------------------------------------------------------------------------------------
 
 
+def test_katz_registered_order(spark):
+    rows = [(i, "a b c a b d e f a b c") for i in range(6)] + [(9, "x b c"), (10, "c a b c")]
+    df = frame(spark, rows)
+    score = lambda **k: {r["doc_id"]: r["score"] for r in katz.score_corpus(df, **k).collect()}
+    got = score()
+    assert got == pytest.approx(score(order=3)) and got != pytest.approx(score(order=2))
+
+
 @pytest.mark.parametrize(("order", "unit_bytes"), [(1, 1 << 24), (2, 20_000), (3, 30_000)])
 def test_katz(spark, order, unit_bytes):
     df, rows = small(spark)
