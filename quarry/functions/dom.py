@@ -1,18 +1,22 @@
-"""A tolerant HTML tree on the standard library's tokenizer.
+"""A tolerant HTML tree on a tokenizer of its own.
 
+``tokens`` cuts any text into tags, text and comments in time that grows with its length, and never raises: quotes hold only behind ``=``, a quote that is never
+closed ends at the next ``>``, a tag that is never closed ends the page, unknown marked sections are comments, and ``</>`` is nothing.
 ``parse`` gives elements their implied ends (p, li, table cells, options, definition terms) and places what belongs in head and body;
-``parse(nested=True)`` closes nothing by implication. Trees are walked with explicit stacks, so depth is no limit.
+``parse(nested=True)`` closes nothing by implication. Elements over DEPTH deep become siblings of those at that depth, as in browsers, so that no
+operator's work grows with the square of a page. Trees are walked with explicit stacks.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from collections.abc import Callable, Iterator
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style"))
+_TEXT_ONLY = frozenset("script style xmp iframe noembed noframes textarea title".split())  # hold text, whatever it looks like
+_DECODED = frozenset(("textarea", "title"))
 _HEAD = frozenset("title meta link base script style noscript".split())
 _ENDS = {
     "p": ({"p"}, {"div", "td", "th", "li", "table", "body", "section", "article", "blockquote"}),
@@ -26,6 +30,114 @@ _ENDS = {
 }
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
+# nothing here gives characters back once taken, so an attempt that fails has read the rest of the page once
+_TAG = re.compile(r"<([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=[\s>])))*+)>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_VALUE = re.compile(r"=\s*+")
+_ATTR = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+_COMMENT_END = re.compile(r"--!?>")
+
+TEXT, START, END, NOTE = "text", "start", "end", "comment"
+DEPTH = 512
+
+
+def _tag_end(source: str, at: int) -> tuple[int, int] | None:
+    """(end of the attributes, place behind the tag) of a tag whose quotes don't close; None if the tag never ends."""
+    while True:
+        m = _VALUE.search(source, at)
+        close = source.find(">", at)
+        if close < 0:
+            return None
+        if m is None or close < m.start():
+            return close, close + 1
+        at = m.end()
+        if source[at : at + 1] in ('"', "'"):
+            end = source.find(source[at], at + 1)
+            if end < 0:
+                close = source.find(">", at)
+                return None if close < 0 else (close, close + 1)
+            at = end + 1
+
+
+def tokens(source: str) -> Iterator[tuple[str, str, str, bool]]:
+    """(kind, text or tag name, attributes as they stand, whether the tag closes itself). Text is as it stands too; what is text only comes as one piece behind its tag."""
+    at, n = 0, len(source)
+    while at < n:
+        lt = source.find("<", at)
+        if lt < 0:
+            yield TEXT, source[at:], "", False
+            return
+        nxt = source[lt + 1 : lt + 2]
+        if nxt.isascii() and nxt.isalpha():
+            if lt > at:
+                yield TEXT, source[at:lt], "", False
+            m = _TAG.match(source, lt)
+            if m:
+                tag, attrs, at = m[1].lower(), m[2], m.end()
+            else:
+                m = _NAME.match(source, lt + 1)
+                ends = _tag_end(source, m.end())
+                if ends is None:
+                    return
+                tag, attrs, at = m[0].lower(), source[m.end() : ends[0]], ends[1]
+            closed = attrs.endswith("/")
+            yield START, tag, attrs, closed
+            if tag in _TEXT_ONLY and not closed:
+                m = _raw_end(tag).search(source, at)
+                end = m.start() if m else n
+                if end > at:
+                    yield TEXT, source[at:end], tag, False
+                at = end
+            continue
+        if nxt not in ("/", "!", "?"):
+            end = source.find("<", lt + 1)
+            end = n if end < 0 else end
+            yield TEXT, source[at:end], "", False
+            at = end
+            continue
+        if lt > at:
+            yield TEXT, source[at:lt], "", False
+        if source.startswith("<!--", lt):
+            if source.startswith((">", "->"), lt + 4):
+                end, at = lt + 4, source.find(">", lt) + 1
+            else:
+                m = _COMMENT_END.search(source, lt + 4)
+                end, at = (m.start(), m.end()) if m else (n, n)
+            yield NOTE, source[lt + 4 : end], "", False
+            continue
+        if nxt == "/":
+            m = _NAME.match(source, lt + 2)
+            if m:
+                ends = source.find(">", m.end())
+                if ends < 0:
+                    return
+                yield END, m[0].lower(), "", False
+                at = ends + 1
+                continue
+        end = source.find(">", lt + 2)
+        end = n if end < 0 else end
+        if end > lt + 2 and not source[lt + 2 : lt + 9].lower() == "doctype":
+            yield NOTE, source[lt + 2 : end], "", False
+        at = end + 1
+
+
+_RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _TEXT_ONLY}
+
+
+def _raw_end(tag: str) -> re.Pattern:
+    return _RAW_ENDS[tag]
+
+
+def attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag; of one that is given twice the first holds."""
+    out: dict[str, str] = {}
+    if "=" not in text and not text.strip(" \t\n\r\f/"):
+        return out
+    for name, a, b, c in _ATTR.findall(text):
+        value = a or b or c
+        out.setdefault(name.lower(), html.unescape(value) if "&" in value else value)
+    return out
+
 
 class Comment:
     __slots__ = ("data", "parent")
@@ -91,122 +203,173 @@ class Element:
         return top
 
 
-def remove(node, drop_tail: bool = False) -> None:
-    """Takes a node out of its tree; drop_tail takes the text behind it too."""
-    siblings = node.parent.children
-    at = next(i for i, c in enumerate(siblings) if c is node)
-    del siblings[at]
-    if at < len(siblings) and isinstance(siblings[at], str):
-        if drop_tail:
-            del siblings[at]
-        elif at > 0 and isinstance(siblings[at - 1], str):
-            siblings[at - 1] += siblings.pop(at)
-    node.parent = None
+def prune(root: Element, gone: Callable[[Element | Comment], bool], drop_tail: bool = False) -> None:
+    """Takes nodes below root out of the tree, each with all below it; drop_tail takes the text behind them too."""
+    stack = [root]
+    while stack:
+        e = stack.pop()
+        kept: list = []
+        cut = False  # whether the node before was taken out
+        for c in e.children:
+            if isinstance(c, str):
+                if cut and drop_tail:
+                    pass
+                elif kept and isinstance(kept[-1], str):
+                    kept[-1] += c
+                else:
+                    kept.append(c)
+                cut = False
+            elif gone(c):
+                c.parent, cut = None, True
+            else:
+                kept.append(c)
+                cut = False
+        e.children = kept
+        stack.extend(e.elements())
 
 
-class _Builder(HTMLParser):
-    def __init__(self, nested: bool, placed: bool):
-        super().__init__(convert_charrefs=True)
+class _Builder:
+    def __init__(self, nested: bool):
         self.root = Element("[document]")
-        self.at, self.nested, self.placed = self.root, nested, placed
+        self.at, self.nested, self.placed = self.root, nested, not nested
+        self.open: dict[str, int] = {}  # how many elements of a name are open, so that ends without a beginning cost nothing
+        self.page: Element | None = None
+        self.parts: dict[str, Element] = {}  # head and body
+        self.depth = 0
+        self.foreign = 0  # depth within svg or math, where tags may close themselves
+
+    def _go(self, to: Element) -> None:
+        """Closes everything up to an element that is open."""
+        e = self.at
+        while e is not to:
+            self.open[e.tag] -= 1
+            self.depth -= 1
+            self.foreign -= e.tag in ("svg", "math")
+            e = e.parent
+        self.at = to
+
+    def _enter(self, e: Element) -> None:
+        self.at.append(e)
+        self._reenter(e)
+
+    def _reenter(self, e: Element) -> None:
+        self.at = e
+        self.open[e.tag] = self.open.get(e.tag, 0) + 1
+        self.depth += 1
+        self.foreign += e.tag in ("svg", "math")
+
+    def _html(self) -> Element:
+        if self.page is None:
+            self.page = Element("html")
+            self.root.append(self.page)
+        return self.page
+
+    def _part(self, name: str) -> Element:
+        if name not in self.parts:
+            self.parts[name] = Element(name)
+            self.page.append(self.parts[name])
+        return self.parts[name]
 
     def _place(self, tag: str | None) -> None:
         """Opens html, head or body where a page leaves them out."""
         if not self.placed or tag in ("html", "head", "body"):
             return
         if self.at is self.root:
-            page = next((c for c in self.root.elements() if c.tag == "html"), None)
-            if page is None:
-                page = Element("html")
-                self.root.append(page)
-            self.at = page
+            self._reenter(self._html())
         if self.at.tag == "head" and tag not in _HEAD:
-            self.at = self.at.parent
-        if self.at.tag == "html":
-            parts = {c.tag: c for c in self.at.elements()}
-            name = "head" if tag in _HEAD and "body" not in parts else "body"
-            if name not in parts:
-                self.at.append(Element(name))
-                parts = {c.tag: c for c in self.at.elements()}
-            self.at = parts[name]
+            self._go(self.at.parent)
+        if self.at is self.page:
+            self._reenter(self._part("head" if tag in _HEAD and "body" not in self.parts else "body"))
 
     def _end(self, tags: set[str] | frozenset[str], within: set[str]) -> None:
+        if not any(self.open.get(t) for t in tags):
+            return
         e = self.at
         while e is not self.root and e.tag not in within:
             if e.tag in tags:
-                self.at = e.parent
+                self._go(e.parent)
                 return
             e = e.parent
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def start(self, tag: str, text: str, closed: bool) -> None:
         if not self.nested:
-            if self.placed and tag in ("html", "body", "head"):
-                have = next((e for e in self.root.iter() if e.tag == tag), None)
+            if tag in ("html", "body", "head"):
+                have = self.page if tag == "html" else self.parts.get(tag)
                 if have is not None:
-                    for k, v in attrs:
-                        have.attrs.setdefault(k, v or "")
-                    self.at = have if tag != "html" or self.at is self.root else self.at
+                    for k, v in attributes(text).items():
+                        have.attrs.setdefault(k, v)
+                    if tag != "html" or self.at is self.root:
+                        self._go(self.root)
+                        self._reenter(self.page)
+                        if tag != "html":
+                            self._reenter(have)
                     return
+                page = self._html()
+                if tag == "html":
+                    page.attrs = attributes(text)
+                self._go(self.root)
+                self._reenter(page)
                 if tag != "html":
-                    page = next((c for c in self.root.elements() if c.tag == "html"), None)
-                    if page is None:
-                        page = Element("html")
-                        self.root.append(page)
-                    self.at = page
+                    self._part(tag).attrs = attributes(text)
+                    self._reenter(self.parts[tag])
+                return
             self._place(tag)
             if tag in _CLOSES_P:
                 self._end({"p"}, _ENDS["p"][1] | {"button"})
             if tag in _ENDS and tag != "p":
                 self._end(*_ENDS[tag])
-        e = Element(tag, {k: v if v is not None else "" for k, v in attrs})
-        self.at.append(e)
-        if tag not in VOID:
-            self.at = e
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if self.nested and tag not in VOID:
-            self.at.append(Element(tag, {k: v if v is not None else "" for k, v in attrs}))
+        e = Element(tag, attributes(text) if text else None)
+        if tag in VOID or self.depth >= DEPTH or closed and (self.nested or self.foreign or tag in ("svg", "math")):
+            self.at.append(e)
         else:
-            self.handle_starttag(tag, attrs)
+            self._enter(e)
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag in VOID or (self.placed and tag in ("html", "body")):
+    def end(self, tag: str) -> None:
+        if tag in VOID or not self.open.get(tag) or (self.placed and tag in ("html", "body")):
             return
         e = self.at
-        while e is not self.root:
-            if e.tag == tag:
-                self.at = e.parent
-                return
+        while e.tag != tag:
             e = e.parent
+        self._go(e.parent)
 
-    def handle_data(self, data: str) -> None:
-        if self.placed and not data.strip() and self.at.tag in ("[document]", "html"):
+    def text(self, data: str, within: str) -> None:
+        if "&" in data and (not within or within in _DECODED):
+            data = html.unescape(data)
+        blank = not data.strip()
+        if self.placed and blank and self.at.tag in ("[document]", "html"):
             return
-        if data.strip():
-            self._place(None)
+        if not blank:
+            self._place(within or None)
         self.at.append(data)
 
-    def handle_comment(self, data: str) -> None:
-        self.at.append(Comment(data))
-
 
 _FULL = re.compile(r"\s*(?:<!--.*?-->\s*)*(?:<!doctype|<html)", re.I | re.S)
 
 
 def parse(source: str, nested: bool = False) -> Element:
     """The document element that holds the whole tree."""
-    b = _Builder(nested, placed=not nested)
-    b.feed(source)
-    b.close()
+    b = _Builder(nested)
+    for kind, what, more, closed in tokens(source):
+        if kind is START:
+            b.start(what, more, closed)
+        elif kind is END:
+            b.end(what)
+        elif kind is TEXT:
+            b.text(what, more)
+        else:
+            b.at.append(Comment(what))
     return b.root
 
 
 def from_string(source: str) -> Element:
-    """The element that a page or a fragment stands for: html of a page, the only element of a fragment, else a div (or span) around all of it."""
+    """The element that a page or a fragment stands for: html of a page, the only element of a fragment, else a div (or span) around all of it.
+
+    A source without any element or text gives an element without a tag that is empty but for comments, and is written as those.
+    """
     root = parse(source)
     page = next(iter(root.elements()), None)
     if page is None:
-        raise ValueError("no element")
+        return root
     if _FULL.match(source):
         return page
     body = next((e for e in page.elements() if e.tag == "body"), None)

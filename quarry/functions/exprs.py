@@ -45,7 +45,7 @@ def common_prefix(paths: Column) -> Column:
         first = F.try_element_at(steps, F.lit(1))
         return F.concat(F.lit("/"), F.array_join(F.aggregate(steps, first, lambda a, s: F.slice(a, 1, _agreeing(a, s))), "/"))
 
-    steps = F.transform(used, lambda p: F.split(F.when(p.startswith("/"), F.substring(p, 2, 1_000_000)).otherwise(p), "/", -1))
+    steps = F.transform(used, lambda p: F.split(F.when(p.startswith("/"), F.substr(p, F.lit(2))).otherwise(p), "/", -1))
     return _let(steps, lambda x: F.when(F.size(x) == 0, F.lit("/")).otherwise(shared(x)))
 
 
@@ -130,6 +130,11 @@ def select_nodes(nodes: Column, indices: Column) -> Column:
     return _let(indices, pick)
 
 
+def kept_nodes(nodes: Column, responses: Column) -> Column:
+    """The chosen nodes of all chunks of a document, in the order of the chunks; both arrays have an item for each chunk."""
+    return F.flatten(F.zip_with(nodes, responses, lambda n, r: select_nodes(n, chosen_indices(r))))
+
+
 def effective_request(query: Column, schema: Column) -> Column:
     """The query, or where it is missing or empty the schema."""
     return F.coalesce(F.nullif(query, F.lit("")), F.nullif(schema, F.lit("")))
@@ -156,20 +161,3 @@ def result_prediction(prediction: Column) -> Column:
 
 def result_error(status: Column) -> Column:
     return F.when(status == "success", F.lit(None).cast("string")).otherwise(F.concat(F.lit("Encountered error/pending status: Status."), F.upper(status)))
-
-
-def micro_batch(ordinal: Column, size: int) -> Column:
-    """Batch number of a 0-based ordinal."""
-    return F.floor(ordinal / size).cast("long")
-
-
-def ordered_fold(entries: Column) -> Column:
-    """Of (score, overlap, ...) structs in order, the one that a running best by both keeps; later ties win, null for none."""
-    start = F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("overlap"), F.lit(-1).cast("long").alias("ord"))
-
-    def step(best: Column, e: Column) -> Column:
-        better = (e["score"] >= best["score"]) & (e["overlap"] >= best["overlap"])
-        now = F.struct(e["score"].cast("double").alias("score"), e["overlap"].cast("long").alias("overlap"), e["ord"].cast("long").alias("ord"))
-        return F.when(better, now).otherwise(best)
-
-    return F.aggregate(entries, start, step)

@@ -19,11 +19,14 @@ class Client(Protocol):
 
 
 def call_batch(client: Client, prompts: list[str], workers: int = 8, chunk_size: int | None = None, raise_on_error: bool = False, adapter: str | None = None, callback: Callable | None = None, **options: Any) -> list[str | None]:
-    """Answers in the order of the prompts; None where a call failed, unless raise_on_error. One wave of threads per chunk."""
+    """Answers in the order of the prompts; None where a call failed, unless raise_on_error. One wave of threads per chunk.
+
+    A client with call_many gets a chunk at a time instead; the prompts of a chunk that fails are asked one by one, so that only those that fail themselves give None.
+    """
     if not prompts:
         return []
     if hasattr(client, "call_many"):
-        return client.call_many(prompts, adapter=adapter, **options)
+        return _call_many(client, prompts, chunk_size, raise_on_error, adapter, callback, options)
     size = chunk_size if chunk_size and chunk_size > 0 else len(prompts)
     out: list[str | None] = [None] * len(prompts)
 
@@ -44,6 +47,50 @@ def call_batch(client: Client, prompts: list[str], workers: int = 8, chunk_size:
     return out
 
 
+def _call_many(client: Client, prompts: list[str], chunk_size: int | None, raise_on_error: bool, adapter: str | None, callback: Callable | None, options: dict) -> list[str | None]:
+    size = chunk_size if chunk_size and chunk_size > 0 else len(prompts)
+    out: list[str | None] = []
+
+    def ask(some: list[str]) -> list[str | None]:
+        got = list(client.call_many(some, adapter=adapter, **options))
+        if len(got) != len(some):
+            raise ValueError(f"{len(got)} answers to {len(some)} prompts")
+        return got
+
+    for lo in range(0, len(prompts), size):
+        wave = prompts[lo : lo + size]
+        errors: list[Exception | None] = [None] * len(wave)
+        try:
+            said = ask(wave)
+        except Exception as e:
+            if raise_on_error:
+                raise
+            said, errors = [None] * len(wave), [e] * len(wave)
+            for i, p in enumerate(wave if len(wave) > 1 else []):
+                try:
+                    said[i], errors[i] = ask([p])[0], None
+                except Exception as own:
+                    errors[i] = own
+        for i, (answer, error) in enumerate(zip(said, errors)):
+            if callback:
+                callback(lo + i, answer, error)
+        out += said
+    return out
+
+
+_BUILT: dict[bytes, Client] = {}
+
+
+def shared(factory: Callable[[], Client]) -> Client:
+    """The one client that a Python worker builds from a factory, for all stages and tasks that it runs."""
+    from pyspark import cloudpickle
+
+    key = cloudpickle.dumps(factory)
+    if key not in _BUILT:
+        _BUILT[key] = factory()
+    return _BUILT[key]
+
+
 def length_buckets(lengths: list[int], size: int = 8, slack: float = 1.3, extra: int = 50) -> list[list[int]]:
     """Places of prompts by rising length, cut where a batch is full or the next is much longer than its longest."""
     out: list[list[int]] = []
@@ -89,6 +136,7 @@ class EchoClient:
 
 
 _LINE = re.compile(r"^(\d+) \('(.*)', '(.*)'\)$", re.M)
+_UNDER = re.compile(r"^The entire chunk is under: '(.*)'$", re.M)
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.S | re.I)
 _HEADING = re.compile(r"<h1[^>]*>(.*?)</h1>", re.S | re.I)
 
@@ -98,7 +146,8 @@ class HeuristicClient:
 
     def call(self, prompt: str, adapter: str | None = None, **options: Any) -> str:
         if adapter == "pruner":
-            keep = [int(i) for i, path, text in _LINE.findall(prompt) if re.search(r"/(title|h1)(\[\d+\])?$", path) or "<h1" in text]
+            under = _UNDER.search(prompt)
+            keep = [int(i) for i, path, text in _LINE.findall(prompt) if re.search(r"/(title|h1)(\[\d+\])?/?$", (under[1] if under else "") + path) or "<h1" in text]
             return json.dumps(keep)
         text = lambda m: re.sub(r"\s+", " ", re.sub(r"<[^>]*>", "", m[1])).strip() if m else None
         title, heading = text(_TITLE.search(prompt)), text(_HEADING.search(prompt))
@@ -150,6 +199,7 @@ class LocalModelClient:
         if adapter in self.adapters:
             self.model.set_adapter(adapter)
         opts = generation_options(self.defaults, None, options)
+        opts["max_new_tokens"] = opts.pop("max_tokens", opts["max_new_tokens"])
         if not opts.get("temperature"):
             opts |= {"do_sample": False}
             opts.pop("temperature", None)
@@ -162,3 +212,31 @@ class LocalModelClient:
             for i, t in zip(group, self.tokenizer.batch_decode(y[:, x["input_ids"].shape[1] :], skip_special_tokens=True)):
                 out[i] = t
         return out
+
+
+class BatchEngineClient:
+    """A batch inference engine with adapters beside one model; needs the vllm package, which is imported when the client is built."""
+
+    def __init__(self, model: str, adapters: dict[str, str] | None = None, context: int = 8192, **defaults: Any):
+        from vllm import LLM
+
+        self.adapters, self.context, self.defaults = adapters or {}, context, {"max_tokens": 512, "temperature": 0.0} | defaults
+        more = {"enable_lora": True, "max_loras": min(len(self.adapters), 3)} if self.adapters else {}
+        self.engine = LLM(model=model, max_model_len=context, **more)
+
+    def room(self, max_tokens: int) -> int:
+        """Tokens that a prompt may have: what the answer leaves of the context, half of it at least."""
+        return max(self.context - max_tokens - 1, self.context // 2)
+
+    def call(self, prompt: str, adapter: str | None = None, **options: Any) -> str:
+        return self.call_many([prompt], adapter, **options)[0]
+
+    def call_many(self, prompts: list[str], adapter: str | None = None, **options: Any) -> list[str | None]:
+        from vllm import SamplingParams
+        from vllm.lora.request import LoRARequest
+
+        opts = generation_options(self.defaults, None, options)
+        how = SamplingParams(truncate_prompt_tokens=self.room(opts["max_tokens"]), **opts)
+        names = list(self.adapters)
+        lora = LoRARequest(adapter, names.index(adapter) + 1, self.adapters[adapter]) if adapter in self.adapters else None
+        return [x.outputs[0].text if x.outputs else None for x in self.engine.generate(prompts, how, lora_request=lora)]

@@ -1,4 +1,4 @@
-"""Cleaning, splitting and rebuilding of HTML documents."""
+"""Cleaning, splitting and rebuilding of HTML documents."""
 
 from __future__ import annotations
 
@@ -34,66 +34,63 @@ def hidden(e: Element) -> bool:
     return "hidden" in e.attrs or e.attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(e.attrs.get("style", "")))
 
 
-def visible(e: Element) -> bool:
-    """Neither hidden by attribute nor for assistive readers."""
-    return "hidden" not in e.attrs and e.attrs.get("aria-hidden") != "true"
-
-
-def _comments(root: Element) -> list[Comment]:
-    return [c for e in root.iter() for c in e.children if isinstance(c, Comment)]
+def _stripped(html: str, drop_tail: bool) -> Element:
+    root = dom.from_string(html)
+    dom.prune(root, lambda x: isinstance(x, Comment) or x.tag in REMOVED or hidden(x), drop_tail)
+    for e in root.iter():
+        if e.attrs:
+            for a in ("style", *_EVENTS):
+                e.attrs.pop(a, None)
+    return root
 
 
 def structural_clean(html: str | None, drop_tail: bool = False) -> str:
     """Without comments, scripts and other unseen tags, hidden elements, and style and event attributes. Blank input gives ''."""
     if not html or not html.strip():
         return ""
-    root = dom.from_string(html)
-    for c in _comments(root):
-        dom.remove(c, drop_tail)
-    for e in list(root.iter()):
-        if e.parent is not None and e is not root and (e.tag in REMOVED or hidden(e)):
-            dom.remove(e, drop_tail)
-    for e in root.iter():
-        for a in ("style", *_EVENTS):
-            e.attrs.pop(a, None)
-    return dom.to_string(root)
+    return dom.to_string(_stripped(html, drop_tail))
 
 
-def simplify(html: str) -> str:
-    """Our own simplification: no attributes, no empty elements, chains of single wrappers joined into their innermost."""
-    if not html.strip():
-        return ""
-    root = dom.from_string(html)
-    nodes = list(root.iter())
-    for e in nodes:
+def simplify(root: Element) -> Element:
+    """Our own simplification: no attributes, no empty elements, chains of single wrappers joined into their innermost. Changes the tree it is given."""
+    instead: dict[int, Element | None] = {}  # what stands for an element below: nothing, or its only child
+    for e in reversed(list(root.iter())):
         e.attrs = {}
-    for e in reversed(nodes):
-        if e is root or e.parent is None or e.tag in ("img", "br", "hr", "input"):
+        kept: list = []
+        for c in e.children:
+            c = instead.get(id(c), c) if isinstance(c, Element) else c
+            if c is None:
+                continue
+            if isinstance(c, str) and kept and isinstance(kept[-1], str):
+                kept[-1] += c
+                continue
+            kept.append(c)
+            if isinstance(c, Element):
+                c.parent = e
+        e.children = kept
+        if e is root or e.tag in ("img", "br", "hr", "input"):
             continue
         inner = e.elements()
-        text = any(isinstance(c, str) and c.strip() for c in e.children)
+        text = any(isinstance(c, str) and c.strip() for c in kept)
         if not inner and not text:
-            dom.remove(e)
+            instead[id(e)] = None
         elif len(inner) == 1 and not text and e.tag in ("div", "span", "section", "article", "main"):
-            at = next(i for i, c in enumerate(e.parent.children) if c is e)
-            e.parent.children[at] = inner[0]
-            inner[0].parent = e.parent
-    return dom.to_string(root)
+            instead[id(e)] = inner[0]
+    return root
 
 
 def clean(html: str | None, simplified: bool = True, drop_tail: bool = False) -> str:
-    out = structural_clean(html, drop_tail)
-    return (simplify(out) if simplified else out).strip()
+    """structural_clean(), then simplify()."""
+    if not html or not html.strip():
+        return ""
+    root = _stripped(html, drop_tail)
+    return dom.to_string(simplify(root) if simplified else root).strip()
 
 
 def sanitise(e: Element) -> Element:
     """A copy without unseen tags, comments and all but a few attributes."""
     e = e.copy()
-    for c in _comments(e):
-        dom.remove(c)
-    for x in list(e.iter()):
-        if x.tag in _STRIPPED and x is not e and x.parent is not None:
-            dom.remove(x)
+    dom.prune(e, lambda x: isinstance(x, Comment) or x.tag in _STRIPPED)
     for x in e.iter():
         x.attrs = {k: v for k, v in x.attrs.items() if k in _KEPT_ATTRS and not (k == "href" and v.strip().lower().startswith("javascript:"))}
     return e
@@ -114,10 +111,7 @@ def nodes(html: str | None) -> list[dict]:
     """The addressable nodes of a document, in reading order: id, xpath, content, type ('text' or 'atomic')."""
     if not isinstance(html, str) or not html.strip():
         return []
-    try:
-        root = dom.from_string(html)
-    except ValueError:
-        return []
+    root = dom.from_string(html)
     out: list[dict] = []
     buffer: list[str] = []
     where = dom.paths(root)
@@ -193,26 +187,6 @@ def visible_leaves(html: str | None, min_length: int = 1, dedupe: bool = True) -
     return out
 
 
-def pieces(e: Element) -> list[str]:
-    """Text pieces of an element: its own strings between children, and each child's whole text, strings joined by spaces."""
-    out, buffer = [], []
-
-    def flush() -> None:
-        if buffer:
-            out.append("".join(buffer).strip())
-            buffer.clear()
-
-    for c in e.children:
-        if isinstance(c, str):
-            buffer.append(c)
-            continue
-        flush()
-        if isinstance(c, Element):
-            out.append(" ".join(s.strip() for s in c.strings() if s.strip()))
-    flush()
-    return [p for p in out if p]
-
-
 _NOT_WORD = re.compile(r"[^\w\s]")
 
 
@@ -221,22 +195,49 @@ def match_text(s: str | None) -> str:
 
 
 def search_index(html: str | None) -> list[dict]:
-    """Every element's pieces in document order, with their text for matching."""
+    """Every element's pieces in document order, with their text for matching.
+
+    An element's pieces are its own strings between children, and each child's whole text, its strings joined by spaces. Whole texts, matching texts and
+    words are put together from those of the children, so that wrappers around one piece share it.
+    """
     if not html or not html.strip():
         return []
-    out: list[dict] = []
     root = dom.parse(html, nested=True)
     where = dom.paths(root)
-    known: dict[str, tuple[str, list[str]]] = {}  # a text comes again in its ancestors' pieces
-    for e in root.iter():
+    every = list(root.iter())
+    known: dict[str, tuple] = {}
+
+    def leaf(s: str) -> tuple:
+        if s not in known:
+            norm = match_text(s)
+            known[s] = (s, norm, frozenset(norm.split()))
+        return known[s]
+
+    whole: dict[int, tuple | None] = {}
+    mine: dict[int, list[tuple]] = {}
+    for e in reversed(every):
+        found: list[tuple] = []
+        for c in e.children:
+            if isinstance(c, str):
+                c = c.strip()
+                if c:
+                    found.append(leaf(c))
+            elif isinstance(c, Element) and whole[id(c)] is not None:
+                found.append(whole[id(c)])
+        mine[id(e)] = found
+        if len(found) > 1:
+            whole[id(e)] = (" ".join(f[0] for f in found), " ".join(f[1] for f in found if f[1]), frozenset().union(*(f[2] for f in found)))
+        else:
+            whole[id(e)] = found[0] if found else None
+    out: list[dict] = []
+    listed: dict[int, list[str]] = {}
+    for e in every:
         if e is root:
             continue
-        for i, p in enumerate(pieces(e)):
-            if p not in known:
-                norm = match_text(p)
-                known[p] = (norm, sorted(set(norm.split())))
-            norm, tokens = known[p]
-            out.append({"ord": len(out), "xpath": where[id(e)], "chunk": p, "norm_chunk": norm, "norm_tokens": tokens, "sub_index": i})
+        for i, (text, norm, words) in enumerate(mine[id(e)]):
+            if id(words) not in listed:
+                listed[id(words)] = sorted(words)
+            out.append({"ord": len(out), "xpath": where[id(e)], "chunk": text, "norm_chunk": norm, "norm_tokens": listed[id(words)], "sub_index": i})
     return out
 
 
@@ -351,14 +352,9 @@ def rebuild(pairs: list[tuple[str, str]], root_tag: str = "html") -> str:
 
 
 def merge(kept: list[list[dict]] | None, fallback: str | None) -> str:
-    """The clean document of the kept nodes of all chunks; without any, the clean fallback page."""
+    """The clean document of the kept nodes of all chunks; without any, the fallback, a page that is clean already."""
     pairs = [(n["xpath"], n["content"]) for chunk_ in kept or [] for n in chunk_ or [] if n]
-    return clean(rebuild(pairs)) if pairs else clean(fallback)
-
-
-def merge_texts(parts: list[str]) -> str:
-    """Texts behind one another, each non-blank one under its number."""
-    return "".join(f"\nchunk number {i}\n{p}" for i, p in enumerate(parts) if p and p.strip())
+    return clean(rebuild(pairs)) if pairs else fallback or ""
 
 
 def skeleton(html: str, chosen: list[dict]) -> str:
@@ -379,12 +375,8 @@ def skeleton(html: str, chosen: list[dict]) -> str:
                 x = x.parent
     if not keep:
         return ""
-    for e in list(root.iter()):
-        if id(e) in full:
-            continue
-        if id(e) not in keep:
-            if e.parent is not None and e is not root:
-                dom.remove(e)
-            continue
-        e.children = [c for c in e.children if isinstance(c, Element)]
+    dom.prune(root, lambda x: not isinstance(x, Comment) and id(x) not in keep and id(x) not in full)
+    for e in root.iter():
+        if id(e) not in full:
+            e.children = [c for c in e.children if isinstance(c, Element)]
     return dom.to_string(root)

@@ -1,4 +1,7 @@
-"""Arrow UDF faces of the document operators. Documents are large: keep spark.sql.execution.arrow.maxRecordsPerBatch small for big pages."""
+"""Arrow UDF faces of the document operators. Documents are large: keep spark.sql.execution.arrow.maxRecordsPerBatch small for big pages.
+
+A row that an operator fails on gives null and no other row is touched; the pipeline's stages say why in ``stage_error``.
+"""
 
 from __future__ import annotations
 
@@ -33,7 +36,10 @@ def arrow_udf(returns: str) -> Callable:
 def _each(f: Callable, *columns: pd.Series) -> pd.Series:
     out = pd.Series([None] * len(columns[0]), dtype="object")
     for i, x in enumerate(zip(*columns)):
-        out.iat[i] = f(*x)
+        try:
+            out.iat[i] = f(*x)
+        except Exception:  # null is the result of a row that can't be worked on
+            out.iat[i] = None
     return out
 
 
@@ -74,25 +80,15 @@ def search_index(html: pd.Series) -> pd.Series:
     return _each(html_ops.search_index, html)
 
 
-@arrow_udf("string")
-def merge_nodes(kept: pd.Series, fallback: pd.Series) -> pd.Series:
-    """The rebuilt, clean document of the kept nodes of all chunks, or the clean page where none is kept."""
-    return _each(lambda k, f: html_ops.merge(None if k is None else [list(k)], f), kept, fallback)
-
-
 @arrow_udf("string")
 def rebuild_skeleton(html: pd.Series, chosen: pd.Series) -> pd.Series:
-    return pd.Series([html_ops.skeleton(h, list(c) if c is not None else []) if h else "" for h, c in zip(html, chosen)])
+    return _each(lambda h, c: html_ops.skeleton(h, list(c) if c is not None else []) if h else "", html, chosen)
 
 
 @arrow_udf(MATCH)
 def match_value(html: pd.Series, value: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([grounding.closest(h or "", v or "") for h, v in zip(html, value)], columns=["text", "xpath", "sub_index", "score", "found"])
-
-
-@arrow_udf("double")
-def similarity(chunk: pd.Series, search: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else grounding.similarity(a, b) for a, b in zip(chunk, search)])
+    found = _each(lambda h, v: grounding.closest(h or "", v or ""), html, value)
+    return pd.DataFrame([grounding.NOT_FOUND if x is None else x for x in found], columns=["text", "xpath", "sub_index", "score", "found"])
 
 
 @arrow_udf("struct<prediction: string, xpaths: string, error: string>")
@@ -118,18 +114,18 @@ def spread_json(response: pd.Series) -> pd.Series:
 
 
 def chunks(html: Column, max_tokens: int = 1000, attr_cutoff: int = 5, disable: bool = False) -> Column:
-    """Struct of the clean document's chunks and, where there are none, why."""
+    """Struct of the clean document, its chunks and, where there are none, why."""
 
-    @F.pandas_udf("struct<chunks: array<struct<chunk_ord: int, content: string>>, error: string>")
+    @F.pandas_udf("struct<clean: string, chunks: array<struct<chunk_ord: int, content: string>>, error: string>")
     def run(pages: pd.Series) -> pd.DataFrame:
         out = []
         for page in pages:
             try:
                 text = html_ops.clean(page)
                 parts = [] if not text else [text] if disable else html_ops.chunk(text, max_tokens, attr_cutoff)
-                out.append(([{"chunk_ord": i + 1, "content": p} for i, p in enumerate(parts)], None if parts else "nothing is left of the page after cleaning"))
+                out.append((text, [{"chunk_ord": i + 1, "content": p} for i, p in enumerate(parts)], None if parts else "nothing is left of the page after cleaning"))
             except Exception as e:  # a bad page is reported in its own row
-                out.append(([], f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["chunks", "error"])
+                out.append(("", [], f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["clean", "chunks", "error"])
 
     return run(html)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as X
-from .operators import clients, udfs
+from .operators import batches, udfs
 from .plans import Pipeline
 
 SCHEMA_REQUEST = '{"title": "string", "heading": "string"}'
@@ -63,10 +63,9 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def xpath_common_prefix(spark: SparkSession, d: str) -> DataFrame:
-    # each page's own path with the section's is a bounded array; the fold over a section is an aggregation of steps
-    p = _paths(spark, d)
-    other = F.concat(F.lit("/"), F.col("section"), F.lit("/other"))
-    return p.select("page_id", X.common_prefix(F.array(F.col("path"), other)).alias("prefix"))
+    """Of all places of links on each page, the part they share."""
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    return _t(spark, d, "pages").select("page_id", X.common_prefix(F.concat(links, F.array(F.regexp_extract("url", "^https?://[^/]*(/[^?#]*)", 1)))).alias("prefix"))
 
 
 def xpath_relative(spark: SparkSession, d: str) -> DataFrame:
@@ -74,10 +73,12 @@ def xpath_relative(spark: SparkSession, d: str) -> DataFrame:
 
 
 def escape_and_prompt(spark: SparkSession, d: str) -> DataFrame:
-    p = _paths(spark, d)
-    node = F.struct(F.col("path").alias("xpath"), F.concat(F.lit("it's "), F.col("section")).alias("content"))
-    prompt = X.fill_prompt("Q {query}\n{content}", F.lit("which {content}?"), X.node_listing(F.array(node)))
-    return p.select("page_id", X.chat_suffix(prompt).alias("prompt"))
+    """The prompt of each page that lists all its links: their places and texts."""
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)">[^<]*</a>'), F.lit(1))
+    texts = F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<]*)</a>'), F.lit(1))
+    nodes = F.zip_with(links, texts, lambda x, t: F.struct(x.alias("xpath"), F.concat(F.lit("it's "), t).alias("content")))
+    prompt = X.fill_prompt("Q {query}\n{content}", F.lit("which {content}?"), X.node_listing(nodes))
+    return _t(spark, d, "pages").select("page_id", X.chat_suffix(prompt).alias("prompt"))
 
 
 def _responses(spark: SparkSession, d: str) -> DataFrame:
@@ -93,32 +94,28 @@ def parse_indices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def select_nodes(spark: SparkSession, d: str) -> DataFrame:
-    nodes = F.array(*[F.lit(x) for x in "abcd"])
-    return _responses(spark, d).select("doc_id", F.array_join(X.select_nodes(nodes, X.chosen_indices(F.col("response"))), "").alias("kept"))
+    """The words of each document that a response chooses, in its order."""
+    words = F.split(X.display_text(F.col("text")), " ")
+    both = _responses(spark, d).join(_t(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return both.select("doc_id", F.array_join(X.select_nodes(words, X.chosen_indices(F.col("response"))), "|").alias("kept"))
 
 
 def regroup(spark: SparkSession, d: str) -> DataFrame:
-    part = F.struct("l_linenumber", F.col("l_partkey"))
-    return _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
+    """The nodes that are kept of all chunks of a document: here lines are chunks, words their nodes, and each answer asks for the second and the first."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.split(x, " "))
+    asked = F.transform(lines, lambda x: F.when(F.size(x) > 2, F.lit("[1, 0]")).otherwise(F.lit("none")))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(X.kept_nodes(lines, asked), " ").alias("kept"))
 
 
 def micro_batch(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", X.micro_batch(F.col("doc_id"), 4).alias("batch"))
+    rows = batches.with_ordinal(_t(spark, d, "documents").select("doc_id"), "doc_id")
+    return rows.select("doc_id", batches.micro_batch(F.col("ordinal"), 4).alias("batch"))
 
 
 def length_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """Batches of prompts within fixed slices of 256 ids: by length, at most 8, none much longer than the batch's longest."""
-    import pandas as pd
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_chars", "doc_id"]).reset_index(drop=True)
-        out = []
-        for b, group in enumerate(clients.length_buckets(pdf["n_chars"].tolist())):
-            out += [(int(pdf["slice"].iloc[i]), int(pdf["doc_id"].iloc[i]), b) for i in group]
-        return pd.DataFrame(out, columns=["slice", "doc_id", "bucket"])
-
-    rows = _t(spark, d, "documents").select(F.floor(F.col("doc_id") / 256).cast("long").alias("slice"), "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
-    return rows.groupBy("slice").applyInPandas(cut, "slice long, doc_id long, bucket long")
+    """Batches of prompts by length, over the whole table: at most 8, none much longer than the batch's longest."""
+    rows = _t(spark, d, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"))
+    return batches.length_batches(rows, "n_chars", "doc_id").select("doc_id", "batch")
 
 
 def json_spread(spark: SparkSession, d: str) -> DataFrame:
@@ -131,21 +128,6 @@ def json_repair(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select("event_id", udfs.repair_json(text).alias("repaired"))
 
 
-def ground_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Of every document whether a benchmark-like value is a candidate match: contained, or a shared word."""
-    norm = X.match_text(F.col("text"))
-    value = X.match_text(F.concat(F.coalesce("lang", F.lit("")), F.lit(" "), F.coalesce("source", F.lit(""))))
-    shared = F.size(F.array_intersect(F.split(value, " "), F.split(norm, " ")))
-    return _t(spark, d, "documents").select("doc_id", F.coalesce((shared > 0) | F.contains(norm, value), F.lit(False)).alias("candidate"))
-
-
-def ordered_fold(spark: SparkSession, d: str) -> DataFrame:
-    """The order-dependent best of each order's lines: discount as score, tax as overlap."""
-    entry = F.struct(F.col("l_linenumber").cast("long").alias("ord"), F.col("l_discount").alias("score"), F.floor(F.col("l_tax") * 100 + 0.5).cast("long").alias("overlap"))
-    best = X.ordered_fold(F.array_sort(F.collect_list(entry)))
-    return _t(spark, d, "lineitem").groupBy("l_orderkey").agg(best.alias("b")).select("l_orderkey", F.col("b.score").alias("score"), F.col("b.overlap").alias("overlap"), F.col("b.ord").alias("ord"))
-
-
 def result_envelope(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
     status = F.when(F.col("quality").isNull(), "pending").when(F.col("quality") == 1, "success").otherwise("failed")
@@ -176,12 +158,14 @@ def search_index(spark: SparkSession, d: str) -> DataFrame:
 
 def match_value(spark: SparkSession, d: str) -> DataFrame:
     title = F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)
+    for name, char in (("&quot;", '"'), ("&copy;", "\xa9"), ("&middot;", "\xb7"), ("&amp;", "&")):
+        title = F.replace(title, F.lit(name), F.lit(char))
     return _t(spark, d, "pages").select("page_id", udfs.match_value("html", title).alias("m")).select("page_id", "m.*")
 
 
 def prune_pages(spark: SparkSession, d: str) -> DataFrame:
     p = Pipeline()
-    return p.prune(p.preprocess(_samples(spark, d))).select("id", F.size("chunks").alias("n_chunks"), "current_html", "stage_error")
+    return p.prune(p.preprocess(_samples(spark, d))).select("id", "current_html", "stage_error")
 
 
 def answer_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +185,7 @@ def extract_pages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = [
     extract_pages, scan_pages_url_flag, broadcast_request, normalize_for_match, normalize_display, schema_classifier, route_adapter, xpath_common_prefix, xpath_relative,
-    escape_and_prompt, parse_indices, select_nodes, regroup, micro_batch, length_buckets, json_spread, json_repair, ground_candidates, ordered_fold, result_envelope,
+    escape_and_prompt, parse_indices, select_nodes, regroup, micro_batch, length_buckets, json_spread, json_repair, result_envelope,
     clean_html, dom_nodes, visible_leaves, chunk_html, search_index, match_value, prune_pages, answer_pages, skeleton_pages,
 ]
 
@@ -229,6 +213,43 @@ def _schema(x: str) -> str:
 
 
 _PATHS = "paths AS (SELECT page_id, regexp_extract(url, '^https?://[^/]*(/[^?#]*)', 1) AS path, regexp_extract(url, '^https?://[^/]*/([^/?#]*)', 1) AS section FROM pages)"
+_LINKS = r"""links AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS href, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS said, regexp_extract(url, '^https?://[^/]*(/[^?#]*)', 1) AS path FROM pages)"""
+
+
+def _shared(paths: str) -> str:
+    """The longest common beginning, by steps, of a list of paths that begin with a slash."""
+    steps = f"list_transform({paths}, lambda x: string_split(substr(x, 2), '/'))"
+    upto = f"len(list_filter(range(1, len({steps}[1]) + 1), lambda k: len(list_filter({steps}, lambda y: list_slice(y, 1, k) <> list_slice({steps}[1], 1, k))) = 0))"
+    return f"'/' || array_to_string(list_slice({steps}[1], 1, {upto}), '/')"
+
+
+def _decoded(x: str) -> str:
+    for name, char in (("&quot;", '"'), ("&copy;", "\xa9"), ("&middot;", "\xb7"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{char}')"
+    return x
+
+
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _json(x: str) -> str:
+    return f"""('"' || replace(replace({x}, '\\', '\\\\'), '"', '\\"') || '"')"""
+
+
+# The pages of the test tables have one layout: links in a list, an advert, an article of a heading and paragraphs, some of which have unclosed bold
+# text before a line break, and a footer. For pages of that layout SQL can say what the operators find.
+_PIECES = f"""
+cut AS (SELECT page_id, unnest(regexp_extract_all(html, '<(?:title|style|script|a|div|h1|p|b|br|footer)(?: [^>]*)?>(?:var t="</p>";)?[^<]*')) AS t, generate_subscripts(regexp_extract_all(html, '<(?:title|style|script|a|div|h1|p|b|br|footer)(?: [^>]*)?>(?:var t="</p>";)?[^<]*'), 1) AS i FROM pages),
+named AS (SELECT page_id, i, regexp_extract(t, '^<([a-z0-9]+)', 1) AS tag, {_decoded("regexp_replace(t, '^<[^>]*>', '')")} AS raw, {_collapse(_decoded("regexp_replace(t, '^<[^>]*>', '')"))} AS text FROM cut),
+counted AS (SELECT *, count(*) FILTER (tag = 'p') OVER (PARTITION BY page_id ORDER BY i) AS p, count(*) FILTER (tag = 'p') OVER (PARTITION BY page_id) AS ps,
+  count(*) FILTER (tag = 'a') OVER (PARTITION BY page_id ORDER BY i) AS a, count(*) FILTER (tag = 'a') OVER (PARTITION BY page_id) AS links, lead(tag) OVER (PARTITION BY page_id ORDER BY i) AS next_tag FROM named),
+pieces AS (SELECT page_id, i, tag, raw, text, next_tag, links, CASE tag WHEN 'title' THEN '/html/head/title' WHEN 'style' THEN '/html/head/style' WHEN 'script' THEN '/html/head/script' WHEN 'div' THEN '/html/body/div'
+  WHEN 'h1' THEN '/html/body/article/h1' WHEN 'footer' THEN '/html/body/footer' WHEN 'a' THEN '/html/body/nav/ul/li' || CASE WHEN links > 1 THEN '[' || a || ']' ELSE '' END || '/a'
+  ELSE '/html/body/article/p' || CASE WHEN ps > 1 THEN '[' || p || ']' ELSE '' END || CASE WHEN tag = 'p' THEN '' ELSE '/b' END END AS xpath FROM counted)"""
+_INNER = _escaped("regexp_replace(" + _decoded("regexp_extract(html, '<h1>([^<]*)</h1>', 1)") + f", '{_SP}+', ' ', 'g')")
+_HEADS = f"""heads AS (SELECT page_id, page_id % 2 = 0 AS schema, {_collapse(_decoded("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))} AS t, {_escaped(_collapse(_decoded("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")))} AS e, {_INNER} AS inner_h FROM pages)"""
+
 _SAID = """said AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 6 = 1 THEN 'none' WHEN doc_id % 6 = 2 THEN 'none' WHEN doc_id % 6 = 3 THEN 'none' ELSE 'list' END AS kind, n_chars % 7 AS a, doc_id % 5 AS b FROM documents)"""
 
 
@@ -241,30 +262,62 @@ def oracle_sql() -> dict[str, str]:
         "normalize_display": f"SELECT doc_id, {_collapse('coalesce(text, chr(32))')} AS shown FROM documents",
         "schema_classifier": f"SELECT kind, id, {_schema('request')} AS is_schema FROM (SELECT 'conversation' AS kind, conv_id * 1000 + turn AS id, text AS request FROM conversations UNION ALL SELECT 'document', doc_id, text FROM documents UNION ALL SELECT 'event', event_id, props FROM events)",
         "route_adapter": f"SELECT conv_id, turn, CASE WHEN {_schema('text')} THEN 'schema' ELSE 'qa' END AS adapter, CASE WHEN turn % 5 = 4 OR text IS NULL THEN 'failed' ELSE 'success' END AS status FROM conversations",
-        "xpath_common_prefix": f"WITH {_PATHS} SELECT page_id, CASE WHEN path = '/' || section || '/other' THEN path WHEN starts_with(path, '/' || section || '/') OR path = '/' || section THEN '/' || section ELSE '/' END AS prefix FROM paths",
+        "xpath_common_prefix": f"WITH {_LINKS} SELECT page_id, {_shared("list_filter(list_concat(href, [path]), lambda x: x <> '')")} AS prefix FROM links",
         "xpath_relative": f"WITH {_PATHS} SELECT page_id, CASE WHEN coalesce(path, '') = '' THEN '/' WHEN section = '' THEN path WHEN path = '/' || section THEN '/' WHEN starts_with(path, '/' || section) THEN CASE WHEN substr(path, length(section) + 2, 1) = '/' THEN '' ELSE '/' END || substr(path, length(section) + 2) ELSE path END AS relative FROM paths",
-        "escape_and_prompt": f"WITH {_PATHS} SELECT page_id, 'Q which {{content}}?' || chr(10) || 'The entire chunk is under: ''' || replace(path, '''', '\\''') || '''' || chr(10) || '0 (''/'', ''it\\''s ' || replace(section, '''', '\\''') || ''')' || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) AS prompt FROM paths",
+        "escape_and_prompt": f"""
+WITH {_LINKS}, shared AS (SELECT page_id, href, said, CASE WHEN len(list_filter(href, lambda x: x <> '')) = 0 THEN '/' ELSE {_shared("list_filter(href, lambda x: x <> '')")} END AS prefix FROM links), q AS (SELECT page_id, prefix, list_transform(list_zip(href, said, range(len(href))), lambda z: 
+  z[3] || ' (''' || replace(CASE WHEN z[1] = '' OR z[1] = prefix THEN '/' WHEN prefix = '/' THEN z[1] WHEN starts_with(z[1], prefix) THEN CASE WHEN substr(z[1], length(prefix) + 1, 1) = '/' THEN '' ELSE '/' END || substr(z[1], length(prefix) + 1) ELSE z[1] END, '''', '\\''') || ''', ''it\\''s ' || replace(z[2], '''', '\\''') || ''')') AS lines FROM shared)
+SELECT page_id, 'Q which {{content}}?' || chr(10) || 'The entire chunk is under: ''' || replace(prefix, '''', '\\''') || '''' || CASE WHEN len(lines) > 0 THEN chr(10) ELSE '' END || array_to_string(lines, chr(10)) || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) AS prompt FROM q""",
         "parse_indices": f"WITH {_SAID} SELECT doc_id, kind IS NULL AS keep_all, CASE kind WHEN 'list' THEN a || ',' || b || ',-1,99' WHEN 'none' THEN '' END AS indices FROM said",
-        "select_nodes": f"WITH {_SAID} SELECT doc_id, CASE kind WHEN 'list' THEN CASE WHEN a < 4 THEN substr('abcd', a + 1, 1) ELSE '' END || CASE WHEN b < 4 THEN substr('abcd', b + 1, 1) ELSE '' END WHEN 'none' THEN '' ELSE 'abcd' END AS kept FROM said",
-        "regroup": "SELECT l_orderkey, string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY l_orderkey",
-        "micro_batch": "SELECT doc_id, doc_id // 4 AS batch FROM documents",
+        "select_nodes": f"""
+WITH {_SAID}, w AS (SELECT doc_id, string_split({_collapse("coalesce(text, chr(32))")}, ' ') AS words FROM documents)
+SELECT doc_id, CASE kind WHEN 'list' THEN array_to_string(list_transform(list_filter([a::BIGINT, b::BIGINT, 99], lambda i: i < len(words)), lambda i: words[i + 1]), '|') WHEN 'none' THEN '' ELSE array_to_string(words, '|') END AS kept FROM said JOIN w USING (doc_id)""",
+        "regroup": """
+WITH lines AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: string_split(x, ' ')) AS chunks FROM documents)
+SELECT doc_id, array_to_string(flatten(list_transform(list_filter(chunks, lambda c: len(c) > 2), lambda c: [c[2], c[1]])), ' ') AS kept FROM lines""",
+        "micro_batch": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS batch FROM documents",
+        "length_buckets": """
+WITH o AS (SELECT doc_id, coalesce(n_chars, 0) AS n, row_number() OVER (ORDER BY coalesce(n_chars, 0), doc_id) - 1 AS i FROM documents), j AS (SELECT *, CASE WHEN n > 1.3 * lag(n) OVER (ORDER BY i) + 50 THEN i END AS jump FROM o),
+s AS (SELECT doc_id, i, coalesce(max(jump) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS start FROM j) SELECT doc_id, start + (i - start) // 8 * 8 AS batch FROM s""",
         "json_spread": "SELECT event_id, event_type || user_id AS spread FROM events",
         "json_repair": "SELECT event_id, '{\"kind\": \"' || event_type || '\", \"id\": ' || event_id || '}' AS repaired FROM events",
-        "ground_candidates": f"WITH n AS (SELECT doc_id, {_match('text')} AS norm, {_match(chr(40) + 'coalesce(lang, chr(32)) || chr(32) || coalesce(source, chr(32)))')} AS value FROM documents) SELECT doc_id, list_has_any(string_split(value, ' '), string_split(norm, ' ')) OR contains(norm, value) AS candidate FROM n",
-        "ordered_fold": """
-WITH RECURSIVE e AS (SELECT l_orderkey, l_linenumber::BIGINT AS ord, l_discount AS score, CAST(floor(l_tax * 100 + 0.5) AS BIGINT) AS overlap,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_discount, l_tax) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem
-), f AS (
-  SELECT l_orderkey, 0::BIGINT AS i, 0.0::DOUBLE AS score, 0::BIGINT AS overlap, -1::BIGINT AS ord FROM (SELECT DISTINCT l_orderkey FROM e)
-  UNION ALL
-  SELECT f.l_orderkey, e.i, CASE WHEN e.score >= f.score AND e.overlap >= f.overlap THEN e.score ELSE f.score END, CASE WHEN e.score >= f.score AND e.overlap >= f.overlap THEN e.overlap ELSE f.overlap END,
-    CASE WHEN e.score >= f.score AND e.overlap >= f.overlap THEN e.ord ELSE f.ord END
-  FROM f JOIN e ON e.l_orderkey = f.l_orderkey AND e.i = f.i + 1
-)
-SELECT l_orderkey, score, overlap, ord FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY i DESC) AS r FROM f) WHERE r = 1""",
         "result_envelope": """
 SELECT d.doc_id, CASE WHEN toxic = 1 OR d.doc_id % 3 = 0 OR lang IS NULL THEN '{}' ELSE '{"lang":"' || lang || '"}' END AS prediction,
   CASE WHEN quality IS NULL THEN 'pending' WHEN quality = 1 THEN 'success' ELSE 'failed' END AS status,
   CASE WHEN quality IS NULL THEN 'Encountered error/pending status: Status.PENDING' WHEN quality = 1 THEN NULL ELSE 'Encountered error/pending status: Status.FAILED' END AS error
 FROM documents d LEFT JOIN labels USING (doc_id)""",
+        "visible_leaves": f"""
+WITH {_PIECES}, once AS (SELECT *, row_number() OVER (PARTITION BY page_id, text ORDER BY i) AS nth FROM pieces WHERE text <> '' AND tag NOT IN ('title', 'style', 'script'))
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, xpath, text FROM once WHERE nth = 1""",
+        "dom_nodes": f"""
+WITH {_PIECES}, menu AS (SELECT page_id, min(i) AS i, string_agg('<li><a href="' || {_escaped("regexp_extract(t, 'href=.([^>]*).>', 1)")} || '">' || {_escaped(_decoded("regexp_replace(t, '^<[^>]*>', '')"))} || '</a></li>', '' ORDER BY i) AS items FROM cut WHERE starts_with(t, '<a ') GROUP BY page_id),
+nodes AS (
+  SELECT page_id, i, xpath, CASE WHEN tag IN ('title', 'style', 'script') THEN text ELSE {_collapse(f"""'<' || tag || '>' || {_escaped("raw")} || '</' || tag || '>'""")} END AS content, 'text' AS type FROM pieces WHERE tag NOT IN ('a', 'b', 'br') AND NOT (tag = 'p' AND next_tag = 'b')
+  UNION ALL SELECT page_id, i, '/html/body/nav/ul', {_collapse("'<ul>' || items || '</ul>'")}, 'atomic' FROM menu
+  UNION ALL SELECT page_id, i, regexp_replace(xpath, '/b$', ''), {_collapse(f"""'<p><b>' || {_escaped("raw")} || '<br></b></p>'""")}, 'text' FROM pieces WHERE tag = 'b')
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS id, xpath, content, type FROM nodes""",
+        # the index closes nothing by implication: what follows unclosed bold text lies within it
+        "match_value": f"""
+WITH {_PIECES}, deep AS (SELECT *, count(*) FILTER (tag = 'b') OVER (PARTITION BY page_id ORDER BY i) AS level FROM pieces WHERE tag IN ('p', 'b')),
+ps AS (SELECT *, row_number() OVER (PARTITION BY page_id, level ORDER BY i) AS nth, count(*) OVER (PARTITION BY page_id, level) AS many FROM deep WHERE tag = 'p'),
+steps AS (SELECT page_id, level, '/p' || CASE WHEN max(many) > 1 THEN '[' || max(many) || ']' ELSE '' END || '/b' AS step FROM ps GROUP BY page_id, level),
+levels AS (SELECT l.page_id, l.level, coalesce(string_agg(s.step, '' ORDER BY s.level), '') AS prefix FROM (SELECT DISTINCT page_id, level FROM deep) l LEFT JOIN steps s ON s.page_id = l.page_id AND s.level < l.level GROUP BY l.page_id, l.level),
+placed AS (
+  SELECT page_id, i, text, xpath FROM pieces WHERE tag IN ('title', 'h1', 'a', 'div', 'footer')
+  UNION ALL SELECT page_id, i, text, '/html/body/article' || prefix || '/p' || CASE WHEN many > 1 THEN '[' || nth || ']' ELSE '' END FROM ps JOIN levels USING (page_id, level)
+  UNION ALL SELECT page_id, i, text, '/html/body/article' || prefix FROM deep JOIN levels USING (page_id, level) WHERE tag = 'b'),
+same AS (SELECT p.page_id, p.xpath, p.text, row_number() OVER (PARTITION BY p.page_id ORDER BY i DESC) AS nth FROM placed p JOIN (SELECT page_id, text FROM pieces WHERE tag = 'h1') h ON h.page_id = p.page_id AND h.text = p.text)
+SELECT page_id, text, xpath, CAST(0 AS INTEGER) AS sub_index, CAST(1.0 AS DOUBLE) AS score, true AS found FROM same WHERE nth = 1""",
+        "clean_html": f"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!DOCTYPE html>|<meta [^>]*>|<style>[^<]*</style>|<script>var t="</p>";[^<]*</script>|<!--[^>]*-->', '', 'g'), '<([a-z0-9]+) [^>]*>', '<\\1>', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(h, '<br>(<p>|</article>)', '<br></b></p>\\1', 'g') AS h FROM a), c AS (SELECT page_id, regexp_replace(h, '(</body>)?(</html>)?\\s*$', '</body></html>') AS h FROM b)
+SELECT page_id, replace(replace(replace(h, '&quot;', '"'), '&copy;', '\xa9'), '&middot;', '\xb7') AS clean FROM c""",
+        "skeleton_pages": f"""SELECT page_id, '<html lang="' || regexp_extract(html, '<html lang="([^"]*)"', 1) || '"><body><article><h1>' || {_escaped(_decoded("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))} || '</h1></article></body></html>' AS skeleton FROM pages""",
+        "prune_pages": f"WITH {_HEADS} SELECT CAST(page_id AS VARCHAR) AS id, '<html><head><title>' || e || '</title></head><body><h1><h1>' || inner_h || '</h1></h1></body></html>' AS current_html, CAST(NULL AS VARCHAR) AS stage_error FROM heads",
+        "answer_pages": f"""
+WITH {_HEADS} SELECT CAST(page_id AS VARCHAR) AS id, CASE WHEN schema THEN 'schema' ELSE 'qa' END AS adapter, 'success' AS status,
+  CASE WHEN schema THEN '```json' || chr(10) || '{{"title": ' || {_json("e")} || ', "heading": ' || {_json("e")} || '}}' || chr(10) || '```' ELSE '{{"answer": ' || {_json("e")} || '}}' END AS response FROM heads""",
+        "extract_pages": f"""
+WITH {_HEADS} SELECT CAST(page_id AS VARCHAR) AS id, CASE WHEN schema THEN '{{"title": ' || {_json("t")} || ', "heading": ' || {_json("t")} || '}}' ELSE {_json("e")} END AS prediction,
+  CASE WHEN schema THEN '{{"title": "/html/body/h1/h1", "heading": "/html/body/h1/h1"}}' END AS xpaths, 'success' AS status, CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS grounding_error FROM heads""",
     }

@@ -17,17 +17,12 @@ from .plans import Pipeline
 
 
 def process(spark: SparkSession, pipeline: Pipeline, requests: list[dict]) -> list[dict]:
-    """Results of requests, in their order. The list is one HTTP body, so it is small; the rows come back by their place in it."""
+    """Results of requests, in their order. The list is one HTTP body, so it is small."""
     if not requests:
         return []
-    rows = [r | {"id": str(i)} for i, r in enumerate(requests)]
-    samples = sources.fetch(sources.dicts(spark, rows))
-    got = {r["id"]: r for r in pipeline.run(samples).withColumn("prediction", F.coalesce("prediction", F.lit("{}"))).collect()}
-    out = []
-    for i, request in enumerate(requests):
-        r = got[str(i)]
-        out.append({"id": request.get("id", str(i)), "prediction": json.loads(r["prediction"]), "xpaths": json.loads(r["xpaths"]) if r["xpaths"] else None, "status": r["status"], "error": r["error"]})
-    return out
+    samples = sources.fetch(sources.dicts(spark, requests))
+    got = pipeline.run_in_order(samples).withColumn("prediction", F.coalesce("prediction", F.lit("{}"))).collect()
+    return [{"id": r["id"], "prediction": json.loads(r["prediction"]), "xpaths": json.loads(r["xpaths"]) if r["xpaths"] else None, "status": r["status"], "error": r["error"]} for r in got]
 
 
 def serve(spark: SparkSession, pipeline: Pipeline | None = None, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
@@ -68,4 +63,7 @@ def serve(spark: SparkSession, pipeline: Pipeline | None = None, host: str = "12
 
 
 if __name__ == "__main__":
-    serve(SparkSession.builder.appName("quarry").getOrCreate(), host=os.environ.get("QUARRY_HOST", "127.0.0.1"), port=int(os.environ.get("QUARRY_PORT", "8000"))).serve_forever()
+    from .runtime import from_environment, log_to
+
+    log_to(os.environ.get("QUARRY_LOG"))
+    serve(SparkSession.builder.appName("quarry").getOrCreate(), from_environment(), host=os.environ.get("QUARRY_HOST", "127.0.0.1"), port=int(os.environ.get("QUARRY_PORT", "8000"))).serve_forever()

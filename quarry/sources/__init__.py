@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -19,26 +20,36 @@ AGENT = "Mozilla/5.0 (X11; Linux x86_64; rv:128.0) Gecko/20100101 Firefox/128.0"
 def literals(spark: SparkSession, inputs: list[str] | str, query: str | None = None, schema=None) -> DataFrame:
     """Pages or addresses given as text; one request for all of them."""
     inputs = [inputs] if isinstance(inputs, str) else list(inputs)
-    return requests_of(spark.createDataFrame([(None, x, query, schema_text(schema)) for x in inputs], REQUEST))
+    return _listed(spark, [(None, x, query, schema_text(schema)) for x in inputs])
 
 
 def dicts(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """Requests as mappings with id, input_data, query, schema (or schema_model)."""
+    """Requests as mappings with id, input_data, query, schema (or schema_model). A sample, a mapping with content instead, is taken as it is."""
     text = lambda x: None if x is None else str(x)
-    return requests_of(spark.createDataFrame([(text(r.get("id")), r.get("input_data", ""), r.get("query"), schema_text(r.get("schema", r.get("schema_model")))) for r in rows], REQUEST))
+    return _listed(spark, [(text(r.get("id")), r.get("input_data", r.get("content", "")), r.get("query"), schema_text(r.get("schema", r.get("schema_model"))), r.get("is_content_url")) for r in rows])
+
+
+def _listed(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Samples of a list on the driver, with their places in it as ord."""
+    full = [(*r, *[None] * (5 - len(r)), i) for i, r in enumerate(rows)]
+    return requests_of(spark.createDataFrame(full, T.StructType([*REQUEST.fields, T.StructField("is_content_url", T.BooleanType()), T.StructField("ord", T.LongType())])))
 
 
 def requests_of(df: DataFrame) -> DataFrame:
-    """Samples of a request table; rows without an id get one from what they hold, the same on every run."""
-    made = F.sha2(F.concat_ws("\x01", F.coalesce("input_data", F.lit("")), F.coalesce("query", F.lit("")), F.coalesce("schema_model", F.lit(""))), 256)
+    """Samples of a request table; rows without an id get one from what they hold, the same on every run.
+
+    Equal requests are told apart by ord, the place of a row, where the table has it; without it equal rows without ids have equal ids and equal results.
+    """
+    place = [F.col("ord").cast("string")] if "ord" in df.columns else []
+    made = F.sha2(F.concat_ws("\x01", F.coalesce("input_data", F.lit("")), F.coalesce("query", F.lit("")), F.coalesce("schema_model", F.lit("")), *place), 256)
     content = F.coalesce("input_data", F.lit(""))
-    return df.select(F.coalesce("id", made).alias("id"), content.alias("content"), X.is_url(content).alias("is_content_url"), "query", "schema_model", F.lit("pending").alias("status"))
+    url = F.coalesce("is_content_url", X.is_url(content)) if "is_content_url" in df.columns else X.is_url(content)
+    return df.select(F.coalesce("id", made).alias("id"), content.alias("content"), url.alias("is_content_url"), "query", "schema_model", F.lit("pending").alias("status"), *(["ord"] if place else []))
 
 
 def html_files(spark: SparkSession, path: str, query: str | None = None, schema=None) -> DataFrame:
-    """Every .html or .htm file below a folder, or one file; another suffix is refused. Never taken for an address."""
-    last = path.rstrip("/").rpartition("/")[2]
-    if "." in last and not last.lower().endswith((".html", ".htm")):
+    """Every .html or .htm file below a folder, or one file; a file with another suffix is refused. Never taken for an address."""
+    if _is_file(spark, path) and not path.lower().endswith((".html", ".htm")):
         raise ValueError(f"not an HTML file: {path}")
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[hH][tT][mM]*").format("binaryFile").load(path)
     return files.where(F.lower("path").rlike("\\.html?$")).select(
@@ -46,6 +57,15 @@ def html_files(spark: SparkSession, path: str, query: str | None = None, schema=
     )
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    """Asks the file system that the path belongs to; patterns of paths are no files."""
+    if "://" not in path and os.path.exists(path):
+        return os.path.isfile(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not set(path) & set("*?[{") and files.exists(at) and files.getFileStatus(at).isFile()
+
+
 def fetch_one(url: str, timeout: float = 15) -> tuple[str | None, str | None]:
     """(page, error) of an address."""
     import requests

@@ -66,10 +66,18 @@ def test_listing(spark):
     assert got == "The entire chunk is under: '/a/b'\n0 ('/c', 'it\\'s')\n1 ('/', 't')"
 
 
-def test_fold_is_no_maximum(spark):
-    e = lambda *r: F.array(*[F.struct(F.lit(s).alias("score"), F.lit(o).alias("overlap"), F.lit(i).alias("ord")) for i, (s, o) in enumerate(r)])
-    got = one(spark, *[X.ordered_fold(e(*r))["ord"] for r in (((0.5, 2), (0.9, 1)), ((0.9, 1), (0.5, 2)), ((0.5, 1), (0.5, 1)))])
-    assert got == (0, 0, 1)
+def test_fold_is_no_maximum(monkeypatch):
+    from quarry.operators import grounding
+
+    def kept(*entries):
+        chunks = [f"{'w v u'[: 2 * o - 1]} {'x' * i}" for i, (_, o) in enumerate(entries)]
+        scores = {c: s for c, (s, _) in zip(chunks, entries)}
+        monkeypatch.setattr(grounding, "similarity", lambda c, _: scores[c])
+        monkeypatch.setattr(grounding, "_most", lambda c, _: 1.0)
+        index = [{"chunk": c, "norm_chunk": c, "norm_tokens": c.split(), "xpath": str(i), "sub_index": 0} for i, c in enumerate(chunks)]
+        return int(grounding.match("w v u", index)["xpath"])
+
+    assert [kept((0.5, 2), (0.9, 1)), kept((0.9, 1), (0.5, 2)), kept((0.5, 1), (0.5, 1))] == [0, 0, 1]
 
 
 @pytest.mark.parametrize(

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import sys
+import time
 
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from quarry.operators import clients, grounding, udfs
+from quarry.functions import dom
+from quarry.operators import batches, clients, grounding, udfs
 from quarry.operators import html_ops as H
 from quarry.plans import Pipeline, Settings
 
@@ -99,7 +102,6 @@ def test_rebuild():
     kept = [[n for n in H.nodes(PAGE) if n["xpath"].endswith("h1")]]
     assert "Lamp 300" in H.merge(kept, PAGE) and "Reviews" not in H.merge(kept, PAGE)
     assert "Reviews" in H.merge([[]], PAGE) and "Reviews" in H.merge(None, PAGE)
-    assert H.merge_texts(["a", " ", "b"]) == "\nchunk number 0\na\nchunk number 2\nb"
 
 
 def test_skeleton():
@@ -172,3 +174,103 @@ def test_udfs_over_nulls(spark):
     df = spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "k int, html string")
     got = {r["k"]: r for r in df.select("k", udfs.clean_html("html").alias("c"), F.size(udfs.dom_nodes("html")).alias("n"), F.size(udfs.visible_leaves("html")).alias("l"), F.size(udfs.search_index("html")).alias("s")).collect()}
     assert got[1]["n"] == 8 and got[2]["c"] == "" and got[2]["n"] == got[3]["s"] == 0
+
+
+MALFORMED = ["<p>a<![x[ b]]></p>", "</>", "<a '" * 3000, '<a x="' * 2001, '<a x=">"' * 2000, "<!--" * 500, "<![CDATA[" * 500, "<", "<b", "</b", "<p class='x>open</p><p>next</p>", "<b>" * 3000 + "x", "\x00<\x00>", "&#xFFFFFFFF;&#0;&bogus;"]
+
+
+@pytest.mark.parametrize("page", MALFORMED)
+def test_malformed_pages_raise_nothing(page):
+    for f in (H.clean, H.structural_clean, H.nodes, H.visible_leaves, H.search_index, H.chunk):
+        f(page)
+    H.skeleton(page, [{"xpath": "/html"}])
+
+
+def test_malformed_pages_keep_their_text():
+    assert H.clean("<p>a<![x[ b]]></p>") == "<p>a</p>" and H.clean("</>") == "" and H.nodes("</>") == []
+    assert "next" in H.clean("<p class='x>open</p><p>next</p>")
+    assert H.clean("<div><svg/><p>x</p></div>").count("x") == 1
+    assert dom.to_string(dom.parse("1 < 2 <b>x</b>", nested=True)) == "1 &lt; 2 <b>x</b>"
+    assert dom.parse("<title>a<b>&amp;</title><p>", nested=True).elements()[0].text_content() == "a<b>&"
+
+
+def test_time_grows_with_length():
+    for page in ("<a '" * 250_000, '<a x="' * 150_001, "<b>" * 20_000 + "<hr>" * 20_000 + "</i>" * 20_000, "<div>" * 20_000 + "word " * 2_000):
+        began = time.time()
+        H.clean(page)
+        H.nodes(page)
+        H.visible_leaves(page)
+        H.search_index(page)
+        assert time.time() - began < 10
+
+
+def test_failing_rows_are_null():
+    def f(x):
+        return 1 // x
+
+    assert udfs._each(f, pd.Series([1, 0, -1])).tolist() == [1, None, -1]
+
+
+def test_pipeline_isolates_malformed_pages(spark):
+    schema = '{"heading": "string"}'
+    df = _samples(spark, [PAGE, *MALFORMED, "", None, PAGE], [schema] * (len(MALFORMED) + 4)).repartition(3)
+    got = {int(r["id"]): r for r in Pipeline().run(df).collect()}
+    assert len(got) == len(MALFORMED) + 4
+    assert json.loads(got[0]["prediction"]) == json.loads(got[max(got)]["prediction"]) == {"heading": "Lamp 300", "title": "Shop"}
+    assert got[2]["status"] == got[max(got) - 1]["status"] == got[max(got) - 2]["status"] == "failed" and "nothing is left" in got[2]["error"]
+
+
+def test_prune_without_chunks(spark):
+    df = _samples(spark, [PAGE, PAGE.replace("Lamp", "BROKEN")], ['{"heading": "s"}'] * 2)
+    real = Pipeline().preprocess(df)
+    broken = real.withColumn("chunks", F.when(F.col("content").contains("BROKEN"), F.lit(None)).otherwise(F.col("chunks")))
+    got = {r["id"]: r for r in Pipeline.results(Pipeline().postprocess(Pipeline().extract(Pipeline().prune(broken)))).collect()}
+    assert got["0"]["status"] == got["1"]["status"] == "success"
+
+
+class Batch:
+    """A batch client that fails whole where a prompt is bad."""
+
+    def call_many(self, prompts, adapter=None, **options):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("no")
+        return [f"{p}:{options.get('temperature')}" for p in prompts]
+
+
+def test_batch_clients_fail_by_slot():
+    seen = []
+    assert clients.call_batch(Batch(), ["a", "bad", "c"], callback=lambda i, r, e: seen.append((i, r, e is None)), temperature=1) == ["a:1", None, "c:1"]
+    assert seen == [(0, "a:1", True), (1, None, False), (2, "c:1", True)]
+    assert clients.call_batch(Batch(), list("abcde"), chunk_size=2) == [f"{x}:None" for x in "abcde"]
+    with pytest.raises(RuntimeError):
+        clients.call_batch(Batch(), ["bad"], raise_on_error=True)
+
+
+class Telling:
+    def call(self, prompt, adapter=None, **options):
+        return "[]" if adapter == "pruner" else json.dumps({"answer": f"{adapter} {options['temperature']} {options['max_tokens']}"})
+
+
+def test_options_by_stage_and_own_stages(spark):
+    df = _samples(spark, [PAGE], ["What?"])
+    p = Pipeline.from_config({"options": {"qa": {"max_tokens": 9}}, "max_tokens": 300}, Telling)
+    assert p.settings.max_tokens == 300 and json.loads(p.run(df).first()["prediction"]) == "qa 1.0 9"
+    own = Pipeline(replaced={"prune": lambda d: d.withColumn("current_html", F.lit("<h1>mine</h1>"))})
+    assert json.loads(own.run(df).first()["prediction"]) == "mine"
+    assert clients.shared(Telling) is clients.shared(Telling)
+
+
+def test_ordinals_and_batches(spark):
+    df = spark.createDataFrame([(i, [5, 5, 900, 7, 5][i % 5] if i % 7 else 5) for i in range(200)], "k long, n long").repartition(5)
+    got = {r["k"]: r["batch"] for r in batches.length_batches(df, "n", "k").collect()}
+    order = sorted(range(200), key=lambda i: ([5, 5, 900, 7, 5][i % 5] if i % 7 else 5, i))
+    lengths = [([5, 5, 900, 7, 5][i % 5] if i % 7 else 5) for i in order]
+    want, at = {}, 0
+    for group in clients.length_buckets(lengths):
+        want |= {order[j]: at for j in group}
+        at += len(group)
+    assert got == want
+    empty = df.where("k < 0")
+    assert batches.with_ordinal(empty, "k").count() == batches.length_batches(empty, "n", "k").count() == 0
+    nulls = spark.createDataFrame([(None,), (1,), (None,)], "k long")
+    assert sorted(r["ordinal"] for r in batches.with_ordinal(nulls, "k").collect()) == [0, 1, 2]

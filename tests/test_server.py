@@ -29,6 +29,11 @@ def test_server(spark):
     many = call("/process_batch", [{"id": "b", "input_data": page, "query": "Heading?"}, {"id": "a", "input_data": ""}])
     assert [m["id"] for m in many] == ["b", "a"] and many[0]["prediction"] == "Big Lamp" and many[1]["status"] == "failed"
     assert call("/process_batch", []) == []
+    from quarry import client
+
+    assert client.ask(base, page, "Heading?")["prediction"] == "Big Lamp"
+    same = client.ask_many(base, [page, page, ""], schema={"heading": "string"})
+    assert [m["status"] for m in same] == ["success", "success", "failed"] and same[0]["id"] != same[1]["id"]
     for path, body, code in (("/process", [1], 422), ("/nowhere", {}, 404)):
         with pytest.raises(urllib.error.HTTPError) as e:
             call(path, body)

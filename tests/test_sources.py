@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import http.server
+import os
 import threading
 
 import duckdb
@@ -20,6 +21,10 @@ def test_literals_and_dicts(spark):
     got = sources.literals(spark, ["<p>x</p>", " http://a.b"], schema={"a": 1}).collect()
     assert [r["is_content_url"] for r in got] == [False, True] and got[0]["schema_model"] == '{"a": 1}' and got[0]["id"] != got[1]["id"]
     rows = sources.dicts(spark, [{"id": 7, "input_data": "<p>"}, {}]).collect()
+    twice = sources.dicts(spark, [{"input_data": "<p>"}, {"input_data": "<p>"}]).collect()
+    assert twice[0]["id"] != twice[1]["id"] and [r["ord"] for r in twice] == [0, 1]
+    sample = sources.dicts(spark, [{"id": "s", "content": "http://not.asked", "is_content_url": False}]).first()
+    assert sample["is_content_url"] is False and sample["content"] == "http://not.asked"
     assert rows[0]["id"] == "7" and rows[1]["content"] == "" and rows[1]["is_content_url"] is False and rows[1]["status"] == "pending"
 
 
@@ -31,6 +36,10 @@ def test_html_files(spark, tmp_path):
     assert sorted(r["content"] for r in got) == ["<p>é</p>", "http://not.an.address"] and not any(r["is_content_url"] for r in got)
     with pytest.raises(ValueError):
         sources.html_files(spark, str(tmp_path / "c.txt"))
+    site = tmp_path / "site.com"
+    site.mkdir()
+    (site / "d.html").write_text("<p>d</p>")
+    assert sources.html_files(spark, str(site)).count() == sources.html_files(spark, str(site / "d.html")).count() == 1
 
 
 class _Handler(http.server.BaseHTTPRequestHandler):
@@ -72,8 +81,6 @@ def test_stream(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def duck():
-    import os
-
     c = duckdb.connect()
     for t in os.listdir(SMALL):
         c.sql(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{SMALL}/{t}'")
@@ -98,3 +105,37 @@ def test_runs_whole(spark, name):
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.where(F.col("status") == "success").count() == 50
+
+
+def test_storage(spark):
+    from quarry import storage
+
+    with storage.scope():
+        df = storage.written(spark.range(5).toDF("k"), "numbers")
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(os.path.dirname(path))
+    df = storage.written(spark.range(5).toDF("k"), "numbers")
+    path = df.inputFiles()[0].removeprefix("file://")
+    storage.drop(df)
+    assert not os.path.exists(path)
+
+
+def test_runtime(tmp_path, monkeypatch):
+    import random
+
+    from quarry import runtime
+
+    runtime.seed(3)
+    one = random.random()
+    runtime.seed(3)
+    assert random.random() == one
+    runtime.log_to(str(tmp_path / "log")).info("here")
+    assert "here" in (tmp_path / "log").read_text()
+    runtime.log_to()
+    monkeypatch.setenv("QUARRY_CLIENT", "remote")
+    monkeypatch.setenv("QUARRY_URL", "http://x")
+    assert runtime.from_environment().factory().url == "http://x"
+    monkeypatch.setenv("QUARRY_CLIENT", "none")
+    with pytest.raises(ValueError):
+        runtime.from_environment()
