@@ -25,8 +25,8 @@ from . import textkernel as tk
 MIN_WORDS = 50
 MAX_REPEAT_WORDS_PCT = 50
 MIN_REPEAT = 6
-MAX_COVERED_PCT = 40
-MAX_LONGEST_PCT = 35
+MAX_COVERED_PCT = 25
+MAX_LONGEST_PCT = 15
 
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
