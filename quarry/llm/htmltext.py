@@ -1,10 +1,15 @@
 """HTML extraction: flat text blocks, judged by a decision tree over their own and their neighbours' words and links.
 
 A page is cut at block-level tags into flat blocks. A block's features are its words and link density, those of the blocks before and after, what kinds
-of element it lies in (by tag, role and the words of class and id), and its tag. A CART tree, trained here on the table in ``labelled_blocks``,
+of element it lies in (by tag, role and the names in class and id), and its tag. A CART tree, trained here on the table in ``labelled_blocks``,
 says which blocks are main text. Scripts, styles, comments and other unseen content never become blocks.
 
-Defined results: null or blank html, and pages without main text, give the empty string; tags that aren't closed or never opened are tolerated;
+A name counts by its telling words, unless it says what a wrapper has or in which state it is (``has-sidebar``, ``content-with-sidebar``, ``menu-open``); names of html and
+body don't count. An element whose name calls it boilerplate but that holds most of the page's words and, beside it, next to nothing that could be main text, is a
+wrapper: its name doesn't count either.
+
+Defined results: null or blank html, and pages without main text, give the empty string; tags that aren't closed or never opened are tolerated, and what
+holds text of its own kind (svg, button, select, object and the like) holds nothing if it is never closed; a page of any length takes time that grows with its length;
 truncated references stay as they are; repeated rows are extracted each on its own; an empty table gives an empty result; other columns are not read.
 """
 
@@ -19,17 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions import dom
 from . import labelled_blocks
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|object|svg|canvas|math|textarea|title|select|button|xmp|noembed|noframes)(?=[\s/>])(?P<rawattr>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attr>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-    r"|<(?P<close2>/?)(?P<tag2>[a-z][^\s/>]*)(?P<attr2>[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"([a-z][\w:-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([a-z][\w:-]*)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
+_WHOLE = {"button": "form", "select": "form", "svg": "hidden", "math": "hidden", "canvas": "hidden", "object": "hidden", "template": "hidden", "noscript": "hidden"}  # text of another kind, until they are closed
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input picture source font nobr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
@@ -38,6 +37,8 @@ _HOLDS = frozenset("table ul ol dl div article section main aside nav body html
 
 KINDS = ["nav", "header", "footer", "aside", "form", "hidden", "ad", "notice", "comment", "share", "article", "main"]
 _BIT = {k: 1 << i for i, k in enumerate(KINDS)}
+_CONTENT = _BIT["article"] | _BIT["main"]
+_BOILERPLATE = sum(_BIT.values()) & ~_CONTENT
 _BY_TAG = {"nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form", "article": "article", "main": "main", "dialog": "notice", "head": "hidden"}
 _BY_ROLE = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "alert": "notice", "alertdialog": "notice", "dialog": "notice", "main": "main", "article": "article", "menu": "nav", "menubar": "nav"}
 _BY_WORD = {
@@ -56,94 +57,130 @@ _BY_WORD = {
     for w in ws.split()
 }
 _HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
-_SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+_WORDS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+_ABOUT = frozenset("has no with without is not hide show js".split())  # a name that begins so, and what follows within it, is about something else
+_STATES = frozenset("open opened closed active inactive enabled disabled visible fixed sticky collapsed expanded on off toggled ready loaded".split())
+
+
+def _named(value: str) -> int:
+    """The kinds that the names in a class or id tell of."""
+    k = 0
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.split(name) if w]
+        about = next((i for i, w in enumerate(words) if w in _ABOUT), len(words))
+        words = words[:about]
+        if not words or words[-1] in _STATES:
+            continue
+        for w in words:
+            if w in _BY_WORD:
+                k |= _BIT[_BY_WORD[w]]
+        if words[-1] == "header" and not {"article", "post", "entry", "story"} & set(words):
+            k |= _BIT["header"]
+    return k
 
 
-def _kind(tag: str, attr: str) -> int:
-    k = _BIT.get(_BY_TAG.get(tag, ""), 0)
-    if "=" not in attr and "hidden" not in attr.lower():
-        return k
+def _kind(tag: str, attr: str) -> tuple[int, int]:
+    """The kinds of an element by its tag and role, and by its names."""
+    k, named = _BIT.get(_BY_TAG.get(tag, ""), 0), 0
+    if tag in ("html", "body") or "=" not in attr and "hidden" not in attr.lower():
+        return k, named
     for name, a, b, c in _ATTR.findall(attr):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words = [w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", value) if w]
-            for w in words:
-                if w in _BY_WORD:
-                    k |= _BIT[_BY_WORD[w]]
-            if words and words[-1] == "header" and not {"article", "post", "entry", "story"} & set(words):
-                k |= _BIT["header"]
+            named |= _named(value)
         elif name == "role":
             k |= _BIT.get(_BY_ROLE.get(value.lower(), ""), 0)
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
             k |= _BIT["hidden"]
-    return k
+    return k, named
 
 
 class Block:
-    __slots__ = ("text", "words", "links", "kinds", "tag", "label")
+    __slots__ = ("text", "words", "links", "kinds", "tag", "label", "within")
+
+    def __init__(self, text: str, links: int, kinds: int, tag: str, label: bool, within: tuple[int, ...]):
+        self.text, self.words, self.links, self.kinds, self.tag, self.label, self.within = text, text.count(" ") + 1, links, kinds, tag, label, within
+
 
-    def __init__(self, text: str, links: int, kinds: int, tag: str, label: bool):
-        self.text, self.words, self.links, self.kinds, self.tag, self.label = text, text.count(" ") + 1, links, kinds, tag, label
+def _unclosed(found: list[tuple]) -> set[int]:
+    """Places of the starts of _WHOLE elements that are never closed; none of these lies in its like."""
+    open_: dict[str, int] = {}
+    out = set()
+    for i, (kind, tag, _, closed) in enumerate(found):
+        if kind is dom.START and tag in _WHOLE and not closed:
+            if tag in open_:
+                out.add(open_[tag])
+            open_[tag] = i
+        elif kind is dom.END:
+            open_.pop(tag, None)
+    return out | set(open_.values())
 
 
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, white space in each made one space."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    # (tag, kinds, whether its label says main text, the elements it lies in whose names count)
+    stack: list[tuple[str, int, bool, tuple[int, ...]]] = [("", 0, False, ())]
+    names: list[int] = []  # the named kinds of those elements
     parts: list[str] = []
     linked: list[str] = []
     link_depth = 0  # of the stack where a link was opened; 0: none
+    open_: dict[str, int] = {}
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                tag, kinds, label = stack[-1]
-                out.append(Block(text, len("".join(linked).split()), kinds, tag, label))
+                tag, kinds, label, within = stack[-1]
+                out.append(Block(text, len("".join(linked).split()), kinds, tag, label, within))
         linked.clear()
 
-    def say(s: str) -> None:
-        if s:
-            if "&" in s:
-                s = html.unescape(s)
-            parts.append(s)
-            if link_depth:
-                linked.append(s + " ")
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        if m["raw"]:
-            if m["raw"].lower() not in ("svg", "canvas", "math"):
-                flush()
+    def push(tag: str, kinds: int, label: bool, within: tuple[int, ...]) -> None:
+        stack.append((tag, kinds, label, within))
+        open_[tag] = open_.get(tag, 0) + 1
+
+    def pop(upto: int) -> None:
+        for e in stack[upto:]:
+            open_[e[0]] -= 1
+        del stack[upto:]
+
+    found = list(dom.tokens(page))
+    ignored = _unclosed(found)
+    for place, (kind, tag, attr, closed) in enumerate(found):
+        if kind is dom.TEXT:
+            if not attr:  # else it is the text of a script or the like
+                s = html.unescape(tag) if "&" in tag else tag
+                parts.append(s)
+                if link_depth:
+                    linked.append(s + " ")
             continue
-        tag = m["tag"] or m["tag2"]
-        if not tag:
+        if kind is dom.NOTE:
             continue
-        tag, closing, attr = tag.lower(), bool(m["close"] or m["close2"]), m["attr"] if m["tag"] else m["attr2"]
+        closing = kind is dom.END
         if tag == "a":
             link_depth = 0 if closing else len(stack)
             continue
         if tag in _INLINE:
-            if not closing and attr and ("hidden" in attr or "style" in attr) and _kind(tag, attr) & _BIT["hidden"] and tag not in _VOID:
+            if not closing and attr and ("hidden" in attr or "style" in attr) and tag not in _VOID and _kind(tag, attr)[0] & _BIT["hidden"]:
                 flush()
-                stack.append((tag, stack[-1][1] | _BIT["hidden"], False))
+                push(tag, stack[-1][1] | _BIT["hidden"], False, stack[-1][3])
             elif closing and stack[-1][0] == tag:
                 flush()
-                stack.pop()
+                pop(len(stack) - 1)
             continue
         if tag == "br":
             parts.append(" ")
             continue
+        if place in ignored or closed and tag in _WHOLE:
+            continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_.get(tag):
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                pop(i)
             if link_depth > len(stack):
                 link_depth = 0
             continue
@@ -154,29 +191,49 @@ def blocks(page: str) -> list[Block]:
             ends = ends or {"p"}
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in ends:
-                    del stack[i:]
+                    pop(i)
                     break
                 if stack[i][0] in _HOLDS and tag not in ("tr", "td", "th") or stack[i][0] == "table":
                     break
         if link_depth > len(stack):
             link_depth = 0
-        _, kinds, _ = stack[-1]
-        new = _kind(tag, attr)
+        _, kinds, _, within = stack[-1]
+        new, named = _kind(tag, attr)
+        if tag in _WHOLE:
+            new |= _BIT[_WHOLE[tag]]
         if tag == "header" and kinds & (_BIT["article"]):
             new &= ~_BIT["header"]  # an article's own head
-        stack.append((tag, kinds | new, ' y=1' in attr))
-    say(page[at:])
+        if named & _BOILERPLATE:
+            within = (*within, len(names))
+            names.append(named)
+            named = 0
+        if len(stack) < dom.DEPTH:
+            push(tag, kinds | new | named, " y=1" in attr, within)
     flush()
+    _name(out, names)
     return out
 
 
-# --- features and the tree ----------------------------------------------------------------------------
+def _name(found: list[Block], names: list[int]) -> None:
+    """Adds to blocks the kinds of the names that they lie in, but for those of wrappers."""
+    total = np.zeros(len(names))
+    for b in found:
+        for i in b.within:
+            total[i] += b.words - b.links
+    every = sum(b.words - b.links for b in found)
+    for i in range(len(names)):
+        if 2 * total[i] > every:
+            beside = sum(b.words - b.links for b in found if i not in b.within and not functools.reduce(int.__or__, (names[j] for j in b.within), b.kinds) & _BOILERPLATE)
+            if 10 * beside < total[i]:
+                names[i] = 0
+    for b in found:
+        for i in b.within:
+            b.kinds |= names[i]
 
-FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", *KINDS, "in_boilerplate", "in_content", "page_has_content", "heading", "listed"]
-_CONTENT = _BIT["article"] | _BIT["main"]
-_BOILERPLATE = sum(_BIT.values()) & ~_CONTENT
 
+# features and the tree
 
+FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", *KINDS, "in_boilerplate", "in_content", "page_has_content", "heading", "listed"]
 def features(found: list[Block]) -> np.ndarray:
     n = len(found)
     x = np.zeros((n, len(FEATURES)))

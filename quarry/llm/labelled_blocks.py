@@ -36,6 +36,8 @@ SKELETONS = [
     """<body><p>~30</p><main><p y=1>@1</p><ul><li y=1><a href=x>@3</a><li y=1><a href=x>@2</a></ul><p y=1>@5</p></main><div>@5</div><p>~35</p></body>""",
     """<body><div class=story><h1 y=1>@3</h1><p y=1>@2</p><p y=1><a href=x>@5</a></p><p y=1>~20</p></div></body>""",
     """<body><section class=article-content><p y=1>~22</p><p y=1>@1</p></section><div>~25</div></body>""",
+    """<body class="has-sidebar menu-open"><div class="menu"><a href=x>@1</a><a href=x>@2</a></div><div id="content-with-sidebar"><h1 y=1>@4</h1><p y=1>~30</p><p y=1>~4</p><button>@1</button><p y=1>~20</p></div><div class="sidebar-left"><p>~14</p></div></body>""",
+    """<body><div class="page nav-open"><svg class=i></svg><h1 y=1>@5</h1><p y=1>~40</p><select><option>@1<option>@2</select><p y=1>@3</p><p y=1>~25</p><div class="post-comments"><p>~30</p></div></div></body>""",
 ]
 
 
