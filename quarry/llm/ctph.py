@@ -123,7 +123,7 @@ def fingerprints(texts: pa.Array) -> Prints:
     return _join([_prints(c) for c in tk.chunks(tk.strings(texts))])
 
 
-# --- comparison -------------------------------------------------------------------------------------
+# comparison
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -189,7 +189,7 @@ def compare(a: Prints, b: Prints) -> np.ndarray:
     return np.where(same, 1.0, out)
 
 
-# --- over tables ------------------------------------------------------------------------------------
+# over tables
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

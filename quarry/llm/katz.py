@@ -308,7 +308,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("id", id_col)
 
 
-# --- the model as tables ------------------------------------------------------------------------------
+# the model as tables
 
 
 def ngram_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, unit_bytes: int = UNIT_BYTES) -> tuple[DataFrame, DataFrame]:

@@ -35,7 +35,7 @@ HOT_SHARE = 1000  # a key is hot from 1/HOT_SHARE of all postings on; so at most
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
-# --- the filter -----------------------------------------------------------------------------------
+# the filter
 
 
 class CuckooFilter:
@@ -128,7 +128,7 @@ class CuckooFilter:
                     break
 
 
-# --- keys -----------------------------------------------------------------------------------------
+# keys
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -260,7 +260,7 @@ def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _apply(docs.select(id_col, text_col), lost, id_col, run, f"`{id_col}` {id_type}, n_lines long, n_dropped long, kept_sha256 string")
 
 
-# --- the incremental store ------------------------------------------------------------------------
+# the incremental store
 
 
 class LineStore:

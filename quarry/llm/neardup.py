@@ -91,7 +91,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, n long, f1 long, f2 long, sketch binary, keys binary")
 
 
-# --- nodes ----------------------------------------------------------------------------------------------
+# nodes
 
 
 def _alike(x: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -216,7 +216,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(pa.Table.from_batches(carry))
 
 
-# --- confirmation ---------------------------------------------------------------------------------------
+# confirmation
 
 
 def exact_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:

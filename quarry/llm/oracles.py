@@ -96,4 +96,70 @@ WITH rows_ AS (
 SELECT doc_id, domain, lang, source, epoch, n_tokens FROM ordered WHERE rest >= tokens OR coalesce(earlier, 0) < rest
 """
 
-SQL = {"op4_source_mixing": OP4, "op2_chat_formatting": OP2, "op5_line_dedup": OP5, "op7_substring_dedup": OP7}
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+OP3 = f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_SPACE}+'), lambda w: w <> '') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 2], ' ') AS s FROM (SELECT doc_id, words, unnest(CASE WHEN len(words) >= 3 THEN range(1, len(words) - 1) WHEN len(words) > 0 THEN [1] ELSE [] END) AS pos FROM split)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(least.least, d.doc_id)) AS component_id, d.doc_id <= coalesce(least.least, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
+def _longest() -> str:
+    """CTEs that end in s0 (doc_id, lo): the words of the longest passage that occurs again, by binary search over hashes of 1, 2, 4, ... words."""
+    out = ["h0 AS MATERIALIZED (SELECT doc_id, pos, hash(word) AS h FROM placed)"]
+    for j in range(1, 15):
+        out.append(f"h{j} AS MATERIALIZED (SELECT * FROM (SELECT doc_id, pos, CASE WHEN lead(h, {1 << j - 1}) OVER w IS NOT NULL THEN hash(h, lead(h, {1 << j - 1}) OVER w) END AS h FROM h{j - 1} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE h IS NOT NULL)")
+    levels = " UNION ALL ".join(f"SELECT doc_id, {j} AS j FROM h{j} GROUP BY doc_id, h HAVING count(*) > 1" for j in range(15))
+    out.append(f"tops AS MATERIALIZED (SELECT doc_id, max(j) AS top FROM ({levels}) GROUP BY doc_id)")
+    mine = " UNION ALL ".join(f"SELECT doc_id, pos, h FROM h{j} JOIN tops USING (doc_id) WHERE top = {j}" for j in range(15))
+    out.append(f"mine AS MATERIALIZED ({mine})")
+    out.append("s14 AS MATERIALIZED (SELECT doc_id, CASE WHEN top IS NULL THEN 0 ELSE 1 << top END AS lo, coalesce(top, -1) AS top FROM split LEFT JOIN tops USING (doc_id))")
+    for j in range(13, -1, -1):
+        out.append(f"a{j} AS MATERIALIZED (SELECT doc_id, h, pos + lo + {1 << j} - (1 << top) AS to_ FROM mine JOIN s{j + 1} USING (doc_id) WHERE top > {j})")
+        out.append(f"r{j} AS MATERIALIZED (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM a{j} JOIN (SELECT doc_id, pos AS to_, h AS then_ FROM mine) USING (doc_id, to_) GROUP BY doc_id, h, then_ HAVING count(*) > 1))")
+        out.append(f"s{j} AS MATERIALIZED (SELECT s{j + 1}.doc_id, CASE WHEN r{j}.doc_id IS NULL THEN lo ELSE lo + {1 << j} END AS lo, top FROM s{j + 1} LEFT JOIN r{j} USING (doc_id))")
+    return ", ".join(out)
+
+
+def _repeated(n: int) -> str:
+    """Words of each document that lie in windows of n words that occur again in it."""
+    return f"""(SELECT doc_id, count(*) AS words FROM (SELECT DISTINCT doc_id, unnest(range(pos, pos + {n})) AS pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, gram) AS many FROM (
+      SELECT doc_id, pos, array_to_string(words[pos:pos + {n - 1}], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - {n - 2})) AS pos FROM split WHERE len(words) >= {n}))) WHERE many > 1) GROUP BY doc_id)"""
+
+
+OP6 = f"""
+WITH split AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+placed AS MATERIALIZED (SELECT doc_id, generate_subscripts(words, 1) AS pos, unnest(words) AS word FROM split),
+{_longest()},
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM split) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+figures AS (
+  SELECT doc_id, CAST(len(split.words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(split.words, lambda w: length(w))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    coalesce(lines.n, 0) AS n_dup_lines, coalesce(three.words, 0) AS n_repeat_words, coalesce(six.words, 0) AS covered_words, CAST(lo AS BIGINT) AS longest_repeat
+  FROM split LEFT JOIN lines USING (doc_id) LEFT JOIN (SELECT doc_id, words FROM {_repeated(3)}) three USING (doc_id) LEFT JOIN (SELECT doc_id, words FROM {_repeated(6)}) six USING (doc_id) JOIN s0 USING (doc_id)
+), judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM figures)
+SELECT *, NOT base_failed AND NOT (100 * covered_words > 25 * n_words OR (longest_repeat >= 6 AND 100 * longest_repeat > 15 * n_words)) AS kept FROM judged
+"""
+
+# The pages of the test tables have one layout, in which the main text is the article: a heading and paragraphs.
+_ARTICLE = "regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|<footer>|$)', 1), '<b>|</b>', '', 'g')"
+OP9 = f"""
+WITH plain AS (SELECT page_id, url, regexp_replace({_ARTICLE}, '<[^>]*>', ' ', 'g') AS t FROM pages),
+texts AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '\xa9'), '&middot;', '\xb7'), '&amp;', '&'), '[\\s\\x0B]+', ' ', 'g')) AS text FROM plain)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM texts
+"""
+
+SQL = {"op2_chat_formatting": OP2, "op3_minhash_near_dedup": OP3, "op4_source_mixing": OP4, "op5_line_dedup": OP5, "op6_quality_rules": OP6, "op7_substring_dedup": OP7, "op9_html_extraction": OP9}

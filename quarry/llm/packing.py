@@ -46,7 +46,7 @@ _BLANKS = frozenset(bytes([b]) for b in range(256) if tk.SPACE[b])
 _NO_START = frozenset([b"", *(bytes([b]) for b in range(256) if tk.SPACE[b] or _UNSURE[b])])
 
 
-# --- token ids ------------------------------------------------------------------------------------------
+# token ids
 
 
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -182,7 +182,7 @@ class PieceTokenizer:
         return ids, count
 
 
-# --- signatures and neighbours --------------------------------------------------------------------------
+# signatures and neighbours
 
 
 def _vocabulary(c: tk.Chunk) -> tuple[np.ndarray, ...]:
@@ -320,7 +320,7 @@ def pieces(size: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     return doc, cut - docs[doc], length, seq, cut - begins[seq]
 
 
-# --- the graph over the whole table ---------------------------------------------------------------------
+# the graph over the whole table
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -497,7 +497,7 @@ def _within(node: np.ndarray, near: list[bytes | None]) -> list[list[int]]:
     return [x[ok].tolist() for x, ok in zip(np.split(at, np.cumsum(size)[:-1]), np.split(here, np.cumsum(size)[:-1]))]
 
 
-# --- over tables ----------------------------------------------------------------------------------------
+# over tables
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

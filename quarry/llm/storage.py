@@ -1,28 +1,5 @@
-"""Tables that cut lineage: written to the folder that the cluster names for checkpoints."""
+"""Tables that cut lineage, and when they are deleted: those of the library."""
 
-from __future__ import annotations
+from ..storage import delete, drop, scope, shared_dir, written
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset, as in tests, one of this process."""
-    set_ = spark.conf.get("spark.checkpoint.dir", None)
-    if set_:
-        return set_.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = os.path.join(tempfile.gettempdir(), f"quarry-{os.getpid()}")
-    return f"file://{own}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows read back from a table in the shared folder, so no lost executor costs more than its own task."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["delete", "drop", "scope", "shared_dir", "written"]

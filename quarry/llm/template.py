@@ -20,7 +20,7 @@ class TemplateError(ValueError):
     """The template can't be parsed or names a filter that doesn't exist."""
 
 
-# --- syntax tree ------------------------------------------------------------------------------------
+# syntax tree
 
 
 @dataclass(frozen=True)
@@ -87,7 +87,7 @@ class Generation:
     body: tuple
 
 
-# --- parsing ----------------------------------------------------------------------------------------
+# parsing
 
 _PIECE = re.compile(r"(\{\{.*?\}\}|\{%.*?%\})", re.S)
 _TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[.\[\]()|,+]))""", re.S)
@@ -282,7 +282,7 @@ def parse(source: str) -> tuple:
     return _Parser(source).body()[0]
 
 
-# --- filters: pure functions of strings and lists ------------------------------------------------------
+# filters: pure functions of strings and lists
 
 
 def escape(text: str, controls: Iterable[str]) -> str:
@@ -314,7 +314,7 @@ FILTERS: dict[str, Callable] = {
 }
 
 
-# --- folding ------------------------------------------------------------------------------------------
+# folding
 
 
 def _equal(a, b) -> bool:
@@ -403,7 +403,7 @@ def fold(nodes: Iterable) -> tuple:
     return tuple(out)
 
 
-# --- closures -----------------------------------------------------------------------------------------
+# closures
 
 
 @dataclass

@@ -76,7 +76,7 @@ def split_by(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 Rows = Callable[[pa.Table], pa.Table]
 
 
-# --- compact columns --------------------------------------------------------------------------------
+# compact columns
 
 
 def squeeze(values: np.ndarray) -> bytes:

@@ -29,7 +29,7 @@ def small(spark):
     return df, [(r["doc_id"], r["text"]) for r in df.collect()]
 
 
-# --- compact columns ----------------------------------------------------------------------------------
+# compact columns
 
 
 def test_compact_columns():
@@ -41,7 +41,7 @@ def test_compact_columns():
     assert (un.expand(un.squeeze(c), np.int64) == c).all() and len(un.squeeze(c)) < 600
 
 
-# --- op1 ------------------------------------------------------------------------------------------------
+# op1
 
 
 def test_katz_registered_order(spark):
@@ -93,7 +93,7 @@ def test_discounts():
     assert not ok and (d[1:] > 0).all() and (d[1:] < 1).all()
 
 
-# --- op3 ------------------------------------------------------------------------------------------------
+# op3
 
 
 def variants(seed: int = 4) -> list[tuple]:
@@ -165,7 +165,7 @@ def test_components(spark):
     assert graph.components(df.limit(0)).count() == 0
 
 
-# --- op4 ------------------------------------------------------------------------------------------------
+# op4
 
 
 @pytest.mark.parametrize("mix", [mixing.Mix(), mixing.Mix(max_epochs=1), mixing.Mix(share=3.5, max_epochs=3, seed=4), mixing.Mix(share=99.0)])
@@ -190,7 +190,7 @@ def test_mixture_reaches_weights(spark):
     assert all(abs(got[d] / whole - w) < 0.01 for d, w in mix.domains.items())
 
 
-# --- op8 ------------------------------------------------------------------------------------------------
+# op8
 
 
 def test_token_ids_are_the_tokenizers():
@@ -289,7 +289,7 @@ def test_related_documents_meet_over_several_units(spark):
         assert np.mean([of[i] == of[j] for i in of for j in of if i < j and i % 60 == j % 60]) > 0.8
 
 
-# --- op10 -----------------------------------------------------------------------------------------------
+# op10
 
 
 def scalar_print(t: str | None) -> str:

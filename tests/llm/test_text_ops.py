@@ -53,7 +53,7 @@ def test_long_word_is_one_chunk():
     assert sum(len(c) for c in cs) == 3 and sum(len(c.words()[0]) for c in cs) == 3
 
 
-# --- quality ------------------------------------------------------------------------------------------
+# quality
 
 
 def test_quality_measures():
@@ -95,7 +95,7 @@ def test_suffix_array():
             assert lcp[i] == k
 
 
-# --- lines --------------------------------------------------------------------------------------------
+# lines
 
 
 def lines_of(df):
@@ -145,7 +145,7 @@ def test_store_is_reversible(spark, tmp_path):
     assert left == {k[0]: v[2] for k, v in brute.line_dedup(rows[::2]).items()}
 
 
-# --- substrings ---------------------------------------------------------------------------------------
+# substrings
 
 
 @pytest.mark.parametrize("unit_bytes", [400, 1 << 24])
