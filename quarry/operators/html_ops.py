@@ -27,7 +27,7 @@ def collapse(s: str) -> str:
     return " ".join(s.split())
 
 
-# --- cleaning ------------------------------------------------------------------------------------------
+# cleaning
 
 
 def hidden(e: Element) -> bool:
@@ -96,7 +96,7 @@ def sanitise(e: Element) -> Element:
     return e
 
 
-# --- splitting -----------------------------------------------------------------------------------------
+# splitting
 
 
 def layout_table(e: Element) -> bool:
@@ -308,7 +308,7 @@ def _wrap(group: list[tuple]) -> str:
     return dom.to_string(top)
 
 
-# --- rebuilding ----------------------------------------------------------------------------------------
+# rebuilding
 
 _STEP = re.compile(r"([^\[\]]+)(?:\[(\d+)\])?$")
 _TAG = re.compile(r"[A-Za-z_][\w.\-]*$")
