@@ -130,19 +130,47 @@ def test_cuckoo_filter():
 
 def test_store_is_reversible(spark, tmp_path):
     rows = [r for r in corpus(2, 30)]
-    store = linestore.LineStore(spark, str(tmp_path), shards=3)
+    path = str(tmp_path)
+    store = linestore.LineStore(spark, path, shards=3)
     half = frame(spark, rows[::2])
     store.insert(half)
     before = sorted((r["k1"], r["k2"], r["refs"], r["least"]) for r in store.counts().collect())
+    store = linestore.LineStore(spark, path)  # opened again: goes on where it stood
+    assert store.shards == 3 and store.state["version"] == 1
     store.insert(frame(spark, rows[1::2]))
     store.insert(half)  # already held
     whole = {r["doc_id"]: r["text"] for r in store.dedup(frame(spark, rows)).collect()}
     assert {k: brute.sha(v or "") for k, v in whole.items()} == {k[0]: v[2] for k, v in brute.line_dedup(rows).items()}
-    assert store.filters().count() > 0
+    held = {(r["k1"], r["k2"]) for r in store.counts().where("least <> most").collect()}
+    kept = {r["shard"]: linestore.CuckooFilter.load(bytes(r["filter"])) for r in store.filters().collect()}
+    assert sum(int((f.table > 0).sum()) for f in kept.values()) == len(held)
+    assert all(kept[a % 3].contains(linestore.filter_key(np.array([a]), np.array([b])))[0] for a, b in held)
+    store = linestore.LineStore(spark, path)
+    other = linestore.LineStore(spark, path)
     store.delete(frame(spark, rows[1::2]))
     assert sorted((r["k1"], r["k2"], r["refs"], r["least"]) for r in store.counts().collect()) == before
     left = {r["doc_id"]: brute.sha(r["text"] or "") for r in store.dedup(half).collect()}
     assert left == {k[0]: v[2] for k, v in brute.line_dedup(rows[::2]).items()}
+    with pytest.raises(RuntimeError):
+        other.delete(half)  # it was opened before the last change
+    store.vacuum()
+    again = linestore.LineStore(spark, path, shards=99)
+    assert {r["doc_id"]: brute.sha(r["text"] or "") for r in again.dedup(half).collect()} == left
+    again.delete(half)
+    assert again.counts().count() == again.ids().count() == 0
+    again.insert(half)
+    assert sorted((r["k1"], r["k2"], r["refs"], r["least"]) for r in again.counts().collect()) == before
+
+
+def test_a_change_rewrites_its_shards_only(spark, tmp_path):
+    store = linestore.LineStore(spark, str(tmp_path), shards=16)
+    store.insert(frame(spark, [(i, f"line number {i} of them\nthe same line again") for i in range(40)]))
+    was = dict(store.state["parts"])
+    store.insert(frame(spark, [(100, "one single new line")]))
+    changed = {s for s, v in store.state["parts"].items() if was.get(s) != v}
+    assert len(was) > 8 and len(changed) == 1
+    store.delete(frame(spark, [(100, None)]))
+    assert store.ids().count() == 40
 
 
 # substrings
