@@ -5,11 +5,12 @@ can't take is shared by its siblings in proportion to their weights, and only wh
 parent (and so on upwards). A leaf takes whole epochs and then the beginning of one more: its documents in the order of
 md5(seed:epoch:id), as long as the tokens before a document are fewer than what is left to take.
 
-Everything is aggregation: tokens per leaf, then per leaf and 16 bits of the hash; the beginning's last hash value is found in the one bucket where the
-budget ends. Documents are then chosen by comparing their own hash with their leaf's last one, so a source that holds a third of all
-rows isn't sorted or moved.
+Texts are read once: ids, leaves and token counts are written, some tens of bytes a document, and all else reads those. Everything is aggregation: tokens per
+leaf, then per leaf and 16 bits of the hash; the beginning's last hash value is found in the one bucket where the budget ends. Documents are then chosen by comparing their own
+hash with their leaf's last one, so a source that holds a third of all rows isn't sorted or moved. Leaves, of which there are as many as sources, are shared out
+among siblings per parent; beyond LEAVES_BROADCAST of them their documents are joined to them in SALTS parts.
 
-Tokens are words ``[^\\x20\\x09-\\x0D]+``. Defined results: null or empty text has no tokens and is chosen with its place in the order; a null language or source is the
+Tokens are words ``[^\\x20\\x09-\\x0D]+``. Defined results: null or empty text has no tokens, a text of any length counts whole; either is chosen with its place in the order; a null language or source is the
 leaf ''; rows of one id are chosen together; a null id is ordered as the empty string; leaves without tokens give nothing; an empty table gives an
 empty result; other columns are not read (``mix_documents`` hands them through).
 """
@@ -21,7 +22,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAVES_BROADCAST = 100_000
+from . import storage
+
+LEAVES_BROADCAST = 100_000  # about 100 bytes each
+SALTS = 64
 LEAF = ["domain", "language", "origin"]
 
 
@@ -77,8 +81,8 @@ def _fill(children: DataFrame, parents: list[str], child: str, weight: Column) -
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """(domain, language, origin, tokens, take) from (domain, language, origin, tokens): one row a leaf."""
     leaves = leaves.where("tokens > 0").withColumn("room", F.col("tokens") * mix.max_epochs)
-    whole = Window.partitionBy(F.lit(0))  # leaves, not documents
-    leaves = leaves.withColumn("total", F.sum("tokens").over(whole) * F.lit(float(mix.share)))
+    total = leaves.agg(F.sum("tokens")).first()[0] or 0
+    leaves = leaves.withColumn("total", F.lit(total) * F.lit(float(mix.share)))
     domains = leaves.groupBy("domain").agg(F.sum("room").alias("room"), F.max("total").alias("budget"))
     domains = _fill(domains, [], "domain", _weight(mix.domains, mix.default, "domain")).select("domain", F.col("take").alias("budget"))
     languages = leaves.groupBy("domain", "language").agg(F.sum("room").alias("room")).join(domains, "domain")
@@ -92,47 +96,58 @@ def _described(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sourc
     return docs.select(F.col(id_col).alias("id"), domain_of(source).alias("domain"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("language"), source.alias("origin"), words(F.col(text_col)).alias("tokens"))
 
 
-def cuts(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(domain, language, origin, epochs, cut): whole epochs that each leaf takes, and the last hash it takes of the next one (null: none)."""
-    rows = _described(docs, id_col, text_col, lang_col, source_col)
-    leaves = rows.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens"))
+def _plan(rows: DataFrame, mix: Mix) -> DataFrame:
+    """(domain, language, origin, epochs, cut) of rows as _sized() gives them: whole epochs that each leaf takes, and the last hash it takes of the next one (null: none)."""
+    leaves = storage.written(rows.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")), "leaves")
     plan = budgets(leaves, mix)
-    plan = plan.select(*LEAF, F.floor(F.col("take") / F.col("tokens")).cast("long").alias("epochs"), (F.col("take") % F.col("tokens")).alias("rest"))
-    plan = F.broadcast(plan) if leaves.count() <= LEAVES_BROADCAST else plan
-    hashed = rows.join(plan, LEAF).where("rest > 0").withColumn("h", order_hash(mix.seed, F.col("epochs"), F.col("id"))).withColumn("bucket", F.substring("h", 1, 4))
+    plan = storage.written(plan.select(*LEAF, F.floor(F.col("take") / F.col("tokens")).cast("long").alias("epochs"), (F.col("take") % F.col("tokens")).alias("rest")), "budgets")
+    hashed = _looked_up(rows, plan.where("rest > 0")).withColumn("h", order_hash(mix.seed, F.col("epochs"), F.col("id"))).withColumn("bucket", F.substring("h", 1, 4))
     buckets = hashed.groupBy(*LEAF, "bucket").agg(F.sum("tokens").alias("tokens"), F.max("rest").alias("rest"))
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy(*LEAF).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # the last bucket that begins below the budget
     last = buckets.withColumn("before", before).where("before < rest").groupBy(*LEAF).agg(F.max(F.struct("bucket", "before")).alias("b"))
-    last = last.select(*LEAF, F.col("b.bucket").alias("bucket"), F.col("b.before").alias("before"))
-    inside = hashed.join(last, [*LEAF, "bucket"]).groupBy(*LEAF, "bucket", "h").agg(F.sum("tokens").alias("tokens"), F.max("rest").alias("rest"), F.max("before").alias("before"))
+    last = storage.written(last.select(*LEAF, F.col("b.bucket").alias("bucket"), F.col("b.before").alias("before")), "last_buckets")
+    inside = _looked_up(hashed, last.withColumnRenamed("bucket", "ends")).where("bucket = ends").groupBy(*LEAF, "bucket", "h").agg(F.sum("tokens").alias("tokens"), F.max("rest").alias("rest"), F.max("before").alias("before"))
     earlier = F.coalesce(F.sum("tokens").over(Window.partitionBy(*LEAF, "bucket").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = inside.withColumn("earlier", F.col("before") + earlier).where("earlier < rest").groupBy(*LEAF).agg(F.max("h").alias("cut"))
-    return plan.join(cut, LEAF, "left").select(*LEAF, "epochs", "cut")
+    return storage.written(plan.join(cut, LEAF, "left").select(*LEAF, "epochs", "cut"), "cuts")
+
+
+def _looked_up(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """rows with what a table with a row a leaf says. The table is broadcast while it has few rows, else every row of it goes to SALTS tasks, over which a leaf's documents are spread."""
+    if leaves.count() <= LEAVES_BROADCAST:
+        return rows.join(F.broadcast(leaves), LEAF)
+    salted = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [*LEAF, "salt"]).drop("salt")
 
 
 def _chosen(rows: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
     """rows with id and leaf columns, once for each epoch that takes them."""
-    few = F.broadcast(plan) if plan.count() <= LEAVES_BROADCAST else plan
-    rows = rows.join(few, LEAF).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs"))))
+    rows = _looked_up(rows, plan).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs"))))
     part = order_hash(mix.seed, F.col("epoch"), F.col("id")) <= F.col("cut")
     return rows.where((F.col("epoch") < F.col("epochs")) | part).drop("epochs", "cut")
 
 
+def _sized(docs: DataFrame, columns: tuple[str, str, str, str]) -> DataFrame:
+    """The ids, leaves and token counts, written once: texts are read and counted in one pass only."""
+    return storage.written(_described(docs, *columns), "sized")
+
+
 def mixture(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(id, domain, lang, source, epoch, n_tokens): the documents that the mixture takes, one row for each time."""
     mix = mix or Mix()
-    columns = (id_col, text_col, lang_col, source_col)
-    got = _chosen(_described(docs, *columns), cuts(docs, mix, *columns), mix)
+    rows = _sized(docs, (id_col, text_col, lang_col, source_col))
+    got = _chosen(rows, _plan(rows, mix), mix)
     return got.select(F.col("id").alias(id_col), "domain", F.col("language").alias("lang"), F.col("origin").alias("source"), "epoch", F.col("tokens").alias("n_tokens"))
 
 
 def mix_documents(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The documents that the mixture takes, with all their columns, once for each time."""
     mix = mix or Mix()
+    plan = _plan(_sized(docs, (id_col, text_col, lang_col, source_col)), mix)
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = {c: names[docs.columns.index(c)] for c in (id_col, lang_col, source_col)}
     plain = docs.toDF(*names)
     source = F.coalesce(F.col(at[source_col]).cast("string"), F.lit(""))
     rows = plain.select(*names, F.col(at[id_col]).alias("id"), domain_of(source).alias("domain"), F.coalesce(F.col(at[lang_col]).cast("string"), F.lit("")).alias("language"), source.alias("origin"))
-    return _chosen(rows, cuts(docs, mix, id_col, text_col, lang_col, source_col), mix).select(*names).toDF(*docs.columns)
+    return _chosen(rows, plan, mix).select(*names).toDF(*docs.columns)

@@ -168,8 +168,10 @@ def test_components(spark):
 # op4
 
 
-@pytest.mark.parametrize("mix", [mixing.Mix(), mixing.Mix(max_epochs=1), mixing.Mix(share=3.5, max_epochs=3, seed=4), mixing.Mix(share=99.0)])
-def test_mixture(spark, mix):
+@pytest.mark.parametrize(("mix", "few"), [(mixing.Mix(), 0), (mixing.Mix(max_epochs=1), 100), (mixing.Mix(share=3.5, max_epochs=3, seed=4), 0), (mixing.Mix(share=99.0), 100)])
+def test_mixture(spark, monkeypatch, mix, few):
+    monkeypatch.setattr(mixing, "LEAVES_BROADCAST", few)
+    monkeypatch.setattr(mixing, "SALTS", 4)
     rng = random.Random(2)
     rows = [(i, "w " * rng.randint(0, 30), rng.choice(["en", "en", "en", "de", "fr", None]), rng.choice(["src0"] * 6 + ["src1", "src2", "src5", "blog", None])) for i in range(200)]
     rows += [(3, "again", "en", "src0"), (900, None, "en", "src0"), (None, "x y", "xx", "lone1")]
