@@ -7,11 +7,12 @@ pivot are settled at once: by the triangle inequality they can have links only t
 comparison a member, and a node emits a spanning star instead of its pairs.
 
 Candidates are far looser than links (0.72 estimated similarity for 0.85, four standard deviations), so the connected candidate classes hold all links but for
-a miss of 0.15^trees. Links are then confirmed on the full sets, class by class; a class beyond ``block`` sets is compared in pairs of blocks, each
+a miss of 0.15^trees. Links are then confirmed and counted on the full sets, class by class: all intersections of a class at once, from a product of matrices for
+shingles that many sets have and from inverted lists for the others. A class beyond ``block`` sets or BLOCK_BYTES is compared in pairs of blocks, each
 a task of bounded size, and joined up afterwards.
 
 Defined results: null, empty or wordless text has an empty set and is linked with nothing; with fewer than three words the whole sequence is one shingle;
-repeated rows of an id are one document; a null id is linked with nothing and its component is null, and it is kept; an empty table gives an empty result; other columns are not read.
+a text of any length has a set; repeated rows of an id are one document; a null id is linked with nothing and its component is null, and it is kept; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from . import textkernel as tk
 SHINGLE, NUM, DEN = 3, 85, 100
 TREES, MINHASHES, SMALL, NODE, BLOCK = 8, 128, 1024, 250_000, 4096
 CANDIDATE = 92  # of 128 minwise values alike
+BLOCK_BYTES = 16 << 20  # of full sets
+MOST_HOT = 1_000_000  # nodes that are branched again, 8 bytes each
 BROADCAST_ROWS = 1_000_000  # 16 bytes each; beyond that the sides are shuffled
 HOT_SHARE = 1000
 
@@ -219,33 +222,86 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # confirmation
 
 
-def exact_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that span every class of sets with 100 |A and B| >= 85 |A or B|: breadth first from each set over those not yet reached."""
-    out = []
-    size = np.array([len(s) for s in sets])
-    left = np.argsort(ids, kind="stable")
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            i = queue.pop()
-            fit = left[(NUM * np.maximum(size[left], size[i]) <= DEN * np.minimum(size[left], size[i]))]
-            if not len(fit):
-                continue
-            every = np.concatenate([sets[j] for j in fit])
-            place = np.minimum(np.searchsorted(sets[i], every), size[i] - 1)
-            hit = (sets[i][place] == every).astype(np.int64)
-            both = np.add.reduceat(hit, np.cumsum(size[fit]) - size[fit])
-            linked = fit[DEN * both >= NUM * (size[fit] + size[i] - both)]
-            out += [(int(ids[i]), int(ids[j])) for j in linked]
-            queue += linked.tolist()
-            left = left[~np.isin(left, linked)]
+def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the sets a shares with each of the sets b."""
+    ka, kb = len(a), len(b)
+    value, inv = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    cut = sum(map(len, a))
+    owners = np.repeat(np.arange(ka), [len(x) for x in a]), np.repeat(np.arange(kb), [len(x) for x in b])
+    tokens = inv[:cut], inv[cut:]
+    times = [np.bincount(t, minlength=len(value)) for t in tokens]
+    both = (times[0] > 0) & (times[1] > 0)
+    dense = both & (times[0] > max(8, ka // 8)) & (times[1] > max(8, kb // 8))
+    out = np.zeros((ka, kb), np.int32)
+    columns = np.flatnonzero(dense)
+    for lo in range(0, len(columns), 1024):
+        place = np.full(len(value), -1)
+        place[columns[lo : lo + 1024]] = np.arange(len(columns[lo : lo + 1024]))
+        parts = []
+        for k, owner, t in zip((ka, kb), owners, tokens):
+            use = place[t] >= 0
+            m = np.zeros((k, 1024), np.float32)
+            m[owner[use], place[t[use]]] = 1
+            parts.append(m)
+        out += (parts[0] @ parts[1].T).astype(np.int32)
+    rare = both & ~dense
+    use = rare[tokens[1]]
+    order = np.argsort(tokens[1][use], kind="stable")
+    listed, token = owners[1][use][order], tokens[1][use][order]
+    use = rare[tokens[0]]
+    owner, want = owners[0][use], tokens[0][use]
+    first, many = np.searchsorted(token, want), times[1][want]
+    # an entry of a with every entry of b that has the same value, some millions at a time
+    edge = np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()), 4_000_000), "right")
+    flat = out.reshape(-1)
+    for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(many)]):
+        m = many[lo:hi]
+        at = np.arange(int(m.sum())) + np.repeat(first[lo:hi] - (np.cumsum(m) - m), m)
+        pair, n = np.unique(np.repeat(owner[lo:hi], m) * kb + listed[at], return_counts=True)
+        flat[pair] += n.astype(np.int32)
     return out
 
 
+def exact_links(ids: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, other: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(links that span every class of sets with 100 |A and B| >= 85 |A or B|, documents that each set is linked with).
+
+    copies: documents that have each set. other: flags the sets of a second block; then only sets of different blocks are compared.
+    """
+    size, n = np.array([len(s) for s in sets]), len(sets)
+    one, two = (np.arange(n), np.arange(n)) if other is None else (np.flatnonzero(~other), np.flatnonzero(other))
+    found, degree = [], np.zeros(n, np.int64)
+    if not len(one) or not len(two):
+        return found, degree
+    shared = _intersections([sets[i] for i in one], [sets[i] for i in two])
+    root = np.arange(n)
+    for row, i in enumerate(one.tolist()):
+        s = shared[row]
+        hit = DEN * s >= NUM * (size[two] + size[i] - s)
+        to = two[hit]
+        to = to[to != i]
+        degree[i] += copies[to].sum()
+        if other is not None:
+            degree[to] += copies[i]
+        for r in np.unique(root[to]).tolist():
+            if r != root[i]:
+                found.append((int(ids[i]), int(ids[to[root[to] == r][0]])))
+                root[root == r] = root[i]
+    return found, degree
+
+
 def _confirm(t: pa.Table) -> pa.Table:
+    """Links of a task as (a, b), and of each set the documents it is linked with as (a, null, links)."""
+    ids, first = np.unique(t["rep"].to_numpy(), return_index=True)  # rows of one id are one document
+    t = t.take(pa.array(first))
     sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in t["hashes"]]
-    links = exact_links(t["rep"].to_numpy(), sets)
-    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+    block = t["mine"].to_numpy()
+    task = t["task"][0].as_py()
+    links, degree = exact_links(ids, sets, t["copies"].to_numpy(), None if task["i"] == task["j"] else block == task["j"])
+    some = np.flatnonzero(degree)
+    a = np.concatenate([np.array([x[0] for x in links], np.int64), ids[some]])
+    b = pa.array([*(x[1] for x in links), *[None] * len(some)], pa.int64())
+    n = pa.array([*[None] * len(links), *degree[some].tolist()], pa.int64())
+    return pa.table({"a": pa.array(a), "b": b, "links": n})
 
 
 def _full_sets(docs: DataFrame) -> DataFrame:
@@ -256,58 +312,62 @@ def _full_sets(docs: DataFrame) -> DataFrame:
                 d, g = shingles(c)
                 edge = np.searchsorted(d, np.arange(len(c) + 1))
                 blobs += [g[edge[i] : edge[i + 1]].tobytes() for i in range(len(c))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(blobs, pa.binary())], ["rep", "cluster", "many", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(blobs, pa.binary())], ["rep", "cluster", "blocks", "copies", "hashes"])
 
-    return docs.mapInArrow(run, "rep long, cluster long, many long, hashes binary")
+    return docs.select("rep", "text", "cluster", "blocks", "copies").mapInArrow(run, "rep long, cluster long, blocks int, copies long, hashes binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row. Ids must be integers."""
+    """(id, n_shingles, component_id, kept, n_links) of every row; n_links: documents that it is linked with, copies among them. Ids must be integers."""
     sets = storage.written(_sets(docs, id_col, text_col), "shingle_sets")
-    groups = sets.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min(F.col("id").cast("long")).alias("rep"), F.count("*").alias("many"), F.min(F.struct("sketch", "keys")).alias("s"))
-    reps = storage.written(groups.select("n", "f1", "f2", "rep", "many", "s.sketch", "s.keys"), "set_groups")
-    # nodes too large for a task are branched again; there are at most rows / NODE of them
+    groups = sets.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min(F.col("id").cast("long")).alias("rep"), F.count_distinct("id").alias("copies"), F.count("*").alias("rows"), F.min(F.struct("sketch", "keys")).alias("s"))
+    reps = storage.written(groups.select("n", "f1", "f2", "rep", "copies", "rows", "s.sketch", "s.keys"), "set_groups")
+    # nodes too large for a task are branched again; at most TREES * sets / large of them come to the driver, so MOST_HOT
+    large = max(NODE, TREES * reps.count() // MOST_HOT)
     hot: list[frozenset] = []
     for _ in range(24):
-        found = [r[0] for r in _nodes(reps, hot, False).groupBy("node").count().where(F.col("count") > NODE).select("node").collect()]
+        found = [r[0] for r in _nodes(reps, hot, False).groupBy("node").count().where(F.col("count") > large).select("node").collect()]
         if not found:
             break
         hot.append(frozenset(np.array(found, np.int64).view(np.uint64).tolist()))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = _nodes(reps, hot, True).repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_links, "a long, b long")
     clusters = graph.components(edges)
-    clusters = storage.written(clusters.join(clusters.groupBy("label").agg(F.count("*").alias("many")), "label").select("node", F.col("label").alias("cluster"), "many"), "candidates")
-    linked = _linked(docs, clusters, id_col, text_col, block)
-    exact = graph.components(linked)
-    labels = reps.join(exact, reps["rep"] == exact["node"], "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("component_id"), "many")
-    # only sets that several rows share, or that are linked, get a component other than the row's own id; the
-    # most frequent are looked up without a shuffle
-    total = labels.agg(F.sum("many")).first()[0] or 0
+    linked = storage.written(_linked(docs, clusters, reps.select("rep", "n", "copies"), id_col, text_col, block), "exact_links")
+    exact = graph.components(linked.where("b is not null").select("a", "b"))
+    degrees = linked.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
     key = ["n", "f1", "f2"]
-    is_hot = F.col("many") * HOT_SHARE >= F.lit(total)
-    few = F.broadcast(labels.where(is_hot).select(*key, F.col("component_id").alias("hot_id")))
-    out = sets.select("id", *key).join(few, key, "left")
-    rest = labels.where(~is_hot).select(*key, "component_id")
-    known, others = out.where("hot_id is not null").select("id", "n", F.col("hot_id").alias("component_id")), out.where("hot_id is null").drop("hot_id").join(rest, key, "left").select("id", "n", "component_id")
-    both = known.unionAll(others)
-    own = F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return both.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
-
-
-def _linked(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
-    one = clusters.withColumnRenamed("node", "rep")
+    # a row for each set that several documents have, or that is linked: the others' components are their own ids
+    labels = reps.join(exact, reps["rep"] == exact["node"], "left").join(degrees, "rep", "left").where("node is not null or copies > 1")
+    labels = storage.written(labels.select(*key, F.coalesce("label", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "rows"), "components")
+    # sets with many documents, at most HOT_SHARE of them by their share of all rows, are looked up without a shuffle
+    total = sets.count()
+    is_hot = F.col("rows") * HOT_SHARE >= F.lit(total)
+    few = F.broadcast(labels.where(is_hot).select(*key, F.col("component_id").alias("hot_id"), F.col("n_links").alias("hot_links")))
+    alone = F.col("n") == 0
+    out = sets.select("id", *key).where(~alone & F.col("id").isNotNull()).join(few, key, "left")
+    known = out.where("hot_id is not null").select("id", "n", F.col("hot_id").alias("component_id"), F.col("hot_links").alias("n_links"))
+    others = out.where("hot_id is null").drop("hot_id", "hot_links").join(labels.where(~is_hot).select(*key, "component_id", "n_links"), key, "left").select("id", "n", F.coalesce("component_id", F.col("id").cast("long")).alias("component_id"), "n_links")
+    bare = sets.where(alone | F.col("id").isNull()).select("id", "n", F.col("id").cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    every = known.unionAll(others).unionAll(bare)
+    return every.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id").cast("long") == F.col("component_id"), F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _linked(docs: DataFrame, clusters: DataFrame, reps: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
+    known = clusters.join(reps, clusters["node"] == reps["rep"]).select("rep", F.col("label").alias("cluster"), "n", "copies")
+    sizes = known.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    one = storage.written(known.join(sizes, "cluster").select("rep", "cluster", "blocks", "copies"), "candidates")
     n = one.count()
     # a table of ids: broadcast while it has a checked number of rows, else both sides are shuffled
     side = F.broadcast(one) if n <= BROADCAST_ROWS else one
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(side, "rep")
-    full = _full_sets(texts.select("rep", "text", "cluster", "many"))
+    full = _full_sets(texts)
     # a class beyond one block: every pair of its blocks is a task
-    blocks = F.ceil(F.col("many") / block).cast("int")
-    full = full.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    full = full.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sent = full.select("rep", "cluster", "hashes", "mine", "blocks", other)
+    sent = full.select("rep", "cluster", "hashes", "copies", "mine", other)
     task = F.struct("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("task")
-    return sent.select("rep", "hashes", task).groupBy("task").applyInArrow(_confirm, "a long, b long")
+    return sent.select("rep", "hashes", "copies", "mine", task).groupBy("task").applyInArrow(_confirm, "a long, b long, links long")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

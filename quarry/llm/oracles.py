@@ -113,8 +113,8 @@ WITH RECURSIVE split AS (
 ), least AS (
   SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a
 )
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(least.least, d.doc_id)) AS component_id, d.doc_id <= coalesce(least.least, d.doc_id) AS kept
-FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(least.least, d.doc_id)) AS component_id, d.doc_id <= coalesce(least.least, d.doc_id) AS kept, coalesce(l.links, 0) AS n_links
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS links FROM links GROUP BY a) l USING (doc_id)
 """
 
 

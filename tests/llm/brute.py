@@ -22,7 +22,7 @@ def words(t: str | None) -> list[str]:
     return WORD.findall(t or "")
 
 
-# op6 --------------------------------------------------------------------------------------------------
+# op6
 
 
 def quality(t: str | None, least: int = 6) -> dict:
@@ -49,7 +49,7 @@ def quality(t: str | None, least: int = 6) -> dict:
     return {"n_words": n, "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)), "n_dup_lines": dup, "n_repeat_words": len(three), "covered_words": len(covered), "longest_repeat": longest}
 
 
-# op5 --------------------------------------------------------------------------------------------------
+# op5
 
 
 def line_dedup(rows: list[tuple]) -> dict:
@@ -67,7 +67,7 @@ def line_dedup(rows: list[tuple]) -> dict:
     return out
 
 
-# op7 --------------------------------------------------------------------------------------------------
+# op7
 
 
 def substring_dedup(rows: list[tuple], window: int = 13) -> dict:
@@ -88,7 +88,7 @@ def substring_dedup(rows: list[tuple], window: int = 13) -> dict:
     return out
 
 
-# op3 --------------------------------------------------------------------------------------------------
+# op3
 
 
 def near_duplicates(rows: list[tuple]) -> dict:
@@ -114,7 +114,17 @@ def near_duplicates(rows: list[tuple]) -> dict:
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-# op1 --------------------------------------------------------------------------------------------------
+def near_links(rows: list[tuple]) -> dict:
+    """Of each document the number of others that it is linked with."""
+    sets = {}
+    for i, t in rows:
+        w = words((t or "").translate(LOWER))
+        sets[i] = frozenset(tuple(w[j : j + 3]) for j in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
+    return {i: sum(i != j and linked(a, b) for j, b in sets.items()) for i, a in sets.items()}
+
+
+# op1
 
 
 def katz(rows: list[tuple], order: int, discounts) -> tuple[dict, list[float]]:
@@ -158,7 +168,7 @@ def katz(rows: list[tuple], order: int, discounts) -> tuple[dict, list[float]]:
     return scores, sums
 
 
-# op4 --------------------------------------------------------------------------------------------------
+# op4
 
 
 def mixture(rows: list[tuple], mix) -> list[tuple]:

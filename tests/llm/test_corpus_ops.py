@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import random
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -122,6 +123,28 @@ def test_near_duplicates(spark, monkeypatch, block, node):
     got = neardup.near_duplicates(df, block=block).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want and len(got) == len(rows)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+    assert {r["doc_id"]: r["n_links"] for r in got} == brute.near_links(rows)
+
+
+def test_exact_links_of_a_long_chain_and_of_unlinked_sets():
+    rng = np.random.default_rng(3)
+    chain = [np.sort(rng.choice(2**40, 200, replace=False).astype(np.uint64))]
+    for _ in range(4000):
+        keep = rng.choice(200, 185, replace=False)
+        chain.append(np.unique(np.r_[chain[-1][keep], rng.integers(2**41, 2**42, 15, dtype=np.uint64)]))
+    began = time.time()
+    ids, one = rng.permutation(len(chain)), np.ones(len(chain), np.int64)
+    links, degree = neardup.exact_links(ids, chain, one)
+    assert len(links) == len(chain) - 1 and (degree >= 1).all() and (degree <= 4).all()
+    template = rng.integers(0, 2**40, 170, dtype=np.uint64)
+    apart = [np.unique(np.r_[template, rng.integers(2**41, 2**42, 30, dtype=np.uint64)]) for _ in range(3000)]
+    assert neardup.exact_links(np.arange(3000), apart, one[:3000])[0] == []
+    same = [np.unique(np.r_[template, rng.integers(2**41, 2**42, 3, dtype=np.uint64)]) for _ in range(2000)]
+    links, degree = neardup.exact_links(np.arange(2000), same, np.full(2000, 2))
+    assert len(links) == 1999 and (degree == 2 * 1999).all()
+    halves = np.arange(2000) >= 1000
+    assert (neardup.exact_links(np.arange(2000), same, one[:2000], halves)[1] == 1000).all()
+    assert time.time() - began < 60
 
 
 def test_near_duplicate_edges(spark):
@@ -157,12 +180,17 @@ def test_node_links_span_all_candidates():
     assert len({find(i) for i in ids}) == 505
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     path = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 150), (7, 7)]
     df = spark.createDataFrame([(b, a) for a, b in path], "a long, b long")
-    got = {r["node"]: r["label"] for r in graph.components(df).collect()}
-    assert got == {i: 0 for i in range(31)} | {100: 100, 150: 100, 200: 100}
+    for local in (0, 1_000_000):
+        got = {r["node"]: r["label"] for r in graph.components(df, local_edges=local).collect()}
+        assert got == {i: 0 for i in range(31)} | {100: 100, 150: 100, 200: 100}
     assert graph.components(df.limit(0)).count() == 0
+    monkeypatch.setattr(graph, "HOT", 5)  # every large centre is hot
+    monkeypatch.setattr(graph, "HOT_NODES", 4)
+    star = spark.range(1, 400).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).unionAll(spark.createDataFrame([(399, 500)], "a long, b long"))
+    assert {r["label"] for r in graph.components(star, local_edges=0).collect()} == {0}
 
 
 # op4
