@@ -8,11 +8,13 @@ alpha(h) P(w | h'), with alpha(h) = (1 - kept mass) / (1 - lower mass of the see
 of a history is discounted, its denominator is c(h) + 1, or nothing would be left for unseen tokens. An unseen history has alpha 1.
 
 Each unit of documents asks the hash buckets of the count tables once per distinct n-gram, with its own counts; a bucket adds up and answers in
-the order asked. A hot n-gram is thus one entry per unit. The first unit that holds an n-gram also adds its kept and
-lower mass to the table of histories, which is answered the same way. Nothing is collected; the counts of counts are one row.
+the order asked, and says which n-grams other units have too. From level 3 on only n-grams are asked for both of whose parts other units have: the others
+are the unit's own, and so are their counts. A hot n-gram is thus one entry per unit. The first unit that holds an n-gram adds its kept and
+lower mass to its history; histories that other units have are added up where their n-grams were counted, in the order asked, and answered to the units that need them: those
+of held-out tokens, and those whose count doesn't tell the denominator. Nothing is collected; the counts of counts are one row.
 ``ngram_tables`` and ``save_model`` give the same model as tables partitioned by level and bucket, ``score_saved`` scores from those.
 
-Defined results: null text is empty (one token, the end); rows with equal ids are scored and learnt each on its own; a null id is never
+Defined results: null text is empty (one token, the end); a text of any length is scored whole; rows with equal ids are scored and learnt each on its own; a null id is never
 held out; with no training tokens every probability is 1 / (V + 1) = 1; an empty table gives an empty result; other columns are not read.
 """
 
@@ -119,115 +121,161 @@ def _two(a: bytes, b: bytes) -> bytes:
     return len(a).to_bytes(8, "little") + a + b
 
 
-def _sums(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(seen, low) of a unit's histories from the replies of all buckets in order."""
-    cut = [int.from_bytes(b[:8], "little") + 8 for b in blobs]
-    seen = [un.expand(b[8:c], np.int64).reshape(GT_MAX + 1, -1) for b, c in zip(blobs, cut)]
-    return np.concatenate(seen, 1), np.concatenate([un.expand(b[c:], np.float64) for b, c in zip(blobs, cut)])
+class _Level:
+    """The distinct n-grams of a unit at one level: of each its count in training, whether this unit is the first that has it, whether others have it."""
 
+    def __init__(self, k: _Tokens, m: int, train: np.ndarray, below: _Level | None):
+        self.g, self.first, self.inv = un.distinct(k.gram(m))
+        self.count = np.bincount(self.inv[train], minlength=len(self.g)).astype(np.int64)
+        self.mine, self.shared = np.ones(len(self.g), bool), np.zeros(len(self.g), bool)
+        self.asked = np.ones(len(self.g), bool)
+        if m > 2:
+            s = below.shared[below.inv]
+            before = np.concatenate([[True], s[:-1]])
+            before[k.since == 0] = True
+            self.asked = (s & before)[self.first]
+
+    def told(self, replies: list[bytes]) -> None:
+        got = np.concatenate([un.expand(b, np.int64) for b in replies]) if replies else np.zeros(0, np.int64)
+        self.count[self.asked], self.shared[self.asked], self.mine[self.asked] = got >> 2, (got & 2) > 0, (got & 1) > 0
 
-class _Katz:
-    def __init__(self, units: int, order: int):
-        self.units, self.buckets, self.order = units, units, order
 
-    def _training(self, t: pa.Table) -> np.ndarray:
-        return np.array([not held_out(i) for i in t["id"].to_pylist()], bool)
+class _Katz:
+    def __init__(self, units: int, order: int, every: bool = False):
+        """every: units are told of all histories they have."""
+        self.units, self.buckets, self.order, self.every = units, units, order, every
+        self.places = order * self.buckets + order + 1  # a bucket of a level's n-grams each, and the histories of begin marks only
 
-    # counts ------------------------------------------------------------------------------------------
-    def ask_counts(self, t: pa.Table) -> pa.Table:
-        unit, rows = t["unit"][0].as_py(), []
+    def _tokens(self, t: pa.Table) -> tuple[pa.Table, _Tokens, np.ndarray]:
         t = un.unpacked(t)
         k = _Tokens(tk.strings(t["text"]), self.order)
-        train = self._training(t)[k.doc]
-        for m in range(1, self.order + 1):
-            g, _, inv = un.distinct(k.gram(m))
-            c = np.bincount(inv[train], minlength=len(g)).astype(np.int64)
-            rows += [((m - 1) * self.buckets + b, unit, un.squeeze_sorted(g[at]), un.squeeze(c[at])) for b, at in _slices(g, self.buckets)]
-        return un.blobs(rows, ["place", "unit", "keys", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+        return t, k, np.array([not held_out(i) for i in t["id"].to_pylist()], bool)[k.doc]
+
+    # counts
+
+    def _ask(self, unit: int, m: int, x: _Level) -> list[tuple]:
+        g, c = x.g[x.asked], x.count[x.asked]
+        rows = [((m - 1) * self.buckets + b, unit, un.squeeze_sorted(g[at]), un.squeeze(c[at]), None) for b, at in _slices(g, self.buckets)]
+        own = x.count[~x.asked]
+        if len(own):
+            rows.append(((m - 1) * self.buckets + unit % self.buckets, unit, None, None, _counts(own)))
+        return rows
+
+    def _asked(self, rows: list[tuple]) -> pa.Table:
+        return un.blobs(rows, ["place", "unit", "keys", "counts", "stats"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())])
+
+    def ask_first(self, t: pa.Table) -> pa.Table:
+        unit = t["unit"][0].as_py()
+        _, k, train = self._tokens(t)
+        return self._asked([r for m in range(1, min(2, self.order) + 1) for r in self._ask(unit, m, _Level(k, m, train, None))])
 
     @staticmethod
-    def _sums(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], np.ndarray]:
-        """(keys in order, count of each distinct one, its first unit, lengths of the asked lists, group of each asked key)."""
-        keys = [un.expand_sorted(b) for b in t["keys"].to_pylist()]  # t is in order of units
-        size = [len(x) for x in keys]
-        h, c = np.concatenate(keys), np.concatenate([un.expand(b, np.int64) for b in t["counts"].to_pylist()])
-        keys, _, group = un.distinct(h)
-        owner = np.full(len(keys), -1, np.int32)
-        at = len(h)
-        for u, n in zip(reversed(t["unit"].to_pylist()), reversed(size)):  # the smallest unit is written last
-            at -= n
-            owner[group[at : at + n]] = u
-        total = np.bincount(group, weights=c).astype(np.int64)  # exact below 2**53
-        return keys, total, owner, size, group
+    def _groups(t: pa.Table) -> tuple[list[int], list[np.ndarray], int]:
+        """(units, the group of each key that a unit asked for, groups); t is in order of units."""
+        keys = [un.expand_sorted(b) for b in t["keys"].to_pylist()]
+        distinct, _, group = un.distinct(np.concatenate(keys))
+        return t["unit"].to_pylist(), np.split(group, np.cumsum([len(x) for x in keys])[:-1]), len(distinct)
 
     def tell_counts(self, t: pa.Table) -> pa.Table:
-        t = t.sort_by("unit")
-        _, total, owner, size, group = self._sums(t)
-        place, rows, at = t["place"][0].as_py(), [], 0
+        place = t["place"][0].as_py()
         m, b = place // self.buckets + 1, place % self.buckets
-        for u, n in zip(t["unit"].to_pylist(), size):
-            g = group[at : at + n]
-            at += n
-            # the count, and in the lowest bit whether this unit is the n-gram's first
-            rows.append((u, m, b, un.squeeze(2 * total[g] + (owner[g] == u)), None))
-        cc = np.bincount(np.minimum(total, GT_MAX + 2), minlength=GT_MAX + 3)
-        rows.append((-1, m, b, None, [m, *cc[1 : GT_MAX + 2].tolist(), int(total.sum()), int((total > 0).sum())]))
+        stats = np.array([x for x in t["stats"].to_pylist() if x] or [[0] * (GT_MAX + 3)], np.int64).sum(0)
+        t, rows = t.filter(t["keys"].is_valid()).sort_by("unit"), []
+        if t.num_rows:
+            units, groups, n = self._groups(t)
+            total, owner, many = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, np.int32)
+            for u, g, c in reversed(list(zip(units, groups, t["counts"].to_pylist()))):  # the smallest unit is written last
+                total[g] += un.expand(c, np.int64)
+                owner[g] = u
+                many[g] += 1
+            rows = [(u, m, b, un.squeeze(4 * total[g] + 2 * (many[g] > 1) + (owner[g] == u)), None) for u, g in zip(units, groups)]
+            stats = stats + _counts(total)
+        rows.append((-1, m, b, None, [m, *stats.tolist()]))
+        return self._replies(rows)
+
+    @staticmethod
+    def _replies(rows: list[tuple]) -> pa.Table:
         return un.blobs(rows, ["unit", "kind", "bucket", "reply", "stats"], [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())])
 
-    # what a unit was told ------------------------------------------------------------------------------
-    def _told(self, t: pa.Table, r: pa.Table) -> tuple:
-        t = un.unpacked(t)
-        k = _Tokens(tk.strings(t["text"]), self.order)
-        kinds, buckets, replies = r["kind"].to_pylist(), r["bucket"].to_pylist(), r["reply"]
-        stats = {}
-        for kind, s in zip(kinds, r["stats"].to_pylist()):
-            if s:
-                stats[s[0]] = np.array(s[1:], np.int64)
-
-        def of(kind: int) -> list[bytes]:
-            rows = sorted((b, i) for i, (q, b) in enumerate(zip(kinds, buckets)) if q == kind and replies[i].is_valid)
-            return [replies[i].as_py() for _, i in rows]
-
-        return t, k, stats, of
-
-    def _levels(self, k: _Tokens, stats: dict, of, upto: int) -> Iterator[tuple]:
-        """For m = 1..upto: (probability of each token, and what the next step needs of the level)."""
-        n, v = stats[1][-2], stats[1][-1]
-        p = None
+    # what a unit was told
+
+    def _levels(self, k: _Tokens, train: np.ndarray, told: pa.Table, upto: int) -> Iterator[tuple]:
+        """For m = 1..upto: (level, history of each token, (seen, low) of the histories, probability of each token); the last two as far as they were told.
+
+        A history is the number of the n-gram before a token, and after all of those the one of begin marks only. seen: how many of its n-grams that are
+        this unit's to add were seen 1..GT_MAX times, and the count of the others; low: the lower mass of all of these.
+        """
+        replies: dict[int, list] = {}
+        stats: dict[int, np.ndarray] = {}
+        for column in told.column_names[1:]:
+            for r in told[column][0].as_py() or []:
+                if r["stats"]:
+                    stats[r["stats"][0]] = np.array(r["stats"][1:], np.int64)
+                elif r["reply"] is not None:
+                    replies.setdefault(r["kind"], []).append((r["bucket"], r["reply"]))
+        of = lambda kind: [b for _, b in sorted(replies.get(kind, []), key=lambda x: x[0])]
+        p = below = None
         for m in range(1, upto + 1):
-            g, first, inv = un.distinct(k.gram(m))
-            told = np.concatenate([un.expand(blob, np.int64) for blob in of(m)])
-            c, mine = told >> 1, (told & 1).astype(bool)
-            below = p
+            x = _Level(k, m, train, below)
+            x.told(of(m))
             if m == 1:
-                p = ((c + 0.5) / (n + 0.5 * (v + 1)))[inv]
-            else:
-                d, _ = discounts(np.r_[0, stats[m][: GT_MAX + 1]])
-                h, _, hinv = un.distinct(k.history(m))
-                if m < upto or of(100 + m):
-                    den, alpha = self.weigh(*_sums(of(100 + m)), d)
-                    seen = c[inv] > 0
-                    p = np.where(seen, _kept(c, d)[inv] / np.where(seen, den[hinv], 1.0), alpha[hinv] * below)
-                yield m, p, c, inv, (g, first, mine, d, h, hinv, below)
+                p = ((x.count + 0.5) / (stats[1][-2] + 0.5 * (stats[1][-1] + 1)))[x.inv]
+                yield x, None, None, None, p, stats
+                below = x
                 continue
-            yield m, p, c, inv, (g, first, mine, None, None, None, None)
+            n = len(below.g) + 1
+            h = np.concatenate([[n - 1], below.inv[:-1]])
+            h[k.since == 0] = n - 1
+            use = np.flatnonzero(x.mine & (x.count > 0))
+            to, c = h[x.first[use]], x.count[use]
+            many = c > GT_MAX
+            few = np.bincount((c[~many] - 1) * n + to[~many], minlength=GT_MAX * n)
+            seen = np.concatenate([few, np.bincount(to[many], weights=c[many], minlength=n)]).astype(np.int64).reshape(GT_MAX + 1, n)
+            low = np.bincount(to, weights=p[x.first[use]], minlength=n).astype(float)  # without any it would be of integers
+            need = np.zeros(n, bool)
+            need[h[~train | (np.append(below.count, GT_MAX + 1)[h] > GT_MAX)]] = True
+            need |= self.every
+            need[n - 1] = True
+            common = np.append(below.shared, True)
+            answer = of(100 + m)
+            if answer:
+                d, _ = discounts(np.r_[0, stats[m][: GT_MAX + 1]])
+                at = np.flatnonzero(common & need)
+                parts = [(int.from_bytes(b[:8], "little") + 8, b) for b in answer]
+                seen[:, at] = np.concatenate([un.expand(b[8:e], np.int64).reshape(GT_MAX + 1, -1) for e, b in parts], 1)
+                low[at] = np.concatenate([un.expand(b[e:], np.float64) for e, b in parts])
+                den, alpha = self.weigh(seen, low, d)
+                # of histories that weren't asked for, tokens of training only follow, and the count tells the denominator
+                quiet = common & ~need
+                den[quiet] = np.append(below.count, 0)[quiet]
+                there = x.count[x.inv] > 0
+                p = np.where(there, _kept(x.count, d)[x.inv] / np.where(there, den[h], 1.0), alpha[h] * p)
+                yield x, h, (den, alpha), need & common, p, stats
+            else:
+                yield x, h, (seen, low), need & common, None, stats
+            below = x
+
+    # histories
 
-    # histories -----------------------------------------------------------------------------------------
-    def ask_histories(self, t: pa.Table, r: pa.Table, m: int) -> pa.Table:
-        # of each history: how many of its n-grams were seen 1..GT_MAX times, the count of the others, and the lower mass of all of them
-        names, types = ["place", "unit", "keys", "seen", "low"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    def ask_more(self, t: pa.Table, told: pa.Table, m: int) -> pa.Table:
+        """What a unit adds to the histories of level m, and the n-grams of level m + 1 that it asks for."""
+        names, types = ["place", "unit", "keys", "counts", "stats", "seen", "low", "need"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
         if not t.num_rows:
             return un.blobs([], names, types)
         unit = t["unit"][0].as_py()
-        _, k, stats, of = self._told(t, r)
-        *_, (_, _, c, inv, (g, first, mine, d, h, hinv, below)) = self._levels(k, stats, of, m)
-        use = np.flatnonzero(mine & (c > 0))
-        to = hinv[first[use]]
-        n, many = len(h), c[use] > GT_MAX
-        few = np.bincount((c[use][~many] - 1) * n + to[~many], minlength=GT_MAX * n)
-        seen = np.concatenate([few, np.bincount(to[many], weights=c[use][many], minlength=n)]).astype(np.int64).reshape(GT_MAX + 1, n)
-        low = np.bincount(to, weights=below[first[use]], minlength=len(h))
-        rows = [(b, unit, un.squeeze_sorted(h[at]), un.squeeze(seen[:, at].ravel()), un.squeeze(low[at])) for b, at in _slices(h, self.buckets)]
+        _, k, train = self._tokens(t)
+        under = x = None
+        for level, _, sums, need, _, _ in self._levels(k, train, told, m):
+            under, x = x, level
+        seen, low = sums
+        at = np.flatnonzero(under.shared)
+        rows = []
+        for b, part in _slices(under.g[at], self.buckets):
+            i = at[part]
+            rows.append(((m - 2) * self.buckets + b, unit, None, None, None, un.squeeze(seen[:, i].ravel()), un.squeeze(low[i]), np.packbits(need[i]).tobytes()))
+        rows.append((self.order * self.buckets + m, unit, None, None, None, un.squeeze(seen[:, -1]), un.squeeze(low[-1:]), b"\x80"))
+        if m < self.order:
+            rows += [(*r, None, None, None) for r in self._ask(unit, m + 1, _Level(k, m + 1, train, x))]
         return un.blobs(rows, names, types)
 
     @staticmethod
@@ -241,38 +289,57 @@ class _Katz:
             alpha = (1 - keep / den) / (1 - low)
         return np.where(count > 0, den, 0).astype(float), np.where(count > 0, alpha, 1.0)
 
-    def tell_histories(self, t: pa.Table, m: int) -> pa.Table:
-        t = t.sort_by("unit")
-        keys = [un.expand_sorted(b) for b in t["keys"].to_pylist()]
-        size = [len(x) for x in keys]
-        h = np.concatenate(keys)
-        seen = np.concatenate([un.expand(b, np.int64).reshape(GT_MAX + 1, -1) for b in t["seen"].to_pylist()], 1)
-        low = np.concatenate([un.expand(b, np.float64) for b in t["low"].to_pylist()])
-        _, _, group = un.distinct(h)
-        # t is in order of units, so that there is one order of adding up
-        seen, low = np.stack([np.bincount(group, weights=s) for s in seen]).astype(np.int64), np.bincount(group, weights=low)
-        rows, at = [], 0
-        b = t["place"][0].as_py()
-        for u, n in zip(t["unit"].to_pylist(), size):
-            g = group[at : at + n]
-            at += n
-            rows.append((u, 100 + m, b, _two(un.squeeze(seen[:, g].ravel()), un.squeeze(low[g])), None))
-        return un.blobs(rows, ["unit", "kind", "bucket", "reply", "stats"], [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())])
-
-    # scores --------------------------------------------------------------------------------------------
-    def scores(self, t: pa.Table, r: pa.Table) -> pa.Table:
-        t, k, stats, of = self._told(t, r)
-        for m, p, c, inv, _ in self._levels(k, stats, of, self.order):
+    def tell_histories(self, asked: pa.Table, added: pa.Table, m: int) -> pa.Table:
+        added = added.filter(added["seen"].is_valid()).sort_by("unit")
+        if not added.num_rows:
+            return self._replies([])
+        place = added["place"][0].as_py()
+        units = added["unit"].to_pylist()
+        if place >= self.order * self.buckets:
+            groups, n, bucket = {u: np.zeros(1, np.int64) for u in units}, 1, self.buckets
+        else:
+            asked = asked.filter(asked["keys"].is_valid()).sort_by("unit")
+            us, gs, n = self._groups(asked)
+            many = np.bincount(np.concatenate(gs), minlength=n) > 1
+            groups, bucket = {u: g[many[g]] for u, g in zip(us, gs)}, place % self.buckets
+        seen, low = np.zeros((GT_MAX + 1, n), np.int64), np.zeros(n)
+        # in order of units, so that there is one order of adding up; a unit has each history once
+        for u, s, x in zip(units, added["seen"].to_pylist(), added["low"].to_pylist()):
+            seen[:, groups[u]] += un.expand(s, np.int64).reshape(GT_MAX + 1, -1)
+            low[groups[u]] += un.expand(x, np.float64)
+        rows = []
+        for u, need in zip(units, added["need"].to_pylist()):
+            g = groups[u]
+            g = g[np.unpackbits(np.frombuffer(need, np.uint8), count=len(g)).astype(bool)]
+            rows.append((u, 100 + m, bucket, _two(un.squeeze(seen[:, g].ravel()), un.squeeze(low[g])), None))
+        return self._replies(rows)
+
+    # scores
+
+    def scores(self, t: pa.Table, told: pa.Table) -> pa.Table:
+        t, k, train = self._tokens(t)
+        for m, (x, _, _, _, p, stats) in enumerate(self._levels(k, train, told, self.order), 1):
             if m == 1:
-                base, known = p, c[inv] > 0
+                base, known, tokens = p, x.count[x.inv] > 0, stats[1][-2]
         n = k.n_docs
         add = lambda x: np.bincount(k.doc, weights=x, minlength=n)
         return pa.table(
-            [t["id"], pa.array([held_out(i) for i in t["id"].to_pylist()], pa.bool_()), pa.array(np.bincount(k.doc, minlength=n)), pa.array(add(known).astype(np.int64)), pa.array(np.full(n, stats[1][-2])), pa.array(add(np.log10(base))), pa.array(add(np.log10(p)))],
+            [t["id"], pa.array([held_out(i) for i in t["id"].to_pylist()], pa.bool_()), pa.array(np.bincount(k.doc, minlength=n)), pa.array(add(known).astype(np.int64)), pa.array(np.full(n, tokens)), pa.array(add(np.log10(base))), pa.array(add(np.log10(p)))],
             names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
 
+def _counts(c: np.ndarray) -> np.ndarray:
+    """How many n-grams were seen 1..GT_MAX + 1 times, the sum of all counts, and how many were seen."""
+    return np.concatenate([np.bincount(np.minimum(c, GT_MAX + 2), minlength=GT_MAX + 3)[1 : GT_MAX + 2], [c.sum(), (c > 0).sum()]]).astype(np.int64)
+
+
+def _by_unit(replies: DataFrame, k: _Katz, name: str) -> DataFrame:
+    """(unit, name): all replies to a unit in one row, where its documents are."""
+    one = F.struct("kind", "bucket", "reply", "stats")
+    return replies.repartitionById(k.units, "unit").groupBy("unit").agg(F.collect_list(one).alias(name))
+
+
 def _with_stats(told: DataFrame, units: int) -> DataFrame:
     """Replies of the count tables, and each level's counts of counts for every unit."""
     add = F.array(*[F.sum(F.col("stats")[i]) if i else F.max(F.col("stats")[0]) for i in range(GT_MAX + 4)])
@@ -281,18 +348,29 @@ def _with_stats(told: DataFrame, units: int) -> DataFrame:
     return told.where("unit >= 0").unionAll(spread)
 
 
-def _replies(own: DataFrame, k: _Katz) -> DataFrame:
-    asked = own.groupBy("unit").applyInArrow(lambda t: k.ask_counts(t), "place int, unit int, keys binary, counts binary").repartitionById(k.buckets * k.order, "place")
-    replies = _with_stats(asked.groupBy("place").applyInArrow(lambda t: k.tell_counts(t), _REPLY), k.units)
+def _told(own: DataFrame, k: _Katz) -> DataFrame:
+    """A row per unit with all replies, each exchanged once: those of one step are a column."""
+    asked = own.groupBy("unit").applyInArrow(lambda t: k.ask_first(t), "place int, unit int, keys binary, counts binary, stats array<long>").repartitionById(k.places, "place")
+    told = _by_unit(_with_stats(asked.groupBy("place").applyInArrow(lambda t: k.tell_counts(t), _REPLY), k.units), k, "c1")
+    levels = {1: asked, 2: asked}  # where the n-grams of a level were asked for
     for m in range(2, k.order + 1):
-        replies = replies.unionAll(_histories(own, replies, k, m))
-    return replies
+        more = _asked_more(own, told, k, m)
+        both = levels[m - 1].groupBy("place").cogroup(more.groupBy("place")).applyInArrow(_histories(k, m), _REPLY)
+        told = told.join(_by_unit(both, k, f"h{m}"), "unit", "left")
+        if m < k.order:
+            grams = more.where("keys is not null or stats is not null").groupBy("place").applyInArrow(lambda t: k.tell_counts(t), _REPLY)
+            told = told.join(_by_unit(_with_stats(grams, k.units), k, f"c{m + 1}"), "unit", "left")
+            levels[m + 1] = more
+    return told
+
 
+def _asked_more(own: DataFrame, told: DataFrame, k: _Katz, m: int) -> DataFrame:
+    schema = "place int, unit int, keys binary, counts binary, stats array<long>, seen binary, low binary, need binary"
+    return own.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(lambda t, r: k.ask_more(t, r, m), schema).repartitionById(k.places, "place")
 
-def _histories(own: DataFrame, replies: DataFrame, k: _Katz, m: int) -> DataFrame:
-    asked = own.groupBy("unit").cogroup(replies.repartitionById(k.units, "unit").groupBy("unit")).applyInArrow(lambda t, r: k.ask_histories(t, r, m), "place int, unit int, keys binary, seen binary, low binary")
-    asked = asked.repartitionById(k.buckets, "place")
-    return asked.groupBy("place").applyInArrow(lambda t: k.tell_histories(t, m), _REPLY)
+
+def _histories(k: _Katz, m: int):
+    return lambda a, b: k.tell_histories(a, b, m)
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, unit_bytes: int = UNIT_BYTES) -> DataFrame:
@@ -301,7 +379,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     k = _Katz(units.n, order)
     own = un.packed(docs, units, id_col, text_col).repartitionById(units.n, "unit")  # a unit is a task; read by every step
     id_type = docs.schema[id_col].dataType.simpleString()
-    out = own.groupBy("unit").cogroup(_replies(own, k).repartitionById(k.units, "unit").groupBy("unit")).applyInArrow(
+    out = own.groupBy("unit").cogroup(_told(own, k).groupBy("unit")).applyInArrow(
         lambda t, r: k.scores(t, r),
         f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
@@ -314,13 +392,11 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def ngram_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, unit_bytes: int = UNIT_BYTES) -> tuple[DataFrame, DataFrame]:
     """(level, bucket, gram, count, history) of all n-grams of training documents, and (level, bucket, history, denominator, alpha)."""
     units = un.make(docs, id_col, text_col, unit_bytes)
-    k = _Katz(units.n, order)
+    k = _Katz(units.n, order, every=True)
     own = un.packed(docs, units, id_col, text_col).repartitionById(units.n, "unit")  # a unit is a task; read by every step
 
     def grams(t: pa.Table) -> pa.Table:
-        t = un.unpacked(t)
-        x = _Tokens(tk.strings(t["text"]), order)
-        train = k._training(t)[x.doc]
+        _, x, train = k._tokens(t)
         parts = []
         for m in range(1, order + 1):
             g, first, n = np.unique(x.gram(m)[train], return_index=True, return_counts=True)
@@ -329,21 +405,23 @@ def ngram_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.concat_tables(parts)
 
     counted = own.groupBy("unit").applyInArrow(grams, "level int, bucket int, gram long, count long, history long").groupBy("level", "bucket", "gram").agg(F.sum("count").alias("count"), F.first("history").alias("history"))
-    asked = _replies(own, k)
 
     def weights(t: pa.Table, r: pa.Table) -> pa.Table:
         parts = []
         if t.num_rows:
-            _, x, stats, of = k._told(t, r)
-            for m in range(2, order + 1):
-                h = np.unique(x.history(m))
-                den, alpha = k.weigh(*_sums(of(100 + m)), discounts(np.r_[0, stats[m][: GT_MAX + 1]])[0])
-                ok = den > 0
+            _, x, train = k._tokens(t)
+            for m, (_, of, both, _, _, _) in enumerate(k._levels(x, train, r, order), 1):
+                if m == 1:
+                    continue
+                den, alpha = both
+                h = np.zeros(len(den), np.uint64)
+                h[of] = x.history(m)
+                ok = (den > 0) & (np.bincount(of, minlength=len(den)) > 0)
                 parts.append(pa.table([pa.array(np.full(ok.sum(), m, np.int32)), pa.array(_bucket(h[ok], k.buckets).astype(np.int32)), pa.array(h[ok].view(np.int64)), pa.array(den[ok]), pa.array(alpha[ok])], names=["level", "bucket", "history", "denominator", "alpha"]))
         kinds = [("level", pa.int32()), ("bucket", pa.int32()), ("history", pa.int64()), ("denominator", pa.float64()), ("alpha", pa.float64())]
         return pa.concat_tables(parts) if parts else pa.schema(kinds).empty_table()
 
-    histories = own.groupBy("unit").cogroup(asked.repartitionById(k.units, "unit").groupBy("unit")).applyInArrow(weights, "level int, bucket int, history long, denominator double, alpha double")
+    histories = own.groupBy("unit").cogroup(_told(own, k).groupBy("unit")).applyInArrow(weights, "level int, bucket int, history long, denominator double, alpha double")
     return counted, histories.groupBy("level", "bucket", "history").agg(F.first("denominator").alias("denominator"), F.first("alpha").alias("alpha"))
 
 

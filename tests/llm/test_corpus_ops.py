@@ -53,7 +53,7 @@ def test_katz_registered_order(spark):
     assert got == pytest.approx(score(order=3)) and got != pytest.approx(score(order=2))
 
 
-@pytest.mark.parametrize(("order", "unit_bytes"), [(1, 1 << 24), (2, 20_000), (3, 30_000)])
+@pytest.mark.parametrize(("order", "unit_bytes"), [(1, 1 << 24), (2, 20_000), (3, 30_000), (3, 4_000), (4, 20_000)])
 def test_katz(spark, order, unit_bytes):
     df, rows = small(spark)
     rows = rows[:60] + [(9001, None), (9002, ""), (9003, "The THE the"), (-5, "unheard words only")]
