@@ -1,18 +1,18 @@
 """Substring dedup: word sequences that occur in more than one document, over prefix-partitioned suffix groups.
 
 A suffix of a document's words is followed from the root of a suffix tree by its words; the tree is cut into
-groups by prefix so that none needs more memory than a task has. Two prefix lengths are used. First, of every
+groups by prefix so that none needs more memory than a task has. Two rounds cut it. First, of every
 window of ``window`` words the suffix whose ``prefix``-word beginning has the least hash is taken (equal windows choose
 alike, so a repeated window always has its chosen suffix repeated too); groups of these prefixes find those
-that a second place shares, and every other branch ends there as a leaf. Only windows below a shared prefix are
-then extended to ``window`` words, where an internal node, a path with leaves in two documents, is a repeat.
-Paths are carried as fingerprints of their words (64 bits for prefixes, where a false match only costs work, and
-96 bits for windows) because the words themselves would be thirteen times the input.
+that a second document shares, and every other branch ends there as a leaf. Then the words below the shared prefixes are gathered, consecutive windows
+that chose the same suffix as one run of words, and each group sorts the suffixes of its runs by 1, 2, 4, 8 and ``window`` words (prefix doubling): suffixes that
+still share their rank are the leaves below an internal node of at least that depth, a repeat. What comes back to a document's unit is a bit per window.
 
-Units are ranges of document ids, so the least unit below a node holds the least document, and a node gets one entry
-per unit however many documents share it: a passage in a third of all documents is no larger a group than any.
+Units are ranges of document ids, and a run that several documents of a unit have goes to its group once, with the smallest of their ids: a passage in a third of all
+documents is an entry per unit, no larger a group than any. Prefixes are told apart by 64-bit hashes, where a false match only costs work; in groups words are, each by
+64 bits.
 
-Defined results: words are taken unchanged; null or empty text has no words; fewer than ``window`` words never repeat; rows
+Defined results: words are taken unchanged; null or empty text has no words; fewer than ``window`` words never repeat; a text of any length is one document; rows
 with one id are one document as far as smaller ids go (none of them removes from another); null ids count as smaller than
 all others; repeats within one document only are kept; an empty table gives an empty result; extra columns are not read.
 """
@@ -31,17 +31,16 @@ from . import textkernel as tk
 from . import units as un
 
 WINDOW, PREFIX = 13, 7
-_CHECK = np.uint64(0xA24BAED4963EE407)
 
 
 class _Words:
-    """Words of a chunk, their hashes, and of each window its fingerprint and its chosen prefix."""
+    """Words of a chunk, and of each window its chosen prefix."""
 
     def __init__(self, chunk: tk.Chunk, window: int, prefix: int):
         self.chunk, self.window = chunk, window
         self.s, self.e, self.doc = chunk.words()
-        h = tk.span_hash(chunk.prefix(), self.s, self.e)
-        self.h = h
+        self.sums = chunk.prefix()
+        h = tk.span_hash(self.sums, self.s, self.e)
         self.at = np.flatnonzero(tk.within(self.doc, window))  # places where a window begins
         gram = tk.gram_hash(h, prefix)
         chosen = np.zeros(0, np.uint64)
@@ -51,14 +50,24 @@ class _Words:
                 np.minimum(chosen, gram[self.at + k], out=chosen)
         self.chosen = chosen
 
-    def paths(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.at[which]
-        one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-        for k in range(self.window):
-            x = self.h[at + k]
-            one = one * np.uint64(0xD6E8FEB86659FD93) + x
-            two = two * _CHECK + (x ^ (x >> np.uint64(29)))
-        return tk.mix(one), (tk.mix(two) >> np.uint64(32)).astype(np.uint32)
+    def runs(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first window, number of windows, hash) of the runs of windows that chose the same shared prefix."""
+        below = np.zeros(0, np.int64)
+        if len(shared) and len(self.at):
+            i = np.minimum(np.searchsorted(shared, self.chosen), len(shared) - 1)
+            below = np.flatnonzero(shared[i] == self.chosen)
+        if not len(below):
+            return below, below, np.zeros(0, np.uint64)
+        new = np.r_[True, (np.diff(self.at[below]) != 1) | (np.diff(self.doc[self.at[below]]) != 0) | (self.chosen[below[1:]] != self.chosen[below[:-1]])]
+        first = np.flatnonzero(new)
+        many = np.diff(np.append(first, len(below)))
+        first = below[first]
+        b, e = self.bytes_of(first, many)
+        return first, many, tk.mix(tk.span_hash(self.sums, b, e) ^ self.chosen[first])
+
+    def bytes_of(self, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = self.at[first]
+        return self.s[w], self.e[w + many + self.window - 2]
 
 
 def _texts(t: pa.Table) -> pa.Array:
@@ -73,25 +82,6 @@ def _unpack(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
     return [np.frombuffer(b.as_buffer(), dtype) for b in column if b.is_valid]
 
 
-_PATH = np.dtype([("one", "<u8"), ("two", "<u4")])
-
-
-def _pack_paths(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    out = np.empty(len(one), _PATH)
-    out["one"], out["two"] = one, two
-    return out
-
-
-def _by_path(p: np.ndarray) -> np.ndarray:
-    """A stable order by path. The first 64 bits decide, unless two paths that differ share them."""
-    one, two = np.ascontiguousarray(p["one"]), np.ascontiguousarray(p["two"])
-    order = np.argsort(one, kind="stable")
-    a, b = one[order], two[order]
-    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
-        order = np.lexsort((two, one))
-    return order
-
-
 class _Finder:
     def __init__(self, units: int, buckets: int, window: int, prefix: int):
         self.units, self.buckets, self.window, self.prefix = units, buckets, window, prefix
@@ -134,96 +124,115 @@ class _Finder:
         many = np.bincount(group) > 1
         many |= np.bincount(group, weights=flag) > 0
         use = many[group]
-        rows = [(u, 1, h[use][at].tobytes()) for u, at in un.split_by(unit[use])]
-        return un.blobs(rows, ["unit", "round", "reply"], [pa.int32(), pa.int32(), pa.binary()])
-
-    # round 2: windows ------------------------------------------------------------------------------
-    def _replies(self, r: pa.Table, which: int, dtype) -> np.ndarray:
-        rows = [b for b, k in zip(r["reply"], r["round"].to_pylist()) if k == which]
-        got = np.concatenate([np.frombuffer(b.as_buffer(), dtype) for b in rows]) if rows else np.zeros(0, dtype)
-        return np.sort(got) if dtype is np.uint64 else got[_by_path(got)]
-
-    def _below(self, w: _Words, shared: np.ndarray) -> np.ndarray:
-        """The windows below a shared prefix."""
-        if not len(shared) or not len(w.at):
-            return np.zeros(0, np.int64)
-        i = np.minimum(np.searchsorted(shared, w.chosen), len(shared) - 1)
-        return np.flatnonzero(shared[i] == w.chosen)
+        rows = [(u, 1, t["bucket"][0].as_py(), h[use][at].tobytes()) for u, at in un.split_by(unit[use])]
+        return un.blobs(rows, ["unit", "round", "bucket", "reply"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()])
+
+    # round 2: the words below shared prefixes
+    def _shared(self, r: pa.Table) -> np.ndarray:
+        rows = [b for b, k in zip(r["reply"], r["round"].to_pylist()) if k == 1]
+        return np.sort(np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in rows])) if rows else np.zeros(0, np.uint64)
+
+    def _runs(self, t: pa.Table, shared: np.ndarray) -> tuple[list, list[tuple], np.ndarray]:
+        """(chunks, (first, many) of each chunk's runs, (hash, id, chunk, place in it) of all runs)."""
+        key = t["key"].to_numpy()
+        words, places, rows = [], [], []
+        for i, w in enumerate(self.words(_texts(t))):
+            first, many, h = w.runs(shared)
+            words.append(w)
+            places.append((first, many))
+            rows.append((h, key[w.chunk.lo + w.doc[w.at[first]]], np.full(len(first), i), np.arange(len(first))))
+        return words, places, tuple(np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+
+    @staticmethod
+    def _distinct(h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a place of each distinct run, by hash; each run's number among them; the smallest id that has it)."""
+        order = np.lexsort((key, h))
+        new = np.r_[True, h[order][1:] != h[order][:-1]] if len(h) else np.zeros(0, bool)
+        number = np.empty(len(h), np.int64)
+        number[order] = np.cumsum(new) - 1
+        first = order[new]
+        return first, number, key[first]
 
     def ask_windows(self, t: pa.Table, r: pa.Table) -> pa.Table:
-        names, types = ["bucket", "unit", "paths"], [pa.int32(), pa.int32(), pa.binary()]
-        shared = self._replies(r, 1, np.uint64)
+        names, types = ["bucket", "unit", "runs"], [pa.int32(), pa.int32(), pa.binary()]
+        shared = self._shared(r)
         if not t.num_rows or not len(shared):
             return un.blobs([], names, types)
-        parts = []
-        for w in self.words(_texts(t)):
-            parts.append(_pack_paths(*w.paths(self._below(w, shared))))
-        p = np.concatenate(parts) if parts else np.zeros(0, _PATH)
-        p = p[_by_path(p)]
-        p = p[np.r_[True, p[1:] != p[:-1]]] if len(p) else p
-        unit = t["unit"][0].as_py()
-        return un.blobs([(i, unit, p[at].tobytes()) for i, at in un.split_by(_bucket(p["one"], self.buckets))], names, types)
+        words, places, (h, key, chunk, at) = self._runs(t, shared)
+        first, _, least = self._distinct(h, key)
+        texts: list = [None] * len(first)
+        prefix = np.zeros(len(first), np.uint64)
+        for i, (w, (begin, many)) in enumerate(zip(words, places)):
+            mine = np.flatnonzero(chunk[first] == i)
+            p = at[first[mine]]
+            b, e = w.bytes_of(begin[p], many[p])
+            prefix[mine] = w.chosen[begin[p]]
+            data = w.chunk.buf.tobytes()
+            for q, x, y in zip(mine.tolist(), b.tolist(), e.tolist()):
+                texts[q] = data[x:y]
+        unit, rows = t["unit"][0].as_py(), []
+        for b, place in un.split_by(_bucket(prefix, self.buckets)):
+            sink = pa.BufferOutputStream()
+            batch = pa.record_batch([pa.array([texts[q] for q in place.tolist()], pa.binary()), pa.array(least[place])], names=["run", "least"])
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            rows.append((b, unit, sink.getvalue().to_pybytes()))
+        return un.blobs(rows, names, types)
 
     def tell_windows(self, t: pa.Table) -> pa.Table:
-        """Of a group of paths, to each unit those that a smaller unit has."""
-        t = t.sort_by("unit")
-        ps = _unpack(t["paths"], _PATH)
-        unit = np.repeat(t["unit"].to_numpy(), [len(p) for p in ps])
-        p = np.concatenate(ps)
-        order = _by_path(p)
-        p, unit = p[order], unit[order]
-        later = np.zeros(len(p), bool)
-        later[1:] = p[1:] == p[:-1]
-        rows = [(u, 2, p[later][at].tobytes()) for u, at in un.split_by(unit[later])]
-        return un.blobs(rows, ["unit", "round", "reply"], [pa.int32(), pa.int32(), pa.binary()])
-
-    # round 3: removal ------------------------------------------------------------------------------
-    def removed(self, t: pa.Table, r: pa.Table) -> Iterator[tuple[_Words, np.ndarray]]:
-        """Each chunk with the flags of its words that go."""
-        shared, later = self._replies(r, 1, np.uint64), self._replies(r, 2, _PATH)
-        key = t["key"].to_numpy()
-        chunks, at, paths, keys, where = [], [], [], [], []
-        for i, c in enumerate(tk.chunks(_texts(t))):
-            chunks.append(c)
-            w = _Words(c, self.window, self.prefix)
-            below = self._below(w, shared)
-            paths.append(_pack_paths(*w.paths(below)))
-            at.append(w.at[below])
-            keys.append(key[c.lo + w.doc[w.at[below]]])
-            where.append(np.full(len(below), i, np.int32))
-        if not chunks:
+        """Of a group's runs, to each unit which windows a smaller id has: the leaves of nodes of at least ``window`` words."""
+        parts = [pa.ipc.open_stream(pa.BufferReader(b.as_buffer())).read_all() for b in t["runs"]]
+        every = pa.concat_tables(parts).combine_chunks()
+        column = every["run"].combine_chunks() if isinstance(every["run"], pa.ChunkedArray) else every["run"]
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        buf, off = tk.buffers(column)
+        c = tk.Chunk(0, len(column), buf, off)
+        s, e, run = c.words()
+        _, _, rank = un.distinct(tk.span_hash(c.prefix(), s, e))
+        depth = 1
+
+        def deeper(step: int, rank: np.ndarray) -> np.ndarray:
+            behind = np.zeros(len(rank), np.uint64)
+            behind[: len(rank) - step] = rank[step:]
+            return un.distinct(tk.mix(rank.astype(np.uint64) << np.uint64(32) | behind))[2]
+
+        while 2 * depth <= self.window:
+            rank, depth = deeper(depth, rank), 2 * depth
+        if depth < self.window:
+            rank = deeper(self.window - depth, rank)
+        start = np.flatnonzero(tk.within(run, self.window))
+        key = every["least"].to_numpy()[run[start]]
+        node = rank[start]
+        least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, node, key)
+        later = least[node] < key
+        cut = np.searchsorted(run[start], np.cumsum([0, *(p.num_rows for p in parts)]))
+        rows = [(u, 2, t["bucket"][0].as_py(), np.packbits(later[a:b]).tobytes()) for u, a, b in zip(t["unit"].to_pylist(), cut, cut[1:])]
+        return un.blobs(rows, ["unit", "round", "bucket", "reply"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()])
+
+    # round 3: removal
+    def removed(self, t: pa.Table, r: pa.Table) -> Iterator[tuple[tk.Chunk, tuple, np.ndarray]]:
+        """Each chunk with its words and the flags of those that go."""
+        words, places, (h, key, chunk, at) = self._runs(t, self._shared(r))
+        if not words:
             return
-        p, at, keys, where = map(np.concatenate, (paths, at, keys, where))
-        order = _by_path(p)
-        q, k = p[order], keys[order]
-        first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
-        head = np.flatnonzero(first)
-        least = np.repeat(np.minimum.reduceat(k, head), np.diff(np.append(head, len(q)))) if len(q) else k
-        gone = k > least
-        if len(later) and len(q):
-            gone |= _held(later, q)
-        hit = np.zeros(len(p), bool)
-        hit[order] = gone
-        for i, c in enumerate(chunks):
-            mine = at[hit & (where == i)]
-            w = c.words()
-            yield c, w, tk.cover(mine, self.window, len(w[0]))
-
-
-def _held(table: np.ndarray, paths: np.ndarray) -> np.ndarray:
-    """Which paths a table sorted by path has."""
-    one, want = np.ascontiguousarray(table["one"]), np.ascontiguousarray(paths["one"])
-    i = np.searchsorted(one, want)
-    out = np.zeros(len(paths), bool)
-    live = i < len(table)
-    while live.any():  # once, but for paths that differ and share their first 64 bits
-        at = np.flatnonzero(live)
-        out[at] |= table[i[at]] == paths[at]
-        i[at] += 1
-        live[at] = (i[at] < len(table)) & ~out[at]
-        more = np.flatnonzero(live)
-        live[more] = one[i[more]] == want[more]
-    return out
+        first, number, least = self._distinct(h, key)
+        sizes = np.array([places[c][1][p] for c, p in zip(chunk[first].tolist(), at[first].tolist())], np.int64)
+        prefix = np.array([words[c].chosen[places[c][0][p]] for c, p in zip(chunk[first].tolist(), at[first].tolist())], np.uint64)
+        told = {b: x for b, x, k in zip(r["bucket"].to_pylist(), r["reply"], r["round"].to_pylist()) if k == 2}
+        begin = np.cumsum(sizes) - sizes
+        later = np.zeros(int(sizes.sum()), bool)
+        for b, place in un.split_by(_bucket(prefix, self.buckets)):
+            n = sizes[place]
+            flat = np.arange(int(n.sum())) + np.repeat(begin[place] - (np.cumsum(n) - n), n)
+            later[flat] = np.unpackbits(np.frombuffer(told[b].as_buffer(), np.uint8), count=len(flat)).astype(bool)
+        for i, w in enumerate(words):
+            mine = np.flatnonzero(chunk == i)
+            n, which = places[i][1][at[mine]], number[mine]
+            nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            gone = np.repeat(key[mine] > least[which], n) | later[np.repeat(begin[which], n) + nth]
+            starts = w.at[np.repeat(places[i][0][at[mine]], n) + nth]
+            yield w.chunk, (w.s, w.e, w.doc), tk.cover(starts[gone], self.window, len(w.s))
 
 
 def kept_texts(chunk: tk.Chunk, s: np.ndarray, e: np.ndarray, doc: np.ndarray, keep: np.ndarray) -> list[bytes]:
@@ -246,10 +255,10 @@ def _found(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int
     f = _Finder(units.n, units.n, window, prefix)
     # one shuffle of the texts, which all three rounds read
     own = docs.select(un.key_of(id_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), units.of(id_col).alias("unit")).repartitionById(units.n, "unit")
-    reply = "unit int, round int, reply binary"
+    reply = "unit int, round int, bucket int, reply binary"
     one = own.groupBy("unit").applyInArrow(lambda t: f.ask_prefixes(t), "bucket int, unit int, hashes binary, shared binary").repartitionById(f.buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: f.tell_prefixes(t), reply)
     two = (
-        own.groupBy("unit").cogroup(one.repartitionById(f.units, "unit").groupBy("unit")).applyInArrow(lambda t, r: f.ask_windows(t, r), "bucket int, unit int, paths binary")
+        own.groupBy("unit").cogroup(one.repartitionById(f.units, "unit").groupBy("unit")).applyInArrow(lambda t, r: f.ask_windows(t, r), "bucket int, unit int, runs binary")
         .repartitionById(f.buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: f.tell_windows(t), reply)
     )
     return own, one.unionAll(two), f
