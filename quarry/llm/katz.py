@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,6 +180,10 @@ class _Katz:
     def tell_counts(self, t: pa.Table) -> pa.Table:
         place = t["place"][0].as_py()
         m, b = place // self.buckets + 1, place % self.buckets
+        # what is added to histories comes by the same exchange; a filter before it would make it another one
+        t = t.filter(pc.or_(t["keys"].is_valid(), t["stats"].is_valid()))
+        if not t.num_rows:
+            return self._replies([])
         stats = np.array([x for x in t["stats"].to_pylist() if x] or [[0] * (GT_MAX + 3)], np.int64).sum(0)
         t, rows = t.filter(t["keys"].is_valid()).sort_by("unit"), []
         if t.num_rows:
@@ -358,7 +363,7 @@ def _told(own: DataFrame, k: _Katz) -> DataFrame:
         both = levels[m - 1].groupBy("place").cogroup(more.groupBy("place")).applyInArrow(_histories(k, m), _REPLY)
         told = told.join(_by_unit(both, k, f"h{m}"), "unit", "left")
         if m < k.order:
-            grams = more.where("keys is not null or stats is not null").groupBy("place").applyInArrow(lambda t: k.tell_counts(t), _REPLY)
+            grams = more.groupBy("place").applyInArrow(lambda t: k.tell_counts(t), _REPLY)
             told = told.join(_by_unit(_with_stats(grams, k.units), k, f"c{m + 1}"), "unit", "left")
             levels[m + 1] = more
     return told

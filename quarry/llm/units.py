@@ -1,6 +1,6 @@
 """Units: ranges of documents by id, sized to a task's memory, the same however often they are worked out.
 
-The bounds are fixed once on the driver (as many ids as there are units), so a task that is run again finds
+The bounds follow the bytes of text, however they lie among the ids. They are fixed once on the driver (as many ids as there are units), so a task that is run again finds
 the same documents. Ids must be integers; null counts as smaller than any. The number of units grows with
 the bytes of text; their size is a parameter.
 """
@@ -46,18 +46,47 @@ class Units:
 
 
 def make(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int = UNIT_BYTES) -> Units:
-    """Bounds for units of about unit_bytes of text each; one pass over the table's ids and lengths."""
-    size, rows = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.count("*")).first()
+    """Bounds for units of about unit_bytes of text each.
+
+    Quantiles of the ids give ranges, at most QUANTILES at first; ranges with much more than a unit's bytes are cut at quantiles of their own ids until none
+    is left that can be cut, and neighbours that are small are put together. What can't be cut by ids is one unit: a document, the rows of one id, the rows without an id.
+    """
+    octets = F.octet_length(F.col(text_col)).cast("long")
+    size, rows = docs.agg(F.sum(octets), F.count("*")).first()
     n = max(1, -(-(size or 0) // unit_bytes))
     if n == 1 or not rows:
         return Units(np.zeros(0, np.int64))
-    # at most QUANTILES quantiles are asked for; more units than that divide the ids between two of them evenly
     q = min(n, QUANTILES)
-    found = docs.agg(F.percentile_approx(key_of(id_col), [i / q for i in range(q + 1)], 100 * q)).first()[0] or []
-    edges = [int(x) for x in found]
-    parts = -(-n // q)
-    inner = {a + (b - a) * j // parts for a, b in zip(edges, edges[1:]) for j in range(parts)} - {edges[0]}
-    return Units(np.array(sorted(inner), np.int64))
+    found = docs.agg(F.percentile_approx(key_of(id_col), [i / q for i in range(1, q)], 100 * q)).first()[0] if q > 1 else []
+    edges = {int(x) for x in found or []}
+    keyed = docs.select(key_of(id_col).alias("key"), F.coalesce(octets, F.lit(0)).alias("bytes"))
+    for _ in range(4):
+        units = Units(np.array(sorted(edges), np.int64))
+        # as many rows as there are units
+        sums = keyed.groupBy(units.of("key").alias("unit")).agg(F.sum("bytes").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
+        heavy = [r["unit"] for r in sums if 2 * r["bytes"] > 3 * unit_bytes and r["low"] < r["high"]]
+        if not heavy:
+            break
+        large = F.broadcast(docs.sparkSession.createDataFrame([(u,) for u in heavy], "unit int"))
+        most = max(r["bytes"] for r in sums) // unit_bytes + 1
+        parts = int(min(64, max(2, 2 * most)))
+        cut = keyed.withColumn("unit", units.of("key")).join(large, "unit").groupBy("unit").agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 100 * parts).alias("at"), F.min("key").alias("low"), F.max("key").alias("high"))
+        new = {int(x) for r in cut.collect() for x in (*r["at"], r["low"]) if x < r["high"]} - edges
+        if not new:
+            break
+        edges |= new
+    units = Units(np.array(sorted(edges), np.int64))
+    weight = np.zeros(units.n, np.int64)
+    for r in keyed.groupBy(units.of("key").alias("unit")).agg(F.sum("bytes").alias("bytes")).collect():
+        weight[r["unit"]] = r["bytes"]
+    kept, held = [], 0
+    for i, bound in enumerate(units.bounds.tolist()):
+        held += weight[i]
+        # a bound stays unless what is before and behind it fits one unit
+        if 4 * (held + weight[i + 1]) > 5 * unit_bytes:
+            kept.append(bound)
+            held = 0
+    return Units(np.array(kept, np.int64))
 
 
 def blobs(parts: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:

@@ -407,3 +407,16 @@ def test_units(spark, monkeypatch):
         assert [got[i] for i in order] == sorted(got.values()) and 8 <= units.n <= 12 and len(set(got.values())) >= 8
     assert un.make(df.limit(0), "doc_id", "text").n == 1
     assert [(b, p.tolist()) for b, p in un.split_by(np.array([2, 0, 2]))] == [(0, [1]), (2, [0, 2])]
+
+
+def test_units_follow_bytes(spark):
+    sizes = {i: 20_000 if 100 <= i < 110 else 10 for i in range(1000)}  # long documents lie side by side
+    df = frame(spark, [(i * i, "x" * n) for i, n in sizes.items()])
+    units = un.make(df, "doc_id", "text", 20_000)
+    of = {r["doc_id"]: r["u"] for r in df.select("doc_id", units.of("doc_id").alias("u")).collect()}
+    held = collections.Counter()
+    for i, n in sizes.items():
+        held[of[i * i]] += n
+    assert max(held.values()) <= 30_000 and units.n <= 25
+    same = frame(spark, [(7, "x" * 10_000)] * 5 + [(None, "x" * 10_000)] * 3 + [(8, "y")])
+    assert un.make(same, "doc_id", "text", 10_000).n <= 4
