@@ -50,24 +50,28 @@ class _Words:
                 np.minimum(chosen, gram[self.at + k], out=chosen)
         self.chosen = chosen
 
-    def runs(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first window, number of windows, hash) of the runs of windows that chose the same shared prefix."""
+    def runs(self, shared: np.ndarray) -> np.ndarray:
+        """The runs of windows that chose the same shared prefix."""
         below = np.zeros(0, np.int64)
         if len(shared) and len(self.at):
             i = np.minimum(np.searchsorted(shared, self.chosen), len(shared) - 1)
             below = np.flatnonzero(shared[i] == self.chosen)
         if not len(below):
-            return below, below, np.zeros(0, np.uint64)
-        new = np.r_[True, (np.diff(self.at[below]) != 1) | (np.diff(self.doc[self.at[below]]) != 0) | (self.chosen[below[1:]] != self.chosen[below[:-1]])]
+            return np.zeros(0, _RUN)
+        at = self.at[below]
+        new = np.r_[True, (np.diff(at) != 1) | (np.diff(self.doc[at]) != 0) | (self.chosen[below[1:]] != self.chosen[below[:-1]])]
         first = np.flatnonzero(new)
-        many = np.diff(np.append(first, len(below)))
-        first = below[first]
-        b, e = self.bytes_of(first, many)
-        return first, many, tk.mix(tk.span_hash(self.sums, b, e) ^ self.chosen[first])
+        out = np.zeros(len(first), _RUN)
+        out["many"] = np.diff(np.append(first, len(below)))
+        out["word"], out["prefix"] = at[first], self.chosen[below[first]]
+        out["begin"], out["end"] = self.s[at[first]], self.e[at[first] + out["many"] + self.window - 2]
+        out["doc"] = self.doc[at[first]]
+        out["hash"] = tk.mix(tk.span_hash(self.sums, out["begin"].astype(np.int64), out["end"].astype(np.int64)) ^ out["prefix"])
+        return out
 
-    def bytes_of(self, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = self.at[first]
-        return self.s[w], self.e[w + many + self.window - 2]
+
+# a run of windows: its hash and chosen prefix, its first word and bytes in its chunk, how many windows, its document in the chunk, the chunk, the document's id
+_RUN = np.dtype([("hash", "<u8"), ("prefix", "<u8"), ("key", "<i8"), ("word", "<i4"), ("begin", "<i4"), ("end", "<i4"), ("many", "<i4"), ("doc", "<i4"), ("chunk", "<i4")])
 
 
 def _texts(t: pa.Table) -> pa.Array:
@@ -132,48 +136,50 @@ class _Finder:
         rows = [b for b, k in zip(r["reply"], r["round"].to_pylist()) if k == 1]
         return np.sort(np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in rows])) if rows else np.zeros(0, np.uint64)
 
-    def _runs(self, t: pa.Table, shared: np.ndarray) -> tuple[list, list[tuple], np.ndarray]:
-        """(chunks, (first, many) of each chunk's runs, (hash, id, chunk, place in it) of all runs)."""
+    def _runs(self, t: pa.Table, shared: np.ndarray) -> tuple[list[tk.Chunk], np.ndarray]:
+        """(chunks, runs of all of them); the words themselves aren't held."""
         key = t["key"].to_numpy()
-        words, places, rows = [], [], []
+        chunks, parts = [], [np.zeros(0, _RUN)]
         for i, w in enumerate(self.words(_texts(t))):
-            first, many, h = w.runs(shared)
-            words.append(w)
-            places.append((first, many))
-            rows.append((h, key[w.chunk.lo + w.doc[w.at[first]]], np.full(len(first), i), np.arange(len(first))))
-        return words, places, tuple(np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+            r = w.runs(shared)
+            r["chunk"] = i
+            r["key"] = key[w.chunk.lo + r["doc"]]
+            chunks.append(w.chunk)
+            parts.append(r)
+        return chunks, np.concatenate(parts)
 
     @staticmethod
-    def _distinct(h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a place of each distinct run, by hash; each run's number among them; the smallest id that has it)."""
-        order = np.lexsort((key, h))
-        new = np.r_[True, h[order][1:] != h[order][:-1]] if len(h) else np.zeros(0, bool)
+    def _distinct(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a place of each distinct run, in order of hashes and with the smallest id; each run's number among them)."""
+        order = np.lexsort((runs["key"], runs["hash"]))
+        h = runs["hash"][order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
         number = np.empty(len(h), np.int64)
         number[order] = np.cumsum(new) - 1
-        first = order[new]
-        return first, number, key[first]
+        return order[new], number
 
     def ask_windows(self, t: pa.Table, r: pa.Table) -> pa.Table:
         names, types = ["bucket", "unit", "runs"], [pa.int32(), pa.int32(), pa.binary()]
         shared = self._shared(r)
         if not t.num_rows or not len(shared):
             return un.blobs([], names, types)
-        words, places, (h, key, chunk, at) = self._runs(t, shared)
-        first, _, least = self._distinct(h, key)
-        texts: list = [None] * len(first)
-        prefix = np.zeros(len(first), np.uint64)
-        for i, (w, (begin, many)) in enumerate(zip(words, places)):
-            mine = np.flatnonzero(chunk[first] == i)
-            p = at[first[mine]]
-            b, e = w.bytes_of(begin[p], many[p])
-            prefix[mine] = w.chosen[begin[p]]
-            data = w.chunk.buf.tobytes()
-            for q, x, y in zip(mine.tolist(), b.tolist(), e.tolist()):
-                texts[q] = data[x:y]
+        chunks, runs = self._runs(t, shared)
+        first, _ = self._distinct(runs)
+        one = runs[first]
         unit, rows = t["unit"][0].as_py(), []
-        for b, place in un.split_by(_bucket(prefix, self.buckets)):
+        for b, place in un.split_by(_bucket(one["prefix"], self.buckets)):
+            these = one[place]
+            size = (these["end"] - these["begin"]).astype(np.int64)
+            off = np.r_[0, np.cumsum(size)]
+            data = np.zeros(int(off[-1]), np.uint8)
+            for i, at in un.split_by(these["chunk"]):
+                n = size[at]
+                nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                data[np.repeat(off[at], n) + nth] = chunks[i].buf[np.repeat(these["begin"][at].astype(np.int64), n) + nth]
+            column = pa.Array.from_buffers(pa.large_binary(), len(these), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)])
+            batch = pa.record_batch([column, pa.array(these["key"].astype(np.int64))], names=["run", "least"])
             sink = pa.BufferOutputStream()
-            batch = pa.record_batch([pa.array([texts[q] for q in place.tolist()], pa.binary()), pa.array(least[place])], names=["run", "least"])
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(batch)
             rows.append((b, unit, sink.getvalue().to_pybytes()))
@@ -213,26 +219,25 @@ class _Finder:
     # round 3: removal
     def removed(self, t: pa.Table, r: pa.Table) -> Iterator[tuple[tk.Chunk, tuple, np.ndarray]]:
         """Each chunk with its words and the flags of those that go."""
-        words, places, (h, key, chunk, at) = self._runs(t, self._shared(r))
-        if not words:
-            return
-        first, number, least = self._distinct(h, key)
-        sizes = np.array([places[c][1][p] for c, p in zip(chunk[first].tolist(), at[first].tolist())], np.int64)
-        prefix = np.array([words[c].chosen[places[c][0][p]] for c, p in zip(chunk[first].tolist(), at[first].tolist())], np.uint64)
+        chunks, runs = self._runs(t, self._shared(r))
+        first, number = self._distinct(runs)
+        one = runs[first]
         told = {b: x for b, x, k in zip(r["bucket"].to_pylist(), r["reply"], r["round"].to_pylist()) if k == 2}
+        sizes = one["many"].astype(np.int64)
         begin = np.cumsum(sizes) - sizes
         later = np.zeros(int(sizes.sum()), bool)
-        for b, place in un.split_by(_bucket(prefix, self.buckets)):
+        for b, place in un.split_by(_bucket(one["prefix"], self.buckets)):
             n = sizes[place]
             flat = np.arange(int(n.sum())) + np.repeat(begin[place] - (np.cumsum(n) - n), n)
             later[flat] = np.unpackbits(np.frombuffer(told[b].as_buffer(), np.uint8), count=len(flat)).astype(bool)
-        for i, w in enumerate(words):
-            mine = np.flatnonzero(chunk == i)
-            n, which = places[i][1][at[mine]], number[mine]
+        edge = np.searchsorted(runs["chunk"], np.arange(len(chunks) + 1))  # runs are in order of chunks
+        for i, c in enumerate(chunks):
+            mine, which = runs[edge[i] : edge[i + 1]], number[edge[i] : edge[i + 1]]
+            n = mine["many"].astype(np.int64)
             nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            gone = np.repeat(key[mine] > least[which], n) | later[np.repeat(begin[which], n) + nth]
-            starts = w.at[np.repeat(places[i][0][at[mine]], n) + nth]
-            yield w.chunk, (w.s, w.e, w.doc), tk.cover(starts[gone], self.window, len(w.s))
+            gone = np.repeat(mine["key"] > one["key"][which], n) | later[np.repeat(begin[which], n) + nth]
+            w = c.words()
+            yield c, w, tk.cover((np.repeat(mine["word"].astype(np.int64), n) + nth)[gone], self.window, len(w[0]))
 
 
 def kept_texts(chunk: tk.Chunk, s: np.ndarray, e: np.ndarray, doc: np.ndarray, keep: np.ndarray) -> list[bytes]:
