@@ -48,10 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed documents; what the stages left behind is deleted as soon as the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{storage.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, before = f"{storage.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         path = f"{base}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with storage.scope():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            storage.delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
