@@ -11,7 +11,8 @@ Each unit of documents asks the hash buckets of the count tables once per distin
 the order asked, and says which n-grams other units have too. From level 3 on only n-grams are asked for both of whose parts other units have: the others
 are the unit's own, and so are their counts. A hot n-gram is thus one entry per unit. The first unit that holds an n-gram adds its kept and
 lower mass to its history; histories that other units have are added up where their n-grams were counted, in the order asked, and answered to the units that need them: those
-of held-out tokens, and those whose count doesn't tell the denominator. Nothing is collected; the counts of counts are one row.
+of held-out tokens, and those whose count doesn't tell the denominator. Nothing is collected; the counts of counts are one row. Hashes of n-grams have 20 bits more
+than it takes to number the bytes of text, 64 at most, and lower masses are added up in units of 2^-40.
 ``ngram_tables`` and ``save_model`` give the same model as tables partitioned by level and bucket, ``score_saved`` scores from those.
 
 Defined results: null text is empty (one token, the end); a text of any length is scored whole; rows with equal ids are scored and learnt each on its own; a null id is never
@@ -125,8 +126,9 @@ def _two(a: bytes, b: bytes) -> bytes:
 class _Level:
     """The distinct n-grams of a unit at one level: of each its count in training, whether this unit is the first that has it, whether others have it."""
 
-    def __init__(self, k: _Tokens, m: int, train: np.ndarray, below: _Level | None):
-        self.g, self.first, self.inv = un.distinct(k.gram(m))
+    def __init__(self, k: _Tokens, m: int, train: np.ndarray, below: _Level | None, spare: int):
+        g = k.gram(m)
+        self.g, self.first, self.inv = un.distinct(g & ~np.uint64((1 << spare) - 1))
         self.count = np.bincount(self.inv[train], minlength=len(self.g)).astype(np.int64)
         self.mine, self.shared = np.ones(len(self.g), bool), np.zeros(len(self.g), bool)
         self.asked = np.ones(len(self.g), bool)
@@ -142,8 +144,9 @@ class _Level:
 
 
 class _Katz:
-    def __init__(self, units: int, order: int, every: bool = False):
+    def __init__(self, units: int, order: int, unit_bytes: int = UNIT_BYTES, every: bool = False):
         """every: units are told of all histories they have."""
+        self.spare = np.uint64(max(0, 64 - 20 - (units * unit_bytes).bit_length()))  # low bits of hashes that are left out
         self.units, self.buckets, self.order, self.every = units, units, order, every
         self.places = order * self.buckets + order + 1  # a bucket of a level's n-grams each, and the histories of begin marks only
 
@@ -156,7 +159,7 @@ class _Katz:
 
     def _ask(self, unit: int, m: int, x: _Level) -> list[tuple]:
         g, c = x.g[x.asked], x.count[x.asked]
-        rows = [((m - 1) * self.buckets + b, unit, un.squeeze_sorted(g[at]), un.squeeze(c[at]), None) for b, at in _slices(g, self.buckets)]
+        rows = [((m - 1) * self.buckets + b, unit, un.squeeze_sorted(g[at] >> self.spare), un.squeeze(c[at]), None) for b, at in _slices(g, self.buckets)]
         own = x.count[~x.asked]
         if len(own):
             rows.append(((m - 1) * self.buckets + unit % self.buckets, unit, None, None, _counts(own)))
@@ -168,12 +171,11 @@ class _Katz:
     def ask_first(self, t: pa.Table) -> pa.Table:
         unit = t["unit"][0].as_py()
         _, k, train = self._tokens(t)
-        return self._asked([r for m in range(1, min(2, self.order) + 1) for r in self._ask(unit, m, _Level(k, m, train, None))])
+        return self._asked([r for m in range(1, min(2, self.order) + 1) for r in self._ask(unit, m, _Level(k, m, train, None, int(self.spare)))])
 
-    @staticmethod
-    def _groups(t: pa.Table) -> tuple[list[int], list[np.ndarray], int]:
+    def _groups(self, t: pa.Table) -> tuple[list[int], list[np.ndarray], int]:
         """(units, the group of each key that a unit asked for, groups); t is in order of units."""
-        keys = [un.expand_sorted(b) for b in t["keys"].to_pylist()]
+        keys = [un.expand_sorted(b) << self.spare for b in t["keys"].to_pylist()]
         distinct, _, group = un.distinct(np.concatenate(keys))
         return t["unit"].to_pylist(), np.split(group, np.cumsum([len(x) for x in keys])[:-1]), len(distinct)
 
@@ -221,7 +223,7 @@ class _Katz:
         of = lambda kind: [b for _, b in sorted(replies.get(kind, []), key=lambda x: x[0])]
         p = below = None
         for m in range(1, upto + 1):
-            x = _Level(k, m, train, below)
+            x = _Level(k, m, train, below, int(self.spare))
             x.told(of(m))
             if m == 1:
                 p = ((x.count + 0.5) / (stats[1][-2] + 0.5 * (stats[1][-1] + 1)))[x.inv]
@@ -248,7 +250,7 @@ class _Katz:
                 at = np.flatnonzero(common & need)
                 parts = [(int.from_bytes(b[:8], "little") + 8, b) for b in answer]
                 seen[:, at] = np.concatenate([un.expand(b[8:e], np.int64).reshape(GT_MAX + 1, -1) for e, b in parts], 1)
-                low[at] = np.concatenate([un.expand(b[e:], np.float64) for e, b in parts])
+                low[at] = np.concatenate([un.expand(b[e:], np.int64) for e, b in parts]) / _MASS
                 den, alpha = self.weigh(seen, low, d)
                 # of histories that weren't asked for, tokens of training only follow, and the count tells the denominator
                 quiet = common & ~need
@@ -277,10 +279,10 @@ class _Katz:
         rows = []
         for b, part in _slices(under.g[at], self.buckets):
             i = at[part]
-            rows.append(((m - 2) * self.buckets + b, unit, None, None, None, un.squeeze(seen[:, i].ravel()), un.squeeze(low[i]), np.packbits(need[i]).tobytes()))
-        rows.append((self.order * self.buckets + m, unit, None, None, None, un.squeeze(seen[:, -1]), un.squeeze(low[-1:]), b"\x80"))
+            rows.append(((m - 2) * self.buckets + b, unit, None, None, None, un.squeeze(seen[:, i].ravel()), un.squeeze(_mass(low[i])), np.packbits(need[i]).tobytes()))
+        rows.append((self.order * self.buckets + m, unit, None, None, None, un.squeeze(seen[:, -1]), un.squeeze(_mass(low[-1:])), b"\x80"))
         if m < self.order:
-            rows += [(*r, None, None, None) for r in self._ask(unit, m + 1, _Level(k, m + 1, train, x))]
+            rows += [(*r, None, None, None) for r in self._ask(unit, m + 1, _Level(k, m + 1, train, x, int(self.spare)))]
         return un.blobs(rows, names, types)
 
     @staticmethod
@@ -307,11 +309,11 @@ class _Katz:
             us, gs, n = self._groups(asked)
             many = np.bincount(np.concatenate(gs), minlength=n) > 1
             groups, bucket = {u: g[many[g]] for u, g in zip(us, gs)}, place % self.buckets
-        seen, low = np.zeros((GT_MAX + 1, n), np.int64), np.zeros(n)
-        # in order of units, so that there is one order of adding up; a unit has each history once
+        seen, low = np.zeros((GT_MAX + 1, n), np.int64), np.zeros(n, np.int64)
+        # a unit has each history once
         for u, s, x in zip(units, added["seen"].to_pylist(), added["low"].to_pylist()):
             seen[:, groups[u]] += un.expand(s, np.int64).reshape(GT_MAX + 1, -1)
-            low[groups[u]] += un.expand(x, np.float64)
+            low[groups[u]] += un.expand(x, np.int64)
         rows = []
         for u, need in zip(units, added["need"].to_pylist()):
             g = groups[u]
@@ -334,6 +336,13 @@ class _Katz:
         )
 
 
+_MASS = float(1 << 40)
+
+
+def _mass(low: np.ndarray) -> np.ndarray:
+    return np.rint(low * _MASS).astype(np.int64)
+
+
 def _counts(c: np.ndarray) -> np.ndarray:
     """How many n-grams were seen 1..GT_MAX + 1 times, the sum of all counts, and how many were seen."""
     return np.concatenate([np.bincount(np.minimum(c, GT_MAX + 2), minlength=GT_MAX + 3)[1 : GT_MAX + 2], [c.sum(), (c > 0).sum()]]).astype(np.int64)
@@ -381,7 +390,7 @@ def _histories(k: _Katz, m: int):
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """Learns from the training documents and scores all of them."""
     units = un.make(docs, id_col, text_col, unit_bytes)
-    k = _Katz(units.n, order)
+    k = _Katz(units.n, order, unit_bytes)
     own = un.packed(docs, units, id_col, text_col).repartitionById(units.n, "unit")  # a unit is a task; read by every step
     id_type = docs.schema[id_col].dataType.simpleString()
     out = own.groupBy("unit").cogroup(_told(own, k).groupBy("unit")).applyInArrow(
@@ -397,7 +406,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def ngram_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, unit_bytes: int = UNIT_BYTES) -> tuple[DataFrame, DataFrame]:
     """(level, bucket, gram, count, history) of all n-grams of training documents, and (level, bucket, history, denominator, alpha)."""
     units = un.make(docs, id_col, text_col, unit_bytes)
-    k = _Katz(units.n, order, every=True)
+    k = _Katz(units.n, order, unit_bytes, every=True)
     own = un.packed(docs, units, id_col, text_col).repartitionById(units.n, "unit")  # a unit is a task; read by every step
 
     def grams(t: pa.Table) -> pa.Table:
