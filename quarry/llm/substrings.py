@@ -31,6 +31,7 @@ from . import textkernel as tk
 from . import units as un
 
 WINDOW, PREFIX = 13, 7
+GROUPS = 4  # groups of suffixes for each unit
 
 
 class _Words:
@@ -194,19 +195,21 @@ class _Finder:
         buf, off = tk.buffers(column)
         c = tk.Chunk(0, len(column), buf, off)
         s, e, run = c.words()
-        _, _, rank = un.distinct(tk.span_hash(c.prefix(), s, e))
+        rank = un.distinct(tk.span_hash(c.prefix(), s, e))[2]
+        start = np.flatnonzero(tk.within(run, self.window))
+        del s, e
         depth = 1
 
         def deeper(step: int, rank: np.ndarray) -> np.ndarray:
             behind = np.zeros(len(rank), np.uint64)
             behind[: len(rank) - step] = rank[step:]
-            return un.distinct(tk.mix(rank.astype(np.uint64) << np.uint64(32) | behind))[2]
+            behind |= rank.astype(np.uint64) << np.uint64(32)
+            return un.distinct(tk.mix(behind))[2]
 
         while 2 * depth <= self.window:
             rank, depth = deeper(depth, rank), 2 * depth
         if depth < self.window:
             rank = deeper(self.window - depth, rank)
-        start = np.flatnonzero(tk.within(run, self.window))
         key = every["least"].to_numpy()[run[start]]
         node = rank[start]
         least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
@@ -257,7 +260,8 @@ def kept_texts(chunk: tk.Chunk, s: np.ndarray, e: np.ndarray, doc: np.ndarray, k
 
 def _found(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int, unit_bytes: int) -> tuple[DataFrame, DataFrame, _Finder]:
     units = un.make(docs, id_col, text_col, unit_bytes)
-    f = _Finder(units.n, units.n, window, prefix)
+    # runs overlap by up to a window, so that a group of suffixes has several times the bytes of what it was cut from
+    f = _Finder(units.n, GROUPS * units.n, window, prefix)
     # one shuffle of the texts, which all three rounds read
     own = docs.select(un.key_of(id_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), units.of(id_col).alias("unit")).repartitionById(units.n, "unit")
     reply = "unit int, round int, bucket int, reply binary"

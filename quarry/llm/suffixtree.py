@@ -9,7 +9,8 @@ word before, are read twice as deep, and so on until every common prefix ends. W
 Prefixes of ``min_words`` words that still more than ``group`` suffixes share aren't gathered: the nodes below those are found by counting, for every length,
 the suffixes that share that many words and whether the words on either side differ, which combines before it shuffles.
 
-Defined results: null, empty and short texts have no suffixes; repeated rows are documents of their own; an empty table gives an empty result; other columns are not read.
+Defined results: null, empty and short texts have no suffixes; ids must be integers that don't repeat, and rows without an id are left out; a text of any length is followed
+whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from . import storage
 from . import textkernel as tk
 
 MIN_WORDS, DEPTH, GROUP = 13, 64, 100_000
+BROADCAST_ROWS = 1_000_000  # 8 bytes each
 SCHEMA = "n_words int, occurrences long, documents long, first_id long, first_word long, text string"
 
 
@@ -89,15 +91,17 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = _lengths(min_words)
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = storage.written(_suffixes(keyed, "doc_id", "text", min_words), "suffixes")
-    open_, parts = found, []
+    open_, parts, total = found, [], found.count()
     for i in range(len(sizes)):
         h = f"h{i}"
         many = open_.groupBy(h).agg(F.count("*").alias("n"))
         # prefixes that occur once are leaves; large ones, at most rows / group of them, get longer prefixes
         sized = open_.join(many.where(f"n > 1 and n <= {group}").select(h), h, "left_semi")
         parts.append(sized.select("id", "pos", F.struct(F.lit(i).alias("level"), F.col(h).alias("prefix")).alias("node")))
-        large = many.where(f"n > {group}").select(h)
-        open_ = open_.join(F.broadcast(large), h, "left_semi")
+        # a prefix with 1/BROADCAST_ROWS of all suffixes or more is broadcast: there are at most so many; the others are spread by a shuffle
+        least_share = -(-total // BROADCAST_ROWS)
+        hot_ = open_.join(F.broadcast(many.where(f"n > {group} and n >= {least_share}").select(h)), h, "left_semi")
+        open_ = hot_ if least_share <= group else hot_.unionAll(open_.join(many.where(f"n > {group} and n < {least_share}").select(h), h, "left_semi"))
     grouped = parts[0]
     for p in parts[1:]:
         grouped = grouped.unionAll(p)
