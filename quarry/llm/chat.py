@@ -4,7 +4,7 @@ The production template writes ``### role: text</turn>`` and a newline for each
 texts get a backslash (and so does every backslash), so what is written can be read back to the same turns.
 
 Defined results: turns are ordered by turn, then role, then text, null first; repeated rows are turns of their own; null roles and
-texts are empty; rows of a null conversation id form one conversation; an empty table gives an empty result; other columns are not read.
+texts are empty; rows of a null conversation id form one conversation; texts of any length are rendered whole; an empty table gives an empty result; other columns are not read.
 A conversation is rendered whole in one task, since it is one text.
 """
 

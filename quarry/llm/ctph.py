@@ -9,7 +9,7 @@ Two fingerprints are compared at a block size that both have: one less the inser
 signature into the other, over their joint length; 0 if no run of 7 characters is common (or of half the
 shorter signature, where that is less) or no block size is; 1 if the fingerprints are equal.
 
-Defined results: null is the empty text, whose fingerprint is "4::"; repeated rows and equal ids are neighbours of each
+Defined results: null is the empty text, whose fingerprint is "4::"; of a text of any length the block size grows with it; repeated rows and equal ids are neighbours of each
 other in the order of their texts; null ids come after all others; a lone document is its own next one; an empty table
 gives an empty result; other columns are not read.
 """

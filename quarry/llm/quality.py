@@ -7,7 +7,7 @@ a maximal repeated substring. The spans of all repeats of at least ``min_repeat`
 a document is rejected if they cover more than ``max_covered`` per cent of its words, or if its longest
 repeat exceeds ``max_longest`` per cent of them.
 
-Defined results: null or white-space-only text has no words (all counts 0, base_failed); repeated
+Defined results: null or white-space-only text has no words (all counts 0, base_failed); a text of any length is measured whole; repeated
 rows are judged each on its own; an empty table gives an empty result; other columns are never
 looked at (``filter_quality`` hands all of them through unchanged).
 """
