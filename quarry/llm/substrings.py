@@ -31,6 +31,7 @@ from . import textkernel as tk
 from . import units as un
 
 WINDOW, PREFIX = 13, 7
+UNIT_BYTES = 9 << 20
 GROUPS = 4  # groups of suffixes for each unit
 
 
@@ -273,12 +274,12 @@ def _found(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int
     return own, one.unionAll(two), f
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX, unit_bytes: int = un.UNIT_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX, unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """(id, n_words, n_removed, text): each document's kept words joined by one space."""
     return _removal(docs, id_col, text_col, window, prefix, unit_bytes, "text string", lambda kept: [pa.array([k.decode() for k in kept], pa.string())])
 
 
-def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX, unit_bytes: int = un.UNIT_BYTES) -> DataFrame:
+def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX, unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256)."""
     return _removal(docs, id_col, text_col, window, prefix, unit_bytes, "kept_sha256 string", lambda kept: [pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())])
 
