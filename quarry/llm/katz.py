@@ -37,6 +37,7 @@ ORDER = 3
 UNIT_BYTES = 12 << 20
 FOLDS, HELD_OUT = 5, 1
 GT_MAX = 5
+HOT_SHARE = 1000
 _END, _BEGIN = np.uint64(0x51A7C0DE00000001), np.uint64(0x51A7C0DE00000002)
 _K = np.uint64(0xD6E8FEB86659FD93)
 _REPLY = "unit int, kind int, bucket int, reply binary, stats array<long>"
@@ -235,9 +236,8 @@ class _Katz:
             h[k.since == 0] = n - 1
             use = np.flatnonzero(x.mine & (x.count > 0))
             to, c = h[x.first[use]], x.count[use]
-            many = c > GT_MAX
-            few = np.bincount((c[~many] - 1) * n + to[~many], minlength=GT_MAX * n)
-            seen = np.concatenate([few, np.bincount(to[many], weights=c[many], minlength=n)]).astype(np.int64).reshape(GT_MAX + 1, n)
+            seen = [np.bincount(to[c == i], minlength=n).astype(np.int32) for i in range(1, GT_MAX + 1)]
+            seen.append(np.bincount(to[c > GT_MAX], weights=c[c > GT_MAX], minlength=n).astype(np.int64))
             low = np.bincount(to, weights=p[x.first[use]], minlength=n).astype(float)  # without any it would be of integers
             need = np.zeros(n, bool)
             need[h[~train | (np.append(below.count, GT_MAX + 1)[h] > GT_MAX)]] = True
@@ -249,14 +249,18 @@ class _Katz:
                 d, _ = discounts(np.r_[0, stats[m][: GT_MAX + 1]])
                 at = np.flatnonzero(common & need)
                 parts = [(int.from_bytes(b[:8], "little") + 8, b) for b in answer]
-                seen[:, at] = np.concatenate([un.expand(b[8:e], np.int64).reshape(GT_MAX + 1, -1) for e, b in parts], 1)
+                for row, got in zip(seen, np.concatenate([un.expand(b[8:e], np.int64).reshape(GT_MAX + 1, -1) for e, b in parts], 1)):
+                    row[at] = got
                 low[at] = np.concatenate([un.expand(b[e:], np.int64) for e, b in parts]) / _MASS
                 den, alpha = self.weigh(seen, low, d)
                 # of histories that weren't asked for, tokens of training only follow, and the count tells the denominator
                 quiet = common & ~need
                 den[quiet] = np.append(below.count, 0)[quiet]
-                there = x.count[x.inv] > 0
-                p = np.where(there, _kept(x.count, d)[x.inv] / np.where(there, den[h], 1.0), alpha[h] * p)
+                del seen, low, to, c, use
+                q = _kept(x.count, d)[x.inv]
+                there = q > 0
+                q /= np.where(there, den[h], 1.0)
+                p = np.where(there, q, alpha[h] * p)
                 yield x, h, (den, alpha), need & common, p, stats
             else:
                 yield x, h, (seen, low), need & common, None, stats
@@ -279,22 +283,27 @@ class _Katz:
         rows = []
         for b, part in _slices(under.g[at], self.buckets):
             i = at[part]
-            rows.append(((m - 2) * self.buckets + b, unit, None, None, None, un.squeeze(seen[:, i].ravel()), un.squeeze(_mass(low[i])), np.packbits(need[i]).tobytes()))
-        rows.append((self.order * self.buckets + m, unit, None, None, None, un.squeeze(seen[:, -1]), un.squeeze(_mass(low[-1:])), b"\x80"))
+            rows.append(((m - 2) * self.buckets + b, unit, None, None, None, un.squeeze(np.concatenate([x[i] for x in seen])), un.squeeze(_mass(low[i])), np.packbits(need[i]).tobytes()))
+        rows.append((self.order * self.buckets + m, unit, None, None, None, un.squeeze(np.array([x[-1] for x in seen], np.int64)), un.squeeze(_mass(low[-1:])), b"\x80"))
         if m < self.order:
             rows += [(*r, None, None, None) for r in self._ask(unit, m + 1, _Level(k, m + 1, train, x, int(self.spare)))]
         return un.blobs(rows, names, types)
 
     @staticmethod
-    def weigh(seen: np.ndarray, low: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def weigh(seen: list[np.ndarray], low: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(denominator, alpha) of histories."""
-        times = np.arange(1, GT_MAX + 1)
-        count = (times[:, None] * seen[:GT_MAX]).sum(0) + seen[GT_MAX]
-        keep = ((times * d[1:])[:, None] * seen[:GT_MAX]).sum(0) + seen[GT_MAX]
-        den = np.where(seen[:GT_MAX].any(0), count, count + 1)
+        den, keep, some = seen[GT_MAX].astype(float), seen[GT_MAX].astype(float), np.zeros(len(low), bool)
+        for i in range(GT_MAX):
+            den += (i + 1) * seen[i]
+            keep += (i + 1) * d[i + 1] * seen[i]
+            some |= seen[i] > 0
+        none = den == 0
+        den += ~some & ~none
         with np.errstate(all="ignore"):
-            alpha = (1 - keep / den) / (1 - low)
-        return np.where(count > 0, den, 0).astype(float), np.where(count > 0, alpha, 1.0)
+            keep /= den
+            alpha = (1 - keep) / (1 - low)
+        alpha[none] = 1.0
+        return den, alpha
 
     def tell_histories(self, asked: pa.Table, added: pa.Table, m: int) -> pa.Table:
         added = added.filter(added["seen"].is_valid()).sort_by("unit")
@@ -450,32 +459,47 @@ def save_model(docs: DataFrame, path: str, **options) -> None:
 
 
 def score_saved(spark: SparkSession, path: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, score) of documents under a saved model: tokens look their n-grams and histories up by joins."""
+    """(id, n_tokens, score) of every row under a saved model: tokens look their n-grams and histories up by joins.
+
+    N-grams and histories with 1/HOT_SHARE of a level's count or more, at most HOT_SHARE of each, are broadcast; of the others none has more tokens than that share of
+    documents like those of the model. Rows of one id stay apart.
+    """
     stats = {r["level"]: r.asDict() for r in spark.read.parquet(f"{path}/stats").collect()}  # one row a level
     order = max(stats)
     base = spark.read.parquet(f"{path}/ngrams")
     past = spark.read.parquet(f"{path}/histories")
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    def looked_up(t: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+        """t with the table's columns; key is a column of both."""
+        is_hot = F.col(weight) * HOT_SHARE >= F.lit(total)
+        mine = [c for c in table.columns if c != key]
+        few = F.broadcast(table.where(is_hot).select(key, F.struct(*mine).alias("_few")))
+        t = t.join(few, key, "left")
+        rest = t.where("_few is null").drop("_few").join(table.where(~is_hot), key, "left")
+        return t.where("_few is not null").select("*", "_few.*").drop("_few").unionByName(rest)
+
     def explode(batches):
         for b in batches:
             x = _Tokens(tk.strings(b.column(1)), order)
-            cols = [b.column(0).take(pa.array(x.doc)), *(pa.array(g.view(np.int64)) for g in [x.gram(m) for m in range(1, order + 1)]), *(pa.array(h.view(np.int64)) for h in [x.history(m) for m in range(2, order + 1)])]
-            yield pa.RecordBatch.from_arrays(cols, ["id", *[f"g{m}" for m in range(1, order + 1)], *[f"h{m}" for m in range(2, order + 1)]])
+            at = pa.array(x.doc)
+            cols = [b.column(0).take(at), b.column(2).take(at), *(pa.array(g.view(np.int64)) for g in [x.gram(m) for m in range(1, order + 1)]), *(pa.array(h.view(np.int64)) for h in [x.history(m) for m in range(2, order + 1)])]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "row", *[f"g{m}" for m in range(1, order + 1)], *[f"h{m}" for m in range(2, order + 1)]])
 
     fields = ", ".join(f"g{m} long" for m in range(1, order + 1)) + "".join(f", h{m} long" for m in range(2, order + 1))
-    t = docs.select(id_col, text_col).mapInArrow(explode, f"id {id_type}, {fields}")
+    t = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("row")).mapInArrow(explode, f"id {id_type}, row long, {fields}")
     n, v = stats[1]["total"], stats[1]["kinds"]
     p = None
     for m in range(1, order + 1):
         grams = base.where(F.col("level") == m).select(F.col("gram").alias(f"g{m}"), F.col("count").alias(f"c{m}"))
-        t = t.join(grams, f"g{m}", "left")
+        t = looked_up(t, grams, f"g{m}", f"c{m}", stats[m]["total"])
         c = F.coalesce(F.col(f"c{m}"), F.lit(0))
         if m == 1:
             p = (c + 0.5) / F.lit(n + 0.5 * (v + 1))
             continue
         d, _ = discounts(np.array([0, *[stats[m][f"n{i}"] for i in range(1, GT_MAX + 2)]]))
-        t = t.join(past.where(F.col("level") == m).select(F.col("history").alias(f"h{m}"), F.col("denominator").alias(f"d{m}"), F.col("alpha").alias(f"a{m}")), f"h{m}", "left")
+        of = past.where(F.col("level") == m).select(F.col("history").alias(f"h{m}"), F.col("denominator").alias(f"d{m}"), F.col("alpha").alias(f"a{m}"))
+        t = looked_up(t, of, f"h{m}", f"d{m}", stats[m]["total"])
         keep = F.when(c > GT_MAX, c.cast("double")).otherwise(c * F.element_at(F.array(*[F.lit(float(x)) for x in d]), (F.least(c, F.lit(GT_MAX)) + 1).cast("int")))
         p = F.when(c > 0, keep / F.col(f"d{m}")).otherwise(F.coalesce(F.col(f"a{m}"), F.lit(1.0)) * p)
-    return t.groupBy("id").agg(F.count("*").alias("n_tokens"), F.sum(F.log10(p)).alias("score")).withColumnRenamed("id", id_col)
+    return t.groupBy("row").agg(F.first("id").alias("id"), F.count("*").alias("n_tokens"), F.sum(F.log10(p)).alias("score")).select(F.col("id").alias(id_col), "n_tokens", "score")
