@@ -130,6 +130,7 @@ class _Level:
     def __init__(self, k: _Tokens, m: int, train: np.ndarray, below: _Level | None, spare: int):
         g = k.gram(m)
         self.g, self.first, self.inv = un.distinct(g & ~np.uint64((1 << spare) - 1))
+        self.first = self.first.astype(np.int32)
         self.count = np.bincount(self.inv[train], minlength=len(self.g)).astype(np.int64)
         self.mine, self.shared = np.ones(len(self.g), bool), np.zeros(len(self.g), bool)
         self.asked = np.ones(len(self.g), bool)
@@ -152,6 +153,7 @@ class _Katz:
         self.places = order * self.buckets + order + 1  # a bucket of a level's n-grams each, and the histories of begin marks only
 
     def _tokens(self, t: pa.Table) -> tuple[pa.Table, _Tokens, np.ndarray]:
+        un.trim()
         t = un.unpacked(t)
         k = _Tokens(tk.strings(t["text"]), self.order)
         return t, k, np.array([not held_out(i) for i in t["id"].to_pylist()], bool)[k.doc]
@@ -181,6 +183,7 @@ class _Katz:
         return t["unit"].to_pylist(), np.split(group, np.cumsum([len(x) for x in keys])[:-1]), len(distinct)
 
     def tell_counts(self, t: pa.Table) -> pa.Table:
+        un.trim()
         place = t["place"][0].as_py()
         m, b = place // self.buckets + 1, place % self.buckets
         # what is added to histories comes by the same exchange; a filter before it would make it another one
@@ -232,7 +235,7 @@ class _Katz:
                 below = x
                 continue
             n = len(below.g) + 1
-            h = np.concatenate([[n - 1], below.inv[:-1]])
+            h = np.concatenate([np.array([n - 1], np.int32), below.inv[:-1]])
             h[k.since == 0] = n - 1
             use = np.flatnonzero(x.mine & (x.count > 0))
             to, c = h[x.first[use]], x.count[use]
@@ -256,7 +259,7 @@ class _Katz:
                 # of histories that weren't asked for, tokens of training only follow, and the count tells the denominator
                 quiet = common & ~need
                 den[quiet] = np.append(below.count, 0)[quiet]
-                del seen, low, to, c, use
+                del seen, low, to, c, use, at, parts, answer
                 q = _kept(x.count, d)[x.inv]
                 there = q > 0
                 q /= np.where(there, den[h], 1.0)

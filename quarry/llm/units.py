@@ -7,6 +7,7 @@ the bytes of text; their size is a parameter.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -105,6 +106,15 @@ def split_by(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 Rows = Callable[[pa.Table], pa.Table]
 
 
+def trim() -> None:
+    """Gives memory that earlier tasks of this worker have freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 # compact columns
 
 
