@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,8 @@ UNIT_BYTES = 16 << 20
 MINHASHES, NEIGHBOURS, ALIKE = 16, 4, 2
 RUN, HELD = 64, 4_000_000  # documents of one minwise value that are compared exhaustively; pairs held before the nearest are picked
 BAND = 50_000  # documents of one minwise value that a task compares; beyond, the value is branched before the shuffle
-LOCAL_EDGES = 2_000_000  # links that the driver merges clusters by; more are first contracted by rounds over the table
+LOCAL_EDGES = 2_000_000  # links that the driver merges clusters by; more are first contracted by turns over the table
+MERGED = 100_000  # links that are lists at a time while the driver merges
 BROADCAST_ROWS = 1_000_000  # about 80 bytes each; beyond that the places are joined by a shuffle
 CACHE = 1_000_000  # pieces remembered, about 40 bytes each
 
@@ -409,24 +411,45 @@ def _edges(graph: DataFrame) -> DataFrame:
 
 def merged(a: np.ndarray, b: np.ndarray, like: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """(node, its cluster's node): clusters joined over the most alike links first, while both together have at most cap bytes."""
-    ids, place = np.unique(np.r_[a, b], return_inverse=True)
-    size = np.zeros(len(ids), np.int64)
-    size[place] = np.r_[size_a, size_b]
+    ids = np.unique(np.r_[a, b])
     chance = tk.mix(a.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ tk.mix(b.view(np.uint64)))
     order = np.lexsort((chance, -like.astype(np.int8)))
-    root, size = list(range(len(ids))), size.tolist()
+    del chance
+    x, y = np.searchsorted(ids, a).astype(np.int32), np.searchsorted(ids, b).astype(np.int32)
+    total = np.zeros(len(ids), np.int64)
+    total[x], total[y] = size_a, size_b
+    # arrays and slices of the links: lists of all would take several times the room
+    root, size = array("i", np.arange(len(ids), dtype=np.int32).tobytes()), array("q", total.tobytes())
+    del total
 
     def top(x: int) -> int:
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    for i, j in zip(place[: len(a)][order].tolist(), place[len(a) :][order].tolist()):
-        i, j = top(i), top(j)
-        if i != j and size[i] + size[j] <= cap:
-            root[j] = i
-            size[i] += size[j]
-    return ids, ids[[top(i) for i in range(len(ids))]]
+    for at in range(0, len(order), MERGED):
+        part = order[at : at + MERGED]
+        for i, j in zip(x[part].tolist(), y[part].tolist()):
+            i, j = top(i), top(j)
+            if i != j and size[i] + size[j] <= cap:
+                root[j] = i
+                size[i] += size[j]
+    return ids, ids[np.fromiter((top(i) for i in range(len(ids))), np.int32, len(ids))]
+
+
+def _merges(edges: DataFrame, turn: int, cap: int) -> DataFrame:
+    """(was, to, size): clusters to be joined to another by their most alike link, and the bytes that makes together.
+
+    A hash of cluster and turn says which half of the clusters is joined to and which half joins; one that is joined to takes
+    as many as fit, the most alike first. So a cluster with thousands of links doesn't take a turn for each, and a quarter of all join in a turn or lose links to full clusters.
+    """
+    chance = F.xxhash64("a", "b").alias("chance")
+    both = edges.select("a", "b", "like", chance, "sa", "sb").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "like", chance, F.col("sb").alias("sa"), F.col("sa").alias("sb")))
+    best = both.groupBy("a").agg(F.max(F.struct("like", "chance", "b", "sa", "sb")).alias("m")).select("a", "m.*")
+    takes = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) == 1
+    nth = Window.partitionBy("b").orderBy(F.desc("like"), "chance", "a").rowsBetween(Window.unboundedPreceding, 0)
+    fit = best.where(takes("b") & ~takes("a")).withColumn("size", F.col("sb") + F.sum("sa").over(nth)).where(f"size <= {cap}")
+    return fit.select(F.col("a").alias("was"), F.col("b").alias("to"), "size")
 
 
 def _clusters(nodes: DataFrame, edges: DataFrame, cap: int, local_edges: int | None = None) -> DataFrame:
@@ -439,20 +462,21 @@ def _clusters(nodes: DataFrame, edges: DataFrame, cap: int, local_edges: int | N
     def renamed(new: DataFrame) -> DataFrame:
         return labels.join(new.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
 
+    turn = 0
     while edges.count() > local_edges:
-        # pairs that are each other's most alike are joined; the first link of all always is one
-        chance = F.xxhash64("a", "b").alias("chance")
-        both = edges.select("a", "b", "like", chance, "sa", "sb").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "like", chance, F.col("sb").alias("sa"), F.col("sa").alias("sb")))
-        best = both.groupBy("a").agg(F.max(F.struct("like", "chance", "b", "sa", "sb")).alias("m")).select("a", "m.b", "m.sa", "m.sb")
-        pairs = storage.written(best.groupBy(F.least("a", "b").alias("to"), F.greatest("a", "b").alias("was")).agg(F.count("*").alias("n"), F.max(F.col("sa") + F.col("sb")).alias("size")).where("n = 2").select("was", "to", "size"), "merges")
-        to = pairs.select("was", "to", "size").unionAll(pairs.select(F.col("to").alias("was"), "to", "size"))
+        pairs = storage.written(_merges(edges, turn, cap), "merges")
+        to = pairs.select("was", "to").join(pairs.groupBy("to").agg(F.max("size").alias("size")), "to").select("was", "to", "size")
+        to = to.unionAll(pairs.groupBy("to").agg(F.max("size").alias("size")).select(F.col("to").alias("was"), "to", "size"))
         x, y = to.toDF("a", "ta", "na"), to.toDF("b", "tb", "nb")
         e = edges.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), "like", F.coalesce("na", "sa").alias("sa"), F.coalesce("nb", "sb").alias("sb")).where(f"a <> b and sa + sb <= {cap}")
         low = F.col("a") < F.col("b")
         side = lambda p, q: F.when(low, F.col(p)).otherwise(F.col(q))
         e = e.select(side("a", "b").alias("a"), side("b", "a").alias("b"), "like", side("sa", "sb").alias("sa"), side("sb", "sa").alias("sb"))
-        edges = storage.written(e.groupBy("a", "b").agg(F.max("like").alias("like"), F.first("sa").alias("sa"), F.first("sb").alias("sb")), "links")
-        labels = storage.written(renamed(pairs.select("was", "to")), "labels")
+        left = storage.written(e.groupBy("a", "b").agg(F.max("like").alias("like"), F.first("sa").alias("sa"), F.first("sb").alias("sb")), "links")
+        named = storage.written(renamed(pairs.select("was", "to")), "labels")
+        for old in (edges, pairs, *([labels] if turn else [])):  # the first labels are the nodes
+            storage.drop(old)
+        edges, labels, turn = left, named, turn + 1
     t = edges.toArrow()
     ids, to = merged(*(t[c].to_numpy() for c in ("a", "b", "like", "sa", "sb")), cap)
     if not len(ids):

@@ -319,6 +319,25 @@ def test_related_documents_meet_over_several_units(spark):
         assert np.mean([of[i] == of[j] for i in of for j in of if i < j and i % 60 == j % 60]) > 0.8
 
 
+@pytest.mark.parametrize("cap", [10_000, 2_000])
+def test_clusters_of_a_hub_take_few_turns(spark, monkeypatch, cap):
+    """A node with 80 links, which would take 80 turns if it were joined to one other at a time; each turn is a shuffle of the whole table."""
+    nodes = spark.createDataFrame([(i, 100 + i % 3) for i in range(81)], "node long, size long")
+    edges = spark.createDataFrame([(0, i, 2 + i % 5) for i in range(1, 81)], "a long, b long, like byte")
+    turns, written = [], packing.storage.written
+    monkeypatch.setattr(packing.storage, "written", lambda df, name: (turns.append(name), written(df, name))[1])
+    of = dict(packing._clusters(nodes, edges, cap, 5).collect())
+    assert turns.count("merges") <= 16
+    size = collections.Counter()
+    for i in range(81):
+        size[of[i]] += 100 + i % 3
+    assert len(of) == 81 and max(size.values()) <= cap
+    assert size[of[0]] > cap - 103 or len(size) == 1  # full, or all are joined
+    if cap == 2_000:
+        like = {i: 2 + i % 5 for i in range(1, 81)}
+        assert np.mean([like[i] for i in like if of[i] == of[0]]) > 4.5  # the most alike first; 4 on average
+
+
 # op10
 
 
