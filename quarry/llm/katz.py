@@ -128,8 +128,7 @@ class _Level:
     """The distinct n-grams of a unit at one level: of each its count in training, whether this unit is the first that has it, whether others have it."""
 
     def __init__(self, k: _Tokens, m: int, train: np.ndarray, below: _Level | None, spare: int):
-        g = k.gram(m)
-        self.g, self.first, self.inv = un.distinct(g & ~np.uint64((1 << spare) - 1))
+        self.g, self.first, self.inv = un.distinct(k.gram(m) & ~np.uint64((1 << spare) - 1))
         self.first = self.first.astype(np.int32)
         self.count = np.bincount(self.inv[train], minlength=len(self.g)).astype(np.int64)
         self.mine, self.shared = np.ones(len(self.g), bool), np.zeros(len(self.g), bool)
@@ -140,9 +139,15 @@ class _Level:
             before[k.since == 0] = True
             self.asked = (s & before)[self.first]
 
-    def told(self, replies: list[bytes]) -> None:
-        got = np.concatenate([un.expand(b, np.int64) for b in replies]) if replies else np.zeros(0, np.int64)
-        self.count[self.asked], self.shared[self.asked], self.mine[self.asked] = got >> 2, (got & 2) > 0, (got & 1) > 0
+    def told(self, replies: list[memoryview]) -> None:
+        places, n = np.flatnonzero(self.asked), 0
+        for b in replies:
+            got = un.expand(b, np.int64)
+            at = places[n : n + len(got)]
+            self.count[at], self.shared[at], self.mine[at] = got >> 2, (got & 2) > 0, (got & 1) > 0
+            n += len(got)
+        if n != len(places):
+            raise ValueError(f"{n} counts for {len(places)} n-grams")
 
 
 class _Katz:
@@ -210,31 +215,34 @@ class _Katz:
 
     # what a unit was told
 
-    def _levels(self, k: _Tokens, train: np.ndarray, told: pa.Table, upto: int) -> Iterator[tuple]:
+    def _levels(self, k: _Tokens, train: np.ndarray, told: pa.Table, upto: int, keep: bool = True) -> Iterator[tuple]:
         """For m = 1..upto: (level, history of each token, (seen, low) of the histories, probability of each token); the last two as far as they were told.
 
         A history is the number of the n-gram before a token, and after all of those the one of begin marks only. seen: how many of its n-grams that are
-        this unit's to add were seen 1..GT_MAX times, and the count of the others; low: the lower mass of all of these.
+        this unit's to add were seen 1..GT_MAX times, and the count of the others; low: the lower mass of all of these. Without keep a level's n-grams and their places are let go as soon as they have been used.
         """
         replies: dict[int, list] = {}
         stats: dict[int, np.ndarray] = {}
         for column in told.column_names[1:]:
-            for r in told[column][0].as_py() or []:
-                if r["stats"]:
-                    stats[r["stats"][0]] = np.array(r["stats"][1:], np.int64)
-                elif r["reply"] is not None:
-                    replies.setdefault(r["kind"], []).append((r["bucket"], r["reply"]))
+            for r in told[column][0].values or []:
+                if r["stats"].is_valid and len(r["stats"]):
+                    of_level = r["stats"].as_py()
+                    stats[of_level[0]] = np.array(of_level[1:], np.int64)
+                elif r["reply"].is_valid:  # read where it lies, not copied
+                    replies.setdefault(r["kind"].as_py(), []).append((r["bucket"].as_py(), memoryview(r["reply"].as_buffer())))
         of = lambda kind: [b for _, b in sorted(replies.get(kind, []), key=lambda x: x[0])]
         p = below = None
         for m in range(1, upto + 1):
             x = _Level(k, m, train, below, int(self.spare))
             x.told(of(m))
+            if not keep:
+                x.g = None
             if m == 1:
                 p = ((x.count + 0.5) / (stats[1][-2] + 0.5 * (stats[1][-1] + 1)))[x.inv]
                 yield x, None, None, None, p, stats
                 below = x
                 continue
-            n = len(below.g) + 1
+            n = len(below.count) + 1
             h = np.concatenate([np.array([n - 1], np.int32), below.inv[:-1]])
             h[k.since == 0] = n - 1
             use = np.flatnonzero(x.mine & (x.count > 0))
@@ -242,6 +250,9 @@ class _Katz:
             seen = [np.bincount(to[c == i], minlength=n).astype(np.int32) for i in range(1, GT_MAX + 1)]
             seen.append(np.bincount(to[c > GT_MAX], weights=c[c > GT_MAX], minlength=n).astype(np.int64))
             low = np.bincount(to, weights=p[x.first[use]], minlength=n).astype(float)  # without any it would be of integers
+            del to, c, use
+            if not keep:
+                x.first = None
             need = np.zeros(n, bool)
             need[h[~train | (np.append(below.count, GT_MAX + 1)[h] > GT_MAX)]] = True
             need |= self.every
@@ -250,21 +261,31 @@ class _Katz:
             answer = of(100 + m)
             if answer:
                 d, _ = discounts(np.r_[0, stats[m][: GT_MAX + 1]])
-                at = np.flatnonzero(common & need)
-                parts = [(int.from_bytes(b[:8], "little") + 8, b) for b in answer]
-                for row, got in zip(seen, np.concatenate([un.expand(b[8:e], np.int64).reshape(GT_MAX + 1, -1) for e, b in parts], 1)):
-                    row[at] = got
-                low[at] = np.concatenate([un.expand(b[e:], np.int64) for e, b in parts]) / _MASS
+                wanted, done = np.flatnonzero(common & need), 0
+                for b in answer:
+                    e = int.from_bytes(b[:8], "little") + 8
+                    mass = un.expand(b[e:], np.int64)
+                    at = wanted[done : done + len(mass)]
+                    for row, got in zip(seen, un.expand(b[8:e], np.int64).reshape(GT_MAX + 1, -1)):
+                        row[at] = got
+                    low[at] = mass / _MASS
+                    done += len(mass)
+                    del mass, row, got
+                if done != len(wanted):
+                    raise ValueError(f"{done} answers for {len(wanted)} histories")
                 den, alpha = self.weigh(seen, low, d)
                 # of histories that weren't asked for, tokens of training only follow, and the count tells the denominator
                 quiet = common & ~need
                 den[quiet] = np.append(below.count, 0)[quiet]
-                del seen, low, to, c, use, at, parts, answer
+                del seen, low, wanted, answer
                 q = _kept(x.count, d)[x.inv]
                 there = q > 0
-                q /= np.where(there, den[h], 1.0)
-                p = np.where(there, q, alpha[h] * p)
+                np.divide(q, den[h], out=q, where=there)
+                p = alpha[h] * p
+                np.copyto(p, q, where=there)
+                del q, there
                 yield x, h, (den, alpha), need & common, p, stats
+                del h, den, alpha, need, common, quiet  # before the next level's n-grams are hashed and sorted
             else:
                 yield x, h, (seen, low), need & common, None, stats
             below = x
@@ -304,7 +325,8 @@ class _Katz:
         den += ~some & ~none
         with np.errstate(all="ignore"):
             keep /= den
-            alpha = (1 - keep) / (1 - low)
+            alpha = np.subtract(1, keep, out=keep)
+            alpha /= 1 - low
         alpha[none] = 1.0
         return den, alpha
 
@@ -337,13 +359,13 @@ class _Katz:
 
     def scores(self, t: pa.Table, told: pa.Table) -> pa.Table:
         t, k, train = self._tokens(t)
-        for m, (x, _, _, _, p, stats) in enumerate(self._levels(k, train, told, self.order), 1):
-            if m == 1:
-                base, known, tokens = p, x.count[x.inv] > 0, stats[1][-2]
         n = k.n_docs
         add = lambda x: np.bincount(k.doc, weights=x, minlength=n)
+        for m, (x, _, _, _, p, stats) in enumerate(self._levels(k, train, told, self.order, keep=False), 1):
+            if m == 1:  # sums of documents; a value for each token would be held to the end
+                base, known, tokens = add(np.log10(p)), add(x.count[x.inv] > 0), stats[1][-2]
         return pa.table(
-            [t["id"], pa.array([held_out(i) for i in t["id"].to_pylist()], pa.bool_()), pa.array(np.bincount(k.doc, minlength=n)), pa.array(add(known).astype(np.int64)), pa.array(np.full(n, tokens)), pa.array(add(np.log10(base))), pa.array(add(np.log10(p)))],
+            [t["id"], pa.array([held_out(i) for i in t["id"].to_pylist()], pa.bool_()), pa.array(np.bincount(k.doc, minlength=n)), pa.array(known.astype(np.int64)), pa.array(np.full(n, tokens)), pa.array(base), pa.array(add(np.log10(p)))],
             names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 

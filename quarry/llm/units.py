@@ -142,17 +142,23 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = values & ~low
     key |= np.arange(len(values), dtype=np.uint64)
     key.sort()
-    order = (key & low).astype(np.int64)
+    order = (key & low).view(np.int64)
     v = values[order]
     first = np.ones(len(v), bool)
     first[1:] = v[1:] != v[:-1]
     key &= ~low
-    if (first[1:] & (key[1:] == key[:-1])).any():
+    same = bool((first[1:] & (key[1:] == key[:-1])).any())
+    del key
+    if same:
         order = np.argsort(values)
         v = values[order]
         first[1:] = v[1:] != v[:-1]
+    del values
+    nth = np.cumsum(first, dtype=np.int32)
+    nth -= np.int32(1)
     number = np.empty(len(v), np.int32)
-    number[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    number[order] = nth
+    del nth
     return v[first], order[first], number
 
 

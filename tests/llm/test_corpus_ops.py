@@ -6,6 +6,7 @@ import collections
 import random
 import sys
 import time
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -77,6 +78,39 @@ def test_katz_edges(spark, tmp_path):
     assert all(r["train_tokens"] == 0 and r["score"] == 0 and r["n_known"] == 0 for r in only)
 
 
+def test_katz_memory_of_scoring():
+    """What scoring a unit holds at most: two of them run beside an executor's heap."""
+    rng = np.random.default_rng(2)
+    words = np.array([f"w{i}" for i in range(30_000)])
+    texts = [" ".join(words[np.minimum(rng.zipf(1.3, 150), 30_000) - 1]) for _ in range(2_000)]
+    rows = pa.record_batch([pa.array([i for i in range(4_000) if not katz.held_out(i)][:2_000]), pa.array(texts)], ["id", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as w:
+        w.write_batch(rows)
+    own = pa.table({"unit": pa.array([0], pa.int32()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+    k = katz._Katz(1, 3)
+    tokens = katz._Tokens(rows.column(1), 3)
+    train, told, below = np.ones(len(tokens.tok), bool), [], None
+    for m in range(1, 4):
+        x = katz._Level(tokens, m, train, below, int(k.spare))
+        x.shared[:] = True
+        # as a unit that shares all n-grams and is the first to hold them
+        told += [{"kind": m, "bucket": 0, "reply": un.squeeze(4 * x.count + 3), "stats": None}, {"kind": m, "bucket": -1, "reply": None, "stats": [m, *katz._counts(x.count).tolist()]}]
+        if m > 1:
+            n = int((below.count[np.unique(below.inv[:-1][tokens.since[1:] > 0])] > katz.GT_MAX).sum()) + 1
+            told.append({"kind": 100 + m, "bucket": 0, "reply": katz._two(un.squeeze(np.ones(6 * n, np.int64)), un.squeeze(np.ones(n, np.int64))), "stats": None})
+        below = x
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("bucket", pa.int32()), ("reply", pa.binary()), ("stats", pa.list_(pa.int64()))]))
+    replies = pa.table({"unit": pa.array([0], pa.int32()), "c1": pa.array([told], kind)})
+    n = len(tokens.tok)
+    del tokens, x, below, told
+    tracemalloc.start()
+    k.scores(own, replies)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 98 * n  # bytes a token; 111 when arrays of earlier steps were held on
+
+
 def test_katz_saved(spark, tmp_path):
     rows = [(i, t) for i, t in small(spark)[1][:40]]
     df = frame(spark, rows)
