@@ -194,6 +194,16 @@ def test_malformed_pages_keep_their_text():
     assert dom.parse("<title>a<b>&amp;</title><p>", nested=True).elements()[0].text_content() == "a<b>&"
 
 
+CUT_OFF = '<html><head><title>A&amp;B &copy; C&amp</title></head><body><h1>A&amp;B &copy; C&amp</h1><p><a href="?a=1&copy=2&amp;b=3">x &#65 &notit;</a></p></body></html>'
+
+
+def test_references_end_in_a_semicolon():
+    assert [x["text"] for x in H.visible_leaves(CUT_OFF)] == ["A&B \xa9 C&amp", "x A &notit;"]
+    assert [n["content"] for n in H.nodes(CUT_OFF)] == ["A&B \xa9 C&amp", "<h1>A&amp;B \xa9 C&amp;amp</h1>", '<p><a href="?a=1&amp;copy=2&amp;b=3">x A &amp;notit;</a></p>']
+    assert grounding.closest(CUT_OFF, "A&B \xa9 C&amp") == {"text": "A&B \xa9 C&amp", "xpath": "/html/body/h1", "sub_index": 0, "score": 1.0, "found": True}
+    assert H.skeleton(CUT_OFF, [{"xpath": "/html/body/h1"}]) == "<html><body><h1>A&amp;B \xa9 C&amp;amp</h1></body></html>"
+
+
 def test_time_grows_with_length():
     for page in ("<a '" * 250_000, '<a x="' * 150_001, "<b>" * 20_000 + "<hr>" * 20_000 + "</i>" * 20_000, "<div>" * 20_000 + "word " * 2_000):
         began = time.time()
