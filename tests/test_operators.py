@@ -204,6 +204,13 @@ def test_references_end_in_a_semicolon():
     assert H.skeleton(CUT_OFF, [{"xpath": "/html/body/h1"}]) == "<html><body><h1>A&amp;B \xa9 C&amp;amp</h1></body></html>"
 
 
+def test_clean_leaves_bare_ampersands():
+    page = "<html><head><title>a&amp</title></head><body><p>b&am</p><p>&copy; c &amp; d & e&</p><p>f&<!--x-->amp; g&<svg></svg>#65 &bogus; &lt;</p></body></html>"
+    kept = "<html><head><title>a&amp</title></head><body><p>b&am</p><p>\xa9 c &amp; d & e&</p><p>f&amp;amp; g&amp;#65 &bogus; &lt;</p></body></html>"
+    assert H.clean(page) == H.structural_clean(page) == H.clean(kept) == kept
+    assert dom.from_string(kept).text_content() == "a&ampb&am\xa9 c & d & e&f&amp; g&#65 &bogus; <"
+
+
 def test_time_grows_with_length():
     for page in ("<a '" * 250_000, '<a x="' * 150_001, "<b>" * 20_000 + "<hr>" * 20_000 + "</i>" * 20_000, "<div>" * 20_000 + "word " * 2_000):
         began = time.time()
