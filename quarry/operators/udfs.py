@@ -1,39 +1,80 @@
-"""Arrow UDF faces of the document operators. Documents are large: keep spark.sql.execution.arrow.maxRecordsPerBatch small for big pages.
+"""Arrow UDF faces of the document operators.
 
+An Arrow batch holds up to 10,000 documents, whose nodes or index are many times as large: batches are worked on and given back in slices of at most SLICE_ROWS
+rows and, but for single documents, SLICE_CHARS characters, so that what a worker holds doesn't grow with the table.
 A row that an operator fails on gives null and no other row is touched; the pipeline's stages say why in ``stage_error``.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import grounding, html_ops
 
+SLICE_ROWS = 64
+SLICE_CHARS = 1 << 18
+
+
+def _slices(columns: tuple[pa.Array, ...]) -> Iterator[list[list]]:
+    """The values of a batch's columns, a slice at a time."""
+    for at in range(0, len(columns[0]), SLICE_ROWS):
+        values = [c.slice(at, SLICE_ROWS).to_pylist() for c in columns]
+        begin = chars = 0
+        for i, row in enumerate(zip(*values)):
+            size = sum(_chars(x) for x in row)
+            if i > begin and chars + size > SLICE_CHARS:
+                yield [v[begin:i] for v in values]
+                begin, chars = i, 0
+            chars += size
+        yield [v[begin:] for v in values]
+
+
+def _chars(x) -> int:
+    if isinstance(x, (list, dict)):
+        return sum(map(_chars, x.values() if isinstance(x, dict) else x))
+    return len(x) if isinstance(x, str) else 0
 
 
 def arrow_udf(returns: str) -> Callable:
-    """A pandas UDF that is made when it is first applied: modules are imported where no session is."""
+    """An Arrow UDF of a function of one row's values. It is made when it is first applied: modules are imported where no session is."""
 
     def around(f: Callable) -> Callable[..., Column]:
+        def sliced(batches: Iterator[tuple[pa.Array, ...]], kind: pa.DataType) -> Iterator[pa.Array]:
+            for columns in batches:
+                for values in _slices(columns):
+                    yield pa.array(_each(f, *values).tolist(), kind)
+
         @functools.cache
-        def made():
-            return F.pandas_udf(f, returns)
+        def made(many: bool):
+            kind = to_arrow_type(T._parse_datatype_string(returns))
+
+            def of_one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+                return sliced(((b,) for b in batches), kind)
+
+            def of_many(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+                return sliced(batches, kind)
+
+            return F.arrow_udf(of_many if many else of_one, returns)
 
         @functools.wraps(f)
         def apply(*columns) -> Column:
-            return made()(*columns)
+            return made(len(columns) > 1)(*columns)
 
+        apply.sliced = sliced
         return apply
 
     return around
 
 
-def _each(f: Callable, *columns: pd.Series) -> pd.Series:
+def _each(f: Callable, *columns: pd.Series | list) -> pd.Series:
     out = pd.Series([None] * len(columns[0]), dtype="object")
     for i, x in enumerate(zip(*columns)):
         try:
@@ -50,82 +91,77 @@ MATCH = "struct<text: string, xpath: string, sub_index: int, score: double, foun
 
 
 @arrow_udf("string")
-def clean_html(html: pd.Series) -> pd.Series:
-    return _each(html_ops.clean, html)
+def clean_html(html: str | None) -> str:
+    return html_ops.clean(html)
 
 
 @arrow_udf("string")
-def structural_clean(html: pd.Series) -> pd.Series:
-    return _each(html_ops.structural_clean, html)
+def structural_clean(html: str | None) -> str:
+    return html_ops.structural_clean(html)
 
 
 @arrow_udf(f"array<{NODE}>")
-def dom_nodes(html: pd.Series) -> pd.Series:
-    return _each(html_ops.nodes, html)
+def dom_nodes(html: str | None) -> list[dict]:
+    return html_ops.nodes(html)
 
 
 @arrow_udf(f"array<struct<nodes: array<{NODE}>>>")
-def chunk_nodes(chunks: pd.Series) -> pd.Series:
+def chunk_nodes(chunks: list[str] | None) -> list[dict]:
     """The nodes of each chunk of a document."""
-    return _each(lambda cs: [{"nodes": html_ops.nodes(c)} for c in cs] if cs is not None else [], chunks)
+    return [{"nodes": html_ops.nodes(c)} for c in chunks or []]
 
 
 @arrow_udf(f"array<{LEAF}>")
-def visible_leaves(html: pd.Series) -> pd.Series:
-    return _each(html_ops.visible_leaves, html)
+def visible_leaves(html: str | None) -> list[dict]:
+    return html_ops.visible_leaves(html)
 
 
 @arrow_udf(f"array<{ENTRY}>")
-def search_index(html: pd.Series) -> pd.Series:
-    return _each(html_ops.search_index, html)
+def search_index(html: str | None) -> list[dict]:
+    return html_ops.search_index(html)
 
 
 @arrow_udf("string")
-def rebuild_skeleton(html: pd.Series, chosen: pd.Series) -> pd.Series:
-    return _each(lambda h, c: html_ops.skeleton(h, list(c) if c is not None else []) if h else "", html, chosen)
+def rebuild_skeleton(html: str | None, chosen: list[dict] | None) -> str:
+    return html_ops.skeleton(html, chosen or []) if html else ""
 
 
 @arrow_udf(MATCH)
-def match_value(html: pd.Series, value: pd.Series) -> pd.DataFrame:
-    found = _each(lambda h, v: grounding.closest(h or "", v or ""), html, value)
-    return pd.DataFrame([grounding.NOT_FOUND if x is None else x for x in found], columns=["text", "xpath", "sub_index", "score", "found"])
+def match_value(html: str | None, value: str | None) -> dict:
+    return grounding.closest(html or "", value or "")
 
 
 @arrow_udf("struct<prediction: string, xpaths: string, error: string>")
-def ground_answer(response: pd.Series, content: pd.Series, request: pd.Series, exact: pd.Series) -> pd.DataFrame:
-    rows = [grounding.postprocess(r, c, q, bool(e)) for r, c, q, e in zip(response, content, request, exact)]
-    return pd.DataFrame(rows, columns=["prediction", "xpaths", "error"])
+def ground_answer(response: str | None, content: str | None, request: str | None, exact: bool) -> dict:
+    return dict(zip(("prediction", "xpaths", "error"), grounding.postprocess(response, content, request, bool(exact))))
 
 
 @arrow_udf("string")
-def repair_json(response: pd.Series) -> pd.Series:
+def repair_json(response: str | None) -> str:
     import json
 
     from ..functions import jsonrepair
 
-    return _each(lambda r: json.dumps(jsonrepair.extract(r), ensure_ascii=False), response)
+    return json.dumps(jsonrepair.extract(response), ensure_ascii=False)
 
 
 @arrow_udf("string")
-def spread_json(response: pd.Series) -> pd.Series:
+def spread_json(response: str | None) -> str:
     from ..functions import jsonrepair
 
-    return _each(lambda r: "" if r is None else jsonrepair.extract(r, spread=True), response)
+    return "" if response is None else jsonrepair.extract(response, spread=True)
 
 
 def chunks(html: Column, max_tokens: int = 1000, attr_cutoff: int = 5, disable: bool = False) -> Column:
     """Struct of the clean document, its chunks and, where there are none, why."""
 
-    @F.pandas_udf("struct<clean: string, chunks: array<struct<chunk_ord: int, content: string>>, error: string>")
-    def run(pages: pd.Series) -> pd.DataFrame:
-        out = []
-        for page in pages:
-            try:
-                text = html_ops.clean(page)
-                parts = [] if not text else [text] if disable else html_ops.chunk(text, max_tokens, attr_cutoff)
-                out.append((text, [{"chunk_ord": i + 1, "content": p} for i, p in enumerate(parts)], None if parts else "nothing is left of the page after cleaning"))
-            except Exception as e:  # a bad page is reported in its own row
-                out.append(("", [], f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["clean", "chunks", "error"])
+    @arrow_udf("struct<clean: string, chunks: array<struct<chunk_ord: int, content: string>>, error: string>")
+    def run(page: str | None) -> dict:
+        try:
+            text = html_ops.clean(page)
+            parts = [] if not text else [text] if disable else html_ops.chunk(text, max_tokens, attr_cutoff)
+            return {"clean": text, "chunks": [{"chunk_ord": i + 1, "content": p} for i, p in enumerate(parts)], "error": None if parts else "nothing is left of the page after cleaning"}
+        except Exception as e:  # a bad page is reported in its own row
+            return {"clean": "", "chunks": [], "error": f"{type(e).__name__}: {e}"}
 
     return run(html)

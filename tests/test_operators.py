@@ -7,9 +7,12 @@ import sys
 import time
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions import dom
 from quarry.operators import batches, clients, grounding, udfs
@@ -228,6 +231,18 @@ def test_failing_rows_are_null():
     assert udfs._each(f, pd.Series([1, 0, -1])).tolist() == [1, None, -1]
 
 
+def test_udfs_work_in_slices(spark):
+    """A worker holds the results of a slice, not those of an Arrow batch."""
+    kind = to_arrow_type(T._parse_datatype_string(f"array<{udfs.ENTRY}>"))
+    pages = [PAGE] * 1000 + [f"<p>{'word ' * 100_000}</p>"] * 3 + [None, "", PAGE]
+    parts = list(udfs.search_index.sliced(iter([(pa.array(pages),), (pa.array([], pa.string()),)]), kind))
+    assert sum(map(len, parts)) == len(pages) and max(map(len, parts)) <= udfs.SLICE_ROWS
+    assert all(len(p) == 1 or sum(len(e["chunk"]) for r in p.to_pylist() for e in r) < 10 * udfs.SLICE_CHARS for p in parts)
+    assert [r for p in parts for r in p.to_pylist()] == [H.search_index(p) for p in pages]
+    df = spark.createDataFrame(list(enumerate(pages)), "k int, html string").coalesce(1).withColumn("n", F.size(udfs.search_index("html")))
+    assert {r["k"]: r["n"] for r in df.select("k", "n").collect()} == {k: len(H.search_index(p)) for k, p in enumerate(pages)}
+
+
 def test_pipeline_isolates_malformed_pages(spark):
     schema = '{"heading": "string"}'
     df = _samples(spark, [PAGE, *MALFORMED, "", None, PAGE], [schema] * (len(MALFORMED) + 4)).repartition(3)
