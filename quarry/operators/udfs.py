@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -122,12 +122,16 @@ def search_index(html: str | None) -> list[dict]:
 
 
 @arrow_udf("string")
-def rebuild_skeleton(html: str | None, chosen: list[dict] | None) -> str:
-    return html_ops.skeleton(html, chosen or []) if html else ""
+def rebuild_skeleton(html: str | None, chosen: list[dict] | None) -> str | None:
+    """Null where the nodes are: what chose them failed, which isn't the same as nothing chosen."""
+    if chosen is None:
+        return None
+    return html_ops.skeleton(html, chosen) if html else ""
 
 
 @arrow_udf(MATCH)
 def match_value(html: str | None, value: str | None) -> dict:
+    """A value that isn't found has found false and score 0; null, without any of these, is a row that failed."""
     return grounding.closest(html or "", value or "")
 
 
@@ -152,6 +156,14 @@ def spread_json(response: str | None) -> str:
     return "" if response is None else jsonrepair.extract(response, spread=True)
 
 
+def exploded(df: DataFrame, items: Column, *names: str) -> DataFrame:
+    """A row per item, pos and item, besides the named columns. A row that the operator failed on stays as one whose item and pos are null; one without items has none."""
+    found = df.select(*names, items.alias("_items"))
+    failed = F.col("_items").isNull()
+    every = F.when(failed, F.array(F.lit(None).cast(found.schema["_items"].dataType.elementType))).otherwise(F.col("_items"))
+    return found.select(*names, failed.alias("_failed"), F.posexplode(every).alias("_pos", "item")).select(*names, F.when(~F.col("_failed"), F.col("_pos")).alias("pos"), "item")
+
+
 def chunks(html: Column, max_tokens: int = 1000, attr_cutoff: int = 5, disable: bool = False) -> Column:
     """Struct of the clean document, its chunks and, where there are none, why."""
 

@@ -105,6 +105,8 @@ class Pipeline:
         if not self.prune_on:
             return df.withColumn("current_html", F.col("clean_html")).drop("content", "clean_html", "chunks")
         with_nodes = df.drop("content").withColumn("nodes", _chunk_nodes(F.col("chunks"))).drop("chunks")
+        failed = F.when(F.col("nodes").isNull(), F.lit("the page's chunks could not be split into nodes"))
+        with_nodes = with_nodes.withColumn("stage_error", F.coalesce("stage_error", failed))
         prompts_ = F.transform("nodes", lambda n: X.fill_prompt(s.pruner_prompt, F.col("request"), X.node_listing(n)))
         told = called(with_nodes, prompts_, F.lit("pruner"), "responses", self.factory, s.workers, s.options)
         return _merged(told.withColumn("kept", X.kept_nodes(F.col("nodes"), F.col("responses"))).drop("responses", "nodes"))

@@ -140,11 +140,11 @@ def clean_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dom_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "pages").select("page_id", F.explode(udfs.dom_nodes("html")).alias("n")).select("page_id", "n.*")
+    return udfs.exploded(_t(spark, d, "pages"), udfs.dom_nodes("html"), "page_id").select("page_id", "item.*")
 
 
 def visible_leaves(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "pages").select("page_id", F.posexplode(udfs.visible_leaves("html"))).select("page_id", "pos", "col.xpath", "col.text")
+    return udfs.exploded(_t(spark, d, "pages"), udfs.visible_leaves("html"), "page_id").select("page_id", "pos", "item.xpath", "item.text")
 
 
 def chunk_html(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +153,7 @@ def chunk_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_index(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "pages").select("page_id", F.explode(udfs.search_index("html")).alias("e")).select("page_id", "e.*")
+    return udfs.exploded(_t(spark, d, "pages"), udfs.search_index("html"), "page_id").select("page_id", "item.*")
 
 
 def match_value(spark: SparkSession, d: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quarry import queries
 from quarry.functions import dom
 from quarry.operators import batches, clients, grounding, udfs
 from quarry.operators import html_ops as H
@@ -231,6 +232,39 @@ def test_failing_rows_are_null():
     assert udfs._each(f, pd.Series([1, 0, -1])).tolist() == [1, None, -1]
 
 
+def test_failures_are_no_results(spark, tmp_path, monkeypatch):
+    """A page that an operator fails on differs from one where nothing is found, and is not left out."""
+    pages = [(1, "<html><body><h1>Lamp</h1></body></html>"), (2, "<html><body><h1>BROKEN</h1></body></html>"), (3, "<html><body></body></html>")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+
+    def failing(f):
+        def run(html, *more):
+            if "BROKEN" in html:
+                raise ValueError("broken")
+            return f(html, *more)
+
+        return run
+
+    for name, f in (("dom_nodes", H.nodes), ("visible_leaves", H.visible_leaves), ("search_index", H.search_index), ("match_value", grounding.closest)):
+        monkeypatch.setattr(udfs, name, udfs.arrow_udf(udfs.MATCH if name == "match_value" else f"array<{ {'dom_nodes': udfs.NODE, 'visible_leaves': udfs.LEAF, 'search_index': udfs.ENTRY}[name] }>")(failing(f)))
+    got = {r["page_id"]: tuple(r)[1:] for r in queries.match_value(spark, str(tmp_path)).collect()}
+    assert got == {1: ("Lamp", "/html/body/h1", 0, 1.0, True), 2: (None,) * 5, 3: (None, None, None, 0.0, False)}
+    for name in ("dom_nodes", "visible_leaves", "search_index"):
+        rows = [tuple(r) for r in getattr(queries, name)(spark, str(tmp_path)).collect()]
+        assert [r[0] for r in rows if r[0] != 1] == [2] and set(next(r for r in rows if r[0] == 2)[1:]) == {None}
+    got = {r["page_id"]: r["skeleton"] for r in queries.skeleton_pages(spark, str(tmp_path)).collect()}
+    assert got == {1: "<html><body><h1>Lamp</h1></body></html>", 2: None, 3: ""}
+
+
+def test_chunks_that_fail_have_an_error(spark, monkeypatch):
+    def fail(chunks):
+        raise ValueError("broken")
+
+    monkeypatch.setattr(udfs, "chunk_nodes", udfs.arrow_udf(f"array<struct<nodes: array<{udfs.NODE}>>>")(fail))
+    row = Pipeline().run(_samples(spark, [PAGE], ['{"heading": "s"}'])).first()
+    assert row["status"] == "failed" and "nodes" in row["error"]
+
+
 def test_udfs_work_in_slices(spark):
     """A worker holds the results of a slice, not those of an Arrow batch."""
     kind = to_arrow_type(T._parse_datatype_string(f"array<{udfs.ENTRY}>"))
